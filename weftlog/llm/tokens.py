@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,22 +37,25 @@ from weftlog.llm.common import mix
 from weftlog.plans.scratch import materialize, scratch_path
 
 #: Letters that are surely letters to a byte-level tokenizer, and texts of nothing but these, plain ASCII marks
-#: (no apostrophe, which starts contractions), digits and white space. In such texts the pieces below are the
-#: pieces that the tokenizer cuts before merging, so they can be encoded once and remembered.
+#: (no apostrophe, which starts contractions), digits, spaces and line feeds. The tokenizer cuts such a text before
+#: a single space that stands between other characters, before a line feed and before a comma or full stop
+#: that follow a letter or digit, so what lies between such cuts can be encoded once and remembered.
 _L = "A-Za-zÀ-ÖØ-öø-ɏ"
-_PLAIN = re.compile(f"[\\n\\t !-&(-~{_L}]*")
-_PIECE = re.compile(f" ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+")
-_WORD, _SPACED, _EDGE = re.compile(f"[{_L}]+"), re.compile(f" [{_L}]+"), re.compile(r"\s | \s")
-#: Entries after which a task forgets what it remembers.
-MEMORY = 400_000
+_PLAIN = re.compile(f"[\\n !-&(-~{_L}]*")
+_SPACED, _LINE = re.compile(f"[{_L}]+"), re.compile(f"\\n[{_L}]+")
+#: White space next to a space or line feed; a comma or full stop that follows another mark or white space.
+_EDGES, _MARKS = ("  ", "\n\n", " \n", "\n "), re.compile(r"[^\w][,.]|_[,.]")
+#: Pieces after which a task forgets what it remembers.
+MEMORY = 1_000_000
 
 
 class Encoder:
-    """Ids of texts as bytes of one integer type, with a bounded memory of pieces."""
+    """Ids of texts as bytes of one integer type, with a bounded memory of pieces.
 
-    def __init__(self, path: str) -> None:
-        import os
+    A piece that starts with a line feed, comma or full stop stands for itself, any other for itself after a space.
+    """
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,43 +65,62 @@ class Encoder:
         self.size = np.ones(self.tok.get_vocab_size(), np.int64)
         for token, k in self.tok.get_vocab().items():
             self.size[k] = len(token)  # one character of a byte-level token is one byte
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Encode pieces: words in one string, from which their ids are cut by their bytes; others alone."""
-        spaced = [x for x in new if _SPACED.fullmatch(x)]
-        bare = [x for x in new if _WORD.fullmatch(x)]
-        rest = list(new.difference(spaced, bare))
-        self.pieces.update(zip(rest, self._whole(rest), strict=True))
-        words = spaced + [x for w in bare for x in ("\n", w)]
+        words = [x for x in new if _SPACED.fullmatch(x)]
+        strings = [" " + x for x in words]
+        lines = [x for x in new if _LINE.fullmatch(x)]
+        words, strings = words + lines, strings + lines
+        rest = list(set(new).difference(words))
+        self.known.update(zip(rest, self._whole([x if x[:1] in ("\n", ",", ".") else " " + x for x in rest]), strict=True))
         if words:
-            ids = np.array(self.tok.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) for w in words])) + 1
-            data, width, at = ids.tobytes(), self.dtype.itemsize, 0
-            for w, end in zip(words, (ends * width).tolist(), strict=True):
-                self.pieces[w] = data[at:end]
+            ids = np.array(self.tok.encode_batch_fast(["".join(strings)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(x.encode()) for x in strings])) + 1
+            data, at = ids.tobytes(), 0
+            for w, end in zip(words, (ends * self.dtype.itemsize).tolist(), strict=True):
+                self.known[w] = data[at:end]
                 at = end
 
+    def _pieces(self, text: str) -> list[str] | None:
+        """The first piece, which follows no space, and the others; None if the text is not plain."""
+        if any(x in text for x in _EDGES) or not _PLAIN.fullmatch(text):
+            return None
+        text = text.replace("\n", " \n")
+        if not _MARKS.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+        elif " ," in text or " ." in text or "\n," in text or "\n." in text:
+            return None
+        return text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > MEMORY or len(self.pieces) > MEMORY:
-            self.chunks.clear()
-            self.pieces.clear()
-        plain = [bool(_PLAIN.fullmatch(x)) and not _EDGE.search(x) for x in texts]
-        cut = [x.split(" ") if ok else [] for x, ok in zip(texts, plain, strict=True)]
-        heads = {x[0]: _PIECE.findall(x[0]) for x in cut if x}
-        new = {c: _PIECE.findall(" " + c) for c in set().union(*(x[1:] for x in cut)).difference(self.chunks)}
-        fresh = set().union(*heads.values(), *new.values()).difference(self.pieces)
-        if fresh:
-            self._learn(fresh)
-        get = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(get, p))) for c, p in new.items())
-        other = iter(self._whole([x for x, ok in zip(texts, plain, strict=True) if not ok]))
-        chunk = self.chunks.__getitem__
-        return [b"".join(map(get, heads[x[0]])) + b"".join(map(chunk, x[1:])) if ok else next(other) for x, ok in zip(cut, plain, strict=True)]
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        cut = [self._pieces(x) for x in texts]
+        whole = [x for x, p in zip(texts, cut, strict=True) if p is None]
+        starts = [p[0] for p in cut if p is not None]
+        alone = iter(self._whole(whole + starts))
+        out = [next(alone) if p is None else b"" for p in cut]
+        found: list[tuple[int, list, list[str], list[int]]] = []
+        new: dict[str, None] = {}
+        for k, p in enumerate(cut):
+            if p is not None:
+                ids = list(map(self.known.get, p))
+                missing = [j for j, x in enumerate(ids) if x is None and j]
+                new.update(dict.fromkeys([p[j] for j in missing]))
+                found.append((k, ids, p, missing))
+        if new:
+            self._learn(list(new))
+        for k, ids, p, missing in found:
+            for j in missing:
+                ids[j] = self.known[p[j]]
+            ids[0] = next(alone)
+            out[k] = b"".join(ids)
+        return out
 
 
 # --- minimal perfect hash ------------------------------------------------------------------------
