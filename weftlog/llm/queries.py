@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlog.llm import decontaminate, embeddings, html, licenses, minhash, mixing, tokens, toxicity
+from weftlog.llm import chat, decontaminate, embeddings, html, langid, licenses, minhash, mixing, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digests(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_rows(chat.next_answer_pairs(_table(spark, sf_dir, "conversations")))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -49,8 +57,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_html": op3_html,
+    "op4_langid": op4_langid,
     "op5_mixing": op5_mixing,
     "op6_embeddings": op6_embeddings,
+    "op7_chat": op7_chat,
     "op8_licenses": op8_licenses,
     "op9_tokens": op9_tokens,
     "op10_minhash": op10_minhash,
@@ -59,4 +69,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op6_embeddings": embeddings.ORACLE_SQL,
+    "op7_chat": chat.ORACLE_SQL,
 }
