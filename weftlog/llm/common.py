@@ -15,16 +15,21 @@ def ascii_lower(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
 
 
-def words_of(c: Column) -> Column:
-    """The op2/op8 words of a text, as an array without empty strings (null: empty).
+#: What the op2/op8 words are separated by, and white space.
+NO_WORD, BLANKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x20\x09-\x0D]+"
+
+
+def pieces(c: Column, separator: str) -> Column:
+    """What stands between runs of separators, as an array (null: empty).
 
-    Splitting at runs of the other characters gives an empty first piece when a text starts
-    with one, and an empty last piece when it ends with one; both are taken off.
+    Splitting gives an empty string at an end where a separator stands, and nowhere else.
     """
-    clean = F.regexp_replace(F.coalesce(ascii_lower(c), F.lit("")), r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "")
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(clean, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+\z", ""), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    )
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), separator), "")
+
+
+def words_of(c: Column) -> Column:
+    """The op2/op8 words of a text, as an array without empty strings (null: empty)."""
+    return pieces(ascii_lower(c), NO_WORD)
 
 
 # --- hashing of white-space separated words in whole batches -------------------------------------

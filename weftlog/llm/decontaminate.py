@@ -62,16 +62,18 @@ def alignments(found: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
     With slop > 0 probes may be up to slop words off; place is then the lowest of the starts that
     the window's first probe asks for.
     """
-    places = wanted.select("item_id", "item", "at", "term").distinct()
+    key = F.xxhash64("item_id", "item").alias("key")  # rows of positions carry this, not the item's words
+    wanted = wanted.withColumn("key", key)
+    places = wanted.select("key", "at", "term").distinct()
     # an alignment with the places it has, then the windows whose probes are all among them
-    aligned = found.join(_sized(places), "term").select("doc_id", "item_id", "item", "at", (F.col("pos") - F.col("at")).alias("place"))
+    aligned = found.join(_sized(places), "term").select("doc_id", "key", "at", (F.col("pos") - F.col("at")).alias("place"))
     if slop:
         near = F.explode(F.sequence(F.col("place") - slop, F.col("place") + slop))
         aligned = aligned.withColumn("place", near)
-    have = aligned.groupBy("doc_id", "item_id", "item", "place").agg(F.collect_set("at").alias("have"))
-    need = wanted.groupBy("item_id", "item", "start").agg(F.collect_set("at").alias("ats")).groupBy("item_id", "item").agg(F.collect_list("ats").alias("need"))
+    have = aligned.groupBy("doc_id", "key", "place").agg(F.collect_set("at").alias("have"))
+    need = wanted.groupBy("key", "item_id", "item", "start").agg(F.collect_set("at").alias("ats")).groupBy("key", "item_id", "item").agg(F.collect_list("ats").alias("need"))
     whole = F.exists("need", lambda ats: F.size(F.array_except(ats, "have")) == 0)
-    return have.join(_sized(need), ["item_id", "item"]).where(whole).select("doc_id", "item_id", "item", "place")
+    return have.join(_sized(need), "key").where(whole).select("doc_id", "item_id", "item", "place")
 
 
 def _starts(words: Column, item: Column, place: Column, window: int) -> Column:

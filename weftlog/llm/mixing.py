@@ -22,6 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.llm.common import BLANKS, pieces
 from weftlog.plans.scratch import materialize
 
 #: Blocks of a source, output shards, the seed of permutations and draws, and sources that a mix may have.
@@ -30,7 +31,7 @@ BLOCKS, SHARDS, SEED, MAX_SOURCES = 2048, 64, 20240607, 100_000
 
 def size_of(text: Column) -> Column:
     """Number of runs of other characters than ASCII white space (null: 0)."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.size(pieces(text, BLANKS)).cast("long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2) -> DataFrame:
