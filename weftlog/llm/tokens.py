@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +124,12 @@ class Encoder:
         return out
 
 
+@lru_cache(2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a process: a worker keeps what it remembers from task to task."""
+    return Encoder(path)
+
+
 # --- minimal perfect hash ------------------------------------------------------------------------
 
 
@@ -205,7 +212,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
         sizes: list[int] = []
         for batch in batches:
             if encoder is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}.ids")
