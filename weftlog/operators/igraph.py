@@ -41,11 +41,9 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     reach = new = materialize(edges.select(KEY).distinct(), "reach")
     for _ in range(max_rounds):
-        whole = reach.select("exec_id", F.col("src").alias("m1"), F.col("dst").alias("far"))
-        ahead = new.join(whole, (new["exec_id"] == whole["exec_id"]) & (new["dst"] == whole["m1"])).select(new["exec_id"], "src", F.col("far").alias("dst"))
-        back = reach.select("exec_id", F.col("src").alias("near"), F.col("dst").alias("m2"))
-        behind = back.join(new, (new["exec_id"] == back["exec_id"]) & (new["src"] == back["m2"])).select(new["exec_id"], F.col("near").alias("src"), "dst")
-        new = materialize(ahead.unionByName(behind).distinct().join(reach, KEY, "left_anti").select(KEY), "reach-new")
+        ahead = new.select("exec_id", "src", F.col("dst").alias("mid")).join(reach.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"])
+        behind = reach.select("exec_id", "src", F.col("dst").alias("mid")).join(new.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"])
+        new = materialize(ahead.unionByName(behind).select(KEY).distinct().join(reach, KEY, "left_anti"), "reach-new")
         if new.isEmpty():
             return reach
         reach = materialize(reach.unionByName(new), "reach")

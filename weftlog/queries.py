@@ -99,10 +99,10 @@ def _components_sql(rows: str, thing: str) -> str:
     return f"""
 hub AS (SELECT eid, min({thing}) AS h FROM {rows} GROUP BY eid),
 links AS (SELECT DISTINCT r.{thing} AS a, hub.h AS b FROM {rows} r JOIN hub USING (eid) WHERE r.{thing} <> hub.h),
-both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
 cc(id, comp) USING KEY (id) AS (
   SELECT DISTINCT {thing}, {thing} FROM {rows}
-  UNION SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.cc AS u, cc AS v, both AS e WHERE e.a = u.id AND e.b = v.id AND v.comp < u.comp ORDER BY u.id, v.comp)"""
+  UNION SELECT u.id, min(v.comp) FROM recurring.cc AS u, cc AS v, arcs AS e WHERE e.a = u.id AND e.b = v.id AND v.comp < u.comp GROUP BY u.id)"""
 
 
 # --- exploration ---------------------------------------------------------------------------------
@@ -281,7 +281,7 @@ _ITEMS = f"{LOG2}, flat AS (SELECT DISTINCT eid, oid AS case_id, activity, ts FR
 _CASE_CUT = f"""{_ITEMS}, {_components_sql("flat", "case_id")},
 parts AS (SELECT comp, min(ts) AS first, count(DISTINCT case_id) AS cases FROM flat JOIN cc ON case_id = id GROUP BY comp),
 run AS (SELECT *, row_number() OVER (ORDER BY first, comp) AS rank, sum(cases) OVER (ORDER BY first, comp) AS upto, sum(cases) OVER () AS total, count(*) OVER () AS n FROM parts),
-best AS (SELECT arg_min(rank, (abs(upto - total * CAST(0.8 AS DOUBLE)), rank)) AS at FROM run WHERE rank < n)"""
+best AS (SELECT arg_min(rank, (abs(upto - total * CAST(0.8 AS DOUBLE)), rank)) AS cut_at FROM run WHERE rank < n)"""
 
 
 @_query(f"WITH {_USERS} SELECT variant, count(*) AS cases FROM (SELECT case_id, string_agg(activity, ',' ORDER BY ts, eid) AS variant FROM flat GROUP BY case_id) GROUP BY variant")
@@ -294,7 +294,7 @@ def case_components(spark, sf_dir):
     return split.case_components(_orders(spark, sf_dir).flat("items"))
 
 
-@_query(f"WITH RECURSIVE {_CASE_CUT} SELECT comp AS component, first, cases, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT at FROM best) AS is_training FROM run")
+@_query(f"WITH RECURSIVE {_CASE_CUT} SELECT comp AS component, first, cases, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT cut_at FROM best) AS is_training FROM run")
 def case_split(spark, sf_dir):
     parts = split.split_flat(_orders(spark, sf_dir).flat("items")).parts
     return parts.select("component", "first", "cases", F.col("rank").cast("long").alias("rank"), "upto", "is_training")
@@ -303,21 +303,21 @@ def case_split(spark, sf_dir):
 @_query(f"""WITH RECURSIVE {LOG2}, st AS (SELECT DISTINCT eid, oid, ts FROM relations2 WHERE otype IN ('orders', 'items', 'packages')), {_components_sql("st", "oid")},
 parts AS (SELECT comp, min(ts) AS first, count(DISTINCT eid) AS events, count(DISTINCT oid) AS objects FROM st JOIN cc ON oid = id GROUP BY comp),
 run AS (SELECT *, row_number() OVER w AS rank, sum(events) OVER w AS upto, sum(events) OVER () AS total, count(*) OVER () AS n FROM parts WINDOW w AS (ORDER BY first, events, comp)),
-best AS (SELECT arg_min(rank, (abs(CAST(upto AS DOUBLE) / total - CAST(0.8 AS DOUBLE)), rank)) AS at FROM run WHERE rank < n)
-SELECT comp AS component, first, events, objects, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT at FROM best) AS is_training FROM run""")
+best AS (SELECT arg_min(rank, (abs(CAST(upto AS DOUBLE) / total - CAST(0.8 AS DOUBLE)), rank)) AS cut_at FROM run WHERE rank < n)
+SELECT comp AS component, first, events, objects, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT cut_at FROM best) AS is_training FROM run""")
 def component_split(spark, sf_dir):
     parts = split.split_log(_orders(spark, sf_dir)).parts
     return parts.select("component", "first", "events", "objects", F.col("rank").cast("long").alias("rank"), "upto", "is_training")
 
 
-@_query(f"WITH RECURSIVE {_CASE_CUT}, side AS (SELECT f.eid, rank <= (SELECT at FROM best) AS t FROM flat f JOIN cc ON case_id = id JOIN run USING (comp)) SELECT count(*) AS shared_events FROM (SELECT eid FROM side GROUP BY eid HAVING min(t) <> max(t))")
+@_query(f"WITH RECURSIVE {_CASE_CUT}, side AS (SELECT f.eid, rank <= (SELECT cut_at FROM best) AS t FROM flat f JOIN cc ON case_id = id JOIN run USING (comp)) SELECT count(*) AS shared_events FROM (SELECT eid FROM side GROUP BY eid HAVING min(t) <> max(t))")
 def split_leakage(spark, sf_dir):
     s = split.split_flat(_orders(spark, sf_dir).flat("items"))
     return s.training.select("eid").distinct().join(s.test, "eid", "left_semi").agg(F.count("*").alias("shared_events"))
 
 
 @_query(f"""WITH RECURSIVE {_CASE_CUT}, var AS (SELECT case_id, string_agg(activity, ',' ORDER BY ts, eid) AS variant FROM flat GROUP BY case_id),
-side AS (SELECT variant, rank <= (SELECT at FROM best) AS t FROM var JOIN cc ON case_id = id JOIN run USING (comp))
+side AS (SELECT variant, rank <= (SELECT cut_at FROM best) AS t FROM var JOIN cc ON case_id = id JOIN run USING (comp))
 SELECT variant, count(*) AS cases FROM side WHERE NOT t AND variant NOT IN (SELECT variant FROM side WHERE t) GROUP BY variant""")
 def unseen_variants(spark, sf_dir):
     s = split.split_flat(_orders(spark, sf_dir).flat("items"))
