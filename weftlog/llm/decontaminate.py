@@ -114,7 +114,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     inside = F.flatten(F.flatten(F.transform("found", lambda p: F.transform(p["starts"], lambda s: F.sequence(s, s + p["size"] - 1)))))
     ids = F.sort_array(F.array_distinct(F.transform("found", lambda p: p["item_id"])))
     out = whole.select("doc_id", "n_words", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), ids.alias("items"))
-    return out.select(
+    # written once: a filter on the result would otherwise be pushed below the words and cut them again for every place
+    digests = out.select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -123,6 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "items",
     )
+    return materialize(digests, "decon-digests")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int = WINDOW, n_probes: int = PROBES) -> DataFrame:
