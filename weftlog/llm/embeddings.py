@@ -8,7 +8,9 @@ r = sqrt(2 - 2c). The steps:
     its nearest pivot. By the triangle inequality a vector within r of some vector at home with
     pivot p has (d(x, p)^2 - d(x, home)^2) <= 2 r d(p, home): it is copied to just the cells where
     that holds. The number of pivots is the one, of powers of two up to a bound, that makes the
-    fewest comparisons on the sample; when replication eats up what cells save, that is one.
+    fewest comparisons on the sample while a vector is in MAX_COPIES cells at most on average. Where
+    vectors are spread so evenly that every cell borders on all others, that is one pivot, and the
+    blocks of step 3 are all there is to divide the work.
 3.  Cells join independently: each cell (of a label) is cut into blocks, and a block at home is
     compared with every block of the cell as one matrix product in double precision. All partners
     of a vector are in its home cell, so links are counted once. A group of near copies as large as
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from weftlog.operators.components import connected_components
 from weftlog.plans.scratch import materialize
 
-#: Rows of a block, rows of the sample that pivots and their number are taken from, most pivots.
-BLOCK, SAMPLE, MAX_PIVOTS = 1024, 4000, 1024
+#: Rows of a block, rows of the sample that pivots and their number are taken from, most pivots, most copies of a vector on average.
+BLOCK, SAMPLE, MAX_PIVOTS, MAX_COPIES = 2048, 4000, 1024, 8.0
 _MARGIN = 1e-9
 
 
@@ -78,7 +80,7 @@ def choose_pivots(sample: np.ndarray, radius: float, most: int = MAX_PIVOTS) ->
     while n <= min(most, len(sample)):
         home, inside = _cells(sample, sample[:n], radius)
         here = float(np.bincount(home, minlength=n) @ inside.sum(0)) + len(sample) * n
-        if here < cost:
+        if here < cost and inside.sum() <= MAX_COPIES * len(sample):
             best, cost = sample[:n], here
         n *= 2
     return best
@@ -124,10 +126,12 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, block: int = BLOCK, sa
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
                 x = np.stack([np.frombuffer(u, np.float64) for u in part.column("unit").to_pylist()])
-                home, inside = _cells(x, pivots[d] if d in pivots else x[:0].reshape(0, x.shape[1]), radius) if d in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
+                home, inside = _cells(x, pivots[d], radius) if d in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
                 row, cell = np.nonzero(inside)
-                out = part.take(pa.array(row, pa.int64()))
-                yield pa.record_batch([*out.columns, pa.array(cell, pa.int32()), pa.array(home[row] == cell)], [*batch.schema.names, "cell", "home"])
+                for k in range(0, len(row), 10_000):  # no batch grows with the copies
+                    r, c = row[k : k + 10_000], cell[k : k + 10_000]
+                    out = part.take(pa.array(r, pa.int64()))
+                    yield pa.record_batch([*out.columns, pa.array(c, pa.int32()), pa.array(home[r] == c)], [*batch.schema.names, "cell", "home"])
 
     schema = f"label {label_kind}, unit binary, vec_id {kind}, n long, dim int, cell int, home boolean"
     dealt = materialize(classes.select("label", "unit", "vec_id", "n", "dim").mapInArrow(deal, schema), "vector-cells")
