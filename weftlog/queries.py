@@ -94,15 +94,17 @@ via AS (SELECT DISTINCT c.exec_id, c.src, r.dst FROM cand c JOIN reach r ON c.ex
 edges AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM via WHERE via.exec_id = cand.exec_id AND via.src = cand.src AND via.dst = cand.dst))"""
 
 
-def _components_sql(rows: str, thing: str) -> str:
-    """cc(id, comp): smallest thing reachable over shared events."""
-    return f"""
-hub AS (SELECT eid, min({thing}) AS h FROM {rows} GROUP BY eid),
-links AS (SELECT DISTINCT r.{thing} AS a, hub.h AS b FROM {rows} r JOIN hub USING (eid) WHERE r.{thing} <> hub.h),
-arcs AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-cc(id, comp) USING KEY (id) AS (
-  SELECT DISTINCT {thing}, {thing} FROM {rows}
-  UNION SELECT u.id, min(v.comp) FROM recurring.cc AS u, cc AS v, arcs AS e WHERE e.a = u.id AND e.b = v.id AND v.comp < u.comp GROUP BY u.id)"""
+def _components_sql(rows: str, thing: str, rounds: int = 10) -> str:
+    """cc(id, comp): smallest thing reachable over shared events, by rounds: each label takes the smallest that its members meet, then that label's own."""
+    out = f"links AS MATERIALIZED (SELECT DISTINCT eid, {thing} AS id FROM {rows}), l0 AS MATERIALIZED (SELECT DISTINCT id, id AS comp FROM links)"
+    for k in range(rounds):
+        out += f""",
+m{k} AS MATERIALIZED (SELECT eid, min(comp) AS comp FROM links JOIN l{k} USING (id) GROUP BY eid),
+n{k} AS MATERIALIZED (SELECT id, min(comp) AS comp FROM links JOIN m{k} USING (eid) GROUP BY id),
+h{k} AS MATERIALIZED (SELECT l.comp AS was, min(n.comp) AS comp FROM l{k} l JOIN n{k} n USING (id) GROUP BY l.comp),
+j{k} AS MATERIALIZED (SELECT l.id, h.comp FROM l{k} l JOIN h{k} h ON l.comp = h.was),
+l{k + 1} AS MATERIALIZED (SELECT x.id, y.comp FROM j{k} x JOIN j{k} y ON x.comp = y.id)"""
+    return f"{out}, cc AS (SELECT id, comp FROM l{rounds})"
 
 
 # --- exploration ---------------------------------------------------------------------------------
@@ -333,14 +335,16 @@ def naive_leakage(spark, sf_dir):
 
 # --- object-type graphs and comparisons ----------------------------------------------------------
 
-_OTG = """
-life AS (SELECT otype AS t, oid AS o, min({ts: ts, eid: eid}) AS f, max({ts: ts, eid: eid}) AS l FROM r2 GROUP BY otype, oid),
+_BEFORE = "(a.t < b.t OR (a.t = b.t AND a.o < b.o))"
+_OTG = f"""
+ro AS MATERIALIZED (SELECT otype AS t, oid AS o, eid, ts FROM r2),
+life AS MATERIALIZED (SELECT t, o, min(ts) AS ft, arg_min(eid, (ts, eid)) AS fe, arg_max(eid, (ts, eid)) AS le FROM ro GROUP BY t, o),
 kinds AS (
-  SELECT t1, 'interaction' AS k, t2 FROM (SELECT DISTINCT a.otype AS t1, a.oid AS o1, b.otype AS t2, b.oid AS o2 FROM r2 a JOIN r2 b USING (eid) WHERE (a.otype, a.oid) < (b.otype, b.oid))
-  UNION ALL SELECT a.t, 'cobirth', b.t FROM life a JOIN life b ON a.f.eid = b.f.eid WHERE (a.t, a.o) < (b.t, b.o)
-  UNION ALL SELECT a.t, 'codeath', b.t FROM life a JOIN life b ON a.l.eid = b.l.eid WHERE (a.t, a.o) < (b.t, b.o)
-  UNION ALL SELECT a.t, 'inheritance', b.t FROM life a JOIN life b ON a.l.eid = b.f.eid WHERE (a.t, a.o) <> (b.t, b.o)
-  UNION ALL SELECT a.t, 'descendants', b.t FROM life a JOIN r2 r ON r.otype = a.t AND r.oid = a.o JOIN life b ON r.eid = b.f.eid WHERE (a.t, a.o) <> (b.t, b.o) AND a.f < b.f)"""
+  SELECT t1, 'interaction' AS k, t2 FROM (SELECT DISTINCT a.t AS t1, a.o AS o1, b.t AS t2, b.o AS o2 FROM ro a JOIN ro b ON a.eid = b.eid WHERE {_BEFORE})
+  UNION ALL SELECT a.t, 'cobirth', b.t FROM life a JOIN life b ON a.fe = b.fe WHERE {_BEFORE}
+  UNION ALL SELECT a.t, 'codeath', b.t FROM life a JOIN life b ON a.le = b.le WHERE {_BEFORE}
+  UNION ALL SELECT a.t, 'inheritance', b.t FROM life a JOIN life b ON a.le = b.fe WHERE NOT (a.t = b.t AND a.o = b.o)
+  UNION ALL SELECT a.t, 'descendants', b.t FROM ro r JOIN life b ON r.eid = b.fe JOIN life a ON r.t = a.t AND r.o = a.o WHERE NOT (a.t = b.t AND a.o = b.o) AND (a.ft < b.ft OR (a.ft = b.ft AND a.fe < b.fe)))"""
 
 
 @_query(f"WITH {LOG2}, r2 AS (SELECT DISTINCT eid, oid, otype, activity, ts FROM relations2), {_OTG} SELECT t1 AS otype1, k AS relationship, t2 AS otype2, count(*) AS weight FROM kinds GROUP BY t1, k, t2")
