@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from weftlog.llm.common import Powers, shingles, word_hashes
 from weftlog.operators.components import connected_components
-from weftlog.plans.scratch import materialize
+from weftlog.plans.scratch import materialize, passing_tables
 
 K, T = 64, 40
 SHORT_LIST, BLOCK = 24, 512
@@ -132,6 +132,11 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 85, short_
     document with the links of all its texts. A null doc_id stands alone: its component is null
     and it is kept. Further columns of docs are ignored; an empty table gives an empty result.
     """
+    with passing_tables(docs.sparkSession):
+        return materialize(_near_duplicates(docs, n_words, percent, short_list), "minhash-components", keep=True)
+
+
+def _near_duplicates(docs: DataFrame, n_words: int, percent: int, short_list: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     sig = materialize(signatures(docs, n_words), "minhash-signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
