@@ -105,3 +105,15 @@ def ranked(table: DataFrame, n: int = 15) -> DataFrame:
     """The n smallest complete, simple executions without foreign objects: a report."""
     ok = table.where("complete and simple and foreign_items = 0 and foreign_orders = 0")
     return ok.orderBy("events", "items", "packages", "exec_oid").limit(n)
+
+
+def objects_by_type(nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """(exec_id, otype, objects): distinct objects of each type in each execution."""
+    r = nodes.select("exec_id", "eid").join(relations.select("eid", "oid", "otype").distinct(), "eid")
+    return r.select("exec_id", "otype", "oid").distinct().groupBy("exec_id", "otype").agg(F.count("*").alias("objects"))
+
+
+def events_for_object(nodes: DataFrame, relations: DataFrame, otype: str, oid: str) -> DataFrame:
+    """The events of one object in every execution that has it, in order of ts and eid."""
+    r = relations.where((F.col("otype") == otype) & (F.col("oid") == oid)).select("eid").distinct()
+    return nodes.join(r, "eid", "left_semi").orderBy("exec_id", "ts", "eid")

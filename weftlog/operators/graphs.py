@@ -56,3 +56,8 @@ def frequency_deviations(normative: DataFrame, real: DataFrame, keys: list[str],
 
     both = shares(normative, "training_share").join(shares(real, "test_share"), keys)
     return both.withColumn("delta", F.abs(F.col("training_share") - F.col("test_share")) / F.greatest("training_share", "test_share")).where(F.col("delta") > over)
+
+
+def absent_elements(training: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:
+    """Elements of the training side that the test side has not, with all their measures."""
+    return training.join(test.select(keys).distinct(), keys, "left_anti")

@@ -219,6 +219,24 @@ def candidate_orders(spark, sf_dir):
     return extract.candidates(extract.extract(_orders(spark, sf_dir)))
 
 
+@_query(SQL["candidate_orders"].replace("WITH ", "WITH all_orders AS (WITH ", 1) + ") SELECT * FROM all_orders WHERE complete AND simple AND foreign_items = 0 AND foreign_orders = 0 ORDER BY events, items, packages, exec_oid LIMIT 15")
+def ranked_orders(spark, sf_dir):
+    return extract.ranked(extract.candidates(extract.extract(_orders(spark, sf_dir))))
+
+
+@_query(f"WITH {_NODES} SELECT exec_id, otype, count(DISTINCT oid) AS objects FROM nodes JOIN relations2 USING (eid) GROUP BY exec_id, otype")
+def execution_objects(spark, sf_dir):
+    log = _orders(spark, sf_dir)
+    return extract.objects_by_type(extract.extract(log).events(), log.relations)
+
+
+@_query(f"WITH {_NODES}, {_dfg_sql(2)}, {_score_sql(2)}, acts AS (SELECT DISTINCT exec_id, activity FROM nodes) SELECT a.exec_id, r.otype, r.src_act, r.dst_act FROM a2 r JOIN acts a ON a.activity = r.src_act JOIN acts b ON b.exec_id = a.exec_id AND b.activity = r.dst_act")
+def relevant_relations(spark, sf_dir):
+    log = _orders(spark, sf_dir)
+    accepted = causal.derive(causal.score(ocdfg.discover(log.relations)))
+    return igraph.relevant_relations(extract.extract(log).events(), accepted)
+
+
 # --- instance graphs -----------------------------------------------------------------------------
 
 
@@ -384,6 +402,12 @@ def structural_comparison(spark, sf_dir):
     return graphs.set_members(a, b, ["otype", "src_act", "dst_act"])
 
 
+@_query(f"WITH {LOG2}, {_SIDES} SELECT otype, src_act, dst_act, event_couples, unique_objects, total_objects FROM (SELECT otype, src_act, dst_act, count(DISTINCT (src_eid, dst_eid)) AS event_couples, count(DISTINCT oid) AS unique_objects, count(*) AS total_objects FROM (SELECT otype, oid, eid AS src_eid, activity AS src_act, lead(eid) OVER w AS dst_eid, lead(activity) OVER w AS dst_act FROM ev WINDOW w AS (PARTITION BY otype, oid ORDER BY ts, eid)) WHERE dst_eid IS NOT NULL GROUP BY otype, src_act, dst_act) x WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.otype = x.otype AND fb.src_act = x.src_act AND fb.dst_act = x.dst_act)")
+def absent_flows(spark, sf_dir):
+    a, b = (ocdfg.discover(r) for r in _parity_sides(_orders(spark, sf_dir)))
+    return graphs.absent_elements(a, b, ["otype", "src_act", "dst_act"])
+
+
 @_query()
 def graph_holdout(spark, sf_dir):
     return holdout.graph_comparison(_orders(spark, sf_dir))
