@@ -65,7 +65,7 @@ def signatures(docs: DataFrame, n_words: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
+        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             n, keys, sig = [], [], []
             for x in _sets(batch, n_words, powers):
                 n.append(len(x))

@@ -28,7 +28,7 @@ from weftlog.plans.scratch import materialize
 #: Labelled rows that the classifier is fitted on, features kept, least G statistic, L2 penalty.
 MAX_TRAIN, MAX_FEATURES, LEAST_G, PENALTY = 12_000, 3_000, 13.0, 1.0
 #: Words a task remembers before it starts anew.
-MEMORY = 600_000
+MEMORY = 200_000
 
 #: Letters that characters stand for in disguise (fixed values).
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i"}
@@ -267,7 +267,7 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFram
         restorer = Restorer(model)
         known: set[str] = set()
         telling: dict[str, list[str]] = {}
-        for batch in batches:
+        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out = []
             for text in batch.column("text").to_pylist():
                 tokens = restorer.tokens(text) if text else set()
