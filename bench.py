@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from weftlog import queries as own
 
-HEADLINE = ["log_summary", "ocdfg_l1", "ocdfg_l2", "causal_scores", "threshold_sensitivity", "order_closure", "candidate_orders", "instance_edges", "graph_screening", "case_split", "etot", "projection_conformance"]
+HEADLINE = ["log_summary", "ocdfg_l1", "ocdfg_l2", "causal_scores", "threshold_sensitivity", "order_closure", "candidate_orders", "instance_edges", "case_split", "etot", "projection_conformance"]
 
 
 def main() -> None:
