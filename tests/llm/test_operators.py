@@ -219,6 +219,17 @@ def test_html(spark):
     assert html.extract(table).count() == len(cases) and html.extract(table.limit(0)).count() == 0
 
 
+def test_html_surges_by_weight():
+    """The distribution decides on pages with an article too, and short or link-rich lines beside main text stay."""
+    long, links = "long text " * 30, '<ul><li><a href="/a">one</a><li><a href="/b">two</a><li><a href="/c">three</a><li><a href="/d">four</a></ul>'
+    assert html.main_text(f"<article>Teaser.</article><div><p>{long}</p></div>") == long.strip()  # a teaser is not the page's text
+    assert html.main_text(f"<p>Trail.</p><article><p>{long}</p></article><p>Elsewhere.</p><article>Hi</article>") == f"{long.strip()}\n\nHi"
+    assert html.main_text(f"<article><p>{long}</p></article>", surge=10**6) == long.strip()
+    kept = html.main_text(f"{links}<div><p>{long}</p>{links}<p>The end.</p><p><a href=x>Source of it</a></p></div>{links}")
+    assert kept == "\n\n".join([long.strip(), "one", "two", "three", "four", "The end.", "Source of it"])
+    assert html.main_text(f"<p>{long}</p>{links}<p>The end.</p>{links}") == f"{long.strip()}\n\nThe end."
+
+
 def test_langid(spark):
     rng = random.Random(6)
     sounds = {"xx": ["ka", "to", "mi"], "yy": ["str", "ent", "ung"], "zz": ["é", "ção", "lho"]}

@@ -3,13 +3,18 @@
 The markup is stripped to lines: each block element (heading, paragraph, list item, cell ...) is a
 line with its text and two facts that the markup gives away, whether it stands in a part that is
 never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and
-whether it stands in an article or main element. A line's length counts only if it is not in such a
-part; where the page has an article or main element, only inside one. Links count for nothing
-outside an article, so that unmarked menus weigh little.
-
-Lengths are summed over a sliding window of lines. The text surges where a window's sum rises over
-the threshold, and dives where it has fallen to nothing for a whole window; the lines between are
-kept. In an article every line between the first surge and the last dive is kept, however short.
+whether it stands in an article or main element. These facts weigh a line's length: nothing in such
+a part, ARTICLE times in an article. Outside, links count against the text, so that unmarked menus
+weigh little, and the rest weighs less the more of the page's text stands in articles.
+
+Lengths are summed over a sliding window of lines, which stops at the edges of articles. The text
+surges where a window's sum rises over the threshold, and dives where it has fallen to nothing for a
+whole window or where an article starts or ends; the lines of weight between are main text. So a page
+whose article is but a teaser gives the long text beside it.
+
+Short and link-rich lines next to main text stay: those in the same container (all articles of a page
+are one; otherwise the nearest div, section, list, table cell and the like), and those between two
+kept lines of one container.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines that a window sums, and characters at which text surges on pages without an article element.
-WINDOW, SURGE = 3, 86
+#: Lines that a window sums, characters at which text surges, and the weight of a line in an article.
+WINDOW, SURGE, ARTICLE = 3, 86, 8
 
 #: Elements whose content is no text, whole (fixed values).
 _SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "button", "title", "head")
@@ -37,6 +42,8 @@ _NAMED = frozenset(
 #: Class or id words that name the main text, and elements without an end tag (fixed values).
 _MAIN = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that hold lines together (fixed values).
+_HOLDS = frozenset("aside dd details dialog dir div dl fieldset footer form header menu nav ol section table td th ul".split())
 #: An open paragraph ends where one of these starts (fixed values).
 _ENDS_P = _BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 
@@ -61,12 +68,15 @@ def _aside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
-    """(text, in an article, never main text, characters in links) of the lines of a page, in order."""
-    out: list[tuple[str, bool, bool, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in an article, aside
+def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
+    """(text, in an article, never main text, characters in links, container) of the lines of a page, in order.
+
+    Containers are numbered from 1; 0 is the page itself.
+    """
+    out: list[tuple[str, bool, bool, int, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, in an article, aside, container
     line: list[str] = []
-    links = depth_a = at = 0
+    links = depth_a = at = container = containers = 0
     article = aside = False
 
     def end_line() -> None:
@@ -74,16 +84,16 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
         if line:
             text = _SPACE.sub(" ", html.unescape("".join(line))).strip()
             if text:
-                out.append((text, article, aside, links))
+                out.append((text, article, aside, links, container))
             line.clear()
         links = 0
 
     def close(tag: str) -> None:
-        nonlocal article, aside
+        nonlocal article, aside, container
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
                 del stack[k:]
-                article, aside = stack[-1][1:] if stack else (False, False)
+                article, aside, container = stack[-1][1:] if stack else (False, False, 0)
                 return
 
     while True:
@@ -126,7 +136,9 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
             if tag not in _VOID and not attributes.rstrip().endswith("/"):
                 aside = aside or _aside(tag, attributes, article)
                 article = article or tag in _MAIN or 'role="main"' in attributes
-                stack.append((tag, article, aside))
+                if tag in _HOLDS:
+                    container = containers = containers + 1
+                stack.append((tag, article, aside, container))
         elif tag == "a":
             depth_a += 1
     end_line()
@@ -136,24 +148,34 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int]]:
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The kept blocks of a page, joined by two line feeds."""
     lines = lines_of(page) if page else []
-    marked = any(inside and not off for _, inside, off, _ in lines)
-    lengths = [0 if off or (marked and not inside) else len(text) if marked else max(0, len(text) - 2 * links) for text, inside, off, links in lines]
-    sums = [sum(lengths[k : k + window]) for k in range(len(lengths))]
-    least = 1 if marked else surge
-    kept: list[str] = []
+    inside = [i for _, i, *_ in lines]
+    own = [-1 if i else c for _, i, _, _, c in lines]  # container
+    plain = [0 if off else len(text) if i else max(0, len(text) - 2 * links) for text, i, off, links, _ in lines]
+    marked, total = sum(n for n, i in zip(plain, inside, strict=True) if i), sum(plain)
+    lengths = [n * ARTICLE if i else n * (total - marked) / max(1, total) for n, i in zip(plain, inside, strict=True)]
+    sums = [sum(n for n, i in zip(lengths[k : k + window], inside[k : k + window], strict=True) if i == inside[k]) for k in range(len(lines))]
+    main = [False] * len(lines)
     k = 0
     while k < len(lines):
-        if lengths[k] and sums[k] >= least:  # surge
+        if lengths[k] and sums[k] >= surge:  # surge
             end = k
-            while end < len(lines) and sums[end] > 0:  # dive: nothing in a whole window
+            while end < len(lines) and sums[end] > 0 and inside[end] == inside[k]:  # dive: nothing in a whole window
+                main[end] = lengths[end] > 0
                 end += 1
-            kept += [text for (text, *_), n in zip(lines[k:end], lengths[k:end], strict=True) if n]
             k = end
         else:
             k += 1
-    if not kept and not marked:  # a short page has no surge: all its lines that count
-        kept = [text for (text, *_), n in zip(lines, lengths, strict=True) if n]
-    return "\n\n".join(kept)
+    if not any(main):  # a short page has no surge: all the lines that count where the more weight is
+        heavier = sum(n if i else -n for n, i in zip(lengths, inside, strict=True)) > 0
+        main = [n > 0 and i == heavier for n, i in zip(lengths, inside, strict=True)]
+    near = {c for c, m in zip(own, main, strict=True) if m}
+    keep = [m or c in near and not off for m, c, (_, _, off, *_) in zip(main, own, lines, strict=True)]
+    last = -1
+    for k in [k for k, kept in enumerate(keep) if kept]:
+        if last >= 0 and own[k] == own[last] > 0:
+            keep[last + 1 : k] = [not off for _, _, off, *_ in lines[last + 1 : k]]
+        last = k
+    return "\n\n".join(text for (text, *_), kept in zip(lines, keep, strict=True) if kept)
 
 
 def extract(pages: DataFrame, column: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
