@@ -22,8 +22,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the smallest doc_id."""
-    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+    """One document of each group of near copies (at least 0.8 of all shingles of five words shared) stays, the smallest doc_id."""
+    return _without(docs, minhash.near_duplicates(docs, n_words=5, percent=80).where("not kept"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,13 +19,15 @@ order here is rarest first, which keeps the posting lists short. The steps:
     link two components is left out.
 6.  Components of copies and confirmed links.
 
-At J = 0.85, 64 coordinates and T = 40, a pair is missed with a chance of about 1e-6, and less
-at any larger J; a shingle is a 64-bit hash.
+T follows from the threshold: the largest for which a pair that just reaches it is missed with a
+chance of MISS at most, and less at any larger J (39 of 64 at 0.85, 34 at 0.80). A shingle is a
+64-bit hash.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,11 +40,22 @@ from weftlog.llm.common import Powers, shingles, word_hashes
 from weftlog.operators.components import connected_components
 from weftlog.plans.scratch import materialize, passing_tables
 
-K, T = 64, 40
+#: Coordinates of a signature, and the chance at most that a pair at the threshold agrees in too few of them.
+K, MISS = 64, 1e-6
 SHORT_LIST, BLOCK = 24, 512
 _FACTORS = np.random.default_rng(98317).integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def least_agreement(percent: int) -> int:
+    """T: the most coordinates that a pair at the threshold agrees in with a chance of 1 - MISS."""
+    p, missed, t = percent / 100, 0.0, 0
+    while t < K and (missed := missed + math.comb(K, t) * p**t * (1 - p) ** (K - t)) <= MISS:
+        t += 1
+    if not t:
+        raise ValueError(f"{K} coordinates are too few for a threshold of {percent} percent")
+    return t
+
+
 def signature(x: np.ndarray) -> np.ndarray:
     """K minima of a set of 64-bit hashes, in blocks that stay in cache."""
     out = np.full(K, 2**64 - 1, np.uint64)
@@ -137,7 +150,7 @@ def near_duplicates(docs: DataFrame, n_words: int = 5, percent: int = 85, short_
 
 
 def _near_duplicates(docs: DataFrame, n_words: int, percent: int, short_list: int) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, least = docs.schema["doc_id"].dataType.simpleString(), least_agreement(percent)
     sig = materialize(signatures(docs, n_words), "minhash-signatures")
     classes = sig.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")
@@ -150,7 +163,7 @@ def _near_duplicates(docs: DataFrame, n_words: int, percent: int, short_list: in
         tokens.join(shared, "token")
         .groupBy("doc_id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ts"), F.sum("freq").alias("weight"))
-        .withColumn("ts", F.slice("ts", 1, F.greatest(F.lit(0), F.lit(K - T + 1) - (F.lit(K) - F.size("ts")))))
+        .withColumn("ts", F.slice("ts", 1, F.greatest(F.lit(0), F.lit(K - least + 1) - (F.lit(K) - F.size("ts")))))
         .select("doc_id", "n", "weight", F.explode("ts").alias("t"))
         .select("doc_id", "n", "weight", "t.freq", "t.token")
     )
@@ -170,7 +183,7 @@ def _near_duplicates(docs: DataFrame, n_words: int, percent: int, short_list: in
     # 4. counted collisions, then full sets
     half = [reps.select(F.col("doc_id").alias(x), F.col("signature").alias(f"s{x}")) for x in "ab"]
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    counted = pairs.unionByName(spokes).distinct().join(half[0], "a").join(half[1], "b").where(same >= T).select("a", "b")
+    counted = pairs.unionByName(spokes).distinct().join(half[0], "a").join(half[1], "b").where(same >= least).select("a", "b")
     links = materialize(_confirm(docs, reps, materialize(counted, "minhash-candidates"), n_words, percent), "minhash-links")
     # 5. long lists that are still in several components
     labels = connected_components(links)
