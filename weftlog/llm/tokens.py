@@ -61,7 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = tuple(x.content for x in self.tok.get_added_tokens_decoder().values())  # each is one id wherever it stands
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.size = np.ones(self.tok.get_vocab_size(), np.int64)
         for token, k in self.tok.get_vocab().items():
@@ -77,6 +77,8 @@ class Encoder:
         strings = [" " + x for x in words]
         lines = [x for x in new if _LINE.fullmatch(x)]
         words, strings = words + lines, strings + lines
+        if any(x in "".join(strings) for x in self.added):  # words that no text has side by side
+            words = []
         rest = list(set(new).difference(words))
         self.known.update(zip(rest, self._whole([x if x[:1] in ("\n", ",", ".") else " " + x for x in rest]), strict=True))
         if words:
@@ -88,8 +90,8 @@ class Encoder:
                 at = end
 
     def _pieces(self, text: str) -> list[str] | None:
-        """The first piece, which follows no space, and the others; None if the text is not plain."""
-        if any(x in text for x in _EDGES) or not _PLAIN.fullmatch(text):
+        """The first piece, which follows no space, and the others; None if the text is not plain or has an added token."""
+        if any(x in text for x in _EDGES) or any(x in text for x in self.added) or not _PLAIN.fullmatch(text):
             return None
         text = text.replace("\n", " \n")
         if not _MARKS.search(text):
