@@ -2,8 +2,8 @@
 
 A text is seen as its words, joined by single spaces. Base phrases are places where their words
 stand consecutively. The rules are regexes over the joined words, each with a label, a rank (0 is
-the strongest) and a keyword; a rule runs only on texts that have its keyword and, before that, only
-on texts with a stem that every license text has. Detections are word intervals. One that lies
+the strongest) and a keyword, a word that stands in whatever its regex matches; a rule runs only on
+texts that have its keyword among their words. Detections are word intervals. One that lies
 within another of the same or a stronger rank is suppressed; of equal intervals the one of the
 stronger rank, then of the first label, stays.
 
@@ -14,6 +14,9 @@ of a document.
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,111 +26,150 @@ from weftlog.plans.scratch import materialize
 #: Base phrases and their labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Families: label stem, names as words, versions as words ("" where there is none), keyword (fixed values).
+#: Families: label stem, names as words, versions as words ("" where there is none) (fixed values).
 FAMILIES = [
-    ("apache", ["apache software license", "apache license", "apache"], ["1 0", "1 1", "2 0"], "apache"),
-    ("mit", ["mit license", "mit x11 license", "expat license"], [""], "license"),
-    ("gpl", ["gnu general public license", "general public license", "gnu gpl", "gpl"], ["1", "1 0", "2", "2 0", "3", "3 0"], "public"),
-    ("gpl", ["gnu gpl", "gpl license", "gplv"], ["1", "2", "3"], "gpl"),
-    ("lgpl", ["gnu lesser general public license", "lesser general public license", "gnu library general public license"], ["2", "2 0", "2 1", "3", "3 0"], "public"),
-    ("lgpl", ["gnu lgpl", "lgpl"], ["2", "2 0", "2 1", "3", "3 0"], "lgpl"),
-    ("agpl", ["gnu affero general public license", "affero general public license"], ["1 0", "3", "3 0"], "affero"),
-    ("agpl", ["gnu agpl", "agpl"], ["3", "3 0"], "agpl"),
-    ("gfdl", ["gnu free documentation license", "free documentation license"], ["1 1", "1 2", "1 3"], "documentation"),
-    ("mpl", ["mozilla public license", "mozilla"], ["1 0", "1 1", "2 0"], "mozilla"),
-    ("epl", ["eclipse public license"], ["1 0", "2 0"], "eclipse"),
-    ("edl", ["eclipse distribution license"], ["1 0"], "eclipse"),
-    ("cddl", ["common development and distribution license"], ["1 0", "1 1"], "distribution"),
-    ("cpl", ["common public license"], ["0 5", "1 0"], "common"),
-    ("eupl", ["european union public license", "european union public licence"], ["1 0", "1 1", "1 2"], "european"),
-    ("osl", ["open software license"], ["1 0", "1 1", "2 0", "2 1", "3 0"], "open"),
-    ("afl", ["academic free license"], ["1 1", "1 2", "2 0", "2 1", "3 0"], "academic"),
-    ("artistic", ["artistic license", "perl artistic license"], ["1 0", "2 0"], "artistic"),
-    ("bsd", ["bsd license", "bsd licence", "berkeley software distribution license"], [""], "bsd"),
-    ("bsd-clause", ["bsd clause license", "clause bsd license", "clause bsd"], ["0", "1", "2", "3", "4"], "bsd"),
-    ("isc", ["isc license", "internet systems consortium license"], [""], "license"),
-    ("zlib", ["zlib license", "zlib libpng license"], [""], "zlib"),
-    ("boost", ["boost software license"], ["1 0"], "boost"),
-    ("python", ["python software foundation license", "psf license"], ["2", "2 0"], "license"),
-    ("ruby", ["ruby license"], [""], "ruby"),
-    ("php", ["php license"], ["3 0", "3 01"], "php"),
-    ("postgresql", ["postgresql license"], [""], "postgresql"),
-    ("openssl", ["openssl license"], [""], "openssl"),
-    ("unlicense", ["the unlicense", "unlicense license"], [""], "unlicense"),
-    ("wtfpl", ["do what the fuck you want to public license", "wtfpl"], ["", "2"], "public"),
-    ("ofl", ["sil open font license", "open font license"], ["1 0", "1 1"], "font"),
-    ("odbl", ["open database license", "open data commons open database license"], ["1 0"], "database"),
-    ("odc-by", ["open data commons attribution license"], ["1 0"], "commons"),
-    ("pddl", ["public domain dedication and license"], ["1 0"], "dedication"),
-    ("ms-pl", ["microsoft public license"], [""], "microsoft"),
-    ("ms-rl", ["microsoft reciprocal license"], [""], "microsoft"),
-    ("upl", ["universal permissive license"], ["1 0"], "universal"),
-    ("ncsa", ["university of illinois ncsa open source license", "ncsa open source license"], [""], "ncsa"),
-    ("nasa", ["nasa open source agreement"], ["1 3"], "nasa"),
-    ("qpl", ["q public license"], ["1 0"], "public"),
-    ("sleepycat", ["sleepycat license"], [""], "sleepycat"),
-    ("vim", ["vim license"], [""], "vim"),
-    ("w3c", ["w3c license", "w3c software notice and license"], [""], "w3c"),
-    ("zope", ["zope public license"], ["1 1", "2 0", "2 1"], "zope"),
-    ("sspl", ["server side public license"], ["1"], "server"),
-    ("busl", ["business source license"], ["1 0", "1 1"], "business"),
-    ("elastic", ["elastic license"], ["1 0", "2 0"], "elastic"),
-    ("cc0", ["creative commons zero", "cc0", "creative commons cc0"], ["", "1 0"], "cc0"),
-    ("openrail", ["open rail license", "openrail m license", "bigscience rail license"], ["", "1 0"], "license"),
-    ("beerware", ["beerware license", "beer ware license"], [""], "license"),
+    ("apache", ["apache software license", "apache license", "apache"], ["1 0", "1 1", "2 0"]),
+    ("mit", ["mit license", "mit x11 license", "expat license"], [""]),
+    ("gpl", ["gnu general public license", "general public license", "gnu gpl", "gpl"], ["1", "1 0", "2", "2 0", "3", "3 0"]),
+    ("gpl", ["gnu gpl", "gpl license", "gplv"], ["1", "2", "3"]),
+    ("lgpl", ["gnu lesser general public license", "lesser general public license", "gnu library general public license"], ["2", "2 0", "2 1", "3", "3 0"]),
+    ("lgpl", ["gnu lgpl", "lgpl"], ["2", "2 0", "2 1", "3", "3 0"]),
+    ("agpl", ["gnu affero general public license", "affero general public license"], ["1 0", "3", "3 0"]),
+    ("agpl", ["gnu agpl", "agpl"], ["3", "3 0"]),
+    ("gfdl", ["gnu free documentation license", "free documentation license"], ["1 1", "1 2", "1 3"]),
+    ("mpl", ["mozilla public license", "mozilla"], ["1 0", "1 1", "2 0"]),
+    ("epl", ["eclipse public license"], ["1 0", "2 0"]),
+    ("edl", ["eclipse distribution license"], ["1 0"]),
+    ("cddl", ["common development and distribution license"], ["1 0", "1 1"]),
+    ("cpl", ["common public license"], ["0 5", "1 0"]),
+    ("eupl", ["european union public license", "european union public licence"], ["1 0", "1 1", "1 2"]),
+    ("osl", ["open software license"], ["1 0", "1 1", "2 0", "2 1", "3 0"]),
+    ("afl", ["academic free license"], ["1 1", "1 2", "2 0", "2 1", "3 0"]),
+    ("artistic", ["artistic license", "perl artistic license"], ["1 0", "2 0"]),
+    ("bsd", ["bsd license", "bsd licence", "berkeley software distribution license"], [""]),
+    ("bsd-clause", ["bsd clause license", "clause bsd license", "clause bsd", "bsd clause"], ["0", "1", "2", "3", "4"]),
+    ("isc", ["isc license", "internet systems consortium license"], [""]),
+    ("zlib", ["zlib license", "zlib libpng license"], [""]),
+    ("boost", ["boost software license"], ["1 0"]),
+    ("python", ["python software foundation license", "psf license"], ["2", "2 0"]),
+    ("ruby", ["ruby license"], [""]),
+    ("php", ["php license"], ["3 0", "3 01"]),
+    ("postgresql", ["postgresql license"], [""]),
+    ("openssl", ["openssl license"], [""]),
+    ("unlicense", ["the unlicense", "unlicense license"], [""]),
+    ("wtfpl", ["do what the fuck you want to public license", "wtfpl"], ["", "2"]),
+    ("ofl", ["sil open font license", "open font license"], ["1 0", "1 1"]),
+    ("odbl", ["open database license", "open data commons open database license"], ["1 0"]),
+    ("odc-by", ["open data commons attribution license"], ["1 0"]),
+    ("pddl", ["public domain dedication and license"], ["1 0"]),
+    ("ms-pl", ["microsoft public license"], [""]),
+    ("ms-rl", ["microsoft reciprocal license"], [""]),
+    ("upl", ["universal permissive license"], ["1 0"]),
+    ("ncsa", ["university of illinois ncsa open source license", "ncsa open source license"], [""]),
+    ("nasa", ["nasa open source agreement"], ["1 3"]),
+    ("qpl", ["q public license"], ["1 0"]),
+    ("sleepycat", ["sleepycat license"], [""]),
+    ("vim", ["vim license"], [""]),
+    ("w3c", ["w3c license", "w3c software notice and license"], [""]),
+    ("zope", ["zope public license"], ["1 1", "2 0", "2 1"]),
+    ("sspl", ["server side public license"], ["1"]),
+    ("busl", ["business source license"], ["1 0", "1 1"]),
+    ("elastic", ["elastic license"], ["1 0", "2 0"]),
+    ("cc0", ["creative commons zero", "cc0", "creative commons cc0"], ["", "1 0"]),
+    ("openrail", ["open rail license", "openrail m license", "bigscience rail license"], ["", "1 0"]),
+    ("beerware", ["beerware license", "beer ware license"], [""]),
 ]
 #: Creative Commons terms: the label's ending, the names' ending in words and as initials (fixed values).
 CC_TERMS = [("", "attribution", "by"), ("-sa", "attribution share ?alike", "by sa"), ("-nc", "attribution non ?commercial", "by nc"), ("-nd", "attribution no ?deriv(?:ative)?s?", "by nd"), ("-nc-sa", "attribution non ?commercial share ?alike", "by nc sa"), ("-nc-nd", "attribution non ?commercial no ?deriv(?:ative)?s?", "by nc nd")]
 CC_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0", ""]
-#: Notices without a license name: label, regex, keyword (fixed values).
+#: Names that stand in one word with v and the version, as in GPLv3 (fixed values).
+GLUED = ["gpl", "gnu gpl", "lgpl", "gnu lgpl", "agpl", "gnu agpl"]
+#: Notices without a license name: label, regex (fixed values).
 NOTICES = [
-    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain", "domain"),
-    ("public-domain", "in the public domain", "domain"),
-    ("copyright", "copyright(?: c)? [12][0-9]{3}(?: [12][0-9]{3})?", "copyright"),
-    ("copyright", "all content is copyright(?:ed)?", "copyright"),
-    ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", "proprietary"),
-    ("proprietary", "unauthorized (?:copying|reproduction|distribution)(?: of this (?:file|document|work))?", "unauthorized"),
-    ("permission", "permission is hereby granted free of charge to any person obtaining a copy", "permission"),
-    ("permission", "permission to use copy modify and or distribute this (?:software|work)", "permission"),
-    ("permission", "redistribution and use in source and binary forms(?: with or without modification)?", "redistribution"),
-    ("warranty-disclaimer", "provided as is without warranty of any kind", "warranty"),
-    ("warranty-disclaimer", "without warranties or conditions of any kind", "warranties"),
-    ("unknown-license", "(?:licensed|released|distributed) under (?:the|a) [^ ]+ licen[sc]e", "under"),
-    ("unknown-license", "licen[sc]ed under", "under"),
-    ("unknown-license", "no licen[sc]e (?:is )?granted", "granted"),
+    ("public-domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
+    ("public-domain", "in the public domain"),
+    ("copyright", "copyright(?: c)? [12][0-9]{3}(?: [12][0-9]{3})?"),
+    ("copyright", "all content is copyright(?:ed)?"),
+    ("proprietary", "(?:confidential and proprietary|proprietary and confidential)"),
+    ("proprietary", "unauthorized (?:copying|reproduction|distribution)(?: of this (?:file|document|work))?"),
+    ("permission", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("permission", "permission to use copy modify and or distribute this (?:software|work)"),
+    ("permission", "redistribution and use in source and binary forms(?: with or without modification)?"),
+    ("warranty-disclaimer", "provided as is without warranty of any kind"),
+    ("warranty-disclaimer", "without warranties or conditions of any kind"),
+    ("unknown-license", "(?:licensed|released|distributed) under (?:the|a) [^ ]+ licen[sc]e"),
+    ("unknown-license", "licen[sc]ed under"),
+    ("unknown-license", "no licen[sc]e (?:is )?granted"),
 ]
-#: Substrings of which a text has at least one if any keyword can matter to it.
-STEMS = ["licen", "reserved", "cc", "spdx", "copyright", "domain", "gpl", "proprietary", "warrant", "permission", "redistribution", "unauthorized", "wtfpl"]
+#: Words that say little: a rule has one as its keyword only if it requires no other (the first ones least).
+COMMON = ["the", "a", "of", "to", "and", "in", "is", "for", "any", "all", "by", "this", "use", "you", "want", "do", "what", "version", "as", "without", "free", "open", "side", "system", "source", "software", "general", "common", "public", "license", "licence", "permitted", "provided", "under", "content", "hereby"]
 #: Confidence of a detection by rank, and of a base phrase alone.
 CONFIDENCE, BASE_CONFIDENCE = (1.0, 0.95, 0.8, 0.6, 0.4), 0.5
 
 
+def keyword_of(regex: str) -> str:
+    """A word that every match of a regex over joined words has, the one that says the most.
+
+    Known are literals, groups of alternatives, character classes and the quantifiers ? and {n}.
+    """
+
+    def texts(tree) -> list[str]:
+        """Every form, with a mark for a character that may vary."""
+        parts = []
+        for op, value in tree:
+            op = str(op)
+            if op == "LITERAL":
+                parts.append([chr(value)])
+            elif op == "SUBPATTERN":
+                parts.append(texts(value[3]))
+            elif op == "BRANCH":
+                parts.append([t for branch in value[1] for t in texts(branch)])
+            elif op == "MAX_REPEAT":
+                low, high, inner = value
+                parts.append(sorted({t * n for t in texts(inner) for n in (low, min(int(high), low + 1))}))
+            elif op in ("IN", "NOT_LITERAL", "ANY"):
+                parts.append(["?"])
+            else:
+                raise ValueError(f"{op} in {regex}")
+        return ["".join(x) for x in product(*parts)]
+
+    words = set.intersection(*(set(t.split(" ")) for t in texts(re._parser.parse(regex))))
+    words = {w for w in words if w and "?" not in w}
+    return max(words, key=lambda w: (not w.isdigit(), COMMON.index(w) if w in COMMON else len(COMMON), len(w), w))
+
+
 def rules() -> list[tuple[str, int, str, str, float]]:
     """(label, rank, regex, keyword, confidence) for every form of every family and version, in order.
 
     Ranks: 0 an SPDX identifier, 1 a notice that grants a named license, 2 a name with a version,
     3 a name alone, 4 a notice without a name.
     """
-    named = [(stem, name, version, keyword) for stem, names, versions, keyword in FAMILIES for version in versions for name in names]
+    named = [(stem, name, version) for stem, names, versions in FAMILIES for version in versions for name in names]
     for end, name, initials in CC_TERMS:
         for version in CC_VERSIONS:
-            named.append((f"cc-by{end}", f"creative commons {name}", version, "creative"))
-            named.append((f"cc-by{end}", f"cc {initials}", version, "cc"))
+            named.append((f"cc-by{end}", f"creative commons {name}", version))
+            named.append((f"cc-by{end}", f"cc {initials}", version))
+    forms: list[tuple[str, str, str, str]] = []  # label, version, stem, regex of the name and version
     out: list[tuple[str, int, str, str]] = []
-    for stem, name, version, keyword in named:
+    for stem, name, version in named:
         label = f"{stem}-{version.replace(' ', '.')}" if version else stem
         if stem == "bsd-clause":
-            label, one = f"bsd-{version}-clause", f"(?:{version} {name}|{name.replace('clause', version + ' clause')})"
-        else:
-            one = name + (f"(?: license)?(?: version| v)? {version}" if version else "")
+            label = f"bsd-{version}-clause"
+            forms.append((label, version, "bsd", f"(?:{version} {name}|{name.replace('clause', version + ' clause')})"))
+            continue
+        forms.append((label, version, stem, name + (f"(?: license)?(?: version| v)? {version}" if version else "")))
+        if version and name in GLUED:
+            forms.append((label, version, stem, f"{name}v{version}(?: license)?"))
+        if version:
+            out.append((stem, 3, name, keyword_of(name)))
+        out.append((label, 0, f"spdx license identifier {stem.replace('-', ' ')}" + (f" {version}(?: only| or later)?" if version else ""), "spdx"))
+    for label, version, stem, one in dict.fromkeys(forms):
+        keyword = keyword_of(one)
         out.append((label, 1, f"(?:licensed|released|distributed|available|published)(?: and made available)? under (?:the )?(?:terms of (?:the )?)?{one}", keyword))
         out.append((label, 2 if version else 3, one, keyword))
-        if version and stem != "bsd-clause":
-            out.append((stem, 3, name, keyword))
-            out.append((label, 0, f"spdx license identifier {stem.replace('-', ' ')} {version}(?: only| or later)?", "spdx"))
-        elif not version:
-            out.append((label, 0, f"spdx license identifier {stem.replace('-', ' ')}", "spdx"))
-    out += [(label, 4, regex, keyword) for label, regex, keyword in NOTICES]
+        if stem == "bsd" and version:
+            out.append((label, 0, f"spdx license identifier bsd {version} clause", "spdx"))
+    out += [(label, 4, regex, keyword_of(regex)) for label, regex in NOTICES]
     return [(label, rank, f" {regex}(?= )", keyword, CONFIDENCE[rank]) for label, rank, regex, keyword in dict.fromkeys(out)]
 
 
@@ -152,19 +194,25 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" ")))
 
 
-def detections(texts: DataFrame, key: list[str]) -> DataFrame:
+def _keywords() -> Column:
+    return F.array(*[F.lit(k) for k in sorted({r[3] for r in rules()})])
+
+
+def detections(texts: DataFrame, key: list[str], gated: bool = True) -> DataFrame:
     """key, label, rank, confidence, start and end (words, end exclusive) of the kept detections.
 
-    texts: the key columns and ``joined``, the words with a space before and after each.
+    texts: the key columns and ``joined``, the words with a space before and after each. Without
+    the gate every rule runs on every text, with the same result.
     """
     spark: SparkSession = texts.sparkSession
     table = spark.createDataFrame(rules(), "label string, rank int, regex string, keyword string, confidence double")
-    keywords = F.array(*[F.lit(k) for k in sorted({r[3] for r in rules()})])
-    present = F.filter(keywords, lambda k: F.contains(F.col("joined"), F.concat(F.lit(" "), k, F.lit(" "))))
-    gated = texts.select(*key, "joined", F.explode(present).alias("keyword")).join(F.broadcast(table), "keyword")
+    if gated:
+        rows = texts.select(*key, "joined", F.explode(F.array_intersect(F.split("joined", " "), _keywords())).alias("keyword")).join(F.broadcast(table), "keyword")
+    else:
+        rows = texts.crossJoin(F.broadcast(table))
     pieces = F.expr("split(joined, regex, -1)")
     matches = F.expr("regexp_extract_all(joined, regex, 0)")
-    hits = gated.where(F.expr("rlike(joined, regex)")).select(*key, "label", "rank", "confidence", "regex", F.posexplode(F.arrays_zip(pieces.alias("piece"), matches.alias("match"))).alias("k", "z"))
+    hits = rows.where(F.expr("rlike(joined, regex)")).select(*key, "label", "rank", "confidence", "regex", F.posexplode(F.arrays_zip(pieces.alias("piece"), matches.alias("match"))).alias("k", "z"))
     hits = hits.select(*key, "label", "rank", "confidence", "regex", "k", _spaces(F.coalesce("z.piece", F.lit(""))).alias("gap"), _spaces(F.coalesce("z.match", F.lit(""))).alias("size"))
     so_far = Window.partitionBy(*key, "regex", "label").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     spans = hits.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).where("size > 0")
@@ -186,11 +234,8 @@ def scan(docs: DataFrame) -> DataFrame:
     other columns are ignored; an empty table gives an empty result.
     """
     lowered = F.coalesce(ascii_lower(F.col("text")), F.lit(""))
-    stem = F.lit(False)
-    for s in STEMS:
-        stem = stem | F.contains(F.col("lowered"), F.lit(s))
     one = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), lowered.alias("lowered"), words_of(F.col("text")).alias("words"))
-    one = one.select("doc_id", "h1", "h2", F.size("words").alias("n_words"), *[_places(F.col("words"), F.col("lowered"), p).alias(f"p{k}") for k, p in enumerate(PHRASES)], F.when(stem, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("joined"))
+    one = one.select("doc_id", "h1", "h2", F.size("words").alias("n_words"), *[_places(F.col("words"), F.col("lowered"), p).alias(f"p{k}") for k, p in enumerate(PHRASES)], F.when(F.arrays_overlap("words", _keywords()), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).alias("joined"))
     labels = F.array_sort(F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull()))
     places = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
     one = one.select("doc_id", "h1", "h2", F.col("n_words").cast("long").alias("n_words"), F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"), labels.alias("base"), "joined")
