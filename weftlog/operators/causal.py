@@ -32,9 +32,10 @@ def score(ocdfg: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
             raise ValueError(f"unknown object types: {', '.join(missing)}")
         ocdfg = ocdfg.where(F.col("otype").isin(*wanted))
     f = ocdfg.select(*RELATION, F.col("event_couples").cast("long").alias("forward"))
-    back = f.select("otype", F.col("src_act").alias("dst_act"), F.col("dst_act").alias("src_act"), F.col("forward").alias("b"))
     own = F.col("src_act") == F.col("dst_act")
-    both = f.join(back, RELATION, "left").withColumn("backward", F.when(own, 0).otherwise(F.coalesce("b", F.lit(0))).cast("long"))
+    # a pair of activities has two flows at most, one each way
+    pair = Window.partitionBy("otype", F.least("src_act", "dst_act"), F.greatest("src_act", "dst_act"))
+    both = f.withColumn("backward", F.when(own, 0).otherwise(F.sum("forward").over(pair) - F.col("forward")).cast("long"))
     most = F.max("forward").over(Window.partitionBy("otype", "src_act"))
     return both.select(
         *RELATION,

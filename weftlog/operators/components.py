@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.plans.scratch import materialize
+from weftlog.plans.scratch import materialize, measured
 
 
 def _neighbour_min(edges: DataFrame) -> DataFrame:
@@ -45,9 +45,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             .where("u <> v")
             .distinct()
         )
-        e = materialize(small, "cc-edges")
         # hashes are summed as decimals: order-insensitive, no overflow
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        e, now = measured(small, "cc-edges", F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hash"))
         if now == before:
             break
         before = now

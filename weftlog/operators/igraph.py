@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.operators.components import connected_components
-from weftlog.plans.scratch import materialize
+from weftlog.plans.scratch import materialize, measured
+from weftlog.plans.sizing import sized
 from weftlog.schema import STRUCTURAL_TYPES
 
 KEY = ["exec_id", "src", "dst"]
@@ -30,23 +31,24 @@ def candidate_edges(objects: DataFrame, accepted: DataFrame) -> DataFrame:
     """
     a = objects.select("exec_id", "otype", "oid", F.col("eid").alias("src"), F.col("ts").alias("ts1"), F.col("activity").alias("src_act"))
     b = objects.select("exec_id", "otype", "oid", F.col("eid").alias("dst"), F.col("ts").alias("ts2"), F.col("activity").alias("dst_act"))
-    pairs = a.join(F.broadcast(accepted), ["otype", "src_act"]).join(b, ["exec_id", "otype", "oid", "dst_act"]).where("struct(ts1, src) < struct(ts2, dst)")
+    pairs = a.join(sized(accepted), ["otype", "src_act"]).join(b, ["exec_id", "otype", "oid", "dst_act"]).where("struct(ts1, src) < struct(ts2, dst)")
     return pairs.groupBy(KEY).agg(F.sort_array(F.collect_set("otype")).alias("object_types"), F.sort_array(F.collect_set("oid")).alias("object_ids"))
 
 
 def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """KEY of all pairs with a path, by doubling: paths of any length up to 2**k after k rounds.
 
-    Each round joins only the pairs that the round before found with all pairs.
+    Each round joins only the pairs that the round before found with all pairs, and is one job.
     """
-    reach = new = materialize(edges.select(KEY).distinct(), "reach")
-    for _ in range(max_rounds):
+    reach = materialize(edges.select(KEY).distinct().withColumn("round", F.lit(0)), "reach")
+    for k in range(1, max_rounds):
+        new = reach.where(F.col("round") == k - 1)
         ahead = new.select("exec_id", "src", F.col("dst").alias("mid")).join(reach.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"])
-        behind = reach.select("exec_id", "src", F.col("dst").alias("mid")).join(new.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"])
-        new = materialize(ahead.unionByName(behind).select(KEY).distinct().join(reach, KEY, "left_anti"), "reach-new")
-        if new.isEmpty():
-            return reach
-        reach = materialize(reach.unionByName(new), "reach")
+        behind = reach.where(F.col("round") < k - 1).select("exec_id", "src", F.col("dst").alias("mid")).join(new.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"])
+        both = ahead.unionByName(behind).select(*KEY, F.lit(k).alias("round")).unionByName(reach)
+        reach, seen = measured(both.groupBy(KEY).agg(F.min("round").alias("round")), "reach", F.count_if(F.col("round") == k).alias("new"))
+        if not seen["new"]:
+            return reach.select(KEY)
     raise RuntimeError(f"paths did not end in {max_rounds} rounds")
 
 
@@ -139,7 +141,7 @@ def execution_violations(nodes: DataFrame, relations: DataFrame) -> DataFrame:
 def relevant_relations(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
     """(exec_id, otype, src_act, dst_act): accepted relations both of whose activities an execution has."""
     acts = nodes.select("exec_id", "activity").distinct()
-    return acts.join(F.broadcast(accepted), acts["activity"] == accepted["src_act"]).drop("activity").join(acts.withColumnsRenamed({"exec_id": "x", "activity": "a"}), (F.col("x") == F.col("exec_id")) & (F.col("a") == F.col("dst_act"))).select("exec_id", "otype", "src_act", "dst_act")
+    return acts.join(sized(accepted), acts["activity"] == accepted["src_act"]).drop("activity").join(acts.withColumnsRenamed({"exec_id": "x", "activity": "a"}), (F.col("x") == F.col("exec_id")) & (F.col("a") == F.col("dst_act"))).select("exec_id", "otype", "src_act", "dst_act")
 
 
 def edge_differences(one: DataFrame, other: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -5,30 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftlog.plans.scratch import materialize
+
 
 def lifecycles(relations: DataFrame) -> DataFrame:
     """Relations without repetition: an event counts once for an object, whatever its qualifiers."""
-    return relations.select("eid", "oid", "otype", "activity", "ts").dropDuplicates(["eid", "oid", "otype"])
+    return relations.select("eid", "oid", "otype", "activity", "ts").distinct()
+
+
+def _by_object(relations: DataFrame) -> DataFrame:
+    """lifecycles() with the rows of an object in one partition, for windows over objects."""
+    return lifecycles(relations.select("eid", "oid", "otype", "activity", "ts").repartition("otype", "oid"))
 
 
 def successions(relations: DataFrame) -> DataFrame:
     """(otype, oid, src_eid, dst_eid, src_act, dst_act): each event of an object and its next, by ts and eid."""
     w = Window.partitionBy("otype", "oid").orderBy("ts", "eid")
-    nxt = lifecycles(relations).select("otype", "oid", F.col("eid").alias("src_eid"), F.col("activity").alias("src_act"), F.lead("eid").over(w).alias("dst_eid"), F.lead("activity").over(w).alias("dst_act"))
+    nxt = _by_object(relations).select("otype", "oid", F.col("eid").alias("src_eid"), F.col("activity").alias("src_act"), F.lead("eid").over(w).alias("dst_eid"), F.lead("activity").over(w).alias("dst_act"))
     return nxt.where("dst_eid is not null")
 
 
 def discover(relations: DataFrame) -> DataFrame:
     """(otype, src_act, dst_act) with event_couples, unique_objects and total_objects.
 
-    Couples are counted after a grouping by couple, and objects after one by object: both are
-    partial sums on their way, and no key gathers its distinct values in one row.
+    The log is read and dealt to objects once. There an object's first succession of a kind is
+    marked, so that objects are counted by a sum; couples are counted after a grouping by couple. All
+    are partial sums on their way, and no key gathers its distinct values in one row.
     """
-    s = successions(relations)
     key = ["otype", "src_act", "dst_act"]
-    couples = s.groupBy(*key, "src_eid", "dst_eid").agg(F.count("*").alias("n")).groupBy(*key).agg(F.count("*").alias("event_couples"), F.sum("n").alias("total_objects"))
-    objects = s.groupBy(*key, "oid").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("*").alias("unique_objects"))
-    return couples.join(objects, key).select(*key, "event_couples", "unique_objects", "total_objects")
+    kind = Window.partitionBy("otype", "oid", "src_act", "dst_act").orderBy("src_eid")
+    s = successions(relations).withColumn("first", (F.row_number().over(kind) == 1).cast("long"))
+    couples = s.groupBy(*key, "src_eid", "dst_eid").agg(F.count("*").alias("n"), F.sum("first").alias("first"))
+    return couples.groupBy(*key).agg(F.count("*").alias("event_couples"), F.sum("first").alias("unique_objects"), F.sum("n").alias("total_objects"))
 
 
 def typed_flows(ocdfg: DataFrame) -> DataFrame:
@@ -46,19 +54,36 @@ def object_type_graph(relations: DataFrame) -> DataFrame:
     interaction: both in an event; cobirth and codeath: first or last event in common; inheritance: the
     last event of o1 is the first of o2; descendants: o2 is first seen in an event of o1 after the
     first of o1. Symmetric kinds count a pair once, with the types in order.
+
+    An object has one first and one last event, so the last four are products of counts by event and
+    type, and no pairs are made. Interactions are distinct over events and have to be paired; of
+    events with the same objects one is, as their sums of two hashes tell.
     """
-    r = lifecycles(relations)
-    life = r.groupBy("oid", "otype").agg(F.min(F.struct("ts", "eid")).alias("first"), F.max(F.struct("ts", "eid")).alias("last"))
-    a = r.select("eid", F.col("oid").alias("o1"), F.col("otype").alias("t1"))
-    b = r.select("eid", F.col("oid").alias("o2"), F.col("otype").alias("t2"))
-    interaction = a.join(b, "eid").where("struct(t1, o1) < struct(t2, o2)").select("o1", "t1", "o2", "t2").distinct().groupBy("t1", "t2").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("interaction"))
-    born = life.select(F.col("oid").alias("o2"), F.col("otype").alias("t2"), F.col("first").alias("f2"), F.col("first.eid").alias("eid"), F.col("last").alias("l2"))
-    one = life.select(F.col("oid").alias("o1"), F.col("otype").alias("t1"), F.col("first").alias("f1"), F.col("last").alias("l1"))
-    cobirth = one.join(born, one["f1"]["eid"] == born["eid"]).where("struct(t1, o1) < struct(t2, o2)").groupBy("t1", "t2").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("cobirth"))
-    codeath = one.join(born, one["l1"]["eid"] == born["l2"]["eid"]).where("struct(t1, o1) < struct(t2, o2)").groupBy("t1", "t2").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("codeath"))
-    inheritance = one.join(born, one["l1"]["eid"] == born["eid"]).where("o1 <> o2 or t1 <> t2").groupBy("t1", "t2").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("inheritance"))
-    descendants = a.join(born, "eid").join(one.select("o1", "t1", "f1"), ["o1", "t1"]).where("(o1 <> o2 or t1 <> t2) and f1 < f2").groupBy("t1", "t2").agg(F.count("*").alias("weight")).withColumn("kind", F.lit("descendants"))
-    out = interaction
-    for df in (cobirth, codeath, inheritance, descendants):
-        out = out.unionByName(df)
-    return out.select(F.col("t1").alias("otype1"), F.col("kind").alias("relationship"), F.col("t2").alias("otype2"), "weight")
+    w = Window.partitionBy("otype", "oid")
+    r = _by_object(relations).select("eid", "otype", "oid", F.min(F.struct("ts", "eid")).over(w)["eid"].alias("first"), F.max(F.struct("ts", "eid")).over(w)["eid"].alias("last"))
+    r = materialize(r, "object-lives")
+    born, dies = F.col("eid") == F.col("first"), F.col("eid") == F.col("last")
+    c = r.groupBy("eid", "otype").agg(F.count_if(born).alias("born"), F.count_if(dies).alias("dies"), F.count_if(born & dies).alias("both"), F.count_if(~born).alias("old"))
+    c = materialize(c, "event-types")
+    a, b = (c.select("eid", *[F.col(x).alias(f"{x}{k}") for x in ("otype", "born", "dies", "both", "old")]) for k in (1, 2))
+    pairs, same = a.join(b, "eid"), F.col("otype1") == F.col("otype2")
+
+    def once(x: str):
+        n, m = F.col(f"{x}1"), F.col(f"{x}2")
+        return F.when(same, (n * (n - 1) / 2).cast("long")).when(F.col("otype1") < F.col("otype2"), n * m).otherwise(0)
+
+    kinds = {
+        "cobirth": once("born"),
+        "codeath": once("dies"),
+        "inheritance": F.col("dies1") * F.col("born2") - F.when(same, F.col("both1")).otherwise(0),
+        "descendants": F.col("old1") * F.col("born2"),
+    }
+    counted = pairs.groupBy("otype1", "otype2").agg(*[F.sum(n).alias(k) for k, n in kinds.items()])
+    counted = counted.select("otype1", F.explode(F.array(*[F.struct(F.lit(k).alias("relationship"), F.col(k).alias("weight")) for k in kinds])).alias("x"), "otype2")
+    counted = counted.select("otype1", "x.relationship", "otype2", "x.weight").where("weight > 0")
+    sets = r.groupBy("eid").agg(F.count("*").alias("n"), *[F.sum(F.xxhash64(F.lit(k), "otype", "oid").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)])
+    one = sets.where("n > 1").groupBy("n", "h1", "h2").agg(F.min("eid").alias("eid")).select("eid")
+    o = materialize(r.join(one, "eid", "left_semi").select("eid", "otype", "oid"), "event-objects")
+    p, q = (o.select("eid", F.col("otype").alias(f"otype{k}"), F.col("oid").alias(f"oid{k}")) for k in (1, 2))
+    met = p.join(q, "eid").where("struct(otype1, oid1) < struct(otype2, oid2)").select("otype1", "oid1", "otype2", "oid2").distinct()
+    return counted.unionByName(met.groupBy("otype1", "otype2").agg(F.count("*").alias("weight")).withColumn("relationship", F.lit("interaction")).select(counted.columns))

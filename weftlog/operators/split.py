@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.operators.components import connected_components
+from weftlog.plans.ordered import running
 from weftlog.plans.scratch import materialize
 from weftlog.schema import FLAT, STRUCTURAL_TYPES, ObjectLog, require_columns, require_ratio
 
@@ -19,7 +20,7 @@ def components(rows: DataFrame, thing: str, event: str = "eid") -> DataFrame:
     Each event ties its things to the smallest of them; events of one thing tie nothing. A component
     is named by its smallest thing.
     """
-    r = rows.select(F.col(event).alias("e"), F.col(thing).alias("a")).distinct()
+    r = materialize(rows.select(F.col(event).alias("e"), F.col(thing).alias("a")).distinct(), "cc-things")
     hub = r.groupBy("e").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
     labels = connected_components(r.join(hub, "e").select("a", "b").distinct())
     return r.select("a").distinct().join(labels, F.col("a") == F.col("node"), "left").select(F.col("a").alias(thing), F.coalesce("component", "a").alias("component"))
@@ -33,11 +34,9 @@ def case_components(flat: DataFrame) -> DataFrame:
 def _cut(parts: DataFrame, size: str, order: list[str], distance: Column, what: str) -> DataFrame:
     """parts with is_training: the first ones up to the cut whose distance is least, the smallest such cut.
 
-    parts has a row for each component; the running sums go over that table alone.
+    parts has a row for each component; order tells them apart.
     """
-    before = Window.orderBy(*order)
-    p = parts.withColumn("rank", F.row_number().over(before)).withColumn("upto", F.sum(size).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    p = materialize(p.crossJoin(parts.agg(F.count("*").alias("n"), F.sum(size).alias("total"))), "cut")
+    p = materialize(running(parts, order, size), "cut")
     best = p.where("rank < n").agg(F.min(F.struct(distance.alias("d"), F.col("rank").alias("at")))["at"].alias("at")).first()
     if best is None or best["at"] is None:
         raise ValueError(f"{what} has fewer than two components")
@@ -56,7 +55,7 @@ class FlatSplit:
 def split_flat(flat: DataFrame, ratio: float = 0.8) -> FlatSplit:
     """Components in order of first ts and smallest case; the cut comes nearest to ratio by cases."""
     ratio = require_ratio(ratio)
-    flat = require_columns(flat, FLAT, "flat log")
+    flat = materialize(require_columns(flat, FLAT, "flat log"), "flat")
     labels = materialize(case_components(flat), "case-components")
     parts = flat.join(labels, "case_id").groupBy("component").agg(F.min("ts").alias("first"), F.count_distinct("case_id").alias("cases"), F.min("case_id").alias("case"))
     parts = _cut(parts, "cases", ["first", "case"], F.abs(F.col("upto") - F.col("total") * ratio), "the log")
@@ -83,7 +82,7 @@ def split_log(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES, ratio: fl
     ratio = require_ratio(ratio)
     sub = log.structural(types)
     labels = materialize(components(sub.relations, "oid"), "object-components")
-    r = sub.relations.join(labels, "oid")
+    r = sub.relations.select("oid", "eid", "ts").join(labels, "oid")
     parts = r.groupBy("component").agg(F.min("ts").alias("first"), F.count_distinct("eid").alias("events"), F.count_distinct("oid").alias("objects"), F.min("oid").alias("oid"))
     parts = _cut(parts, "events", ["first", "events", "oid"], F.abs(F.col("upto") / F.col("total") - ratio), "the log")
     side = labels.join(parts.select("component", "is_training"), "component")
@@ -125,11 +124,7 @@ def split_summary(split: FlatSplit) -> DataFrame:
 def naive_leakage(flat: DataFrame, ratio: float = 0.8) -> DataFrame:
     """One row: the events that a split of cases by first ts alone leaves on both sides."""
     ratio = require_ratio(ratio)
-    starts = flat.groupBy("case_id").agg(F.min("ts").alias("first"))
-    n = starts.count()
-    # a rank over all cases: the first int(n * ratio) of them by (first, case_id)
-    cut = int(n * ratio)
-    last = starts.orderBy("first", "case_id").limit(cut).agg(F.max(F.struct("first", "case_id")).alias("s")).first()["s"] if cut else None
-    early = F.lit(False) if last is None else (F.col("first") < last["first"]) | ((F.col("first") == last["first"]) & (F.col("case_id") <= last["case_id"]))
-    side = flat.select("eid", "case_id").join(starts.withColumn("early", early), "case_id").groupBy("eid").agg(F.max("early").alias("a"), F.min("early").alias("b"))
+    starts = running(flat.groupBy("case_id").agg(F.min("ts").alias("first")).withColumn("one", F.lit(1)), ["first", "case_id"], "one")
+    early = starts.select("case_id", (F.col("rank") <= F.floor(F.col("n") * ratio)).alias("early"))
+    side = flat.select("eid", "case_id").join(early, "case_id").groupBy("eid").agg(F.max("early").alias("a"), F.min("early").alias("b"))
     return side.agg(F.count_if(F.col("a") & ~F.col("b")).alias("shared_events"), F.count("*").alias("events"))

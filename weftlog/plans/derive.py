@@ -1,12 +1,14 @@
-"""Object logs from the driver's tables, as SQL that Spark and DuckDB both run."""
+"""Object logs from the driver's tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftlog.plans.scratch import materialize
 from weftlog.schema import ObjectLog
 
-#: Log 1: user activity. Each event touches its user and the key in its properties.
+#: Log 1 in SQL, for comparison: user activity. Each event touches its user and the key in its properties.
 LOG1 = """
 events1 AS (SELECT CAST(event_id AS STRING) AS eid, ts, event_type AS activity, user_id, regexp_extract(props, '([0-9]+)', 1) AS k FROM events),
 relations1 AS (
@@ -14,7 +16,7 @@ relations1 AS (
   UNION ALL SELECT eid, 'k-' || k, 'keys', '', activity, ts FROM events1)
 """
 
-#: Log 2: orders, their items and the packages they travel in; customers and suppliers only inform.
+#: Log 2 in SQL, for comparison: orders, their items and the packages they travel in; customers and suppliers only inform.
 LOG2 = """
 lines2 AS (
   SELECT l_orderkey AS o, 'i-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS item, l_linenumber AS n,
@@ -48,24 +50,96 @@ relations2 AS (
 """
 
 
-def _sql(spark: SparkSession, sf_dir: str, names: tuple[str, ...], ctes: str, select: str) -> DataFrame:
-    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-    for n in names:
-        ctes = ctes.replace(f"FROM {n} ", f"FROM {{{n}}} ").replace(f"FROM {n})", f"FROM {{{n}}})").replace(f"JOIN {n} ", f"JOIN {{{n}}} ").replace(f"FROM {n}\n", f"FROM {{{n}}}\n")
-    return spark.sql(f"WITH {ctes} {select}", **tables)
+def _event(name: str, of: Column, ts: Column, activity: str) -> Column:
+    return F.struct(F.concat(F.lit(f"{name}-"), of.cast("string")).alias("eid"), ts.alias("ts"), F.lit(activity).alias("activity"))
 
 
-def _log(spark: SparkSession, sf_dir: str, names: tuple[str, ...], ctes: str, k: int) -> ObjectLog:
-    events = _sql(spark, sf_dir, names, ctes, f"SELECT eid, ts, activity FROM events{k}")
-    relations = _sql(spark, sf_dir, names, ctes, f"SELECT * FROM relations{k}")
-    return ObjectLog(events, relations.select("oid", "otype").distinct(), relations).checked()
+def _some(*events: tuple[Column | None, Column]) -> Column:
+    """Events as an array, those with a condition only where it holds."""
+    return F.array_compact(F.array(*[e if when is None else F.when(when, e) for when, e in events]))
+
+
+def _related(events: DataFrame, *objects: tuple[Column, str, Column, Column | None]) -> DataFrame:
+    """Relations of rows with an event ``e``: (oid, otype, whether it is the event's own object, condition)."""
+    one = [(when, F.struct(oid.alias("oid"), F.lit(otype).alias("otype"), own.alias("own"))) for oid, otype, own, when in objects]
+    rows = events.select("e", F.explode(_some(*one)).alias("r"))
+    return rows.select("e.eid", "r.oid", "r.otype", F.lit("").alias("qualifier"), "e.activity", "e.ts", "r.own")
 
 
 def activity_log(spark: SparkSession, sf_dir: str) -> ObjectLog:
-    """Log 1, from events."""
-    return _log(spark, sf_dir, ("events",), LOG1, 1)
+    """Log 1, from events, which each table reads once."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = e.select(F.col("event_id").cast("string").alias("eid"), "ts", F.col("event_type").alias("activity"), "user_id", F.regexp_extract("props", "([0-9]+)", 1).alias("k"))
+    yes = F.lit(True)
+    whole = events.select(F.struct("eid", "ts", "activity").alias("e"), "user_id", "k").withColumn("r", F.explode(F.array(
+        F.struct(F.concat(F.lit("u-"), F.col("user_id").cast("string")).alias("oid"), F.lit("users").alias("otype"), yes.alias("own")),
+        F.struct(F.concat(F.lit("k-"), F.col("k")).alias("oid"), F.lit("keys").alias("otype"), yes.alias("own")),
+    )))
+    relations = whole.select("e.eid", "r.oid", "r.otype", F.lit("").alias("qualifier"), "e.activity", "e.ts")
+    return ObjectLog(events.select("eid", "ts", "activity"), relations.select("oid", "otype").distinct(), relations).checked()
+
+
+def _order_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All relations of log 2, with ``own``: whether the object is the one that the event is of."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_returnflag")
+    key, placed = F.col("o_orderkey"), F.col("o_orderdate")
+    yes, no, days = F.lit(True), F.lit(False), lambda n: F.make_dt_interval(F.lit(n))
+    hours = lambda n: F.make_dt_interval(F.lit(0), n)
+    of_orders = orders.withColumn("e", F.explode(_some(
+        (None, _event("place", key, placed, "place order")),
+        (F.col("o_orderstatus").isin("F", "P"), _event("confirm", key, placed + hours(F.lit(1)), "confirm order")),
+        (F.col("o_orderstatus") == "F", _event("pay", key, placed + days(30), "pay order")),
+    )))
+    customer = F.concat(F.lit("c-"), F.col("o_custkey").cast("string"))
+    out = _related(
+        of_orders.select("e", F.concat(F.lit("o-"), key.cast("string")).alias("o"), customer.alias("c")),
+        (F.col("o"), "orders", yes, None),
+        (F.col("c"), "customers", no, F.col("e.activity") == "place order"),
+    )
+    number = F.col("l_linenumber")
+    lines = lineitem.join(orders.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == key).select(
+        key.alias("o"),
+        F.concat(F.lit("i-"), key.cast("string"), F.lit("-"), number.cast("string")).alias("item"),
+        number.alias("n"),
+        F.concat(F.lit("p-"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_shipdate").cast("date").cast("string")).alias("package"),
+        F.col("l_suppkey").alias("s"),
+        F.col("l_returnflag").alias("flag"),
+        placed.alias("placed"),
+        F.greatest("l_shipdate", "o_orderdate").alias("st"),
+    )
+    lines = materialize(lines, "order-lines")
+    items = lines.select("o", "item", "n", "placed").distinct()
+    picked = items.withColumn("e", F.explode(F.array(_event("place", F.col("o"), F.col("placed"), "place order"), _event("pick", F.col("item"), F.col("placed") + hours(2 + F.col("n")), "pick item"))))
+    out = out.unionByName(_related(picked, (F.col("item"), "items", F.col("e.activity") == "pick item", None)))
+    packages = lines.groupBy("package", "s").agg(F.max("st").alias("at"), F.max((F.col("flag") == "R").cast("int")).alias("failed"))
+    p, at = F.col("package"), F.col("at")
+    packages = packages.withColumn("es", _some(
+        (None, _event("create", p, at + days(1), "create package")),
+        (F.col("s") % 41 == 0, _event("inspect", p, at + hours(F.lit(36)), "inspect package")),
+        (None, _event("send", p, at + days(2), "send package")),
+        (F.col("failed") == 1, _event("fail", p, at + days(3), "failed delivery")),
+        (None, _event("deliver", p, at + days(4), "package delivered")),
+    )).select("package", "s", "es")
+    supplier = F.concat(F.lit("s-"), F.col("s").cast("string"))
+    of_packages = _related(packages.select("package", "s", F.explode("es").alias("e")), (p, "packages", yes, None), (supplier, "suppliers", no, F.col("e.activity") == "create package"))
+    inside = lines.select("package", "item").distinct().join(packages, "package").select("item", F.explode("es").alias("e"))
+    return out.unionByName(of_packages).unionByName(_related(inside, (F.col("item"), "items", no, None)))
+
+
+#: Logs that are derived already, by application and folder.
+_DERIVED: dict[tuple[str, str], ObjectLog] = {}
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> ObjectLog:
-    """Log 2, from orders and lineitem."""
-    return _log(spark, sf_dir, ("orders", "lineitem"), LOG2, 2)
+    """Log 2, from orders and lineitem: derived once in a session for each folder, and read from files from then on.
+
+    Every event is of one order, item or package, so the events are the relations to those.
+    """
+    name = (spark.sparkContext.applicationId, sf_dir)
+    if name not in _DERIVED:
+        written = materialize(_order_relations(spark, sf_dir), "order-log", keep=True)
+        relations = written.drop("own")
+        objects = materialize(relations.select("oid", "otype").distinct(), "order-objects", keep=True)
+        _DERIVED[name] = ObjectLog(written.where("own").select("eid", "ts", "activity"), objects, relations).checked()
+    return _DERIVED[name]

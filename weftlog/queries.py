@@ -27,13 +27,6 @@ def _query(sql: str | None = None):
     return register
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> ObjectLog:
-    """The order log with its relations written once, for queries that read them often."""
-    log = order_log(spark, sf_dir)
-    relations = materialize(log.relations, "order-relations")
-    return ObjectLog(materialize(log.events, "order-events"), relations.select("oid", "otype").distinct(), relations)
-
-
 def _graph(log: ObjectLog) -> tuple[DataFrame, DataFrame, DataFrame]:
     """nodes, reduced edges and paths of the admissible executions with the mined relations."""
     accepted = materialize(causal.derive(causal.score(ocdfg.discover(log.relations))), "accepted")
@@ -196,14 +189,14 @@ def typed_flows(spark, sf_dir):
 
 @_query(f"WITH {_EXTRACT} SELECT x AS exec_oid, eid FROM sel")
 def order_closure(spark, sf_dir):
-    return extract.extract(_orders(spark, sf_dir)).closure
+    return extract.extract(order_log(spark, sf_dir)).closure
 
 
 @_query(f"""WITH {_EXTRACT}, a AS (SELECT x, string_agg(i, ',' ORDER BY i) AS foreign_items FROM fi GROUP BY x), b AS (SELECT x, string_agg(o, ',' ORDER BY o) AS foreign_orders FROM fo GROUP BY x)
 SELECT x AS exec_oid, CASE WHEN foreign_items IS NOT NULL AND foreign_orders IS NOT NULL THEN 'foreign_items_and_orders' WHEN foreign_items IS NOT NULL THEN 'foreign_items' ELSE 'foreign_orders' END AS reason_code,
   coalesce(foreign_items, '') AS foreign_items, coalesce(foreign_orders, '') AS foreign_orders FROM a FULL JOIN b USING (x)""")
 def contamination(spark, sf_dir):
-    return extract.extract(_orders(spark, sf_dir)).exclusions.select("exec_oid", "reason_code", _text("foreign_items"), _text("foreign_orders"))
+    return extract.extract(order_log(spark, sf_dir)).exclusions.select("exec_oid", "reason_code", _text("foreign_items"), _text("foreign_orders"))
 
 
 @_query(f"WITH {_EXTRACT} SELECT i AS item, o AS order_oid FROM io")
@@ -216,23 +209,23 @@ def item_order_links(spark, sf_dir):
 p AS (SELECT x, count(DISTINCT oid) AS packages FROM sel JOIN rp USING (eid) GROUP BY x), i AS (SELECT x, count(*) AS items FROM si GROUP BY x), a AS (SELECT x, count(*) AS n FROM fi GROUP BY x), b AS (SELECT x, count(*) AS n FROM fo GROUP BY x)
 SELECT x AS exec_oid, events, coalesce(items, 0) AS items, coalesce(packages, 0) AS packages, coalesce(a.n, 0) AS foreign_items, coalesce(b.n, 0) AS foreign_orders, complete, simple, activities FROM e LEFT JOIN p USING (x) LEFT JOIN i USING (x) LEFT JOIN a USING (x) LEFT JOIN b USING (x)""")
 def candidate_orders(spark, sf_dir):
-    return extract.candidates(extract.extract(_orders(spark, sf_dir)))
+    return extract.candidates(extract.extract(order_log(spark, sf_dir)))
 
 
 @_query(SQL["candidate_orders"].replace("WITH ", "WITH all_orders AS (WITH ", 1) + ") SELECT * FROM all_orders WHERE complete AND simple AND foreign_items = 0 AND foreign_orders = 0 ORDER BY events, items, packages, exec_oid LIMIT 15")
 def ranked_orders(spark, sf_dir):
-    return extract.ranked(extract.candidates(extract.extract(_orders(spark, sf_dir))))
+    return extract.ranked(extract.candidates(extract.extract(order_log(spark, sf_dir))))
 
 
 @_query(f"WITH {_NODES} SELECT exec_id, otype, count(DISTINCT oid) AS objects FROM nodes JOIN relations2 USING (eid) GROUP BY exec_id, otype")
 def execution_objects(spark, sf_dir):
-    log = _orders(spark, sf_dir)
+    log = order_log(spark, sf_dir)
     return extract.objects_by_type(extract.extract(log).events(), log.relations)
 
 
 @_query(f"WITH {_NODES}, {_dfg_sql(2)}, {_score_sql(2)}, acts AS (SELECT DISTINCT exec_id, activity FROM nodes) SELECT a.exec_id, r.otype, r.src_act, r.dst_act FROM a2 r JOIN acts a ON a.activity = r.src_act JOIN acts b ON b.exec_id = a.exec_id AND b.activity = r.dst_act")
 def relevant_relations(spark, sf_dir):
-    log = _orders(spark, sf_dir)
+    log = order_log(spark, sf_dir)
     accepted = causal.derive(causal.score(ocdfg.discover(log.relations)))
     return igraph.relevant_relations(extract.extract(log).events(), accepted)
 
@@ -242,7 +235,7 @@ def relevant_relations(spark, sf_dir):
 
 @_query(f"WITH RECURSIVE {_EDGES} SELECT exec_id, src, dst, object_types, object_ids FROM cand")
 def instance_edges_raw(spark, sf_dir):
-    log = _orders(spark, sf_dir)
+    log = order_log(spark, sf_dir)
     accepted = causal.derive(causal.score(ocdfg.discover(log.relations)))
     cand = igraph.candidate_edges(igraph.execution_objects(extract.extract(log).events(), log.relations), accepted)
     return cand.select("exec_id", "src", "dst", _text("object_types"), _text("object_ids"))
@@ -250,25 +243,25 @@ def instance_edges_raw(spark, sf_dir):
 
 @_query(f"WITH RECURSIVE {_EDGES} SELECT exec_id, src, dst, object_types, object_ids FROM edges")
 def instance_edges(spark, sf_dir):
-    return _graph(_orders(spark, sf_dir))[1].select("exec_id", "src", "dst", _text("object_types"), _text("object_ids"))
+    return _graph(order_log(spark, sf_dir))[1].select("exec_id", "src", "dst", _text("object_types"), _text("object_ids"))
 
 
 @_query(f"WITH RECURSIVE {_EDGES} SELECT exec_id, src, dst FROM reach")
 def instance_closure(spark, sf_dir):
-    return _graph(_orders(spark, sf_dir))[2]
+    return _graph(order_log(spark, sf_dir))[2]
 
 
 @_query(f"""WITH RECURSIVE {_EDGES} SELECT a.exec_id, a.eid AS eid1, b.eid AS eid2 FROM nodes a JOIN nodes b ON a.exec_id = b.exec_id AND a.eid < b.eid
 WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = a.eid AND r.dst = b.eid) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = b.eid AND r.dst = a.eid)""")
 def incomparable_pairs(spark, sf_dir):
-    nodes, _, reach = _graph(_orders(spark, sf_dir))
+    nodes, _, reach = _graph(order_log(spark, sf_dir))
     return igraph.incomparable_pairs(nodes, reach)
 
 
 @_query(f"""WITH RECURSIVE {_EDGES} SELECT DISTINCT a.exec_id, a.activity, a.eid AS eid1, b.eid AS eid2 FROM life a JOIN life b ON a.exec_id = b.exec_id AND a.otype = b.otype AND a.oid = b.oid AND a.activity = b.activity AND a.eid < b.eid
 WHERE a.otype IN ('orders', 'items', 'packages') AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = a.eid AND r.dst = b.eid) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = b.eid AND r.dst = a.eid)""")
 def suspicious_repetitions(spark, sf_dir):
-    log = _orders(spark, sf_dir)
+    log = order_log(spark, sf_dir)
     nodes, _, reach = _graph(log)
     return igraph.suspicious_repetitions(nodes, log.relations, reach)
 
@@ -283,14 +276,14 @@ sus AS (SELECT exec_id, count(*) AS n FROM (SELECT DISTINCT a.exec_id, a.eid AS
 SELECT d.exec_id, nodes, CAST(edges AS BIGINT) AS edges, sources, sinks, isolated, true AS is_dag, components = 1 AS connected, isolated = 0 AS covered, true AS reduced, coalesce(sus.n, 0) AS suspicious, CAST(nodes * (nodes - 1) // 2 - coalesce(ord.n, 0) AS BIGINT) AS incomparable, components = 1 AND isolated = 0 AND coalesce(sus.n, 0) = 0 AS valid
 FROM d JOIN lab USING (exec_id) LEFT JOIN ord USING (exec_id) LEFT JOIN sus USING (exec_id)""")
 def graph_screening(spark, sf_dir):
-    log = _orders(spark, sf_dir)
+    log = order_log(spark, sf_dir)
     nodes, edges, reach = _graph(log)
     return igraph.screening(nodes, edges, reach, log.relations)
 
 
 @_query()
 def dot_export(spark, sf_dir):
-    nodes, edges, _ = _graph(_orders(spark, sf_dir))
+    nodes, edges, _ = _graph(order_log(spark, sf_dir))
     return dot_text(nodes, edges)
 
 
@@ -311,12 +304,12 @@ def trace_variants(spark, sf_dir):
 
 @_query(f"WITH RECURSIVE {_ITEMS}, {_components_sql('flat', 'case_id')} SELECT id AS case_id, comp AS component FROM cc")
 def case_components(spark, sf_dir):
-    return split.case_components(_orders(spark, sf_dir).flat("items"))
+    return split.case_components(order_log(spark, sf_dir).flat("items"))
 
 
 @_query(f"WITH RECURSIVE {_CASE_CUT} SELECT comp AS component, first, cases, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT cut_at FROM best) AS is_training FROM run")
 def case_split(spark, sf_dir):
-    parts = split.split_flat(_orders(spark, sf_dir).flat("items")).parts
+    parts = split.split_flat(order_log(spark, sf_dir).flat("items")).parts
     return parts.select("component", "first", "cases", F.col("rank").cast("long").alias("rank"), "upto", "is_training")
 
 
@@ -326,13 +319,13 @@ run AS (SELECT *, row_number() OVER w AS rank, sum(events) OVER w AS upto, sum(e
 best AS (SELECT arg_min(rank, (abs(CAST(upto AS DOUBLE) / total - CAST(0.8 AS DOUBLE)), rank)) AS cut_at FROM run WHERE rank < n)
 SELECT comp AS component, first, events, objects, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT cut_at FROM best) AS is_training FROM run""")
 def component_split(spark, sf_dir):
-    parts = split.split_log(_orders(spark, sf_dir)).parts
+    parts = split.split_log(order_log(spark, sf_dir)).parts
     return parts.select("component", "first", "events", "objects", F.col("rank").cast("long").alias("rank"), "upto", "is_training")
 
 
 @_query(f"WITH RECURSIVE {_CASE_CUT}, side AS (SELECT f.eid, rank <= (SELECT cut_at FROM best) AS t FROM flat f JOIN cc ON case_id = id JOIN run USING (comp)) SELECT count(*) AS shared_events FROM (SELECT eid FROM side GROUP BY eid HAVING min(t) <> max(t))")
 def split_leakage(spark, sf_dir):
-    s = split.split_flat(_orders(spark, sf_dir).flat("items"))
+    s = split.split_flat(order_log(spark, sf_dir).flat("items"))
     return s.training.select("eid").distinct().join(s.test, "eid", "left_semi").agg(F.count("*").alias("shared_events"))
 
 
@@ -340,7 +333,7 @@ def split_leakage(spark, sf_dir):
 side AS (SELECT variant, rank <= (SELECT cut_at FROM best) AS t FROM var JOIN cc ON case_id = id JOIN run USING (comp))
 SELECT variant, count(*) AS cases FROM side WHERE NOT t AND variant NOT IN (SELECT variant FROM side WHERE t) GROUP BY variant""")
 def unseen_variants(spark, sf_dir):
-    s = split.split_flat(_orders(spark, sf_dir).flat("items"))
+    s = split.split_flat(order_log(spark, sf_dir).flat("items"))
     return split.unseen_variants(s.training, s.test).select(_text("variant"), "cases")
 
 
@@ -348,7 +341,7 @@ def unseen_variants(spark, sf_dir):
 side AS (SELECT eid, rank <= CAST(floor(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS early FROM flat JOIN rk USING (case_id))
 SELECT count(*) FILTER (WHERE a AND NOT b) AS shared_events, count(*) AS events FROM (SELECT eid, max(early) AS a, min(early) AS b FROM side GROUP BY eid)""")
 def naive_leakage(spark, sf_dir):
-    return split.naive_leakage(_orders(spark, sf_dir).flat("items"))
+    return split.naive_leakage(order_log(spark, sf_dir).flat("items"))
 
 
 # --- object-type graphs and comparisons ----------------------------------------------------------
@@ -367,7 +360,7 @@ kinds AS (
 
 @_query(f"WITH {LOG2}, r2 AS (SELECT DISTINCT eid, oid, otype, activity, ts FROM relations2), {_OTG} SELECT t1 AS otype1, k AS relationship, t2 AS otype2, count(*) AS weight FROM kinds GROUP BY t1, k, t2")
 def otg(spark, sf_dir):
-    return ocdfg.object_type_graph(_orders(spark, sf_dir).relations)
+    return ocdfg.object_type_graph(order_log(spark, sf_dir).relations)
 
 
 @_query(f"WITH {LOG2} SELECT activity, otype, count(DISTINCT (eid, oid)) AS weight FROM relations2 GROUP BY activity, otype")
@@ -392,30 +385,30 @@ fb AS (SELECT DISTINCT otype, src_act, dst_act FROM (SELECT otype, activity AS s
 
 @_query(f"WITH {LOG2}, {_SIDES}, x AS (SELECT fa.a, fb.b FROM (SELECT *, true AS a FROM fa) fa FULL JOIN (SELECT *, true AS b FROM fb) fb USING (otype, src_act, dst_act)) {_SET_SQL}")
 def typed_flow_coverage(spark, sf_dir):
-    a, b = (ocdfg.typed_flows(ocdfg.discover(r)) for r in _parity_sides(_orders(spark, sf_dir)))
+    a, b = (ocdfg.typed_flows(ocdfg.discover(r)) for r in _parity_sides(order_log(spark, sf_dir)))
     return graphs.compare_sets(a, b, ["otype", "src_act", "dst_act"])
 
 
 @_query(f"WITH {LOG2}, {_SIDES} SELECT coalesce(fa.otype, fb.otype) AS otype, coalesce(fa.src_act, fb.src_act) AS src_act, coalesce(fa.dst_act, fb.dst_act) AS dst_act, CASE WHEN fa.otype IS NULL THEN 'additional' WHEN fb.otype IS NULL THEN 'absent' ELSE 'shared' END AS side FROM fa FULL JOIN fb ON fa.otype = fb.otype AND fa.src_act = fb.src_act AND fa.dst_act = fb.dst_act")
 def structural_comparison(spark, sf_dir):
-    a, b = (ocdfg.discover(r) for r in _parity_sides(_orders(spark, sf_dir)))
+    a, b = (ocdfg.discover(r) for r in _parity_sides(order_log(spark, sf_dir)))
     return graphs.set_members(a, b, ["otype", "src_act", "dst_act"])
 
 
 @_query(f"WITH {LOG2}, {_SIDES} SELECT otype, src_act, dst_act, event_couples, unique_objects, total_objects FROM (SELECT otype, src_act, dst_act, count(DISTINCT (src_eid, dst_eid)) AS event_couples, count(DISTINCT oid) AS unique_objects, count(*) AS total_objects FROM (SELECT otype, oid, eid AS src_eid, activity AS src_act, lead(eid) OVER w AS dst_eid, lead(activity) OVER w AS dst_act FROM ev WINDOW w AS (PARTITION BY otype, oid ORDER BY ts, eid)) WHERE dst_eid IS NOT NULL GROUP BY otype, src_act, dst_act) x WHERE NOT EXISTS (SELECT 1 FROM fb WHERE fb.otype = x.otype AND fb.src_act = x.src_act AND fb.dst_act = x.dst_act)")
 def absent_flows(spark, sf_dir):
-    a, b = (ocdfg.discover(r) for r in _parity_sides(_orders(spark, sf_dir)))
+    a, b = (ocdfg.discover(r) for r in _parity_sides(order_log(spark, sf_dir)))
     return graphs.absent_elements(a, b, ["otype", "src_act", "dst_act"])
 
 
 @_query()
 def graph_holdout(spark, sf_dir):
-    return holdout.graph_comparison(_orders(spark, sf_dir))
+    return holdout.graph_comparison(order_log(spark, sf_dir))
 
 
 @_query()
 def holdout_graphs(spark, sf_dir):
-    return holdout.instance_graph_holdout(_orders(spark, sf_dir)).results
+    return holdout.instance_graph_holdout(order_log(spark, sf_dir)).results
 
 
 # --- nets and replay -----------------------------------------------------------------------------
@@ -423,13 +416,13 @@ def holdout_graphs(spark, sf_dir):
 
 @_query()
 def trace_replay(spark, sf_dir):
-    flat = materialize(_orders(spark, sf_dir).flat("packages"), "flat")
+    flat = materialize(order_log(spark, sf_dir).flat("packages"), "flat")
     return conformance.replay(flat, conformance.discover_net(flat), "packages").withColumn("activities", F.array_join("activities", ","))
 
 
 @_query()
 def projection_conformance(spark, sf_dir):
-    log, out = _orders(spark, sf_dir), None
+    log, out = order_log(spark, sf_dir), None
     for t in ("items", "orders", "packages"):
         flat = materialize(log.flat(t), "flat")
         one = conformance.summary(conformance.replay(flat, conformance.discover_net(flat), t))
@@ -439,10 +432,10 @@ def projection_conformance(spark, sf_dir):
 
 @_query()
 def model_quality(spark, sf_dir):
-    return conformance.type_holdout(_orders(spark, sf_dir), "packages")
+    return conformance.type_holdout(order_log(spark, sf_dir), "packages")
 
 
 @_query()
 def visible_successions(spark, sf_dir):
-    net = conformance.discover_net(_orders(spark, sf_dir).flat("items"))
+    net = conformance.discover_net(order_log(spark, sf_dir).flat("items"))
     return spark.createDataFrame(sorted(petri.visible_successions(net)), "src_act string, dst_act string")
