@@ -121,9 +121,29 @@ def test_mixing(spark):
 
 def test_splitting_tree():
     quotas = [100, 3, 0, 57]
-    tree = mixing.split_quotas(quotas, 16)
-    assert np.array(tree).sum(0).tolist() == quotas and {sum(r) for r in tree} == {10}
-    assert tree == mixing.split_quotas(quotas, 16) and tree != mixing.split_quotas(quotas, 16, seed=1)
+    source, shard, n = mixing.split_quotas(quotas, 16)
+    assert np.bincount(source, n, 4).tolist() == quotas and np.bincount(shard, n).tolist() == [10] * 16 and n.min() > 0
+    again, other = mixing.split_quotas(quotas, 16), mixing.split_quotas(quotas, 16, seed=1)
+    assert np.array_equal(n, again[2]) and not (len(n) == len(other[2]) and np.array_equal(n, other[2]))
+    assert [len(x) for x in mixing.split_quotas([0], 4)] == [len(x) for x in mixing.split_quotas([], 4)] == [0, 0, 0]
+
+
+def test_blocks_that_fit_come_after_one_that_does_not(spark):
+    sized = spark.createDataFrame([("s", 0, 400), *(("s", k, 50) for k in range(1, 13))], "key string, block int, words long")
+    wanted = spark.createDataFrame([("s", 1000, 300.0)], "key string, source_size long, target double")
+    for seed in range(6):  # wherever the large block comes in the order
+        r = mixing.choose_blocks(sized, wanted, seed).where("extra").collect()
+        assert sorted(x.block for x in r) == sorted({x.block for x in r}) and len(r) == 6 and 0 not in {x.block for x in r}
+
+
+def test_shards_and_blocks_follow_the_sizes(spark):
+    assert [mixing._within(x, 2048, 65536) for x in (0, 2048, 2049, 5e4, 1e9)] == [2048, 2048, 4096, 65536, 65536]
+    d = docs(spark, [(k, "w " * 500) for k in range(300)], source=dict.fromkeys(range(300), "s"))
+    whole = mixing.mix(d, shards=5)
+    assert whole.rdd.getNumPartitions() == 5
+    at = whole.selectExpr("spark_partition_id() as p", "mix_shard").distinct().collect()
+    assert sorted((r.p, r.mix_shard) for r in at) == [(k, k) for k in range(5)]
+    assert mixing.mix(d).rdd.getNumPartitions() == 1
 
 
 def test_tokens(spark):

@@ -3,8 +3,8 @@
 1.  Sizes (words) are summed by source, and targets are shared out by weight; a target stops at
     ``cap`` times its source's size and the excess goes to the others by weight.
 2.  Each source is dealt into blocks by a hash of its documents. A target is some whole passes over
-    the source and a rest: blocks in permuted order up to the rest, then the one block left whose
-    size comes nearest to the gap. That gives an exact number of blocks, the quota of the source.
+    the source and a rest: blocks in permuted order that fit into the rest, then the one block left
+    whose size comes nearest to the gap. That gives an exact number of blocks, the quota of the source.
 3.  The splitting tree: all quotas are at the root; a node's left half of the output shards gets a
     multivariate-hypergeometric draw from the node's quotas, the right half what is left, down to
     single shards. So every shard has the composition that one global shuffle of the blocks would
@@ -13,20 +13,32 @@
     its documents are put in a random order within the shard alone.
 
 Blocks are hash buckets, so a source with a third of all rows is spread over as many keys as it has
-blocks. The quota tree is a table of sources and shards; no rows of documents ever meet in one task.
+blocks. Sizes are first summed by small buckets; how many of them make a block, and how many shards
+there are, follows from the sums. The quota tree has a number for each source and shard that meet, at
+most one for each block that is taken; no rows of documents ever meet on the driver.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.llm.common import BLANKS, pieces
-from weftlog.plans.scratch import materialize
+from weftlog.plans.scratch import materialize, passing_tables
+from weftlog.plans.sizing import sized as sized_plan
 
-#: Blocks of a source, output shards, the seed of permutations and draws, and sources that a mix may have.
-BLOCKS, SHARDS, SEED, MAX_SOURCES = 2048, 64, 20240607, 100_000
+#: Words of a block of the whole and of a shard, where the numbers of both lie within their bounds.
+BLOCK_WORDS, SHARD_WORDS = 1 << 16, 1 << 22
+#: Blocks of a source: the least, and the number of small buckets, the most. Shards at most.
+LEAST_BLOCKS, MOST_BLOCKS, MOST_SHARDS = 1 << 11, 1 << 16, 1 << 16
+#: The seed of permutations and draws, sources that a mix may have, rows of a plan that is broadcast (under 100 bytes each).
+SEED, MAX_SOURCES, BROADCAST_ROWS = 20240607, 100_000, 500_000
+#: Rounds in which blocks are looked for that still fit.
+FILLS = 4
 
 
 def size_of(text: Column) -> Column:
@@ -69,58 +81,68 @@ def block_of(docs: DataFrame, blocks: int, seed: int) -> Column:
 def choose_blocks(sized: DataFrame, wanted: DataFrame, seed: int = SEED) -> DataFrame:
     """(key, block, passes, extra): how often each block is taken whole, and whether once more.
 
-    sized: (key, block, words); wanted: (key, source_size, target).
+    sized: (key, block, words); wanted: (key, source_size, target). A round takes blocks in permuted order
+    as long as they fit into what the rounds before have left, passing over those that are larger than
+    all of that; after the last, one block is added if that comes nearer to the target.
     """
     b = sized.join(wanted, "key").withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    b = b.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    permuted = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block")
+    b = b.withColumn("gap", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("in", F.lit(False))
+    permuted = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("key")
-    b = b.withColumn("upto", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
-    b = b.withColumn("in", F.col("upto") <= F.col("rest"))
-    b = b.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("in"), F.col("upto"))).over(whole), F.lit(0)))
+    for _ in range(FILLS):
+        fits = ~F.col("in") & (F.col("words") <= F.col("gap"))
+        b = b.withColumn("upto", F.when(fits, F.sum(F.when(fits, F.col("words")).otherwise(0)).over(permuted)))
+        b = b.withColumn("new", F.coalesce(F.col("upto") <= F.col("gap"), F.lit(False)))
+        b = b.withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("new"), F.col("upto"))).over(whole), F.lit(0))).withColumn("in", F.col("in") | F.col("new"))
     out = F.when(~F.col("in"), F.struct(F.abs(F.col("gap") - F.col("words")).alias("off"), F.col("block")))
     b = b.withColumn("best", F.min(out).over(whole))
     top_up = (F.col("best.block") == F.col("block")) & ~F.col("in") & (F.col("best.off") < F.col("gap"))
     return b.select("key", "block", "passes", F.coalesce(F.col("in") | top_up, F.lit(False)).alias("extra"))
 
 
-def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> list[list[int]]:
-    """The splitting tree: quotas of the sources to a row of quotas for each shard.
+def split_quotas(quotas: list[int], shards: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The splitting tree: quotas of the sources to (source, shard, quota), without the zeros, in order of shard and source.
 
     Shards get equal numbers of blocks, give or take one. A node draws from a generator of its own
     seed, so that the outcome depends on nothing but the quotas, the shards and the seed.
     """
-    out: list[list[int]] = [[] for _ in range(shards)]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     total = sum(quotas)
     edge = [total * k // shards for k in range(shards + 1)]
 
-    def node(lo: int, hi: int, have: np.ndarray) -> None:
+    def node(lo: int, hi: int, source: np.ndarray, have: np.ndarray) -> None:
+        source, have = source[have > 0], have[have > 0]
+        if not len(source):
+            return
         if hi - lo == 1:
-            out[lo] = have.tolist()
+            out.append((source, np.full(len(source), lo), have))
             return
         mid = (lo + hi) // 2
-        draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, edge[mid] - edge[lo])
-        node(lo, mid, draw)
-        node(mid, hi, have - draw)
+        draw = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(have, edge[mid] - edge[lo], method="marginals")
+        node(lo, mid, source, draw)
+        node(mid, hi, source, have - draw)
 
-    node(0, shards, np.array(quotas, np.int64))
-    return out
+    node(0, shards, np.arange(len(quotas)), np.array(quotas, np.int64))
+    return tuple(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
 
 
-def placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Every row of docs once, with mix_size, mix_source_size, mix_target and mix_shards.
+def _within(n: float, least: int, most: int) -> int:
+    """The power of two that is not below n, within bounds that are such powers."""
+    return min(most, max(least, 1 << max(0, math.ceil(n) - 1).bit_length()))
 
-    mix_shards is an array of the output shards that take the row, one entry for each time it is
-    taken (none: the mix leaves it out; at most ``cap``). A null or empty text has size 0. A null
-    source is a source of its own, last in order. Columns of docs stay as they are; ties and
-    repeated rows go the same way, as a block is a hash of doc_id and text. An empty table, and
-    one whose texts have no words, gives targets of 0.
-    """
+
+def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, blocks: int | None = None, shards: int | None = None, seed: int = SEED) -> tuple[DataFrame, int]:
+    """placed() and the number of shards."""
     spark = docs.sparkSession
-    named = docs.withColumns({"mix_size": size_of(F.col("text")), "mix_key": _key(F.col("source")), "mix_block": block_of(docs, blocks, seed)})
-    sized = materialize(named.groupBy("mix_key", "mix_block").agg(F.first("source").alias("source"), F.sum("mix_size").alias("words")).withColumnsRenamed({"mix_key": "key", "mix_block": "block"}), "mix-blocks")
-    per_source = sized.groupBy("source").agg(F.sum("words").alias("source_size"))
+    named = docs.withColumns({"mix_size": size_of(F.col("text")), "mix_key": _key(F.col("source")), "mix_bucket": block_of(docs, blocks or MOST_BLOCKS, seed)})
+    buckets = named.groupBy(F.col("mix_key").alias("key"), F.col("mix_bucket").alias("bucket")).agg(F.first("source").alias("source"), F.sum("mix_size").alias("words"))
+    buckets = materialize(buckets, "mix-buckets")
+    per_source = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = materialize(targets(per_source, weights, share, cap).withColumn("key", _key(F.col("source"))), "mix-targets")
+    whole = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("taken")).first()
+    blocks = blocks or _within(whole["words"] / BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS)
+    shards = shards or min(MOST_SHARDS, max(1, math.ceil(whole["taken"] / SHARD_WORDS)))
+    sized = buckets.groupBy("key", (F.col("bucket") % blocks).alias("block")).agg(F.sum("words").alias("words"))
     chosen = materialize(choose_blocks(sized, goal.select("key", "source_size", "target"), seed), "mix-chosen")
     # each source's taken blocks in permuted order; a pass is a permutation of its own
     tokens = chosen.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("passes") + F.col("extra").cast("int"))).alias("copy")).where("copy > 0")
@@ -128,32 +150,43 @@ def placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     quotas = tokens.groupBy("key").agg(F.count("*").alias("n")).orderBy("key").limit(MAX_SOURCES + 1).collect()
     if len(quotas) > MAX_SOURCES:
         raise ValueError(f"a mix may have {MAX_SOURCES} sources")
-    drawn = split_quotas([q["n"] for q in quotas], shards, seed)
-    stretches, upto = [], [0] * len(quotas)
-    for shard, row in enumerate(drawn):
-        for k, n in enumerate(row):
-            if n:
-                stretches.append((quotas[k]["key"], shard, upto[k] + 1, upto[k] + n))
-                upto[k] += n
-    ranges = spark.createDataFrame(stretches, "key string, shard int, lo long, hi long")
-    by_block = (
-        tokens.join(ranges, "key")
-        .where("at between lo and hi")
-        .groupBy("key", "block")
-        .agg(F.sort_array(F.collect_list("shard")).alias("mix_shards"))
-    )
+    source, shard, n = split_quotas([q["n"] for q in quotas], shards, seed)
+    drawn = spark.createDataFrame(pa.table({"number": pa.array(source, pa.int32()), "shard": pa.array(shard, pa.int32()), "n": pa.array(n, pa.int64())}))
+    names = spark.createDataFrame([(k, q["key"]) for k, q in enumerate(quotas)], "number int, key string")
+    before = F.sum("n").over(Window.partitionBy("number").orderBy("shard")) - F.col("n")
+    stretches = drawn.withColumn("lo", before + 1).join(F.broadcast(names), "number")
+    by_place = stretches.select("key", "shard", F.explode(F.sequence(F.col("lo").cast("int"), (F.col("lo") + F.col("n") - 1).cast("int"))).alias("at"))
+    by_block = tokens.join(by_place, ["key", "at"]).groupBy("key", "block").agg(F.sort_array(F.collect_list("shard")).alias("mix_shards"))
     plan = chosen.select("key", "block").join(by_block, ["key", "block"], "left").join(goal.select("key", "source_size", "target"), "key")
-    plan = materialize(plan.select(F.col("key").alias("mix_key"), F.col("block").alias("mix_block"), F.coalesce("mix_shards", F.array().cast("array<int>")).alias("mix_shards"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix-plan")
-    # the plan has blocks * sources rows at most, whatever the documents; it is broadcast under that bound
-    small = len(quotas) * blocks <= 500_000
-    return named.join(F.broadcast(plan) if small else plan, ["mix_key", "mix_block"], "left").drop("mix_key", "mix_block")
+    plan = materialize(plan.select(F.col("key").alias("mix_key"), F.col("block").alias("mix_block"), F.coalesce("mix_shards", F.array().cast("array<int>")).alias("mix_shards"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix-plan", keep=True)
+    at_block = named.withColumn("mix_block", F.col("mix_bucket") % blocks).drop("mix_bucket")
+    return at_block.join(sized_plan(plan, BROADCAST_ROWS), ["mix_key", "mix_block"], "left").drop("mix_key", "mix_block"), shards
+
+
+def placed(docs: DataFrame, **options) -> DataFrame:
+    """Every row of docs once, with mix_size, mix_source_size, mix_target and mix_shards.
+
+    mix_shards is an array of the output shards that take the row, one entry for each time it is
+    taken (none: the mix leaves it out; at most ``cap``). A null or empty text has size 0. A null
+    source is a source of its own, last in order. Columns of docs stay as they are; ties and
+    repeated rows go the same way, as a block is a hash of doc_id and text. An empty table, and
+    one whose texts have no words, gives targets of 0. Options are weights, share, cap, seed, and
+    the numbers of blocks of a source and of shards, which otherwise follow from the sizes.
+    """
+    with passing_tables(docs.sparkSession):
+        return _placed(docs, **options)[0]
 
 
 def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """The mix itself: columns of docs and mix_shard, a row for each time it is taken, shuffled within shards."""
-    taken = placed(docs, seed=seed, **options).select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    """The mix itself: columns of docs and mix_shard, a row for each time it is taken, a partition for each shard, shuffled within it.
+
+    For nulls, ties and empty tables see placed(); an empty table gives no rows.
+    """
+    with passing_tables(docs.sparkSession):
+        rows, shards = _placed(docs, seed=seed, **options)
+    taken = rows.select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
     order = F.xxhash64(F.lit(seed + 3), "doc_id", "mix_copy", "mix_shard")
-    return taken.repartition("mix_shard").sortWithinPartitions("mix_shard", order).drop("mix_copy")
+    return taken.repartitionById(shards, F.col("mix_shard")).sortWithinPartitions(order).drop("mix_copy")
 
 
 def digests(docs: DataFrame, **options) -> DataFrame:
