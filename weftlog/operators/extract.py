@@ -22,10 +22,16 @@ EXCEPTIONS = ("item out of stock", "reorder item", "payment reminder", "failed d
 
 @dataclass(frozen=True)
 class Executions:
-    """closure (exec_oid, eid) of all leading objects; exclusions (exec_oid, reason_code, foreign_items, foreign_orders, message)."""
+    """Executions of all leading objects.
+
+    related (eid, oid, otype): relations of the hops; closure (exec_oid, eid); items (exec_oid, oid) of the
+    closure; exclusions (exec_oid, reason_code, foreign_items, foreign_orders, message).
+    """
 
     log: ObjectLog
+    related: DataFrame
     closure: DataFrame
+    items: DataFrame
     exclusions: DataFrame
 
     def admissible(self) -> DataFrame:
@@ -47,7 +53,7 @@ def extract(log: ObjectLog, hops: tuple[str, str, str] = STRUCTURAL_TYPES, only:
     repeated = log.events.groupBy("eid").count().where("count > 1").orderBy("eid").limit(1).collect()
     if repeated:
         raise ValueError(f"events has {repeated[0]['eid']} more than once")
-    r = log.relations.select("eid", "oid", "otype").where(F.col("otype").isin(*hops)).distinct()
+    r = materialize(log.relations.select("eid", "oid", "otype").where(F.col("otype").isin(*hops)).distinct(), "hop-relations", by=["otype"])
     of = {t: r.where(F.col("otype") == t).select("eid", "oid") for t in hops}
     first = of[lead].select(F.col("oid").alias("exec_oid"), "eid")
     if only is not None:
@@ -59,7 +65,7 @@ def extract(log: ObjectLog, hops: tuple[str, str, str] = STRUCTURAL_TYPES, only:
     packages = item_events.join(of[package], "eid").select("exec_oid", "oid").distinct()
     package_events = packages.join(of[package], "oid").select("exec_oid", "eid")
     closure = materialize(first.unionByName(item_events).unionByName(package_events).distinct(), "closure")
-    items = closure.join(of[item], "eid").select("exec_oid", "oid").distinct()
+    items = materialize(closure.join(of[item], "eid").select("exec_oid", "oid").distinct(), "hop-closure-items")
     foreign_items = items.join(direct, ["exec_oid", "oid"], "left_anti")
     # orders of other executions: those in the closure, and those of its items anywhere in the log
     links = of[item].select("eid", F.col("oid").alias("item")).join(of[lead], "eid").select("item", "oid").distinct()
@@ -70,7 +76,7 @@ def extract(log: ObjectLog, hops: tuple[str, str, str] = STRUCTURAL_TYPES, only:
     reason = F.when((F.size("foreign_items") > 0) & (F.size("foreign_orders") > 0), "foreign_items_and_orders").when(F.size("foreign_items") > 0, "foreign_items").when(F.size("foreign_orders") > 0, "foreign_orders").otherwise("structural_contamination")
     message = F.format_string("Execution of %s touches %d items and %d orders of others", "exec_oid", F.size("foreign_items"), F.size("foreign_orders"))
     exclusions = materialize(grouped.select("exec_oid", reason.alias("reason_code"), "foreign_items", "foreign_orders", message.alias("message")), "exclusions")
-    return Executions(log, closure, exclusions)
+    return Executions(log, r, closure, items, exclusions)
 
 
 def item_order_links(log: ObjectLog, hops: tuple[str, str, str] = STRUCTURAL_TYPES) -> DataFrame:
@@ -83,8 +89,9 @@ def candidates(found: Executions, hops: tuple[str, str, str] = STRUCTURAL_TYPES,
     """Per leading object: events, items, packages, foreign items and orders, complete, simple, activities."""
     e = found.closure.join(found.log.events.select("eid", "activity"), "eid")
     per_event = e.groupBy("exec_oid").agg(F.count("*").alias("events"), F.sort_array(F.collect_set("activity")).alias("acts"))
-    r = found.log.relations.select("eid", "oid", "otype").where(F.col("otype").isin(*hops[1:])).distinct()
-    per_object = found.closure.join(r, "eid").select("exec_oid", "otype", "oid").distinct().groupBy("exec_oid").agg(F.count_if(F.col("otype") == hops[1]).alias("items"), F.count_if(F.col("otype") == hops[2]).alias("packages"))
+    packages = found.closure.join(found.related.where(F.col("otype") == hops[2]).select("eid", "oid"), "eid").select("exec_oid", "oid").distinct()
+    both = found.items.select("exec_oid", F.lit(True).alias("item")).unionByName(packages.select("exec_oid", F.lit(False).alias("item")))
+    per_object = both.groupBy("exec_oid").agg(F.count_if("item").alias("items"), F.count_if(~F.col("item")).alias("packages"))
     x = found.exclusions.select("exec_oid", F.size("foreign_items").cast("long").alias("fi"), F.size("foreign_orders").cast("long").alias("fo"))
     zero = F.lit(0).cast("long")
     lacking = F.size(F.array_except(F.array(*map(F.lit, complete)), "acts"))
@@ -101,6 +108,11 @@ def candidates(found: Executions, hops: tuple[str, str, str] = STRUCTURAL_TYPES,
     )
 
 
+def exclusion_report(found: Executions, n: int = 5) -> DataFrame:
+    """The first n exclusions by leading object: a report."""
+    return found.exclusions.orderBy("exec_oid").limit(n)
+
+
 def ranked(table: DataFrame, n: int = 15) -> DataFrame:
     """The n smallest complete, simple executions without foreign objects: a report."""
     ok = table.where("complete and simple and foreign_items = 0 and foreign_orders = 0")
@@ -113,6 +125,12 @@ def objects_by_type(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return r.select("exec_id", "otype", "oid").distinct().groupBy("exec_id", "otype").agg(F.count("*").alias("objects"))
 
 
+def involves_object(nodes: DataFrame, relations: DataFrame, otype: str, oid: str) -> DataFrame:
+    """(exec_id, involved): for every execution whether an event of it touches an object."""
+    r = relations.where((F.col("otype") == otype) & (F.col("oid") == oid)).select("eid").distinct().withColumn("hit", F.lit(True))
+    return nodes.select("exec_id", "eid").join(r, "eid", "left").groupBy("exec_id").agg(F.coalesce(F.max("hit"), F.lit(False)).alias("involved"))
+
+
 def events_for_object(nodes: DataFrame, relations: DataFrame, otype: str, oid: str) -> DataFrame:
     """The events of one object in every execution that has it, in order of ts and eid."""
     r = relations.where((F.col("otype") == otype) & (F.col("oid") == oid)).select("eid").distinct()
