@@ -17,6 +17,8 @@ def ascii_lower(c: Column) -> Column:
 
 #: What the op2/op8 words are separated by, and white space.
 NO_WORD, BLANKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x20\x09-\x0D]+"
+#: What separates the same words before A-Z are lowered.
+NO_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def pieces(c: Column, separator: str) -> Column:

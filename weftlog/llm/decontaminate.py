@@ -20,16 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlog.llm.common import words_of
-from weftlog.plans.scratch import materialize
+from weftlog.llm.common import NO_WORD_ANY_CASE, pieces, words_of
+from weftlog.plans.scratch import materialize, measured, passing_tables
+from weftlog.plans.sizing import sized
 
 WINDOW, PROBES = 13, 3
-#: Rows of a benchmark table that are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def _sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: Numbers in alignments, or words of items, that are broadcast (some 50 MB); beyond, they are joined by shuffle.
+BROADCAST_NUMBERS = 2_000_000
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -39,7 +36,7 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each test term stands in the corpus; terms that it lacks have 0."""
-    seen = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(_sized(terms), "term").groupBy("term").count()
+    seen = docs.select(F.explode(words_of(F.col("text"))).alias("term")).join(sized(terms), "term").groupBy("term").count()
     return terms.join(seen, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("freq"))
 
 
@@ -51,29 +48,35 @@ def probes(items: DataFrame, counts: DataFrame, window: int = WINDOW, n: int = P
     return places.join(counts, "term").withColumn("rank", rank).where(F.col("rank") <= n).select("item_id", "item", "start", "at", "term")
 
 
-def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, doc_id, pos) of the given terms in all texts, whole."""
-    return docs.select("doc_id", F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(_sized(terms), "term").select("term", "doc_id", "pos")
+def postings(docs: DataFrame, terms: DataFrame, key: list[str]) -> DataFrame:
+    """(term, key columns of docs, pos) of the given terms in all texts, whole."""
+    return docs.select(*key, F.posexplode(words_of(F.col("text"))).alias("pos", "term")).join(sized(terms), "term").select("term", *key, "pos")
+
+
+def _item_key() -> Column:
+    """What rows of positions carry instead of the item's words."""
+    return F.xxhash64("item_id", "item").alias("item_key")
 
 
-def alignments(found: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
-    """(doc_id, item_id, item, place): places of an item's start at which all probes of some window agree.
+def alignments(found: DataFrame, wanted: DataFrame, key: list[str], slop: int = 0) -> DataFrame:
+    """(key columns, item_key, place): places of an item's start at which all probes of some window agree.
 
     With slop > 0 probes may be up to slop words off; place is then the lowest of the starts that
     the window's first probe asks for.
     """
-    key = F.xxhash64("item_id", "item").alias("key")  # rows of positions carry this, not the item's words
-    wanted = wanted.withColumn("key", key)
-    places = wanted.select("key", "at", "term").distinct()
+    wanted = wanted.withColumn("item_key", _item_key())
+    places = wanted.select("item_key", "at", "term").distinct()
     # an alignment with the places it has, then the windows whose probes are all among them
-    aligned = found.join(_sized(places), "term").select("doc_id", "key", "at", (F.col("pos") - F.col("at")).alias("place"))
+    aligned = found.join(sized(places), "term").select(*key, "item_key", "at", (F.col("pos") - F.col("at")).alias("place"))
     if slop:
         near = F.explode(F.sequence(F.col("place") - slop, F.col("place") + slop))
         aligned = aligned.withColumn("place", near)
-    have = aligned.groupBy("doc_id", "key", "place").agg(F.collect_set("at").alias("have"))
-    need = wanted.groupBy("key", "item_id", "item", "start").agg(F.collect_set("at").alias("ats")).groupBy("key", "item_id", "item").agg(F.collect_list("ats").alias("need"))
+    have = aligned.groupBy(*key, "item_key", "place").agg(F.collect_set("at").alias("have"))
+    windows = wanted.groupBy("item_key", "start").agg(F.collect_set("at").alias("ats"))
+    need = windows.groupBy("item_key").agg(F.collect_list("ats").alias("need"), F.min(F.size("ats")).alias("least"))
     whole = F.exists("need", lambda ats: F.size(F.array_except(ats, "have")) == 0)
-    return have.join(_sized(need), "key").where(whole).select("doc_id", "item_id", "item", "place")
+    # most alignments have one probe by chance: they are told by their number before any window is looked at
+    return have.join(sized(need), "item_key").where(F.size("have") >= F.col("least")).where(whole).select(*key, "item_key", "place")
 
 
 def _starts(words: Column, item: Column, place: Column, window: int) -> Column:
@@ -86,6 +89,26 @@ def _starts(words: Column, item: Column, place: Column, window: int) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(0), n - length), lambda k: F.substring(flags, k + 1, length) == ones), lambda k: k + place)
 
 
+#: Rows of docs are told apart by these: the id, which may be null or repeated, and two hashes of the text.
+_ROW = ["doc_id", "h1", "h2"]
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), "text")
+
+
+def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left with the other columns of right, a table with _ROW."""
+    other = right.withColumnsRenamed({c: f"_{c}" for c in _ROW})
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))
+    return left.join(other, on, how).drop(*[f"_{c}" for c in _ROW])
+
+
+def _wanted(docs: DataFrame, items: DataFrame, window: int, n_probes: int) -> DataFrame:
+    terms = materialize(items.select(F.explode("item").alias("term")).distinct(), "decon-terms")
+    return materialize(probes(items, term_counts(docs, terms), window, n_probes), "decon-probes")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n_probes: int = PROBES) -> DataFrame:
     """For every row of docs (doc_id, text) what of it stands in the items of benchmark (item_id, text).
 
@@ -93,29 +116,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
     sorted, comma-joined ids of items with occurring windows), contaminated (20 * n_hit >=
     n_words and n_hit > 0) and items (their sorted ids). A null or empty text has no words and is
     clean; an item without words or without an id is never found; an item of fewer than ``window``
-    words is one window. Rows of one doc_id are each judged by their own text. Rows with a null
-    doc_id are judged like any other. Other columns are ignored.
+    words is one window. Rows of one doc_id, and rows with a null doc_id, are each judged by their
+    own text. Other columns are ignored; an empty table gives an empty result.
     """
-    docs, items = docs.select("doc_id", "text"), materialize(item_words(benchmark), "decon-items")
-    terms = items.select(F.explode("item").alias("term")).distinct()
-    wanted = materialize(probes(items, term_counts(docs, terms), window, n_probes), "decon-probes")
-    found = postings(docs, wanted.select("term").distinct())
-    aligned = alignments(found, wanted)
-    by_doc = materialize(aligned.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "place")).alias("places")), "decon-alignments")
-    none = F.array().cast(by_doc.schema["places"].dataType)
-    joined = docs.join(by_doc.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
-    words = words_of(F.col("text"))
-    hits = joined.select("doc_id", F.coalesce("places", none).alias("places"), words.alias("words"))
-    occurring = F.transform(
-        "places",
-        lambda p: F.struct(p["item_id"].alias("item_id"), F.least(F.lit(window), F.size(p["item"])).alias("size"), _starts(F.col("words"), p["item"], p["place"], window).alias("starts")),
-    )
-    whole = hits.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter(occurring, lambda p: F.size(p["starts"]) > 0).alias("found"))
+    with passing_tables(docs.sparkSession):
+        return materialize(_contamination(_rows(docs), benchmark, window, n_probes), "decon-digests", keep=True)
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, n_probes: int) -> DataFrame:
+    items, size = measured(item_words(benchmark).withColumn("item_key", _item_key()), "decon-items", F.coalesce(F.sum(F.size("item") + 10), F.lit(0)).alias("words"))
+    wanted = _wanted(docs, items, window, n_probes)
+    found = postings(docs, materialize(wanted.select("term").distinct(), "decon-probe-terms"), _ROW)
+    pairs = alignments(found, wanted, _ROW).groupBy(*_ROW, "item_key").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    pairs, seen = measured(pairs, "decon-alignments", F.coalesce(F.sum(F.size("places") + 10), F.lit(0)).alias("numbers"))
+    # a row for each document and item that align; words are cut between the joins, so once for each
+    aligned = _same_row(docs, F.broadcast(pairs) if seen["numbers"] <= BROADCAST_NUMBERS else pairs)
+    aligned = aligned.select(*_ROW, "item_key", "places", words_of(F.col("text")).alias("words")).join(F.broadcast(items) if size["words"] <= BROADCAST_NUMBERS else items, "item_key")
+    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: _starts(F.col("words"), F.col("item"), p, window))))
+    hits = aligned.select(*_ROW, "item_id", F.least(F.lit(window), F.size("item")).alias("size"), starts.alias("starts")).where("size(starts) > 0")
+    hits = materialize(hits, "decon-hits").groupBy(*_ROW).agg(F.collect_list(F.struct("item_id", "size", "starts")).alias("found"))
     inside = F.flatten(F.flatten(F.transform("found", lambda p: F.transform(p["starts"], lambda s: F.sequence(s, s + p["size"] - 1)))))
     ids = F.sort_array(F.array_distinct(F.transform("found", lambda p: p["item_id"])))
-    out = whole.select("doc_id", "n_words", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), ids.alias("items"))
-    # written once: a filter on the result would otherwise be pushed below the words and cut them again for every place
-    digests = out.select(
+    hits = hits.select(*_ROW, F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), ids.alias("items"))
+    out = _same_row(docs.select(*_ROW, F.size(pieces(F.col("text"), NO_WORD_ANY_CASE)).cast("long").alias("n_words")), hits, "left")
+    out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(
         "doc_id",
         "n_words",
         "n_hit",
@@ -124,14 +149,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
         "items",
     )
-    return materialize(digests, "decon-digests")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int = WINDOW, n_probes: int = PROBES) -> DataFrame:
-    """(doc_id, item_id): documents in which the rarest terms of some window of an item stand within slop words of their places."""
-    docs, items = docs.select("doc_id", "text"), materialize(item_words(benchmark), "decon-items")
-    wanted = materialize(probes(items, term_counts(docs, items.select(F.explode("item").alias("term")).distinct()), window, n_probes), "decon-probes")
-    return alignments(postings(docs, wanted.select("term").distinct()), wanted, slop).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): documents in which the rarest terms of some window of an item stand within slop words of their places.
+
+    Rows of one doc_id count as one; a null doc_id is found like any other. Empty tables and texts find nothing.
+    """
+    items = materialize(item_words(benchmark).withColumn("item_key", _item_key()), "decon-items")
+    wanted = _wanted(docs, items, window, n_probes)
+    found = alignments(postings(_rows(docs), wanted.select("term").distinct(), _ROW), wanted, _ROW, slop)
+    return found.join(items, "item_key").select("doc_id", "item_id").distinct()
 
 
 #: The same from all windows of 13 words, without an index.
