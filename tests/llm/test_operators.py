@@ -10,6 +10,8 @@ import zlib
 import numpy as np
 import pytest
 from conftest import rows
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from weftlog.llm import chat, decontaminate, embeddings, html, langid, licenses, minhash, mixing, tokens, toxicity
 
@@ -165,15 +167,78 @@ def test_tokens(spark):
     found = [x for x in (tokens.get(f, 6) for f in files) if x is not None]
     assert len(found) == 1 and found[0].tolist() == [*plain.encode(texts[6], add_special_tokens=False).ids, 2]
     assert all(tokens.get(f, 10**9) is None for f in files)
+    shards = manifest.orderBy("shard").collect()
+    assert shards[0].first_key is None and all(a.last_key < b.first_key for a, b in zip(shards, shards[1:], strict=False))
+    asked = spark.createDataFrame([(k,) for k in (6, 2, 2, None, 10**9, -5, len(texts) - 1)], "doc_id long")
+    got = sorted((repr(r.doc_id), r.ids) for r in tokens.lookup(manifest, asked).collect())
+    assert got == sorted((repr(k), [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for k, t in data if k in (6, 2, None, len(texts) - 1))
     assert tokens.token_digests(docs(spark, data).limit(0), path, 2).count() == 0
+    assert tokens.lookup(tokens.write_shards(docs(spark, data).limit(0), path, 2), asked).count() == 0
+
+
+def test_string_keys(spark):
+    path = tokens.tokenizer_path()
+    d = spark.createDataFrame([(f"k{k:03d}", f"text {k}") for k in range(300)] + [("k007", "more")], "doc_id string, text string").repartition(4)
+    manifest = tokens.write_shards(d, path, 2)
+    got = tokens.read_digests(manifest, "string").orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([f"k{k:03d}" for k in range(300)] + ["k007"])
+    asked = spark.createDataFrame([("k007",), ("k299",), ("k3",)], "doc_id string")
+    assert sorted(r.doc_id for r in tokens.lookup(manifest, asked).collect()) == ["k007", "k007", "k299"]
+
+
+def test_rows_of_one_key_beyond_a_batch(spark):
+    d = spark.range(45_000).selectExpr("7L as doc_id", "cast(id % 3 as string) as text").coalesce(1)
+    got = sorted(r.start for r in tokens.read_digests(tokens.write_shards(d, tokens.tokenizer_path(), 2)).collect())
+    assert got == list(range(0, 90_000, 2))
+
+
+def test_index_reads_do_not_grow_with_the_shard(tmp_path):
+    reads = {}
+    for n in (1_000, 64_000):
+        h = tokens.key_hashes(list(range(n)))
+        (tmp_path / f"{n}.idx").write_bytes(tokens._index_bytes(h, [3] * n, 2))
+        (tmp_path / f"{n}.ids").write_bytes(np.repeat(np.arange(n, dtype="<u2"), 3).tobytes())
+        with tokens.Shard(f"file://{tmp_path}/{n}") as shard:
+            taken, plain = [], shard._numbers
+            shard._numbers = lambda at, m, taken=taken, plain=plain: taken.append(m) or plain(at, m)
+            for k in range(0, n, n // 500):
+                assert shard.ids_of(*shard.find(k))[0].tolist() == [k] * 3
+            assert shard.find(n) is None and shard.find("x") is None and shard.find(None) is None
+        reads[n] = sum(taken) / 500
+    assert reads[64_000] < 1.2 * reads[1_000] < 20
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=60), st.text(alphabet="ab ,.\n'9é_-\t", max_size=60), st.lists(st.sampled_from(["the", "word", "it's", ",", ".", " ", "\n", "12", "naïve", "<|endoftext|>"]), max_size=20).map(" ".join)), max_size=6))
+def test_remembered_pieces_give_what_the_library_gives(texts):
+    path = tokens.tokenizer_path()
+    encoder = tokens.encoder_of(path)
+    assert encoder.cuts
+    got = [np.frombuffer(x, encoder.dtype).tolist() for x in encoder.encode(texts)]
+    assert got == [encoder.tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    def with_model(pre, **kw):
+        t = Tokenizer(models.BPE(vocab={"a": 0, "Ġ": 1, "b": 2, "aĠ": 3}, merges=[("a", "Ġ")], **kw))
+        t.pre_tokenizer = pre
+        return t
+
+    for k, t in enumerate((with_model(pre_tokenizers.ByteLevel(add_prefix_space=True)), with_model(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)), with_model(pre_tokenizers.ByteLevel(add_prefix_space=False), dropout=0.5))):
+        t.save(str(tmp_path / f"{k}.json"))
+        assert not tokens.Encoder(str(tmp_path / f"{k}.json")).cuts
+    one = tokens.Encoder(str(tmp_path / "1.json"))
+    assert np.frombuffer(one.encode(["a b a"])[0], one.dtype).tolist() == one.tok.encode("a b a", add_special_tokens=False).ids
 
 
 def test_perfect_hash():
     h = tokens.key_hashes(list(range(20_000)))
     index = tokens.build_index(h)
-    assert sorted(tokens.find_slots(index, h).tolist()) == list(range(20_000))
-    assert (tokens.find_rows(index, h) == np.arange(20_000)).all()
-    assert (tokens.find_rows(index, tokens.key_hashes(["a", None, -1])) == -1).all()
+    slots = tokens.find_slots(index, h)
+    assert sorted(slots.tolist()) == list(range(20_000))
+    assert len(tokens.build_index(h[:0])["bits"]) == 0 and tokens.find_slots(tokens.build_index(h[:0]), h[:2]).tolist() == [-1, -1]
 
 
 def test_embeddings(spark):

@@ -4,14 +4,18 @@ A data set is a folder of shards, each a range of ascending doc_id:
 
 ``<shard>.ids``  the raw ids of its documents one after another, little-endian, two bytes each where
                  the vocabulary allows it, otherwise four; every document ends with ``end_id``.
-``<shard>.idx``  an npz file: the keys in payload order, the id offsets (one more than the keys), and
-                 the index: the bit vector of every level of the minimal perfect hash, counts of the
-                 bits before each 64-bit word, and by slot the stored fingerprint and the row.
+``<shard>.idx``  a head of fixed size and then arrays of 64-bit numbers at places that the head tells:
+                 the blocks of the minimal perfect hash, each 64 bits and the number of bits set
+                 before them, and by slot the fingerprint, the first row and the number of rows.
+                 Then the id offsets (one more than the rows).
+``<shard>.key``  the keys in payload order, for reading all of them.
 
 A key is hashed to 64 bits. At a level of the hash, keys that fall on a place alone set its bit and
 the others go on to the next level; the slot of a key is the number of bits before its own. The
-fingerprint in the slot tells keys that are not in the shard. So an access reads one slot, two
-offsets and one slice of the payload.
+fingerprint in the slot tells keys that are not in the shard. So an access reads the head, one block
+of each level it passes (fewer than three on average), one slot, two offsets and one slice of the
+payload, however large the shard is. The manifest has the first and last key of each shard, by
+which lookup() sends keys to shards.
 
 Tasks write under names of their own attempt, and the manifest, a table, names the files of the
 attempts that count: a repeated or lost attempt leaves at most files that nothing reads.
@@ -20,10 +24,11 @@ attempts that count: a repeated or lost attempt leaves at most files that nothin
 from __future__ import annotations
 
 import hashlib
-import io
+import json
 import os
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,10 +55,21 @@ _EDGES, _MARKS = ("  ", "\n\n", " \n", "\n "), re.compile(r"[^\w][,.]|_[,.]")
 MEMORY = 1_000_000
 
 
+def cuts_as_known(tokenizer: str) -> bool:
+    """Whether a tokenizer file (JSON text) is one whose cuts are known here: byte-level pairs with the usual
+    pattern, and nothing before, after or instead that changes texts."""
+    t = json.loads(tokenizer)
+    pre, model = t.get("pre_tokenizer") or {}, t.get("model") or {}
+    usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    plain = model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("ignore_merges", False)
+    return bool(usual and plain and not t.get("normalizer") and not t.get("truncation") and not t.get("padding"))
+
+
 class Encoder:
     """Ids of texts as bytes of one integer type, with a bounded memory of pieces.
 
     A piece that starts with a line feed, comma or full stop stands for itself, any other for itself after a space.
+    Texts are cut in pieces only for a tokenizer whose cuts are known; others encode whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,6 +77,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.cuts = cuts_as_known(self.tok.to_str())
         self.added = tuple(x.content for x in self.tok.get_added_tokens_decoder().values())  # each is one id wherever it stands
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
         self.size = np.ones(self.tok.get_vocab_size(), np.int64)
@@ -91,7 +108,7 @@ class Encoder:
 
     def _pieces(self, text: str) -> list[str] | None:
         """The first piece, which follows no space, and the others; None if the text is not plain or has an added token."""
-        if any(x in text for x in _EDGES) or any(x in text for x in self.added) or not _PLAIN.fullmatch(text):
+        if not self.cuts or any(x in text for x in _EDGES) or any(x in text for x in self.added) or not _PLAIN.fullmatch(text):
             return None
         text = text.replace("\n", " \n")
         if not _MARKS.search(text):
@@ -146,52 +163,61 @@ def _place(h: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(h + np.uint64(0x9E3779B97F4A7C15 * (level + 1) % 2**64)) % np.uint64(size)).astype(np.int64)
 
 
+#: 64-bit numbers of the head: mark, width of an id, rows, keys, levels, and up to MOST_LEVELS sizes of levels in blocks.
+HEAD, MOST_LEVELS, MARK = 64, 59, 0x7368617264303032
+_ONE = np.uint64(1)
+
+
+def _ones(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).astype(np.int64)
+
+
 def build_index(h: np.ndarray) -> dict[str, np.ndarray]:
-    """The hash of distinct 64-bit hashes, and by slot the fingerprint and the row."""
-    bits, sizes, rest = [], [], h
+    """The hash of distinct 64-bit hashes: the levels' sizes in blocks, the blocks' bits and the bits before each."""
+    words, levels, rest = [], [], h
     while len(rest):
-        if len(sizes) > 200:
+        if len(levels) == MOST_LEVELS:
             raise ValueError("two keys have one hash")
-        size = -(-2 * len(rest) // 64) * 64
-        place = _place(rest, len(sizes), size)
-        alone = np.bincount(place, minlength=size) == 1
-        bits.append(alone)
-        sizes.append(size)
+        blocks = -(-2 * len(rest) // 64)
+        place = _place(rest, len(levels), 64 * blocks)
+        alone = np.bincount(place, minlength=64 * blocks) == 1
+        words.append(np.packbits(alone, bitorder="little").view("<u8"))
+        levels.append(blocks)
         rest = rest[~alone[place]]
-    flat = np.concatenate(bits) if bits else np.zeros(0, bool)
-    out = {"bits": np.packbits(flat), "sizes": np.array(sizes, np.int64)}
-    out["before"] = np.concatenate(([0], np.cumsum(flat.reshape(-1, 64).sum(1)))).astype(np.int64)
-    slot = find_slots(out, h)
-    out["print"], out["row"] = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
-    out["print"][slot], out["row"][slot] = h, np.arange(len(h))
-    return out
+    bits = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    before = np.cumsum(_ones(bits)) - _ones(bits)
+    return {"levels": np.array(levels, np.int64), "bits": bits, "before": before}
 
 
 def find_slots(index: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
     """The slot of each hash, or -1 where no level has its bit."""
-    flat = np.unpackbits(index["bits"])
     slot, start, todo = np.full(len(h), -1, np.int64), 0, np.arange(len(h))
-    for level, size in enumerate(index["sizes"].tolist()):
-        at = start + _place(h[todo], level, size)
-        hit = flat[at] == 1
-        word, bit = np.divmod(at[hit], 64)
-        mine = flat.reshape(-1, 64)[word] * (np.arange(64) < bit[:, None])
-        slot[todo[hit]] = index["before"][word] + mine.sum(axis=1)
-        todo, start = todo[~hit], start + size
+    for level, blocks in enumerate(index["levels"].tolist()):
+        word, bit = np.divmod(_place(h[todo], level, 64 * blocks), 64)
+        have, bit = index["bits"][start + word], bit.astype(np.uint64)
+        hit = (have >> bit) & _ONE == _ONE
+        below = have[hit] & ((_ONE << bit[hit]) - _ONE)
+        slot[todo[hit]] = index["before"][start + word[hit]] + _ones(below)
+        todo, start = todo[~hit], start + blocks
     return slot
 
 
-def find_rows(index: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
-    """The first row of each key, or -1 where its fingerprint is not in the slot."""
-    slot = find_slots(index, h)
-    ok = slot >= 0
-    ok[ok] = index["print"][slot[ok]] == h[ok]
-    out = np.full(len(h), -1, np.int64)
-    out[ok] = index["row"][slot[ok]]
-    return out
+# --- shards --------------------------------------------------------------------------------------
 
 
-# --- shards --------------------------------------------------------------------------------------
+def _index_bytes(h: np.ndarray, sizes: list[int], width: int) -> bytes:
+    """An index file of rows whose keys have the hashes h, rows of one key side by side."""
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    index = build_index(h[first])
+    slot = find_slots(index, h[first])
+    slots = np.zeros((len(first), 3), "<u8")
+    slots[slot, 0], slots[slot, 1], slots[slot, 2] = h[first], first, np.diff(np.append(first, len(h)))
+    head = np.zeros(HEAD, "<u8")
+    head[:5] = MARK, width, len(h), len(first), len(index["levels"])
+    head[5 : 5 + len(index["levels"])] = index["levels"]
+    blocks = np.stack([index["bits"], index["before"].astype("<u8")], 1)
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
+    return b"".join(x.tobytes() for x in (head, blocks, slots, offsets))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
@@ -199,7 +225,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
 
     Rows go to shards by ranges of doc_id, nulls first; rows of one doc_id stand together in one
     shard. A null or empty text has the end id alone. Other columns are ignored, and an empty
-    table gives an empty manifest (shard, file, first_key, n_docs, n_tokens, start).
+    table gives an empty manifest (shard, file, first_key, last_key, n_docs, n_tokens, start).
     """
     spark = docs.sparkSession
     path = path or scratch_path(spark, "token-shards")
@@ -209,85 +235,173 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, base = pyarrow.fs.FileSystem.from_uri(path)
-        encoder = end = out = None
-        keys: list = []
+        encoder = end = out = keys_out = None
+        hashes: list[np.ndarray] = []
         sizes: list[int] = []
+        first = last = None
         for batch in batches:
             if encoder is None:
                 encoder = encoder_of(tokenizer)
                 end = np.array([end_id], encoder.dtype).tobytes()
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}.ids")
+                keys_out = pa.ipc.new_stream(key_file := fs.open_output_stream(f"{base}/{name}.key"), pa.schema([batch.schema.field("doc_id")]))
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 for ids in encoder.encode([x or "" for x in part.column("text").to_pylist()]):
                     out.write(ids + end)
                     sizes.append(len(ids) // encoder.dtype.itemsize + 1)
-                keys += part.column("doc_id").to_pylist()
+            keys = batch.column("doc_id").to_pylist()
+            if keys:
+                first, last = (keys[0] if not hashes else first), keys[-1]
+                hashes.append(key_hashes(keys))
+                keys_out.write_batch(batch.select(["doc_id"]))
         if out is None:
             return
         out.close()
-        h = key_hashes(keys)
-        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        index = build_index(h[first])
-        index["row"] = first[index["row"]]
-        held = io.BytesIO()
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        known = np.array([k is not None for k in keys])
-        stored = np.array([k if k is not None else (0 if kind in ("bigint", "int", "smallint", "tinyint") else "") for k in keys])
-        np.savez(held, keys=stored, known=known, offsets=offsets, width=encoder.dtype.itemsize, **index)
+        keys_out.close()
+        key_file.close()
         with fs.open_output_stream(f"{base}/{name}.idx") as f:
-            f.write(held.getvalue())
-        yield pa.record_batch([pa.array([task.partitionId()], pa.int64()), [f"{path}/{name}"], pa.array([len(keys)], pa.int64()), pa.array([int(offsets[-1])], pa.int64())], ["shard", "file", "n_docs", "n_tokens"])
+            f.write(_index_bytes(np.concatenate(hashes), sizes, encoder.dtype.itemsize))
+        key_type = batch.schema.field("doc_id").type
+        row = [pa.array([task.partitionId()], pa.int64()), [f"{path}/{name}"], pa.array([first], key_type), pa.array([last], key_type), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())]
+        yield pa.record_batch(row, ["shard", "file", "first_key", "last_key", "n_docs", "n_tokens"])
 
     ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    manifest = materialize(ranged.mapInArrow(write, "shard long, file string, n_docs long, n_tokens long"), "token-manifest")
+    manifest = materialize(ranged.mapInArrow(write, f"shard long, file string, first_key {kind}, last_key {kind}, n_docs long, n_tokens long"), "token-manifest", keep=True)
     # one row a shard: a running sum over a few rows
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
-def open_shard(file: str) -> tuple[dict[str, np.ndarray], pa.NativeFile]:
-    """The index and the open payload of a shard."""
-    fs, base = pyarrow.fs.FileSystem.from_uri(file)
-    with fs.open_input_file(f"{base}.idx") as f:
-        index = dict(np.load(io.BytesIO(f.read()), allow_pickle=False))
-    return index, fs.open_input_file(f"{base}.ids")
+class Shard:
+    """An open shard. Only the head of the index is held; an access reads what it needs by place."""
+
+    def __init__(self, file: str) -> None:
+        self.fs, base = pyarrow.fs.FileSystem.from_uri(file)
+        self.base, self.idx, self.ids = base, self.fs.open_input_file(f"{base}.idx"), self.fs.open_input_file(f"{base}.ids")
+        head = self._numbers(0, HEAD)
+        if head[0] != MARK:
+            raise ValueError(f"{file}: not a shard's index")
+        self.width, self.rows, self.keys = (int(x) for x in head[1:4])
+        self.levels = head[5 : 5 + int(head[4])].astype(np.int64).tolist()
+        self.slots_at = HEAD + 2 * sum(self.levels)
+        self.offsets_at = self.slots_at + 3 * self.keys
+
+    def __enter__(self) -> Shard:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.idx.close()
+        self.ids.close()
+
+    def _numbers(self, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.idx.read_at(8 * n, 8 * at), "<u8")
+
+    def find(self, key) -> tuple[int, int] | None:
+        """The first row of a key and how many it has, or None."""
+        h = key_hashes([key])
+        start = 0
+        for level, blocks in enumerate(self.levels):
+            word, bit = divmod(int(_place(h, level, 64 * blocks)[0]), 64)
+            bits, before = self._numbers(HEAD + 2 * (start + word), 2).tolist()
+            if bits >> bit & 1:
+                slot = before + (bits & ((1 << bit) - 1)).bit_count()
+                fingerprint, row, n = self._numbers(self.slots_at + 3 * slot, 3).tolist()
+                return (row, n) if fingerprint == int(h[0]) else None
+            start += blocks
+        return None
+
+    def ids_of(self, row: int, n: int = 1) -> list[np.ndarray]:
+        """The ids of n rows from one on."""
+        at = self._numbers(self.offsets_at + row, n + 1).astype(np.int64)
+        data = np.frombuffer(self.ids.read_at(int(at[-1] - at[0]) * self.width, int(at[0]) * self.width), f"<u{self.width}")
+        return np.split(data, at[1:-1] - at[0])
+
+    def whole(self) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """The hash, the slots and the offsets, for reading all of a shard."""
+        blocks = self._numbers(HEAD, 2 * sum(self.levels)).reshape(-1, 2)
+        index = {"levels": np.array(self.levels, np.int64), "bits": blocks[:, 0], "before": blocks[:, 1].astype(np.int64)}
+        return index, self._numbers(self.slots_at, 3 * self.keys).reshape(-1, 3), self._numbers(self.offsets_at, self.rows + 1).astype(np.int64)
 
 
-def ids_at(index: dict[str, np.ndarray], payload: pa.NativeFile, row: int) -> np.ndarray:
-    """The ids of one document, by one read of the payload."""
-    width, (lo, hi) = int(index["width"]), index["offsets"][row : row + 2].tolist()
-    return np.frombuffer(payload.read_at((hi - lo) * width, lo * width), f"<u{width}")
+def get(file: str, key) -> np.ndarray | None:
+    """The ids of a key's first row in constant time, or None if the shard does not have it."""
+    with Shard(file) as shard:
+        found = shard.find(key)
+        return None if found is None else shard.ids_of(found[0])[0]
 
 
-def get(file: str, key) -> np.ndarray | None:
-    """The ids of a key in constant time, or None if the shard does not have it."""
-    index, payload = open_shard(file)
-    row = int(find_rows(index, key_hashes([key]))[0])
-    return None if row < 0 else ids_at(index, payload, row)
+def lookup(manifest: DataFrame, keys: DataFrame) -> DataFrame:
+    """(doc_id, ids): the ids of every row of the documents named in keys (doc_id); unknown keys give no rows.
+
+    A key's shard is found by bisection over the shards' first keys, which the driver reads from the manifest, a
+    row for each shard. Each shard's keys are read in a task. Repeated keys count once; a null key finds the
+    rows without a doc_id; empty tables give no rows.
+    """
+    kind = keys.schema["doc_id"].dataType.simpleString()
+    shards = [(r["file"], r["first_key"]) for r in manifest.select("shard", "file", "first_key").orderBy("shard").collect()]
+    empty = [file for file, first in shards if first is None]
+    firsts = [first for _, first in shards if first is not None]
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            at = [-1 if k is None else bisect_right(firsts, k) + len(empty) - 1 for k in ids]
+            files = [(empty[0] if empty else None) if k is None else shards[n][0] if n >= 0 else None for k, n in zip(ids, at, strict=True)]
+            yield pa.record_batch([pa.array(files, pa.string()), batch.column("doc_id")], ["file", "doc_id"])
+
+    routed = keys.select("doc_id").distinct().mapInArrow(route, f"file string, doc_id {kind}").where("file is not null")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[str, Shard] | None = None
+        for batch in batches:
+            found, ids = [], []
+            for k, (file, key) in enumerate(zip(batch.column("file").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+                if held is None or held[0] != file:
+                    held = (file, Shard(file))
+                if at := held[1].find(key):
+                    for x in held[1].ids_of(*at):
+                        found.append(k)
+                        ids.append(x.astype(np.int64))
+            yield pa.record_batch([batch.column("doc_id").take(pa.array(found, pa.int64())), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return routed.repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(read, f"doc_id {kind}, ids array<bigint>")
 
 
 def read_digests(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, each found through its shard's index."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, each found through its shard's index.
+
+    An empty manifest gives no rows; a null doc_id is read like any other.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                index, payload = open_shard(file)
-                keys = [k if ok else None for k, ok in zip(index["keys"].tolist(), index["known"].tolist(), strict=True)]
-                h = key_hashes(keys)
-                first = np.concatenate(([True], h[1:] != h[:-1]))
-                rows = find_rows(index, h)
-                if (rows < 0).any():
-                    raise ValueError(f"{file}: a key is not in the index")
-                at = np.arange(len(h))
-                rows += at - np.maximum.accumulate(np.where(first, at, 0))  # further rows of one key follow its first
-                crc = [zlib.crc32(ids_at(index, payload, r).astype("<u4").tobytes()) for r in rows.tolist()]
-                lo, hi = index["offsets"][rows], index["offsets"][rows + 1]
-                for k in range(0, len(keys), 20_000):
-                    s = slice(k, k + 20_000)
-                    yield pa.record_batch([pa.array(keys[s], batch.schema.field("shard").type if kind == "bigint" else None), pa.array(lo[s] + base, pa.int64()), pa.array((hi - lo)[s], pa.int64()), pa.array(crc[s], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                with Shard(file) as shard:
+                    index, slots, offsets = shard.whole()
+                    payload, before = shard.ids.read_buffer(), None
+                    dtype, done, rows_left = f"<u{shard.width}", 0, 0
+                    for part in (p.slice(k, 20_000) for p in pa.ipc.open_stream(shard.fs.open_input_stream(f"{shard.base}.key")) for k in range(0, p.num_rows, 20_000)):
+                        h = key_hashes(part.column("doc_id").to_pylist())
+                        slot = find_slots(index, h)
+                        if (slot < 0).any() or (slots[slot, 0] != h).any():
+                            raise ValueError(f"{file}: a key is not in the index")
+                        # rows of one key follow its first; a key may go on from the part before
+                        same = np.concatenate(([len(h) > 0 and before == h[0]], h[1:] == h[:-1])) if len(h) else np.zeros(0, bool)
+                        at = np.arange(len(h))
+                        run = at - np.maximum.accumulate(np.where(same, -1, at)) if len(h) else at
+                        lead = np.cumprod(same).astype(bool) if len(h) else same  # still the key of the part before
+                        run = np.where(lead, at + rows_left, run)
+                        rows = slots[slot, 1].astype(np.int64) + run
+                        lo, hi = offsets[rows], offsets[rows + 1]
+                        crc = [zlib.crc32(np.frombuffer(payload, dtype, int(b - a), int(a) * shard.width).astype("<u4").tobytes()) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        if len(h):
+                            before, rows_left = h[-1], int(run[-1]) + 1
+                        done += len(h)
+                        yield pa.record_batch([part.column("doc_id"), pa.array(lo + base, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if done != shard.rows:
+                        raise ValueError(f"{file}: {done} keys for {shard.rows} rows")
 
     shards = manifest.select("shard", "file", "start")
     n = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
@@ -295,7 +409,7 @@ def read_digests(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Write docs as token shards and return the digests read back from the files."""
+    """Write docs as token shards and return the digests read back from the files; see write_shards() for nulls and empty tables."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     return read_digests(write_shards(docs, tokenizer, end_id), kind)
 
