@@ -41,3 +41,45 @@ def test_least_agreement():
     assert [minhash.least_agreement(p) for p in (80, 85, 100)] == [34, 39, 64]
     with pytest.raises(ValueError):
         minhash.least_agreement(10)
+
+
+def test_planted_pairs_near_the_threshold_are_found(spark):
+    rng = random.Random(13)
+    base = [words(rng, 136, 90_000) for _ in range(300)]
+    near = [altered(t, 20, 70) for t in base]  # 122 of 142 shingles: 0.859
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, list(enumerate([*base, *near])))).collect()}
+    assert all(got[300 + k] == k for k in range(300))
+
+
+def test_long_lists_of_several_components(spark):
+    """A passage that all share makes long lists; texts are linked in a few groups only, some through blocks of their own."""
+    rng = random.Random(14)
+    passage = words(rng, 60, 9000)
+    heads = [words(rng, 60, 9000) for _ in range(5)]
+    texts = [f"{altered(heads[k % 5], k % 50, (7 * k) % 50 + 1)} {passage}" if k % 8 else f"{words(rng, 60, 9000)} {passage}" for k in range(400)]
+    data = list(enumerate(texts))
+    rng.shuffle(data)
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    s, root = {k: sets(t) for k, t in data}, {k: k for k, _ in data}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in s:
+        for j in s:
+            if i < j and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]) and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    for block in (8, 512):
+        was, minhash.BLOCK = minhash.BLOCK, block
+        try:
+            got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, data)).collect()}
+        finally:
+            minhash.BLOCK = was
+        assert got == {k: top(k) for k in s}

@@ -14,9 +14,10 @@ order here is rarest first, which keeps the posting lists short. The steps:
     tokens are the most frequent (the hub) first: a number of pairs linear in the list.
 4.  Candidates that agree in at least T coordinates are confirmed on the full shingle sets, which
     are read again for the documents concerned only.
-5.  Longer lists whose members are by then not all in one component are compared block by block
-    on the full sets, pairs of different components only. No list is capped; no pair that could
-    link two components is left out.
+5.  Longer lists whose members are by then not all in one component are compared block by block,
+    pairs of different components only: first on signatures, then, for the documents that still
+    have a possible partner, on the full sets. No list is capped; no pair that could link two
+    components is left out.
 6.  Components of copies and confirmed links.
 
 T follows from the threshold: the largest for which a pair that just reaches it is missed with a
@@ -187,11 +188,11 @@ def _near_duplicates(docs: DataFrame, n_words: int, percent: int, short_list: in
     links = materialize(_confirm(docs, reps, materialize(counted, "minhash-candidates"), n_words, percent), "minhash-links")
     # 5. long lists that are still in several components
     labels = connected_components(links)
-    labelled = long.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
+    labelled = long.select("token", "doc_id", "n").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id"))
     labelled = materialize(labelled.select("token", "doc_id", "n", "label"), "minhash-labelled")
-    split = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    members = materialize(labelled.join(split.select("token", "members"), "token"), "minhash-unsettled")
-    more = _blocks(members, _sets_of(docs, reps, members.select("doc_id"), n_words), kind, percent)
+    split = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    members = materialize(labelled.join(split.select("token"), "token"), "minhash-unsettled")
+    more = _blocks(docs, reps, members, n_words, percent, least)
     # 6. components of copies and links
     copies = sig.where("n_shingles > 0").join(reps.select("set_key", F.col("doc_id").alias("rep")), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = connected_components(links.unionByName(more).unionByName(copies))
@@ -216,29 +217,71 @@ def _shared(sets: list[np.ndarray], at: int) -> np.ndarray:
     return out
 
 
-def _blocks(members: DataFrame, sets: DataFrame, kind: str, percent: int) -> DataFrame:
-    """Links between different labels within a token's list, found block against block on full sets.
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """members (token, doc_id, n, label) once for every pair of blocks of their list: with p, q and left.
 
-    Each list is cut into blocks of about BLOCK members, and every pair of blocks is a group of
-    its own. A group gives only as many links as it takes to join what it finds linked.
+    A label with many members in a list has blocks of its own, the others share blocks by a hash of the label,
+    and two blocks of one and the same label are no pair: what a list costs is its members times those
+    outside its largest component, in blocks of about BLOCK rows.
     """
-    dealt = (
-        members.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("token", "doc_id", "n", "label", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-        .join(sets, "doc_id")
-    )
+    sizes = members.groupBy("token", "label").agg(F.count("*").alias("size"))
+    small = sizes.where(F.col("size") < BLOCK // 2).groupBy("token").agg(F.ceil(F.sum("size") / BLOCK).alias("shared"))
+    own = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK))
+    block = F.when(F.col("size") < BLOCK // 2, F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("label"), F.col("shared")))).otherwise(F.xxhash64(F.lit("own"), "label", own))
+    dealt = members.join(sizes, ["token", "label"]).join(small, "token", "left").withColumn("block", block).select("token", "doc_id", "n", "label", "block")
+    dealt = materialize(dealt, "minhash-dealt")
+    blocks = materialize(dealt.groupBy("token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "minhash-blocks")
+    one, two = (blocks.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi")]) for k in (1, 2))
+    pairs = one.join(two, "token").where("block1 <= block2 and not (lo1 = hi1 and lo2 = hi2 and lo1 = lo2)").select("token", F.col("block1").alias("p"), F.col("block2").alias("q"))
+    left = dealt.join(pairs.withColumn("block", F.col("p")), ["token", "block"]).withColumn("left", F.lit(True))
+    right = dealt.join(pairs.where("p <> q").withColumn("block", F.col("q")), ["token", "block"]).withColumn("left", F.lit(False))
+    columns = ["token", "p", "q", "left", "doc_id", "n", "label"]
+    return left.select(columns).unionByName(right.select(columns))
+
+
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the left and the right rows; the same ones where a block meets itself."""
+    left = np.flatnonzero(group["left"])
+    return left, left if group["p"].iloc[0] == group["q"].iloc[0] else np.flatnonzero(~group["left"])
+
+
+def _blocks(docs: DataFrame, reps: DataFrame, members: DataFrame, n_words: int, percent: int, least: int) -> DataFrame:
+    """Links between different labels within a token's list, found block against block.
+
+    First signatures are compared, and each pair of blocks names the documents that agree with another in at
+    least T coordinates, have sizes that allow the threshold and a different label. The full sets of these
+    alone are then compared. A pair of blocks gives only as many links as it takes to join what it
+    finds linked.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    dealt = materialize(_block_pairs(members), "minhash-block-rows")
+
+    def promising(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = _sides(group)
+        hit = np.zeros(len(group), bool)
+        if len(left) and len(right) and group["label"].nunique() > 1:
+            sig, n, label = np.stack(group["signature"].to_numpy()), group["n"].to_numpy(), group["label"].to_numpy()
+            for k in range(0, len(left), 64):
+                rows = left[k : k + 64]
+                ok = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2) >= least
+                low, high = np.minimum.outer(n[rows], n[right]), np.maximum.outer(n[rows], n[right])
+                ok &= (100 * low >= percent * high) & (label[rows][:, None] != label[right][None, :])
+                hit[rows] |= ok.any(1)
+                hit[right] |= ok.any(0)
+        return group.loc[hit, ["token", "p", "q", "left", "doc_id", "n", "label"]]
+
+    rows = dealt.join(reps.select("doc_id", "signature"), "doc_id")
+    some = rows.groupBy("token", "p", "q").applyInPandas(promising, dealt.schema)
+    some = materialize(some, "minhash-promising")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("doc_id", kind="stable").reset_index(drop=True)
-        one, two = int(group["p"].iloc[0]), int(group["q"].iloc[0])
-        left, right = np.flatnonzero(group["own"] == one), np.flatnonzero(group["own"] == two)
+        left, right = _sides(group)
         out: list[tuple] = []
-        if len(left) and len(right) and group["label"].nunique() > 1:
-            sets_here = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        if len(left) and len(right):
+            sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
             n, label, ids = group["n"].to_numpy(), group["label"].to_numpy(), group["doc_id"].to_numpy()
-            same = _shared([sets_here[k] for k in (*left, *right)], len(left))
+            same = _shared([sets[k] for k in (*left, *right)], len(left))
             ok = (100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)) & (label[left][:, None] != label[right][None, :])
             up = {x: x for x in label}
 
@@ -254,4 +297,5 @@ def _blocks(members: DataFrame, sets: DataFrame, kind: str, percent: int) -> Dat
                     out.append((ids[left[i]], ids[right[j]]))
         return pd.DataFrame({c: pd.Series([x[k] for x in out], dtype=group["doc_id"].dtype) for k, c in enumerate("ab")})
 
-    return dealt.groupBy("token", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
+    whole = some.join(_sets_of(docs, reps, some.select("doc_id"), n_words), "doc_id")
+    return whole.groupBy("token", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}")
