@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from weftlog.llm import chat, decontaminate, embeddings, html, langid, licenses, minhash, mixing, tokens, toxicity
 
@@ -261,14 +263,32 @@ def test_embeddings(spark):
     want = sorted((k, len(links[k]), root[k], root[k] == k) for k in links)
     assert rows(embeddings.near_duplicates(table)) == want
     assert rows(embeddings.near_duplicates(table, block=7)) == want
+    named = table.withColumn("vec_id", F.format_string("v%03d", "vec_id"))
+    assert rows(embeddings.near_duplicates(named, block=9)) == [(f"v{k:03d}", n, f"v{c:03d}", kept) for k, n, c, kept in want]
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_clustered_vectors(spark):
+    """Several pivots, replicated copies and skipped block pairs give what all pairs give."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(25, 12))
+    x = np.repeat(centres, 24, axis=0) + rng.normal(size=(600, 12)) * 0.1
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert len(embeddings.choose_pivots(u[rng.permutation(600)], math.sqrt(2 - 2 * 0.93))) > 1
+    near = (u @ u.T >= 0.93) & ~np.eye(600, dtype=bool)
+    root = np.arange(600)
+    for _ in range(600):
+        root = np.minimum(root, np.where(near, root[None, :], 600).min(1))
+    table = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").withColumn("label", F.lit("l"))
+    want = sorted((k, int(near[k].sum()), int(root[k]), bool(root[k] == k)) for k in range(600))
+    assert rows(embeddings.near_duplicates(table, block=16)) == want
+
+
 def test_pivots_replicate_what_a_cell_needs():
     rng = np.random.default_rng(5)
     x = np.repeat(rng.normal(size=(30, 16)), 20, axis=0) + rng.normal(size=(600, 16)) * 0.05
     x /= np.linalg.norm(x, axis=1)[:, None]
-    pivots = embeddings.choose_pivots(x[:300], 0.37)
+    pivots = embeddings.choose_pivots(x[rng.permutation(600)[:300]], 0.37)
     assert len(pivots) > 1
     home, inside = embeddings._cells(x, pivots, 0.37)
     near = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) <= 0.37

@@ -8,14 +8,15 @@ r = sqrt(2 - 2c). The steps:
     its nearest pivot. By the triangle inequality a vector within r of some vector at home with
     pivot p has (d(x, p)^2 - d(x, home)^2) <= 2 r d(p, home): it is copied to just the cells where
     that holds. The number of pivots is the one, of powers of two up to a bound, that makes the
-    fewest comparisons on the sample while a vector is in MAX_COPIES cells at most on average. Where
-    vectors are spread so evenly that every cell borders on all others, that is one pivot, and the
-    blocks of step 3 are all there is to divide the work.
-3.  Cells join independently: each cell (of a label) is cut into blocks, and a block at home is
-    compared with every block of the cell as one matrix product in double precision. All partners
-    of a vector are in its home cell, so links are counted once. A group of near copies as large as
-    the table makes many block pairs, never one large task, and gives for each block pair only
-    counts and the links of a spanning forest.
+    fewest comparisons on the sample while a vector is in MAX_COPIES cells at most on average; it is
+    one where more would not halve the comparisons. Where vectors are spread so evenly that every
+    cell borders on all others, that is so, and the blocks of step 3 are all there is to divide the work.
+3.  Cells join independently: each cell (of a label) is cut into blocks in the order of the distance
+    to its pivot, and a block is one row of packed vectors. Two blocks are compared once, as one
+    matrix product in double precision, unless their distances differ by more than r (the triangle
+    inequality again). All partners of a vector are in its home cell, where its links are
+    counted. A group of near copies as large as the table makes many block pairs, never one large
+    task, and gives for each block pair only counts and the links of a spanning forest.
 4.  Components of the links and of the copies.
 
 Rounding: products close to the threshold are summed again exactly before they are compared.
@@ -33,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.operators.components import connected_components
-from weftlog.plans.scratch import materialize
+from weftlog.plans.ordered import running
+from weftlog.plans.scratch import materialize, passing_tables
+from weftlog.plans.sizing import sized
 
 #: Rows of a block, rows of the sample that pivots and their number are taken from, most pivots, most copies of a vector on average.
-BLOCK, SAMPLE, MAX_PIVOTS, MAX_COPIES = 2048, 4000, 1024, 8.0
+BLOCK, SAMPLE, MAX_PIVOTS, MAX_COPIES = 4096, 4000, 1024, 8.0
 _MARGIN = 1e-9
 
 
@@ -65,9 +68,9 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * np.clip(x @ pivots.T, -1, 1)))
 
 
-def _cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home of each row, and by pivot whether the row has to be in its cell."""
-    d = _angles(x, pivots)
+def _cells(x: np.ndarray, pivots: np.ndarray, radius: float, d: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each row, and by pivot whether the row has to be in its cell; d: the distances, where known."""
+    d = _angles(x, pivots) if d is None else d
     home = d.argmin(1)
     own = d[np.arange(len(x)), home][:, None]
     between = _angles(pivots, pivots)[home]
@@ -75,8 +78,8 @@ def _cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray
 
 
 def choose_pivots(sample: np.ndarray, radius: float, most: int = MAX_PIVOTS) -> np.ndarray:
-    """The first 2**k vectors of the sample, k such that the expected comparisons are fewest."""
-    best, cost, n = sample[:1], float(len(sample)) ** 2, 2
+    """The first 2**k vectors of the sample, k such that the expected comparisons are fewest; one unless that halves them."""
+    best, cost, n = sample[:1], float(len(sample)) ** 2 / 2, 2
     while n <= min(most, len(sample)):
         home, inside = _cells(sample, sample[:n], radius)
         here = float(np.bincount(home, minlength=n) @ inside.sum(0)) + len(sample) * n
@@ -91,10 +94,12 @@ def _exactly(x: np.ndarray, y: np.ndarray, least: float) -> bool:
 
 
 def _links(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    cos = x @ y.T
-    hit = cos >= least
-    for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-12), strict=True):
-        hit[i, j] = _exactly(x[i], y[j], least)
+    hit = np.empty((len(x), len(y)), bool)
+    for k in range(0, len(x), 512):
+        cos = x[k : k + 512] @ y.T
+        hit[k : k + 512] = cos >= least
+        for i, j in zip(*np.nonzero(np.abs(cos - least) < 1e-12), strict=True):
+            hit[k + i, j] = _exactly(x[k + i], y[j], least)
     return hit
 
 
@@ -108,7 +113,11 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, block: int = BLOCK, sa
     component. Other columns are ignored; an
     empty table gives an empty result.
     """
-    spark = rows.sparkSession
+    with passing_tables(rows.sparkSession):
+        return materialize(_near_duplicates(rows, least, block, sample), "vector-components", keep=True)
+
+
+def _near_duplicates(rows: DataFrame, least: float, block: int, sample: int) -> DataFrame:
     kind, label_kind = rows.schema["vec_id"].dataType.simpleString(), rows.schema["label"].dataType.simpleString()
     units = materialize(unit_vectors(rows), "vectors")
     able = units.where("unit is not null and vec_id is not null")
@@ -126,52 +135,78 @@ def near_duplicates(rows: DataFrame, least: float = 0.93, block: int = BLOCK, sa
             for d in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == d))
                 x = np.stack([np.frombuffer(u, np.float64) for u in part.column("unit").to_pylist()])
-                home, inside = _cells(x, pivots[d], radius) if d in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
+                far = _angles(x, pivots[d]) if d in pivots else np.zeros((len(x), 1))
+                home, inside = _cells(x, pivots[d], radius, far) if d in pivots else (np.zeros(len(x), int), np.ones((len(x), 1), bool))
                 row, cell = np.nonzero(inside)
                 for k in range(0, len(row), 10_000):  # no batch grows with the copies
                     r, c = row[k : k + 10_000], cell[k : k + 10_000]
                     out = part.take(pa.array(r, pa.int64()))
-                    yield pa.record_batch([*out.columns, pa.array(c, pa.int32()), pa.array(home[r] == c)], [*batch.schema.names, "cell", "home"])
-
-    schema = f"label {label_kind}, unit binary, vec_id {kind}, n long, dim int, cell int, home boolean"
-    dealt = materialize(classes.select("label", "unit", "vec_id", "n", "dim").mapInArrow(deal, schema), "vector-cells")
-    sizes = dealt.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = dealt.join(F.broadcast(sizes), ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
-    # a row goes as left (at home) to all blocks of its cell and as right to all blocks again
-    pairs = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    left = pairs.where("home").select("label", "dim", "cell", "vec_id", "n", "unit", F.col("own").alias("p"), F.col("other").alias("q"), F.lit(True).alias("left"))
-    right = pairs.select("label", "dim", "cell", "vec_id", "n", "unit", F.col("other").alias("p"), F.col("own").alias("q"), F.lit(False).alias("left"))
+                    yield pa.record_batch([*out.columns, pa.array(c, pa.int32()), pa.array(home[r] == c), pa.array(far[r, c])], [*batch.schema.names, "cell", "home", "far"])
+
+    schema = f"label {label_kind}, unit binary, vec_id {kind}, n long, dim int, cell int, home boolean, far double"
+    dealt = classes.select("label", "unit", "vec_id", "n", "dim").mapInArrow(deal, schema).withColumn("one", F.lit(1)).withColumnRenamed("n", "copies")
+    # ranks over all cells in their order: a block is a stretch of ranks within a cell
+    ranked = running(dealt, ["label", "dim", "cell", "far", "vec_id", "unit"], "one").withColumn("block", F.floor((F.col("rank") - 1) / block))
+    cell = ["label", "dim", "cell"]
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("vec_id")
+        column = {c: group.column(c) for c in group.column_names}
+        far = np.array(column["far"])
+        one = {c: column[c][:1].combine_chunks() for c in (*cell, "block")}
+        one["ids"] = pa.ListArray.from_arrays(pa.array([0, group.num_rows], pa.int32()), column["vec_id"].combine_chunks())
+        one["n"] = pa.array([np.array(column["n"], np.int64).tobytes()])
+        one["home"] = pa.array([np.array(column["home"], bool).tobytes()])
+        one["units"] = pa.array([b"".join(column["unit"].to_pylist())], pa.binary())
+        one |= {"lo": pa.array([far.min()]), "hi": pa.array([far.max()])}
+        return pa.table(one)
+
+    packed = ranked.select(*cell, "block", "vec_id", F.col("copies").alias("n"), "home", "unit", "far").groupBy(*cell, "block")
+    packed = materialize(packed.applyInArrow(pack, f"label {label_kind}, dim int, cell int, block long, ids array<{kind}>, n binary, home binary, units binary, lo double, hi double"), "vector-blocks")
+    ends = packed.select(*cell, "block", "lo", "hi")
+    p, q = (ends.select(*cell, *[F.col(c).alias(f"{c}{k}") for c in ("block", "lo", "hi")]) for k in (1, 2))
+    near = p.join(q, cell).where((F.col("block1") <= F.col("block2")) & (F.col("lo2") - F.col("hi1") <= radius + _MARGIN))
+    pairs = near.select(*cell, F.col("block1").alias("p"), F.col("block2").alias("q"), F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
+    sent = packed.drop("lo", "hi").join(sized(materialize(pairs, "vector-pairs")), [*cell, "block"])
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("vec_id", kind="stable")
-        side = group["left"].to_numpy(bool)
-        a, b = group[side], group[~side]
+        group = group.sort_values("block")
+        ids, n, home, x = [], [], [], []
+        for r in group.itertuples():
+            ids.append(np.asarray(r.ids))
+            n.append(np.frombuffer(r.n, np.int64))
+            home.append(np.frombuffer(r.home, bool))
+            x.append(np.frombuffer(r.units, np.float64).reshape(len(ids[-1]), -1))
+        i, j = ids[0], ids[-1]
         out = {"a": [], "b": [], "n": []}
-        if len(a) and len(b):
-            x, y = (np.stack([np.frombuffer(u, np.float64) for u in s["unit"]]) for s in (a, b))
-            i, j, n = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), b["n"].to_numpy(np.int64)
-            hit = _links(x, y, least) & (i[:, None] != j[None, :])
-            some = hit.any(1)
-            rows_, cols = np.flatnonzero(some), np.flatnonzero(hit.any(0))
-            if len(rows_):
-                sub = hit[np.ix_(rows_, cols)]
-                ids, inverse = np.unique(np.concatenate([i[rows_], j[cols]]), return_inverse=True)
-                at_row, at_col, root = inverse[: len(rows_)], inverse[len(rows_) :], np.arange(len(ids))
-                while True:  # smallest index reachable, by rounds
-                    before, far = root.copy(), len(ids)
-                    np.minimum.at(root, at_row, np.where(sub, root[at_col][None, :], far).min(1))
-                    np.minimum.at(root, at_col, np.where(sub, root[at_row][:, None], far).min(0))
-                    root = root[root]
-                    if (root == before).all():
-                        break
-                linked = np.flatnonzero(root != np.arange(len(ids)))
-                out["a"] = [*i[rows_], *ids[linked]]
-                out["b"] = [None] * len(rows_) + list(ids[root[linked]])
-                out["n"] = [*(sub @ n[cols]), *[0] * len(linked)]
-        dtype = "Int64" if group["vec_id"].dtype.kind == "i" else object
+        hit = _links(x[0], x[-1], least)
+        hit &= i[:, None] != j[None, :]
+        rows_, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+        if len(rows_):
+            sub = hit[np.ix_(rows_, cols)]
+            found, inverse = np.unique(np.concatenate([i[rows_], j[cols]]), return_inverse=True)
+            at_row, at_col, root = inverse[: len(rows_)], inverse[len(rows_) :], np.arange(len(found))
+            while True:  # smallest index reachable, by rounds
+                before, far = root.copy(), len(found)
+                np.minimum.at(root, at_row, np.where(sub, root[at_col][None, :], far).min(1))
+                np.minimum.at(root, at_col, np.where(sub, root[at_row][:, None], far).min(0))
+                root = root[root]
+                if (root == before).all():
+                    break
+            linked = np.flatnonzero(root != np.arange(len(found)))
+            own = home[0][rows_]
+            counted = [(i[rows_][own], (sub @ n[-1][cols])[own])]
+            if len(ids) == 2:  # a block that meets itself has counted all its rows
+                own = home[1][cols]
+                counted.append((j[cols][own], (n[0][rows_] @ sub)[own]))
+            a, k = (np.concatenate([c[m] for c in counted]) for m in (0, 1))
+            out["a"] = [*a, *found[linked]]
+            out["b"] = [None] * len(a) + list(found[root[linked]])
+            out["n"] = [*k, *[0] * len(linked)]
+        dtype = "Int64" if i.dtype.kind == "i" else object
         return pd.DataFrame({"a": pd.Series(out["a"], dtype=dtype), "b": pd.Series(out["b"], dtype=dtype), "n": pd.Series(out["n"], dtype="int64")})
 
-    found = left.unionByName(right).groupBy("label", "dim", "cell", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}, n long")
+    found = sent.groupBy(*cell, "p", "q").applyInPandas(compare, f"a {kind}, b {kind}, n long")
     found = materialize(found, "vector-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("others"))
     reps = classes.select("label", "unit", F.col("vec_id").alias("rep"), "n").join(counts, F.col("rep") == F.col("a"), "left").drop("a")
