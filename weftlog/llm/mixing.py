@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftlog.llm.common import BLANKS, pieces
 from weftlog.plans.scratch import materialize, passing_tables
-from weftlog.plans.sizing import sized as sized_plan
+from weftlog.plans.sizing import sized
 
 #: Words of a block of the whole and of a shard, where the numbers of both lie within their bounds.
 BLOCK_WORDS, SHARD_WORDS = 1 << 16, 1 << 22
@@ -135,15 +135,15 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     """placed() and the number of shards."""
     spark = docs.sparkSession
     named = docs.withColumns({"mix_size": size_of(F.col("text")), "mix_key": _key(F.col("source")), "mix_bucket": block_of(docs, blocks or MOST_BLOCKS, seed)})
-    buckets = named.groupBy(F.col("mix_key").alias("key"), F.col("mix_bucket").alias("bucket")).agg(F.first("source").alias("source"), F.sum("mix_size").alias("words"))
+    buckets = named.groupBy("source", F.col("mix_bucket").alias("bucket")).agg(F.sum("mix_size").alias("words")).withColumn("key", _key(F.col("source")))
     buckets = materialize(buckets, "mix-buckets")
     per_source = buckets.groupBy("source").agg(F.sum("words").alias("source_size"))
     goal = materialize(targets(per_source, weights, share, cap).withColumn("key", _key(F.col("source"))), "mix-targets")
     whole = goal.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.coalesce(F.sum("target"), F.lit(0.0)).alias("taken")).first()
     blocks = blocks or _within(whole["words"] / BLOCK_WORDS, LEAST_BLOCKS, MOST_BLOCKS)
     shards = shards or min(MOST_SHARDS, max(1, math.ceil(whole["taken"] / SHARD_WORDS)))
-    sized = buckets.groupBy("key", (F.col("bucket") % blocks).alias("block")).agg(F.sum("words").alias("words"))
-    chosen = materialize(choose_blocks(sized, goal.select("key", "source_size", "target"), seed), "mix-chosen")
+    per_block = buckets.groupBy("key", (F.col("bucket") % blocks).alias("block")).agg(F.sum("words").alias("words"))
+    chosen = materialize(choose_blocks(per_block, goal.select("key", "source_size", "target"), seed), "mix-chosen")
     # each source's taken blocks in permuted order; a pass is a permutation of its own
     tokens = chosen.select("key", "block", F.explode(F.sequence(F.lit(0), F.col("passes") + F.col("extra").cast("int"))).alias("copy")).where("copy > 0")
     tokens = materialize(tokens.withColumn("at", F.row_number().over(Window.partitionBy("key").orderBy("copy", F.xxhash64(F.lit(seed + 2), "key", "copy", "block"), "block"))), "mix-tokens")
@@ -157,10 +157,11 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     stretches = drawn.withColumn("lo", before + 1).join(F.broadcast(names), "number")
     by_place = stretches.select("key", "shard", F.explode(F.sequence(F.col("lo").cast("int"), (F.col("lo") + F.col("n") - 1).cast("int"))).alias("at"))
     by_block = tokens.join(by_place, ["key", "at"]).groupBy("key", "block").agg(F.sort_array(F.collect_list("shard")).alias("mix_shards"))
-    plan = chosen.select("key", "block").join(by_block, ["key", "block"], "left").join(goal.select("key", "source_size", "target"), "key")
-    plan = materialize(plan.select(F.col("key").alias("mix_key"), F.col("block").alias("mix_block"), F.coalesce("mix_shards", F.array().cast("array<int>")).alias("mix_shards"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix-plan", keep=True)
+    plan = materialize(by_block.withColumnsRenamed({"key": "mix_key", "block": "mix_block"}), "mix-plan", keep=True)
+    goal = materialize(goal.select(F.col("key").alias("mix_key"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")), "mix-goal", keep=True)
     at_block = named.withColumn("mix_block", F.col("mix_bucket") % blocks).drop("mix_bucket")
-    return at_block.join(sized_plan(plan, BROADCAST_ROWS), ["mix_key", "mix_block"], "left").drop("mix_key", "mix_block"), shards
+    out = at_block.join(sized(plan, BROADCAST_ROWS), ["mix_key", "mix_block"], "left").join(sized(goal), "mix_key", "left").drop("mix_key", "mix_block")
+    return out.withColumn("mix_shards", F.coalesce("mix_shards", F.array().cast("array<int>"))), shards
 
 
 def placed(docs: DataFrame, **options) -> DataFrame:
