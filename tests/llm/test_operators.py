@@ -308,7 +308,7 @@ def test_licenses(spark):
         assert (r.first_word, r.last_word) == (min(at)[0] if at else None, max(at)[0] if at else None)
         assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
     assert got[6, 8, 0].labels == "apache-2.0" and got[12, 6, 0].labels == "mpl-2.0" and got[10, 4, 0].labels == ""
-    assert got[7, 8, 2].labels == "cc-by,cc-by-nc-4.0" and got[8, 9, 2].labels == "gpl,gpl-3,reserved"
+    assert got[7, 8, 2].labels == "cc-by,cc-by-nc-4.0" and got[8, 9, 2].labels == "gpl,gpl-3.0,reserved"
     assert [tuple(s) for s in got[11, 4, 0].spans] == [(0, 2, "mit"), (2, 4, "mit")]
     assert len(licenses.rules()) > 300
 
