@@ -335,6 +335,36 @@ def test_html_surges_by_weight():
     assert html.main_text(f"<p>{long}</p>{links}<p>The end.</p>{links}") == f"{long.strip()}\n\nThe end."
 
 
+def test_html_parts_count_only_beside_the_text():
+    """A name of layout drops no container that the page's text is in; comments, adverts and notices go wherever they are."""
+    text = "Main text of some length that goes on. " * 5
+    main, p = text.strip(), f"<p>{text}</p>"
+    cases = {
+        f'<body><div class="page has-sidebar"><article><h1>Head</h1>{p}</article><div class="sidebar"><p>side</p></div></div></body>': f"Head\n\n{main}",
+        f'<body><div class="page-sidebar-left"><article>{p}</article><div class="sidebar"><p>side</p></div></div></body>': main,
+        f'<article><div class="article-header"><h1>Headline</h1></div>{p}</article>': f"Headline\n\n{main}",
+        f"<body><div><p>We use cookies to improve your experience on this site.</p></div><article><h1>T</h1>{p}</article></body>": f"T\n\n{main}",
+        f'<body class="menu-open"><div id="main-menu-wrapper" class="with-footer"><main>{p}</main></div></body>': main,
+        f'<div class="nav"><a href=x>a</a></div><div class="content social-wrap"><h1>Head</h1>{p}<p>Short.</p></div><div class="footer">Words</div>': f"Head\n\n{main}\n\nShort.",
+        f'<div class="post share">{p}</div><div class="share">Share this</div>': main,
+        f"<form id=page><div>{p}{p}</div><div class=ad>{text}</div></form>": f"{main}\n\n{main}",
+        f'<article><p>short</p><div class="ad">{text}</div><div class="ad-slot">{text}</div></article>': "short",
+        f'<article>{p}</article><section id="comments"><article>{p * 5}</article><article class="comment-body">{p * 5}</article></section>': main,
+        f'<div class="content">{p}</div><div class="comment-list"><p>{text * 4}</p></div>': main,
+        f'<article>{p}<p hidden>gone</p><div style="display: none">gone</div></article>': main,
+    }
+    assert {page: html.main_text(page) for page in cases} == cases
+
+
+def test_html_window_decides():
+    """Short lines that surge together stay; without a window only a long one does."""
+    run, notice = [f"Line {k} of a text in pieces that go on." for k in range(6)], "One long line by itself that is no more than a remark at the end of the page, some way from the rest."
+    gap = '<ul><li><a href="/">one link</a></li><li><a href="/">two links</a></li><li><a href="/">three</a></li></ul>'
+    page = "".join(f"<div>{x}</div>" for x in run) + gap + f"<div>{notice}</div>"
+    assert html.main_text(page) == "\n\n".join([*run, notice])
+    assert html.main_text(page, window=1) == notice
+
+
 def test_langid(spark):
     rng = random.Random(6)
     sounds = {"xx": ["ka", "to", "mi"], "yy": ["str", "ent", "ung"], "zz": ["é", "ção", "lho"]}

@@ -2,9 +2,11 @@
 
 The markup is stripped to lines: each block element (heading, paragraph, list item, cell ...) is a
 line with its text and two facts that the markup gives away, whether it stands in a part that is
-never main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and
+no main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and
 whether it stands in an article or main element. These facts weigh a line's length: nothing in such
-a part, ARTICLE times in an article. Outside, links count against the text, so that unmarked menus
+a part, ARTICLE times in an article. A part is told by its element, role or class, but it counts as
+one only if the page's text is elsewhere: not if all articles of the page lie within it, nor, where a class
+but hints at it and no article tells, if most of the text does. Outside, links count against the text, so that unmarked menus
 weigh little, and the rest weighs less the more of the page's text stands in articles.
 
 Lengths are summed over a sliding window of lines, which stops at the edges of articles. The text
@@ -39,6 +41,11 @@ _ROLE = frozenset("navigation banner contentinfo complementary search form dialo
 _NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login comments comment disqus respond replies reply related share sharing social widget toolbar pagination pager skip legal copyright".split()
 )
+#: Those of the words that also stand in names of what encloses main text, as in page-sidebar-left, and words that make a name no part's (fixed values).
+_LAYOUT = frozenset("nav navbar navigation menu sidebar aside footer header masthead notice popup modal related share sharing social widget toolbar".split())
+_ABOUT = frozenset("has with without no not is".split())
+#: Words that name a headline where they stand in an article (fixed values).
+_HEADLINE = frozenset("header masthead".split())
 #: Class or id words that name the main text, and elements without an end tag (fixed values).
 _MAIN = frozenset("article main".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,18 +61,29 @@ _WORD = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's content is never main text. A header in an article is its headline."""
+def _part(tag: str, attributes: str, in_article: bool) -> str | None:
+    """What part an element is that is no main text: hidden, certain, likely (its name is as much one of layout) or None.
+
+    A header in an article is its headline.
+    """
+    kind = None
     if tag in _PART and not (tag == "header" and in_article):
-        return True
+        kind = "likely" if tag == "form" else "certain"
     if attributes and not attributes.isspace():
         for name, *values in _ATTR.findall(attributes):
             value, name = "".join(values).lower(), name.lower()
-            if name == "role" and value in _ROLE or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not _NAMED.isdisjoint(_WORD.findall(value)):
-                return True
-    return False
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+                return "hidden"
+            if name == "role" and value in _ROLE:
+                kind = kind or ("likely" if value == "form" else "certain")
+            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                for one in value.split():
+                    words = _WORD.findall(one)
+                    named = _NAMED.intersection(words) - (_HEADLINE if in_article else set())
+                    if named and words[0] not in _ABOUT:
+                        sure = not named <= _LAYOUT or named.issuperset(words) and value.strip() == one
+                        kind = "certain" if sure else kind or "likely"
+    return kind
 
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
@@ -73,27 +91,29 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
 
     Containers are numbered from 1; 0 is the page itself.
     """
-    out: list[tuple[str, bool, bool, int, int]] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # tag, in an article, aside, container
+    out: list[tuple[str, int, tuple[int, ...], int, int]] = []
+    stack: list[tuple[str, int, tuple[int, ...], int]] = []  # tag, article, parts, container
+    kinds: list[tuple[str, int]] = []  # of parts: kind, and the article they lie in
+    around: list[tuple[int, ...]] = [()]  # of articles: the parts they lie in
     line: list[str] = []
-    links = depth_a = at = container = containers = 0
-    article = aside = False
+    links = depth_a = at = container = containers = article = 0
+    parts: tuple[int, ...] = ()
 
     def end_line() -> None:
         nonlocal links
         if line:
             text = _SPACE.sub(" ", html.unescape("".join(line))).strip()
             if text:
-                out.append((text, article, aside, links, container))
+                out.append((text, article, parts, links, container))
             line.clear()
         links = 0
 
     def close(tag: str) -> None:
-        nonlocal article, aside, container
+        nonlocal article, parts, container
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
                 del stack[k:]
-                article, aside, container = stack[-1][1:] if stack else (False, False, 0)
+                article, parts, container = stack[-1][1:] if stack else (0, (), 0)
                 return
 
     while True:
@@ -134,15 +154,38 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
             if tag == "li" and stack and stack[-1][0] == "li":
                 close("li")
             if tag not in _VOID and not attributes.rstrip().endswith("/"):
-                aside = aside or _aside(tag, attributes, article)
-                article = article or tag in _MAIN or 'role="main"' in attributes
+                if kind := _part(tag, attributes, article > 0):
+                    kinds.append((kind, article))
+                    parts = (*parts, len(kinds) - 1)
+                if not article and (tag in _MAIN or 'role="main"' in attributes):
+                    around.append(parts)
+                    article = len(around) - 1
                 if tag in _HOLDS:
                     container = containers = containers + 1
-                stack.append((tag, article, aside, container))
+                stack.append((tag, article, parts, container))
         elif tag == "a":
             depth_a += 1
     end_line()
-    return out
+    off = _off(out, kinds, around)
+    return [(text, a > 0, not off.isdisjoint(ps), n, c) for text, a, ps, n, c in out]
+
+
+def _off(lines: list[tuple[str, int, tuple[int, ...], int, int]], kinds: list[tuple[str, int]], around: list[tuple[int, ...]]) -> set[int]:
+    """The parts that are no main text, by where the page's text is."""
+    articles = {a for _, a, *_ in lines if a}
+    surely = {p for p, (kind, _) in enumerate(kinds) if kind != "likely"}
+    mass: dict[tuple[int, int], int] = {}  # of characters outside links, by part or -1, and article
+    for text, a, ps, n, _ in lines:
+        if surely.isdisjoint(ps):
+            for p in (-1, *ps):
+                mass[p, a] = mass.get((p, a), 0) + max(0, len(text) - n)
+    off = set()
+    for p, (kind, inside) in enumerate(kinds):
+        whole = bool(articles) and all(p in around[a] for a in articles)
+        most = kind == "likely" and (inside or not articles) and 2 * mass.get((p, inside), 0) > mass.get((-1, inside), 0)
+        if kind == "hidden" or not (whole or most):
+            off.add(p)
+    return off
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
