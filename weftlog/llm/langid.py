@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.plans.scratch import materialize
+from weftlog.plans.scratch import materialize, passing_tables
 
 #: Places of features, most sampled rows of a language, tasks that train, passes over a task's rows.
 DIM, MAX_PER_LANG, SHARDS, EPOCHS = 1 << 15, 1500, 8, 4
@@ -118,6 +118,11 @@ def _temperature(scores: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, most: int = MAX_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Languages, idf, weights and temperature; no languages where there is nothing to learn from."""
+    with passing_tables(docs.sparkSession):
+        return _fit(docs, most)
+
+
+def _fit(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     rows = learnable(docs)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
