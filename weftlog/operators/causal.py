@@ -58,6 +58,29 @@ def derive(evidence: DataFrame, dependency: float = DEPENDENCY, support: float =
     return evidence.where(_accepted(*t)).select(RELATION)
 
 
+#: Grid of the exploratory sensitivity (fixed values).
+TOPOLOGY_GRID = ((0.80, 0.85, 0.90, 0.95, 0.97, 0.98), (0.01, 0.05, 0.10, 0.20))
+
+
+def topology_sensitivity(evidence: DataFrame, activities: DataFrame, expected: DataFrame, grid: Sequence[Sequence[float]] = TOPOLOGY_GRID) -> DataFrame:
+    """For each dependency and support threshold: edges, missing, additional and exact of the accepted flows as pairs
+    of activities, both of them among ``activities`` (activity), against ``expected`` (src_act, dst_act).
+
+    Object types are merged, and self relations, whose dependency is 0, pass no threshold over 0.
+    """
+    spark = evidence.sparkSession
+    rows = [(require_threshold(d), require_threshold(s)) for d in grid[0] for s in grid[1]]
+    table = spark.createDataFrame(rows, "dependency_threshold double, support_threshold double")
+    known = activities.select("activity").distinct()
+    e = evidence.join(known.withColumnRenamed("activity", "src_act"), "src_act", "left_semi").join(known.withColumnRenamed("activity", "dst_act"), "dst_act", "left_semi")
+    hit = table.join(e, (F.col("dependency") >= F.col("dependency_threshold")) & (F.col("relative_support") >= F.col("support_threshold"))).select(*table.columns, "src_act", "dst_act", F.lit(True).alias("found")).distinct()
+    want = table.join(expected.select("src_act", "dst_act").distinct(), F.lit(True)).withColumn("wanted", F.lit(True))
+    key = [*table.columns, "src_act", "dst_act"]
+    both = hit.join(want, key, "full_outer").groupBy(*table.columns).agg(F.count("found").alias("edges"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("wanted").isNull()).alias("additional"))
+    out = table.join(both, table.columns, "left").na.fill(0, ["edges", "missing", "additional"])
+    return out.withColumn("exact", (F.col("missing") == 0) & (F.col("additional") == 0))
+
+
 def sensitivity(evidence: DataFrame, grid: Sequence[Sequence[float]] = GRID, default: tuple[float, float, float] = (DEPENDENCY, SUPPORT, SELF_LOOP)) -> DataFrame:
     """For each combination of thresholds how many relations it accepts, and how many it lacks or adds against the default.
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,35 +29,73 @@ def set_members(training: DataFrame, test: DataFrame, keys: list[str]) -> DataFr
     return both.select(*keys, F.when(F.col("_a").isNull(), "additional").when(F.col("_b").isNull(), "absent").otherwise("shared").alias("side"))
 
 
-def graph_fitness(normative: DataFrame, real: DataFrame, keys: list[str], weight: str, theta: float | None = 0.1) -> DataFrame:
-    """One row: elements, missing, non_conforming, additional, fitness of a weighted graph against another.
+#: A graph as a table of its elements: kind of node or edge, name, and how often it is there.
+ELEMENT = ["kind", "element"]
+
+
+def _named(df: DataFrame, kind: str | Column, names: list[str], weight: str) -> DataFrame:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return df.select(kind.alias("kind"), F.concat_ws(" | ", *names).alias("element"), F.col(weight).cast("long").alias("measure"))
+
+
+def flow_elements(relations: DataFrame, ocdfg: DataFrame) -> DataFrame:
+    """Elements of an object-centric directly-follows graph: activities by events, and flows by couples of events,
+    those of all object types merged."""
+    activities = relations.select("eid", "activity").distinct().groupBy("activity").agg(F.count("*").alias("n"))
+    flows = ocdfg.groupBy("src_act", "dst_act").agg(F.sum("event_couples").alias("n"))
+    return _named(activities, "activity", ["activity"], "n").unionByName(_named(flows, "flow", ["src_act", "dst_act"], "n"))
+
+
+def type_elements(relations: DataFrame, otg: DataFrame) -> DataFrame:
+    """Elements of an object-type graph: types by objects, and pairs of types by relationship, a kind for each of those."""
+    types = relations.select("otype", "oid").distinct().groupBy("otype").agg(F.count("*").alias("n"))
+    return _named(types, "type", ["otype"], "n").unionByName(_named(otg, F.col("relationship"), ["otype1", "otype2"], "weight"))
+
+
+def relation_elements(relations: DataFrame, etot: DataFrame) -> DataFrame:
+    """Elements of an activity-type graph: activities by events, types by objects, and relations of both."""
+    activities = relations.select("eid", "activity").distinct().groupBy("activity").agg(F.count("*").alias("n"))
+    types = relations.select("otype", "oid").distinct().groupBy("otype").agg(F.count("*").alias("n"))
+    out = _named(activities, "activity", ["activity"], "n").unionByName(_named(types, "type", ["otype"], "n"))
+    return out.unionByName(_named(etot, "relation", ["activity", "otype"], "weight"))
+
 
-    An element of the normative graph is missing where the real one has it not, and does not conform where
-    the relative difference of the weights (shares of each graph's total) is over theta. fitness = 1 -
-    (missing + non_conforming) / elements, 1 for an empty graph. theta None compares structure alone.
+def _shares(graph: DataFrame, name: str) -> DataFrame:
+    every = Window.partitionBy("kind")
+    return graph.select(*ELEMENT, (F.col("measure") / F.sum("measure").over(every)).alias(name))
+
+
+def diagnose(normative: DataFrame, real: DataFrame, theta: float | None = 0.1, thetas: Mapping[str, float | None] | None = None) -> DataFrame:
+    """ELEMENT with normative_share, real_share, delta and verdict, for every element of either graph.
+
+    Shares are of the measures of a kind in a graph, as logs differ in size; delta is their difference
+    relative to the larger one. verdict: missing (the real graph has it not), additional (only the real
+    one has it), non_conforming (delta over its kind's theta) or conforming. thetas gives kinds a theta of
+    their own; None compares structure alone.
     """
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.col(weight).alias(name)).crossJoin(df.agg(F.sum(weight).alias(f"{name}_all"))).select(*keys, (F.col(name) / F.col(f"{name}_all")).alias(name))
-
-    both = shares(normative, "n").join(shares(real, "r"), keys, "full_outer")
-    off = F.lit(False) if theta is None else F.abs(F.col("n") - F.col("r")) / F.greatest("n", "r") > theta
-    out = both.agg(
-        F.count("n").alias("elements"),
-        F.count_if(F.col("r").isNull()).alias("missing"),
-        F.count_if(F.col("n").isNotNull() & F.col("r").isNotNull() & off).alias("non_conforming"),
-        F.count_if(F.col("n").isNull()).alias("additional"),
-    )
-    fit = F.when(F.col("elements") == 0, F.lit(1.0)).otherwise(1 - (F.col("missing") + F.col("non_conforming")) / F.col("elements"))
-    return out.withColumn("fitness", fit)
-
-
-def frequency_deviations(normative: DataFrame, real: DataFrame, keys: list[str], weight: str, over: float = 0.10) -> DataFrame:
-    """keys, both shares and their relative difference, where it is over a bound."""
-    def shares(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.col(weight).alias(name)).crossJoin(df.agg(F.sum(weight).alias(f"{name}_all"))).select(*keys, (F.col(name) / F.col(f"{name}_all")).alias(name))
-
-    both = shares(normative, "training_share").join(shares(real, "test_share"), keys)
-    return both.withColumn("delta", F.abs(F.col("training_share") - F.col("test_share")) / F.greatest("training_share", "test_share")).where(F.col("delta") > over)
+    both = _shares(normative, "normative_share").join(_shares(real, "real_share"), ELEMENT, "full_outer")
+    delta = F.abs(F.col("normative_share") - F.col("real_share")) / F.greatest("normative_share", "real_share")
+    limit = F.lit(theta).cast("double")
+    for kind, t in (thetas or {}).items():
+        limit = F.when(F.col("kind") == kind, F.lit(t).cast("double")).otherwise(limit)
+    verdict = F.when(F.col("real_share").isNull(), "missing").when(F.col("normative_share").isNull(), "additional").when(F.col("delta") > limit, "non_conforming").otherwise("conforming")
+    return both.withColumn("delta", delta).withColumn("verdict", verdict)
+
+
+def fitness(diagnosed: DataFrame, *by: str) -> DataFrame:
+    """elements (of the normative graph), missing, non_conforming, additional and fitness, one row, or one for each of ``by``.
+
+    fitness = 1 - (missing + non_conforming) / elements, 1 for a graph without elements. This definition
+    is our own.
+    """
+    count = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    out = diagnosed.groupBy(*by).agg(F.count_if(F.col("verdict") != "additional").alias("elements"), count("missing"), count("non_conforming"), count("additional"))
+    return out.withColumn("fitness", F.when(F.col("elements") == 0, F.lit(1.0)).otherwise(1 - (F.col("missing") + F.col("non_conforming")) / F.col("elements")))
+
+
+def frequency_deviations(normative: DataFrame, real: DataFrame, over: float = 0.10) -> DataFrame:
+    """ELEMENT, both shares and delta of the elements of both graphs whose delta is over a bound."""
+    return diagnose(normative, real, None).where(F.col("delta") > over).drop("verdict")
 
 
 def absent_elements(training: DataFrame, test: DataFrame, keys: list[str]) -> DataFrame:

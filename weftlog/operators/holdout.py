@@ -2,34 +2,77 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftlog.functions.dot import dot_text
 from weftlog.operators import causal, extract, igraph, ocdfg
-from weftlog.operators.graphs import compare_sets, graph_fitness
+from weftlog.operators.graphs import compare_sets, diagnose, fitness, flow_elements, relation_elements, type_elements
 from weftlog.operators.split import LogSplit, split_log
 from weftlog.plans.scratch import materialize
 from weftlog.schema import STRUCTURAL_TYPES, ObjectLog
+from weftlog.sources.ocel import write_dot
 
+GRAPHS = ("oc-dfg", "otg", "et-ot")
 
-def graph_comparison(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES, ratio: float = 0.8, split: LogSplit | None = None) -> DataFrame:
-    """A row for each of oc-dfg, otg and et-ot: fitness with weights and by structure, coverages and Jaccard."""
-    split = split or split_log(log, types, ratio)
-    a, b = split.training.relations, split.test.relations
-    rows = []
-    for name, build, keys, weight in (
-        ("oc-dfg", ocdfg.discover, ["otype", "src_act", "dst_act"], "event_couples"),
-        ("otg", ocdfg.object_type_graph, ["otype1", "relationship", "otype2"], "weight"),
-        ("et-ot", ocdfg.activity_type_graph, ["activity", "otype"], "weight"),
-    ):
-        n, r = materialize(build(a), f"{name}-training"), materialize(build(b), f"{name}-test")
-        one = graph_fitness(n, r, keys, weight).select("elements", "missing", "non_conforming", "fitness")
-        two = graph_fitness(n, r, keys, weight, None).select(F.col("fitness").alias("structural_fitness"))
-        rows.append(one.join(two).join(compare_sets(n, r, keys)).select(F.lit(name).alias("graph"), "*"))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+@dataclass(frozen=True)
+class SideGraphs:
+    """The three graphs of a training and a test side, as elements (graph, kind, element, measure), and typed flows."""
+
+    training: DataFrame
+    test: DataFrame
+    training_flows: DataFrame
+    test_flows: DataFrame
+
+    def diagnosed(self, graph: str, theta: float | None = 0.1, thetas: Mapping[str, float | None] | None = None) -> DataFrame:
+        """graphs.diagnose() of one graph: training is the norm, test is real."""
+        a, b = (x.where(F.col("graph") == graph).drop("graph") for x in (self.training, self.test))
+        return diagnose(a, b, theta, thetas)
+
+
+def side_graphs(split: LogSplit) -> SideGraphs:
+    elements, flows = [], []
+    for side in (split.training, split.test):
+        relations = materialize(ocdfg.lifecycles(side.relations), "side-relations")
+        flow = materialize(ocdfg.discover(relations), "side-flows")
+        graphs = {
+            "oc-dfg": flow_elements(relations, flow),
+            "otg": type_elements(relations, ocdfg.object_type_graph(relations)),
+            "et-ot": relation_elements(relations, ocdfg.activity_type_graph(relations)),
+        }
+        named = [g.select(F.lit(name).alias("graph"), "*") for name, g in graphs.items()]
+        elements.append(materialize(named[0].unionByName(named[1]).unionByName(named[2]), "side-elements"))
+        flows.append(ocdfg.typed_flows(flow))
+    return SideGraphs(*elements, *flows)
+
+
+def graph_comparison(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES, ratio: float = 0.8, split: LogSplit | None = None, theta: float = 0.1) -> DataFrame:
+    """Six diagnostics, a row for each of oc-dfg, otg and et-ot with weights (default) and by structure alone:
+    graph, comparison, elements, missing, non_conforming, additional, fitness."""
+    sides = side_graphs(split or split_log(log, types, ratio))
+    out = None
+    for graph in GRAPHS:
+        for name, t in (("default", theta), ("structural", None)):
+            one = fitness(sides.diagnosed(graph, t)).select(F.lit(graph).alias("graph"), F.lit(name).alias("comparison"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def set_comparisons(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES, ratio: float = 0.8, split: LogSplit | None = None) -> DataFrame:
+    """Seven comparisons of sets, test against training: activities and typed flows of the oc-dfg, types and edges of
+    the otg, activities, types and relations of the et-ot, a row for each with compare_sets()."""
+    sides = side_graphs(split or split_log(log, types, ratio))
+    out = None
+    for graph, what, kinds in (("oc-dfg", "activities", ("activity",)), ("otg", "types", ("type",)), ("otg", "edges", None), ("et-ot", "activities", ("activity",)), ("et-ot", "types", ("type",)), ("et-ot", "relations", ("relation",))):
+        of = (F.col("graph") == graph) & (F.col("kind") != "type" if kinds is None else F.col("kind").isin(*kinds))
+        one = compare_sets(sides.training.where(of), sides.test.where(of), ["kind", "element"]).select(F.lit(graph).alias("graph"), F.lit(what).alias("what"), "*")
+        out = one if out is None else out.unionByName(one)
+    flows = compare_sets(sides.training_flows, sides.test_flows, causal.RELATION)
+    return out.unionByName(flows.select(F.lit("oc-dfg").alias("graph"), F.lit("typed flows").alias("what"), "*"))
 
 
 @dataclass(frozen=True)
@@ -52,6 +95,12 @@ class GraphHoldout:
         out = n.join(x).join(rel).withColumn("test_orders", F.col("evaluated") + F.col("excluded"))
         return out.withColumn("coverage", F.coalesce(F.try_divide("evaluated", "test_orders"), F.lit(0.0)))
 
+    def export(self, path: str) -> None:
+        """The graphs of the evaluated executions, with the relations of the training side, as DOT text: a folder for each."""
+        wanted = self.results.select("exec_id")
+        nodes, edges = (x.join(wanted, "exec_id", "left_semi") for x in (self.nodes, self.edges))
+        write_dot(dot_text(nodes, edges), path)
+
     def exclusion_reasons(self) -> DataFrame:
         return self.exclusions.groupBy("reason_code").agg(F.count("*").alias("orders"))
 

@@ -81,11 +81,17 @@ def suspicious_repetitions(nodes: DataFrame, relations: DataFrame, reach: DataFr
     return same.join(either, ["exec_id", "eid1", "eid2"], "left_anti").select("exec_id", "activity", "eid1", "eid2")
 
 
+def activity_chain(nodes: DataFrame, activity: str) -> DataFrame:
+    """(exec_id, place, eid, ts): the events of one activity of each execution, from 1 in order of ts and eid."""
+    w = Window.partitionBy("exec_id").orderBy("ts", "eid")
+    return nodes.where(F.col("activity") == activity).select("exec_id", F.row_number().over(w).alias("place"), "eid", "ts")
+
+
 def chain_is_consecutive(nodes: DataFrame, edges: DataFrame, activity: str) -> DataFrame:
     """(exec_id, chain_edges, missing, additional): edges between the events of one activity against its chain."""
-    e = nodes.where(F.col("activity") == activity).select("exec_id", "eid", "ts")
-    w = Window.partitionBy("exec_id").orderBy("ts", "eid")
-    chain = e.select("exec_id", F.col("eid").alias("src"), F.lead("eid").over(w).alias("dst")).where("dst is not null").withColumn("c", F.lit(1))
+    e = activity_chain(nodes, activity)
+    nxt = e.select("exec_id", (F.col("place") - 1).alias("place"), F.col("eid").alias("dst"))
+    chain = e.select("exec_id", "place", F.col("eid").alias("src")).join(nxt, ["exec_id", "place"]).select(*KEY, F.lit(1).alias("c"))
     own = edges.select(KEY).join(e.select("exec_id", F.col("eid").alias("src")), ["exec_id", "src"], "left_semi").join(e.select("exec_id", F.col("eid").alias("dst")), ["exec_id", "dst"], "left_semi").withColumn("g", F.lit(1))
     both = chain.join(own, KEY, "full_outer")
     return both.groupBy("exec_id").agg(F.count("c").alias("chain_edges"), F.count_if(F.col("g").isNull()).alias("missing"), F.count_if(F.col("c").isNull()).alias("additional"))
@@ -99,6 +105,12 @@ def weakly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return at.groupBy("exec_id").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
 
 
+def backward_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """KEY of the edges that do not go forward in the order of (ts, eid)."""
+    at = nodes.select("exec_id", "eid", "ts")
+    return edges.select(KEY).join(at.select("exec_id", F.col("eid").alias("src"), F.col("ts").alias("t1")), ["exec_id", "src"]).join(at.select("exec_id", F.col("eid").alias("dst"), F.col("ts").alias("t2")), ["exec_id", "dst"]).where("struct(t1, src) >= struct(t2, dst)").select(KEY)
+
+
 def screening(nodes: DataFrame, edges: DataFrame, reach: DataFrame, relations: DataFrame, types: tuple[str, ...] = STRUCTURAL_TYPES) -> DataFrame:
     """One row an execution: sizes, degrees, connectivity, reducedness, repetitions, incomparable pairs, valid.
 
@@ -115,8 +127,7 @@ def screening(nodes: DataFrame, edges: DataFrame, reach: DataFrame, relations: D
         F.count_if((F.col("out") == 0) & (F.col("in") > 0)).alias("sinks"),
         F.count_if((F.col("in") == 0) & (F.col("out") == 0)).alias("isolated"),
     )
-    at = nodes.select("exec_id", "eid", "ts")
-    back = edges.join(at.select("exec_id", F.col("eid").alias("src"), F.col("ts").alias("t1")), ["exec_id", "src"]).join(at.select("exec_id", F.col("eid").alias("dst"), F.col("ts").alias("t2")), ["exec_id", "dst"]).where("struct(t1, src) >= struct(t2, dst)").groupBy("exec_id").agg(F.count("*").alias("backward"))
+    back = backward_edges(nodes, edges).groupBy("exec_id").agg(F.count("*").alias("backward"))
     needless = edges.select(KEY).exceptAll(reduced(edges.select(KEY), reach)).groupBy("exec_id").agg(F.count("*").alias("needless"))
     repeats = suspicious_repetitions(nodes, relations, reach, types).groupBy("exec_id").agg(F.count("*").alias("suspicious"))
     pairs = reach.groupBy("exec_id").agg(F.count("*").alias("ordered"))
@@ -138,6 +149,17 @@ def execution_violations(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return repeated.unionByName(blank).unionByName(bare)
 
 
+def require_valid(nodes: DataFrame, relations: DataFrame, edges: DataFrame | None = None) -> None:
+    """A ValueError if there is no event, on execution_violations(), and on an edge that does not go forward: a cycle needs one."""
+    if nodes.isEmpty():
+        raise ValueError("an execution without events")
+    bad = execution_violations(nodes, relations).orderBy("exec_id", "violation", "eid").limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0]['exec_id']}: {bad[0]['violation']}, {bad[0]['eid']}")
+    if edges is not None and (back := backward_edges(nodes, edges).orderBy(*KEY).limit(1).collect()):
+        raise ValueError(f"{back[0]['exec_id']}: {back[0]['src']} to {back[0]['dst']} does not go forward")
+
+
 def relevant_relations(nodes: DataFrame, accepted: DataFrame) -> DataFrame:
     """(exec_id, otype, src_act, dst_act): accepted relations both of whose activities an execution has."""
     acts = nodes.select("exec_id", "activity").distinct()

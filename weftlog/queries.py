@@ -65,8 +65,11 @@ a{k} AS (SELECT otype, src_act, dst_act FROM v{k} WHERE CASE WHEN src_act = dst_
 
 _DFG1, _DFG2 = f"{LOG1}, {_dfg_sql(1)}", f"{LOG2}, {_dfg_sql(2)}"
 _SCORE2 = f"{_DFG2}, {_score_sql(2)}"
-_EXTRACT = f"""{LOG2},
-ro AS (SELECT DISTINCT eid, oid FROM relations2 WHERE otype = 'orders'), ri AS (SELECT DISTINCT eid, oid FROM relations2 WHERE otype = 'items'), rp AS (SELECT DISTINCT eid, oid FROM relations2 WHERE otype = 'packages'),
+
+
+def _extract_sql(relations: str, events: str) -> str:
+    return f"""
+ro AS (SELECT DISTINCT eid, oid FROM {relations} WHERE otype = 'orders'), ri AS (SELECT DISTINCT eid, oid FROM {relations} WHERE otype = 'items'), rp AS (SELECT DISTINCT eid, oid FROM {relations} WHERE otype = 'packages'),
 di AS (SELECT DISTINCT ro.oid AS x, ri.oid AS i FROM ro JOIN ri USING (eid)),
 ie AS (SELECT DISTINCT x, eid FROM di JOIN ri ON i = oid),
 pk AS (SELECT DISTINCT x, rp.oid AS p FROM ie JOIN rp USING (eid)),
@@ -74,17 +77,40 @@ sel AS (SELECT oid AS x, eid FROM ro UNION SELECT x, eid FROM ie UNION SELECT x,
 si AS (SELECT DISTINCT x, oid AS i FROM sel JOIN ri USING (eid)),
 fi AS (SELECT x, i FROM si EXCEPT SELECT x, i FROM di),
 io AS (SELECT DISTINCT ri.oid AS i, ro.oid AS o FROM ri JOIN ro USING (eid)),
-fo AS (SELECT x, oid AS o FROM sel JOIN ro USING (eid) WHERE oid <> x UNION SELECT x, o FROM si JOIN io USING (i) WHERE o <> x)"""
-_NODES = f"""{_EXTRACT},
-nodes AS (SELECT 'order-centred:' || x AS exec_id, eid, ts, activity FROM sel JOIN events2 USING (eid) WHERE x NOT IN (SELECT x FROM fi) AND x NOT IN (SELECT x FROM fo))"""
-_EDGES = f"""{_NODES}, {_dfg_sql(2)}, {_score_sql(2)},
-life AS (SELECT DISTINCT n.exec_id, n.eid, n.ts, n.activity, r.otype, r.oid FROM nodes n JOIN relations2 r USING (eid)),
-pairs AS (SELECT a.exec_id, a.eid AS src, b.eid AS dst, a.otype, a.oid FROM life a JOIN life b ON a.exec_id = b.exec_id AND a.otype = b.otype AND a.oid = b.oid AND (a.ts, a.eid) < (b.ts, b.eid)
-  JOIN a2 ON a2.otype = a.otype AND a2.src_act = a.activity AND a2.dst_act = b.activity),
-cand AS (SELECT exec_id, src, dst, string_agg(DISTINCT otype, ',' ORDER BY otype) AS object_types, string_agg(DISTINCT oid, ',' ORDER BY oid) AS object_ids FROM pairs GROUP BY exec_id, src, dst),
-reach AS (SELECT exec_id, src, dst FROM cand UNION SELECT r.exec_id, r.src, c.dst FROM reach r JOIN cand c ON r.exec_id = c.exec_id AND r.dst = c.src),
-via AS (SELECT DISTINCT c.exec_id, c.src, r.dst FROM cand c JOIN reach r ON c.exec_id = r.exec_id AND c.dst = r.src),
-edges AS (SELECT * FROM cand WHERE NOT EXISTS (SELECT 1 FROM via WHERE via.exec_id = cand.exec_id AND via.src = cand.src AND via.dst = cand.dst))"""
+fo AS (SELECT x, oid AS o FROM sel JOIN ro USING (eid) WHERE oid <> x UNION SELECT x, o FROM si JOIN io USING (i) WHERE o <> x),
+nodes AS (SELECT 'order-centred:' || x AS exec_id, eid, ts, activity FROM sel JOIN {events} USING (eid) WHERE x NOT IN (SELECT x FROM fi) AND x NOT IN (SELECT x FROM fo))"""
+
+
+def _edges_sql(relations: str, accepted: str, k: str = "") -> str:
+    """Objects of executions, candidate edges, paths and reduced edges, named with k at the end."""
+    return f"""
+life{k} AS (SELECT DISTINCT n.exec_id, n.eid, n.ts, n.activity, r.otype, r.oid FROM nodes n JOIN {relations} r USING (eid)),
+pairs{k} AS (SELECT a.exec_id, a.eid AS src, b.eid AS dst, a.otype, a.oid FROM life{k} a JOIN life{k} b ON a.exec_id = b.exec_id AND a.otype = b.otype AND a.oid = b.oid AND (a.ts, a.eid) < (b.ts, b.eid)
+  JOIN {accepted} q ON q.otype = a.otype AND q.src_act = a.activity AND q.dst_act = b.activity),
+cand{k} AS (SELECT exec_id, src, dst, string_agg(DISTINCT otype, ',' ORDER BY otype) AS object_types, string_agg(DISTINCT oid, ',' ORDER BY oid) AS object_ids FROM pairs{k} GROUP BY exec_id, src, dst),
+reach{k} AS (SELECT exec_id, src, dst FROM cand{k} UNION SELECT r.exec_id, r.src, c.dst FROM reach{k} r JOIN cand{k} c ON r.exec_id = c.exec_id AND r.dst = c.src),
+via{k} AS (SELECT DISTINCT c.exec_id, c.src, r.dst FROM cand{k} c JOIN reach{k} r ON c.exec_id = r.exec_id AND c.dst = r.src),
+edges{k} AS (SELECT * FROM cand{k} WHERE NOT EXISTS (SELECT 1 FROM via{k} v WHERE v.exec_id = cand{k}.exec_id AND v.src = cand{k}.src AND v.dst = cand{k}.dst))"""
+
+
+def _screening_sql(k: str = "") -> str:
+    """screened: a row for each execution, from nodes, life, edges and reach. Cycles and needless edges are looked for in the edges themselves."""
+    return f"""
+deg AS (SELECT n.exec_id, n.eid, (SELECT count(*) FROM edges{k} e WHERE e.exec_id = n.exec_id AND e.src = n.eid) AS o, (SELECT count(*) FROM edges{k} e WHERE e.exec_id = n.exec_id AND e.dst = n.eid) AS i FROM nodes n),
+und AS (SELECT exec_id, src AS a, dst AS b FROM edges{k} UNION ALL SELECT exec_id, dst, src FROM edges{k}), walk AS (SELECT exec_id, eid AS a, eid AS b FROM nodes UNION SELECT w.exec_id, w.a, u.b FROM walk w JOIN und u ON w.exec_id = u.exec_id AND w.b = u.a),
+lab AS (SELECT exec_id, count(DISTINCT m) AS components FROM (SELECT exec_id, a, min(b) AS m FROM walk GROUP BY exec_id, a) GROUP BY exec_id),
+d AS (SELECT exec_id, count(*) AS nodes, sum(o) AS edges, count(*) FILTER (WHERE i = 0 AND o > 0) AS sources, count(*) FILTER (WHERE o = 0 AND i > 0) AS sinks, count(*) FILTER (WHERE i = 0 AND o = 0) AS isolated FROM deg GROUP BY exec_id),
+walked AS (SELECT exec_id, src, dst FROM edges{k} UNION SELECT w.exec_id, w.src, e.dst FROM walked w JOIN edges{k} e ON w.exec_id = e.exec_id AND w.dst = e.src),
+ord AS (SELECT exec_id, count(*) AS n, count(*) FILTER (WHERE src = dst) AS cycles FROM walked GROUP BY exec_id),
+ndl AS (SELECT exec_id, count(*) AS n FROM (SELECT DISTINCT e.exec_id, e.src, e.dst FROM edges{k} e JOIN edges{k} f ON f.exec_id = e.exec_id AND f.src = e.src AND f.dst <> e.dst JOIN walked w ON w.exec_id = e.exec_id AND w.src = f.dst AND w.dst = e.dst) GROUP BY exec_id),
+sus AS (SELECT exec_id, count(*) AS n FROM (SELECT DISTINCT a.exec_id, a.eid AS eid1, b.eid AS eid2 FROM life{k} a JOIN life{k} b ON a.exec_id = b.exec_id AND a.otype = b.otype AND a.oid = b.oid AND a.activity = b.activity AND a.eid < b.eid WHERE a.otype IN ('orders', 'items', 'packages')
+  AND NOT EXISTS (SELECT 1 FROM reach{k} r WHERE r.exec_id = a.exec_id AND r.src = a.eid AND r.dst = b.eid) AND NOT EXISTS (SELECT 1 FROM reach{k} r WHERE r.exec_id = a.exec_id AND r.src = b.eid AND r.dst = a.eid)) GROUP BY exec_id),
+screened AS (SELECT d.exec_id, nodes, CAST(edges AS BIGINT) AS edges, sources, sinks, isolated, coalesce(ord.cycles, 0) = 0 AS is_dag, components = 1 AS connected, isolated = 0 AS covered, coalesce(ndl.n, 0) = 0 AS reduced, coalesce(sus.n, 0) AS suspicious,
+  CAST(nodes * (nodes - 1) // 2 - coalesce(ord.n, 0) AS BIGINT) AS incomparable FROM d JOIN lab USING (exec_id) LEFT JOIN ord USING (exec_id) LEFT JOIN ndl USING (exec_id) LEFT JOIN sus USING (exec_id))"""
+
+
+_EXTRACT = _NODES = f"{LOG2}, {_extract_sql('relations2', 'events2')}"
+_EDGES = f"{_NODES}, {_dfg_sql(2)}, {_score_sql(2)}, {_edges_sql('relations2', 'a2')}"
 
 
 def _components_sql(rows: str, thing: str, rounds: int = 10) -> str:
@@ -266,15 +292,7 @@ def suspicious_repetitions(spark, sf_dir):
     return igraph.suspicious_repetitions(nodes, log.relations, reach)
 
 
-@_query(f"""WITH RECURSIVE {_EDGES}, deg AS (SELECT n.exec_id, n.eid, (SELECT count(*) FROM edges e WHERE e.exec_id = n.exec_id AND e.src = n.eid) AS o, (SELECT count(*) FROM edges e WHERE e.exec_id = n.exec_id AND e.dst = n.eid) AS i FROM nodes n),
-und AS (SELECT exec_id, src AS a, dst AS b FROM edges UNION ALL SELECT exec_id, dst, src FROM edges), walk AS (SELECT exec_id, eid AS a, eid AS b FROM nodes UNION SELECT w.exec_id, w.a, u.b FROM walk w JOIN und u ON w.exec_id = u.exec_id AND w.b = u.a),
-lab AS (SELECT exec_id, count(DISTINCT m) AS components FROM (SELECT exec_id, a, min(b) AS m FROM walk GROUP BY exec_id, a) GROUP BY exec_id),
-d AS (SELECT exec_id, count(*) AS nodes, sum(o) AS edges, count(*) FILTER (WHERE i = 0 AND o > 0) AS sources, count(*) FILTER (WHERE o = 0 AND i > 0) AS sinks, count(*) FILTER (WHERE i = 0 AND o = 0) AS isolated FROM deg GROUP BY exec_id),
-ord AS (SELECT exec_id, count(*) AS n FROM reach GROUP BY exec_id),
-sus AS (SELECT exec_id, count(*) AS n FROM (SELECT DISTINCT a.exec_id, a.eid AS eid1, b.eid AS eid2 FROM life a JOIN life b ON a.exec_id = b.exec_id AND a.otype = b.otype AND a.oid = b.oid AND a.activity = b.activity AND a.eid < b.eid WHERE a.otype IN ('orders', 'items', 'packages')
-  AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = a.eid AND r.dst = b.eid) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = b.eid AND r.dst = a.eid)) GROUP BY exec_id)
-SELECT d.exec_id, nodes, CAST(edges AS BIGINT) AS edges, sources, sinks, isolated, true AS is_dag, components = 1 AS connected, isolated = 0 AS covered, true AS reduced, coalesce(sus.n, 0) AS suspicious, CAST(nodes * (nodes - 1) // 2 - coalesce(ord.n, 0) AS BIGINT) AS incomparable, components = 1 AND isolated = 0 AND coalesce(sus.n, 0) = 0 AS valid
-FROM d JOIN lab USING (exec_id) LEFT JOIN ord USING (exec_id) LEFT JOIN sus USING (exec_id)""")
+@_query(f"WITH RECURSIVE {_EDGES}, {_screening_sql()} SELECT *, is_dag AND connected AND covered AND reduced AND suspicious = 0 AS valid FROM screened")
 def graph_screening(spark, sf_dir):
     log = order_log(spark, sf_dir)
     nodes, edges, reach = _graph(log)
@@ -313,11 +331,16 @@ def case_split(spark, sf_dir):
     return parts.select("component", "first", "cases", F.col("rank").cast("long").alias("rank"), "upto", "is_training")
 
 
-@_query(f"""WITH RECURSIVE {LOG2}, st AS (SELECT DISTINCT eid, oid, ts FROM relations2 WHERE otype IN ('orders', 'items', 'packages')), {_components_sql("st", "oid")},
+_LOG_CUT = f"""{LOG2}, st AS (SELECT DISTINCT eid, oid, ts FROM relations2 WHERE otype IN ('orders', 'items', 'packages')), {_components_sql("st", "oid")},
 parts AS (SELECT comp, min(ts) AS first, count(DISTINCT eid) AS events, count(DISTINCT oid) AS objects FROM st JOIN cc ON oid = id GROUP BY comp),
 run AS (SELECT *, row_number() OVER w AS rank, sum(events) OVER w AS upto, sum(events) OVER () AS total, count(*) OVER () AS n FROM parts WINDOW w AS (ORDER BY first, events, comp)),
-best AS (SELECT arg_min(rank, (abs(CAST(upto AS DOUBLE) / total - CAST(0.8 AS DOUBLE)), rank)) AS cut_at FROM run WHERE rank < n)
-SELECT comp AS component, first, events, objects, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT cut_at FROM best) AS is_training FROM run""")
+best AS (SELECT arg_min(rank, (abs(CAST(upto AS DOUBLE) / total - CAST(0.8 AS DOUBLE)), rank)) AS cut_at FROM run WHERE rank < n)"""
+_LOG_SIDES = f"""{_LOG_CUT},
+sides AS MATERIALIZED (SELECT r.*, rank <= (SELECT cut_at FROM best) AS early FROM relations2 r JOIN cc ON r.oid = id JOIN run USING (comp)),
+relations_tr AS (SELECT * FROM sides WHERE early), relations_te AS (SELECT * FROM sides WHERE NOT early)"""
+
+
+@_query(f"WITH RECURSIVE {_LOG_CUT} SELECT comp AS component, first, events, objects, rank, CAST(upto AS BIGINT) AS upto, rank <= (SELECT cut_at FROM best) AS is_training FROM run")
 def component_split(spark, sf_dir):
     parts = split.split_log(order_log(spark, sf_dir)).parts
     return parts.select("component", "first", "events", "objects", F.col("rank").cast("long").alias("rank"), "upto", "is_training")
@@ -347,18 +370,39 @@ def naive_leakage(spark, sf_dir):
 # --- object-type graphs and comparisons ----------------------------------------------------------
 
 _BEFORE = "(a.t < b.t OR (a.t = b.t AND a.o < b.o))"
-_OTG = f"""
-ro AS MATERIALIZED (SELECT otype AS t, oid AS o, eid, ts FROM r2),
-life AS MATERIALIZED (SELECT t, o, min(ts) AS ft, arg_min(eid, (ts, eid)) AS fe, arg_max(eid, (ts, eid)) AS le FROM ro GROUP BY t, o),
-kinds AS (
-  SELECT t1, 'interaction' AS k, t2 FROM (SELECT DISTINCT a.t AS t1, a.o AS o1, b.t AS t2, b.o AS o2 FROM ro a JOIN ro b ON a.eid = b.eid WHERE {_BEFORE})
-  UNION ALL SELECT a.t, 'cobirth', b.t FROM life a JOIN life b ON a.fe = b.fe WHERE {_BEFORE}
-  UNION ALL SELECT a.t, 'codeath', b.t FROM life a JOIN life b ON a.le = b.le WHERE {_BEFORE}
-  UNION ALL SELECT a.t, 'inheritance', b.t FROM life a JOIN life b ON a.le = b.fe WHERE NOT (a.t = b.t AND a.o = b.o)
-  UNION ALL SELECT a.t, 'descendants', b.t FROM ro r JOIN life b ON r.eid = b.fe JOIN life a ON r.t = a.t AND r.o = a.o WHERE NOT (a.t = b.t AND a.o = b.o) AND (a.ft < b.ft OR (a.ft = b.ft AND a.fe < b.fe)))"""
-
-
-@_query(f"WITH {LOG2}, r2 AS (SELECT DISTINCT eid, oid, otype, activity, ts FROM relations2), {_OTG} SELECT t1 AS otype1, k AS relationship, t2 AS otype2, count(*) AS weight FROM kinds GROUP BY t1, k, t2")
+
+
+def _otg_sql(k: int | str) -> str:
+    return f"""
+obj{k} AS MATERIALIZED (SELECT otype AS t, oid AS o, eid, ts FROM r{k}),
+span{k} AS MATERIALIZED (SELECT t, o, min(ts) AS ft, arg_min(eid, (ts, eid)) AS fe, arg_max(eid, (ts, eid)) AS le FROM obj{k} GROUP BY t, o),
+kinds{k} AS (
+  SELECT t1, 'interaction' AS k, t2 FROM (SELECT DISTINCT a.t AS t1, a.o AS o1, b.t AS t2, b.o AS o2 FROM obj{k} a JOIN obj{k} b ON a.eid = b.eid WHERE {_BEFORE})
+  UNION ALL SELECT a.t, 'cobirth', b.t FROM span{k} a JOIN span{k} b ON a.fe = b.fe WHERE {_BEFORE}
+  UNION ALL SELECT a.t, 'codeath', b.t FROM span{k} a JOIN span{k} b ON a.le = b.le WHERE {_BEFORE}
+  UNION ALL SELECT a.t, 'inheritance', b.t FROM span{k} a JOIN span{k} b ON a.le = b.fe WHERE NOT (a.t = b.t AND a.o = b.o)
+  UNION ALL SELECT a.t, 'descendants', b.t FROM obj{k} r JOIN span{k} b ON r.eid = b.fe JOIN span{k} a ON r.t = a.t AND r.o = a.o WHERE NOT (a.t = b.t AND a.o = b.o) AND (a.ft < b.ft OR (a.ft = b.ft AND a.fe < b.fe)))"""
+
+
+def _elements_sql(k: str) -> str:
+    """shares{k}: the elements of the three graphs of a side, with their shares of their kind."""
+    of_activity, of_type = f"element, count(DISTINCT eid) AS measure FROM r{k} GROUP BY activity", f"element, count(DISTINCT oid) AS measure FROM r{k} GROUP BY otype"
+    return f"""{_dfg_sql(k)}, {_otg_sql(k)},
+elements{k} AS (
+  SELECT 'oc-dfg' AS graph, 'activity' AS kind, activity AS {of_activity}
+  UNION ALL SELECT 'oc-dfg', 'flow', src_act || ' | ' || dst_act, sum(event_couples) FROM d{k} GROUP BY src_act, dst_act
+  UNION ALL SELECT 'otg', 'type', otype AS {of_type}
+  UNION ALL SELECT 'otg', k, t1 || ' | ' || t2, count(*) FROM kinds{k} GROUP BY t1, k, t2
+  UNION ALL SELECT 'et-ot', 'activity', activity AS {of_activity}
+  UNION ALL SELECT 'et-ot', 'type', otype AS {of_type}
+  UNION ALL SELECT 'et-ot', 'relation', activity || ' | ' || otype, count(DISTINCT (eid, oid)) FROM r{k} GROUP BY activity, otype),
+shares{k} AS (SELECT graph, kind, element, measure / sum(measure) OVER (PARTITION BY graph, kind) AS share FROM elements{k})"""
+
+
+_GRAPH_SIDES = f"{_LOG_SIDES}, {_elements_sql('_tr')}, {_elements_sql('_te')}, both_sides AS (SELECT graph, kind, element, a.share AS n, b.share AS r, abs(a.share - b.share) / greatest(a.share, b.share) AS delta FROM shares_tr a FULL JOIN shares_te b USING (graph, kind, element))"
+
+
+@_query(f"WITH {LOG2}, r2 AS (SELECT DISTINCT eid, oid, otype, activity, ts FROM relations2), {_otg_sql(2)} SELECT t1 AS otype1, k AS relationship, t2 AS otype2, count(*) AS weight FROM kinds2 GROUP BY t1, k, t2")
 def otg(spark, sf_dir):
     return ocdfg.object_type_graph(order_log(spark, sf_dir).relations)
 
@@ -401,16 +445,73 @@ def absent_flows(spark, sf_dir):
     return graphs.absent_elements(a, b, ["otype", "src_act", "dst_act"])
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_GRAPH_SIDES}, v AS (SELECT graph, 'default' AS comparison, n, r, coalesce(delta > 0.1, false) AS off FROM both_sides UNION ALL SELECT graph, 'structural', n, r, false FROM both_sides),
+c AS (SELECT graph, comparison, count(n) AS elements, count(*) FILTER (WHERE r IS NULL) AS missing, count(*) FILTER (WHERE off) AS non_conforming, count(*) FILTER (WHERE n IS NULL) AS additional FROM v GROUP BY graph, comparison)
+SELECT *, 1 - (missing + non_conforming) / elements AS fitness FROM c""")
 def graph_holdout(spark, sf_dir):
     return holdout.graph_comparison(order_log(spark, sf_dir))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_GRAPH_SIDES}, x AS (
+  SELECT graph, CASE kind WHEN 'activity' THEN 'activities' WHEN 'type' THEN 'types' WHEN 'relation' THEN 'relations' ELSE 'edges' END AS what, n IS NOT NULL AS a, r IS NOT NULL AS b FROM both_sides WHERE kind <> 'flow'
+  UNION ALL SELECT 'oc-dfg', 'typed flows', a.otype IS NOT NULL, b.otype IS NOT NULL FROM d_tr a FULL JOIN d_te b ON a.otype = b.otype AND a.src_act = b.src_act AND a.dst_act = b.dst_act),
+c AS (SELECT graph, what, count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE b AND NOT a) AS additional, count(*) FILTER (WHERE a AND NOT b) AS absent FROM x GROUP BY graph, what)
+SELECT *, shared / (shared + additional) AS test_coverage, shared / (shared + absent) AS training_coverage, shared / (shared + additional + absent) AS jaccard FROM c""")
+def graph_sets(spark, sf_dir):
+    return holdout.set_comparisons(order_log(spark, sf_dir))
+
+
+@_query(f"WITH RECURSIVE {_GRAPH_SIDES} SELECT graph, kind, element, n AS normative_share, r AS real_share, delta FROM both_sides WHERE delta > 0.1")
+def graph_deviations(spark, sf_dir):
+    sides = holdout.side_graphs(split.split_log(order_log(spark, sf_dir)))
+    of = lambda side, g: side.where(F.col("graph") == g).drop("graph")
+    out = [graphs.frequency_deviations(of(sides.training, g), of(sides.test, g)).select(F.lit(g).alias("graph"), "*") for g in holdout.GRAPHS]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@_query(f"""WITH RECURSIVE {_LOG_SIDES}, relations_wh AS (SELECT * FROM sides), events_te AS (SELECT DISTINCT eid, ts, activity FROM relations_te), {_extract_sql("relations_te", "events_te")},
+{_dfg_sql("_tr")}, {_score_sql("_tr")}, {_dfg_sql("_wh")}, {_score_sql("_wh")}, {_edges_sql("relations_te", "a_tr")}, {_edges_sql("relations_te", "a_wh", "_wh")}, {_screening_sql()},
+diff AS (SELECT exec_id, count(*) FILTER (WHERE a IS NULL) AS missing, count(*) FILTER (WHERE b IS NULL) AS additional FROM (SELECT exec_id, src, dst, 1 AS a FROM edges) x FULL JOIN (SELECT exec_id, src, dst, 1 AS b FROM edges_wh) y USING (exec_id, src, dst) GROUP BY exec_id)
+SELECT s.*, coalesce(missing, 0) AS missing, coalesce(additional, 0) AS additional, coalesce(missing, 0) = 0 AND coalesce(additional, 0) = 0 AS exact, is_dag AND connected AND reduced AS valid FROM screened s LEFT JOIN diff USING (exec_id)""")
 def holdout_graphs(spark, sf_dir):
     return holdout.instance_graph_holdout(order_log(spark, sf_dir)).results
 
 
+@_query(f"""WITH RECURSIVE {_LOG_SIDES}, {_dfg_sql("_tr")}, {_score_sql("_tr")}, g AS (SELECT d, s, o FROM (VALUES (0.8), (0.85), (0.9), (0.95)) a(d), (VALUES (0.01), (0.05), (0.1)) b(s), (VALUES (0.8), (0.9)) c(o)),
+x AS (SELECT d, s, o, CASE WHEN src_act = dst_act THEN self_loop_score >= o ELSE dependency >= d END AND relative_support >= s AS hit,
+  CASE WHEN src_act = dst_act THEN self_loop_score >= 0.9 ELSE dependency >= 0.9 END AND relative_support >= 0.05 AS base FROM g, v_tr)
+SELECT CAST(d AS DOUBLE) AS dependency_threshold, CAST(s AS DOUBLE) AS support_threshold, CAST(o AS DOUBLE) AS self_loop_threshold, count(*) FILTER (WHERE hit) AS relations, count(*) FILTER (WHERE base AND NOT hit) AS missing, count(*) FILTER (WHERE hit AND NOT base) AS additional,
+  count(*) FILTER (WHERE hit <> base) = 0 AS stable FROM x GROUP BY d, s, o""")
+def training_sensitivity(spark, sf_dir):
+    return holdout.training_sensitivity(split.split_log(order_log(spark, sf_dir)))
+
+
+#: Pairs of activities that the exploratory sensitivity expects of a simple execution.
+_EXPECTED = [("place order", "confirm order"), ("confirm order", "pay order"), ("place order", "pick item"), ("pick item", "create package"), ("create package", "send package"), ("send package", "package delivered")]
+
+
+@_query(f"""WITH {_SCORE2}, want(src_act, dst_act) AS (VALUES {", ".join(map(str, _EXPECTED))}), act AS (SELECT src_act AS activity FROM want UNION SELECT dst_act FROM want),
+g AS (SELECT CAST(d AS DOUBLE) AS d, CAST(s AS DOUBLE) AS s FROM (VALUES (0.8), (0.85), (0.9), (0.95), (0.97), (0.98)) a(d), (VALUES (0.01), (0.05), (0.1), (0.2)) b(s)),
+hit AS (SELECT DISTINCT d, s, src_act, dst_act FROM g JOIN v2 ON dependency >= d AND relative_support >= s WHERE src_act IN (SELECT activity FROM act) AND dst_act IN (SELECT activity FROM act)),
+x AS (SELECT d, s, src_act, dst_act, h, w FROM (SELECT *, 1 AS h FROM hit) a FULL JOIN (SELECT g.*, want.*, 1 AS w FROM g, want) b USING (d, s, src_act, dst_act))
+SELECT d AS dependency_threshold, s AS support_threshold, count(h) AS edges, count(*) FILTER (WHERE h IS NULL) AS missing, count(*) FILTER (WHERE w IS NULL) AS additional, count(*) FILTER (WHERE h IS NULL OR w IS NULL) = 0 AS exact FROM x GROUP BY d, s""")
+def topology_sensitivity(spark, sf_dir):
+    expected = spark.createDataFrame(_EXPECTED, "src_act string, dst_act string")
+    activities = expected.select(F.explode(F.array("src_act", "dst_act")).alias("activity"))
+    return causal.topology_sensitivity(causal_scores(spark, sf_dir), activities, expected)
+
+
+@_query(f"WITH {_NODES} SELECT exec_id, row_number() OVER (PARTITION BY exec_id ORDER BY ts, eid) AS place, eid, ts FROM nodes WHERE activity = 'pick item'")
+def activity_chain(spark, sf_dir):
+    chain = igraph.activity_chain(extract.extract(order_log(spark, sf_dir)).events(), "pick item")
+    return chain.withColumn("place", F.col("place").cast("long"))
+
+
+@_query(f"WITH {_EXTRACT}, b AS (SELECT x, CASE WHEN x IN (SELECT x FROM fi) AND x IN (SELECT x FROM fo) THEN 'foreign_items_and_orders' WHEN x IN (SELECT x FROM fi) THEN 'foreign_items' ELSE 'foreign_orders' END AS reason_code FROM (SELECT x FROM fi UNION SELECT x FROM fo)) SELECT x AS exec_oid, reason_code FROM b ORDER BY x LIMIT 5")
+def first_exclusions(spark, sf_dir):
+    return extract.exclusion_report(extract.extract(order_log(spark, sf_dir))).select("exec_oid", "reason_code")
+
+
 # --- nets and replay -----------------------------------------------------------------------------
 
 
