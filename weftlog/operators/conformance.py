@@ -1,34 +1,98 @@
 """Conformance of the projections of a log to object types: replay, fitness, precision, generalization, simplicity.
 
-Variants are counted by Spark; the net is mined from them on the driver (a bounded number, checked)
-and each distinct variant is replayed once, in tasks, and joined back to its cases.
+The inductive miner runs over a table of variants: for each node of the process tree Spark counts
+activities and pairs of activities, the driver, which holds no more than those, finds the cut, and
+Spark projects the table onto each part. Each distinct variant is replayed once, in tasks, and joined
+back to its cases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.operators.petri import Net, Replayer, mine
+from weftlog.operators.petri import Net, Replayer, Summary, mine_tree, net_of
 from weftlog.operators.split import FlatSplit, split_flat, split_summary, variant_counts, variants
 from weftlog.plans.scratch import materialize
 from weftlog.schema import STRUCTURAL_TYPES, ObjectLog, normal_types, require_name, require_threshold
 
-#: Distinct variants that a net may be mined from.
-MAX_VARIANTS = 200_000
-
-_REPLAYED = "variant array<string>, missing long, consumed long, remaining long, produced long, is_fit boolean, fitness double, fired array<int>, choices array<array<string>>"
-
-
-def discover_net(flat: DataFrame, noise: float = 0.0, max_variants: int = MAX_VARIANTS) -> Net:
+#: Activities that a log may have: the miner holds their pairs.
+MAX_ACTIVITIES = 2_000
+
+_COUNTS = "variant array<string>, missing long, consumed long, remaining long, produced long, is_fit boolean, fitness double"
+_STEPS = "fired array<int>, choices array<array<string>>"
+
+
+@dataclass(frozen=True)
+class VariantTable:
+    """A log as a table (variant, cases), for the miner in operators.petri."""
+
+    table: DataFrame
+
+    def summary(self) -> Summary:
+        v = F.col("variant")
+        size = F.size(v)
+        one = lambda kind, a, b=None: F.struct(F.lit(kind).alias("kind"), a.alias("a"), (F.lit(None).cast("string") if b is None else b).alias("b"))
+        none = F.lit(None).cast("string")
+        pairs = F.transform(F.sequence(F.lit(0), size - 2), lambda k: one("pair", F.get(v, k), F.get(v, k + 1)))
+        facts = F.concat(
+            F.transform(v, lambda a: one("activity", a)),
+            F.when(size > 1, pairs).otherwise(F.array().cast("array<struct<kind:string,a:string,b:string>>")),
+            F.array(one("start", F.get(v, F.lit(0))), one("end", F.get(v, size - 1)), one("size", F.least(size, F.lit(2)).cast("string")), one("all", none)),
+        )
+        counted = self.table.select("cases", F.explode(facts).alias("f")).groupBy("f").agg(F.sum("cases").alias("n"))
+        rows = counted.select("f.*", "n").limit(MAX_ACTIVITIES * MAX_ACTIVITIES + 4 * MAX_ACTIVITIES).collect()
+        of = lambda kind: [r for r in rows if r["kind"] == kind]
+        activities = {r["a"]: r["n"] for r in of("activity")}
+        if len(activities) > MAX_ACTIVITIES:
+            raise ValueError(f"the log has more than {MAX_ACTIVITIES} activities")
+        sizes = {r["a"]: r["n"] for r in of("size")}
+        starts, ends = ({r["a"] for r in of(kind) if r["a"] is not None} for kind in ("start", "end"))
+        return Summary(activities, {(r["a"], r["b"]): r["n"] for r in of("pair")}, starts, ends, sizes.get("0", 0), sizes.get("1", 0), sum(r["n"] for r in of("all")))
+
+    def _of(self, df: DataFrame) -> VariantTable:
+        return VariantTable(df.groupBy("variant").agg(F.sum("cases").alias("cases")))
+
+    def without_empty(self) -> VariantTable:
+        return VariantTable(self.table.where(F.size("variant") > 0))
+
+    def _within(self, group: set[str]) -> Column:
+        names = F.array(*map(F.lit, sorted(group)))
+        return F.filter("variant", lambda a: F.array_contains(names, a))
+
+    def having(self, group: set[str], mostly: bool) -> VariantTable:
+        n = F.size(self._within(group))
+        if mostly:
+            return VariantTable(self.table.where(2 * n >= F.size("variant"))).onto(group)
+        return VariantTable(self.table.where(n > 0))
+
+    def onto(self, group: set[str]) -> VariantTable:
+        return self._of(self.table.select(self._within(group).alias("variant"), "cases"))
+
+    def loop(self, groups: list[set[str]]) -> list[VariantTable]:
+        place = F.create_map(*[F.lit(x) for k, g in enumerate(groups) for a in sorted(g) for x in (a, k)])
+        v = F.col("variant")
+        at = self.table.withColumn("at", F.transform(v, lambda a: place[a]))
+        # runs of one group: where they begin, and which group each is
+        begins = F.filter(F.sequence(F.lit(0), F.size("at") - 1), lambda k: (k == 0) | (F.get("at", k) != F.get("at", k - 1)))
+        runs = at.where(F.size(v) > 0).withColumn("begins", begins).select("cases", v.alias("v"), "at", "begins", F.posexplode("begins").alias("k", "lo"))
+        hi = F.coalesce(F.get("begins", F.col("k") + 1), F.size("v"))
+        group, before = F.get("at", F.col("lo")), F.get("at", F.col("lo") - 1)
+        run = runs.select("cases", group.alias("g"), F.slice("v", F.col("lo") + 1, hi - F.col("lo")).alias("variant"), ((group != 0) & ((F.col("lo") == 0) | (before != 0))).cast("int").alias("gap"), ((group != 0) & (hi == F.size("v"))).cast("int").alias("last"))
+        run = materialize(run, "loop-runs")
+        gaps = run.where("gap + last > 0").select(F.array().cast("array<string>").alias("variant"), (F.col("cases") * (F.col("gap") + F.col("last"))).alias("cases"))
+        bodies = run.where("g = 0").select("variant", "cases").unionByName(gaps)
+        return [self._of(bodies), *(self._of(run.where(F.col("g") == k).select("variant", "cases")) for k in range(1, len(groups)))]
+
+
+def discover_net(flat: DataFrame, noise: float = 0.0) -> Net:
     """The net of a flat log."""
-    rows = variant_counts(flat).limit(max_variants + 1).collect()
-    if len(rows) > max_variants:
-        raise ValueError(f"the log has more than {max_variants} variants")
-    return mine({tuple(r["variant"]): r["cases"] for r in rows}, require_threshold(noise, "noise threshold"))
+    noise = require_threshold(noise, "noise threshold")
+    return net_of(mine_tree(VariantTable(materialize(variant_counts(flat), "variants")), noise))
 
 
 def discover_nets(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES) -> dict[str, Net]:
@@ -36,23 +100,23 @@ def discover_nets(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES) -> di
     return {t: discover_net(log.flat(t)) for t in normal_types(types)}
 
 
-def replay_variants(distinct: DataFrame, net: Net, with_choices: bool = False) -> DataFrame:
-    """One row of token counts for each row of distinct (variant)."""
+def replay_variants(distinct: DataFrame, net: Net, steps: bool = False) -> DataFrame:
+    """One row of token counts for each row of distinct (variant); with steps also what fired and what else could have."""
+    columns = ["missing", "consumed", "remaining", "produced", "is_fit", "fitness", *(["fired", "choices"] if steps else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         replayer = Replayer(net)
         for frame in frames:
-            done = [(v, replayer.replay(v, with_choices)) for v in frame["variant"]]
-            yield pd.DataFrame({"variant": [v for v, _ in done]} | {c: [getattr(r, c) for _, r in done] for c in ("missing", "consumed", "remaining", "produced", "is_fit", "fitness", "fired", "choices")})
+            done = [(v, replayer.replay(v, steps)) for v in frame["variant"]]
+            yield pd.DataFrame({"variant": [v for v, _ in done]} | {c: [getattr(r, c) for _, r in done] for c in columns})
 
-    return distinct.select("variant").distinct().mapInPandas(run, _REPLAYED)
+    return distinct.select("variant").distinct().mapInPandas(run, f"{_COUNTS}, {_STEPS}" if steps else _COUNTS)
 
 
 def replay(flat: DataFrame, net: Net, otype: str) -> DataFrame:
     """(object_type, object_id, event_count, activities, trace_is_fit, trace_fitness, and the four token counts) of every case."""
     v = variants(flat)
-    r = replay_variants(v, net).drop("fired", "choices")
-    out = v.join(r, "variant")
+    out = v.join(replay_variants(v, net), "variant")
     return out.select(
         F.lit(require_name(otype, "object type")).alias("object_type"),
         F.col("case_id").alias("object_id"),
@@ -113,7 +177,7 @@ def quality(flat: DataFrame, net: Net) -> DataFrame:
     mean over transitions of 1 / sqrt(visits), 1 for one that is never visited.
     """
     v = materialize(variant_counts(flat), "variants")
-    r = materialize(v.join(replay_variants(v, net, with_choices=True), "variant"), "replayed")
+    r = materialize(v.join(replay_variants(v, net, steps=True), "variant"), "replayed")
     steps = r.where("is_fit").select("variant", "cases", F.posexplode("choices").alias("k", "enabled"))
     at = steps.select(F.slice("variant", F.lit(1), F.col("k")).alias("prefix"), "cases", "enabled", F.get("variant", F.col("k")).alias("next"))
     taken = at.groupBy("prefix").agg(F.sum("cases").alias("w"), F.first("enabled").alias("enabled"), F.collect_set("next").alias("next"))

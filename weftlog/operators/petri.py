@@ -1,8 +1,9 @@
-"""Petri nets from trace variants by the inductive miner, and token replay of variants.
+"""Petri nets by the inductive miner, and token replay of variants.
 
-Mining works on the table of distinct variants, which is small next to the log; it follows the
-published inductive miner with exclusive, sequence, parallel and loop cuts and a flower where none
-fits. Replay is a function of one variant.
+Mining follows the published inductive miner with exclusive, sequence, parallel and loop cuts and a
+flower where none fits. A cut is decided on a Summary, counts of activities and pairs of activities;
+what the log of a part looks like after a cut is left to the log's own class, so that the same miner
+runs over a table of variants in Spark (operators.conformance). Replay is a function of one variant.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from itertools import groupby
+from typing import Protocol
 
 Log = dict[tuple[str, ...], int]
 
@@ -61,30 +64,85 @@ def _reach(acts: set[str], edges: set[tuple[str, str]]) -> set[tuple[str, str]]:
     return out
 
 
-def _projected(log: Log, groups: list[set[str]]) -> list[Log]:
-    out: list[Counter] = [Counter() for _ in groups]
-    for trace, n in log.items():
-        for g, c in zip(groups, out, strict=True):
-            c[tuple(a for a in trace if a in g)] += n
-    return [dict(c) for c in out]
+@dataclass(frozen=True)
+class Summary:
+    """What a cut is decided on: counts of activities, of pairs side by side, of first and last activities; traces
+    without activities, with one, and all."""
 
+    activities: dict[str, int]
+    follows: dict[tuple[str, str], int]
+    starts: set[str]
+    ends: set[str]
+    empty: int
+    single: int
+    traces: int
 
-def _loop_parts(log: Log, groups: list[set[str]]) -> list[Log]:
-    out: list[Counter] = [Counter() for _ in groups]
-    for trace, n in log.items():
-        at, part = 0, []
-        for a in trace:
-            k = next(i for i, g in enumerate(groups) if a in g)
-            if k != at:
-                out[at][tuple(part)] += n
-                if at and k:  # from one way back to another: an empty body between
-                    out[0][()] += n
-                at, part = k, []
-            part.append(a)
-        out[at][tuple(part)] += n
-        if at:
-            out[0][()] += n
-    return [dict(c) for c in out]
+
+class Part(Protocol):
+    """A log, or what a cut leaves of it for one child."""
+
+    def summary(self) -> Summary: ...
+
+    def without_empty(self) -> Part: ...
+
+    def having(self, group: set[str], mostly: bool) -> Part:
+        """Traces with an activity of a group; or mostly of it, and then nothing else of them."""
+
+    def onto(self, group: set[str]) -> Part:
+        """All traces, with the activities of a group alone."""
+
+    def loop(self, groups: list[set[str]]) -> list[Part]:
+        """Stretches of traces within groups, the first the body, one empty body between two others."""
+
+
+@dataclass(frozen=True)
+class Variants:
+    """A log in memory: variants and how often each is there."""
+
+    log: Log
+
+    def summary(self) -> Summary:
+        activities, follows, starts, ends = Counter(), Counter(), set(), set()
+        for t, n in self.log.items():
+            for a in t:
+                activities[a] += n
+            for pair in zip(t, t[1:], strict=False):
+                follows[pair] += n
+            starts |= set(t[:1])
+            ends |= set(t[-1:])
+        size = lambda k: sum(n for t, n in self.log.items() if len(t) == k)
+        return Summary(dict(activities), dict(follows), starts, ends, size(0), size(1), sum(self.log.values()))
+
+    def without_empty(self) -> Variants:
+        return Variants({t: n for t, n in self.log.items() if t})
+
+    def having(self, group: set[str], mostly: bool) -> Variants:
+        if mostly:
+            return Variants({t: n for t, n in self.log.items() if 2 * sum(a in group for a in t) >= len(t)}).onto(group)
+        return Variants({t: n for t, n in self.log.items() if any(a in group for a in t)})
+
+    def onto(self, group: set[str]) -> Variants:
+        out: Counter = Counter()
+        for t, n in self.log.items():
+            out[tuple(a for a in t if a in group)] += n
+        return Variants(dict(out))
+
+    def loop(self, groups: list[set[str]]) -> list[Part]:
+        out: list[Counter] = [Counter() for _ in groups]
+        place = {a: k for k, g in enumerate(groups) for a in g}
+        for t, n in self.log.items():
+            runs = [(k, tuple(g)) for k, g in groupby(t, place.get)]
+            for k, run in runs:
+                out[k][run] += n
+            if gaps := empty_bodies([k for k, _ in runs]):
+                out[0][()] += n * gaps
+        return [Variants(dict(c)) for c in out]
+
+
+def empty_bodies(order: list[int]) -> int:
+    """How often the body of a loop is passed without an activity: before a first, between two and after a last way back."""
+    ends = [0 if k else 1 for k in order]
+    return (order[:1] != [0]) + (order[-1:] != [0]) + sum(not a and not b for a, b in zip(ends, ends[1:], strict=False)) if order else 0
 
 
 def _loop_groups(acts: set[str], edges: set[tuple[str, str]], starts: set[str], ends: set[str]) -> list[set[str]]:
@@ -103,44 +161,40 @@ def _loop_groups(acts: set[str], edges: set[tuple[str, str]], starts: set[str],
     return [body, *redo]
 
 
-def mine_tree(log: Log, noise: float = 0.0) -> tuple:
+def mine_tree(part: Part, noise: float = 0.0) -> tuple:
     """A process tree: ("act", a), ("tau",) or (operator, children), operator one of xor, seq, par, loop."""
-    log = {t: n for t, n in log.items() if n}
-    if () in log:
-        rest = {t: n for t, n in log.items() if t}
-        return ("xor", [("tau",), mine_tree(rest, noise)]) if rest else ("tau",)
-    acts = {a for t in log for a in t}
+    seen = part.summary()
+    acts = set(seen.activities)
     if not acts:
         return ("tau",)
+    if seen.empty:
+        return ("xor", [("tau",), mine_tree(part.without_empty(), noise)])
     if len(acts) == 1:
         act = ("act", next(iter(acts)))
-        return act if all(len(t) == 1 for t in log) else ("loop", [act, ("tau",)])
-    follows: Counter = Counter()
-    for t, n in log.items():
-        for pair in zip(t, t[1:], strict=False):
-            follows[pair] += n
+        return act if seen.single == seen.traces else ("loop", [act, ("tau",)])
+    follows = seen.follows
     if noise:
         most = {a: max(n for (x, _), n in follows.items() if x == a) for a, _ in follows}
-        follows = Counter({(a, b): n for (a, b), n in follows.items() if n >= noise * most[a]})
-    edges, starts, ends = set(follows), {t[0] for t in log}, {t[-1] for t in log}
+        follows = {(a, b): n for (a, b), n in follows.items() if n >= noise * most[a]}
+    edges, starts, ends = set(follows), seen.starts, seen.ends
     parts = _groups(acts, lambda a, b: (a, b) in edges or (b, a) in edges)
     if len(parts) > 1:
-        return ("xor", [mine_tree({t: n for t, n in log.items() if any(a in g for a in t)}, noise) if not noise else mine_tree(_projected({t: n for t, n in log.items() if sum(a in g for a in t) * 2 >= len(t)}, [g])[0], noise) for g in parts])
+        return ("xor", [mine_tree(part.having(g, bool(noise)), noise) for g in parts])
     reach = _reach(acts, edges)
     parts = _groups(acts, lambda a, b: ((a, b) in reach) == ((b, a) in reach))
     if len(parts) > 1:
         parts.sort(key=lambda g: -len({b for a, b in reach if a in g and b not in g}))
-        return ("seq", [mine_tree(x, noise) for x in _projected(log, parts)])
+        return ("seq", [mine_tree(part.onto(g), noise) for g in parts])
     parts = _groups(acts, lambda a, b: (a, b) not in edges or (b, a) not in edges)
     whole = [g for g in parts if g & starts and g & ends]
     if len(whole) > 1:
         for g in parts:
             if g not in whole:
                 whole[0] = whole[0] | g
-        return ("par", [mine_tree(x, noise) for x in _projected(log, whole)])
+        return ("par", [mine_tree(part.onto(g), noise) for g in whole])
     parts = _loop_groups(acts, edges, starts, ends)
     if len(parts) > 1:
-        return ("loop", [mine_tree(x, noise) for x in _loop_parts(log, parts)])
+        return ("loop", [mine_tree(x, noise) for x in part.loop(parts)])
     return ("loop", [("xor", [("act", a) for a in sorted(acts)]), ("tau",)])
 
 
@@ -180,7 +234,8 @@ def net_of(tree: tuple) -> Net:
 
 
 def mine(variants: Log, noise: float = 0.0) -> Net:
-    return net_of(mine_tree(variants, noise))
+    """The net of a log in memory."""
+    return net_of(mine_tree(Variants({t: n for t, n in variants.items() if n}), noise))
 
 
 @dataclass
@@ -201,9 +256,12 @@ class Replay:
 
 
 class Replayer:
-    """Token replay on one net. Silent transitions fire as a shortest path asks for them."""
+    """Token replay on one net. Silent transitions fire as a shortest path asks for them.
+
+    A search over more than ``most`` markings is an error, never an answer from a part of them.
+    """
 
-    def __init__(self, net: Net, most: int = 20_000) -> None:
+    def __init__(self, net: Net, most: int = 1_000_000) -> None:
         self.net, self.most = net, most
         self.silent = [k for k, t in enumerate(net.transitions) if t[0] is None]
         self.visible: dict[str, list[int]] = {}
@@ -227,9 +285,11 @@ class Replayer:
             if done(m):
                 return path
             for k in self.silent:
-                if self._enabled(m, k) and len(seen) < self.most:
+                if self._enabled(m, k):
                     n = self._fire(m, k)
                     if (key := frozenset(n.items())) not in seen:
+                        if len(seen) >= self.most:
+                            raise ValueError(f"silent transitions reach more than {self.most} markings")
                         seen.add(key)
                         todo.append((n, [*path, k]))
         return None
@@ -308,6 +368,16 @@ def visible_successions(net: Net) -> set[tuple[str, str]]:
     return out
 
 
+def net_report(nets: dict[str, Net]) -> str:
+    """A text of the structure of some nets: per object type its activities, and how many places, transitions and arcs it has."""
+    lines = []
+    for name, net in sorted(nets.items()):
+        acts = sorted({a for a, *_ in net.transitions if a is not None})
+        silent = sum(a is None for a, *_ in net.transitions)
+        lines += [f"TYPE: {name}", f"ACTIVITIES ({len(acts)}): {', '.join(acts)}", f"PLACES: {net.places}", f"TRANSITIONS: {len(net.transitions)}, silent {silent}", f"ARCS: {net.arcs}", f"SIMPLICITY: {net.simplicity():.6f}", ""]
+    return "\n".join(lines)
+
+
 def net_dot(net: Net) -> str:
     """DOT text of a net."""
     lines = ["digraph {", "  rankdir=LR;"]
