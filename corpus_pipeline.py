@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftlog.llm import decontaminate, minhash, mixing, tokens, toxicity
 from weftlog.plans.scratch import materialize
+from weftlog.plans.sizing import sized
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Ids that are broadcast, numbers of 8 bytes; more of them meet the documents by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids in gone; rows with a null doc_id stay."""
-    return docs.join(gone.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """docs without the ids in gone; rows with a null doc_id stay. The ids are written first, so their number is known."""
+    ids = materialize(gone.select("doc_id").where("doc_id is not null").distinct(), "pipeline-gone")
+    return docs.join(sized(ids, BROADCAST_IDS), "doc_id", "left_anti").select(COLUMNS)
+
+
+# Every stage judges a null or empty text as a text without words: it is kept by the first three. Rows with a null
+# doc_id can't be named by an id, so they stay in the first three and are judged on by the rest. Empty tables give empty ones.
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
