@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from weftlog.llm.common import Powers, shingles, word_hashes
 from weftlog.operators.components import connected_components
 from weftlog.plans.scratch import materialize, passing_tables
+from weftlog.plans.sizing import sized
 
 #: Coordinates of a signature, and the chance at most that a pair at the threshold agrees in too few of them.
 K, MISS = 64, 1e-6
@@ -95,8 +96,11 @@ def signatures(docs: DataFrame, n_words: int = 5) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
-    """(doc_id, shingles) for the classes named in ids: their texts are read and hashed again."""
-    wanted = reps.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "set_key")
+    """(doc_id, shingles) for the classes named in ids: their texts are read and hashed again.
+
+    Up to a number of ids that is counted, texts are not shuffled for that.
+    """
+    wanted = sized(materialize(reps.join(ids.distinct(), "doc_id", "left_semi").select("doc_id", "set_key"), "minhash-wanted"))
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
