@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from weftlog.operators import ocdfg
-from weftlog.sources.ocel import read_ocel2_sqlite, write_csv
+from weftlog.sources.ocel import convert_to_parquet, object_log, read_ocel2_sqlite, read_parquet_log, write_csv, write_dot
 from weftlog.streaming.flows import streamed_successions, windowed_activity_counts
 
 
@@ -32,16 +32,55 @@ def test_sqlite(spark, tmp_path):
 
 
 def test_streamed_flows_equal_the_batch(spark, tmp_path):
+    """Events come out of order, within and over batches, and some twice."""
     t = dt.datetime(2024, 1, 1)
-    data = [(f"e{k}", f"o{k % 3}", "orders", f"a{k % 2}", t + dt.timedelta(minutes=k)) for k in range(20)]
+    data = [(f"e{k:02d}", f"o{k % 3}", "orders", f"a{k % 2}", t + dt.timedelta(minutes=k)) for k in range(20)]
+    swapped = [*data[3:12], *data[15:17], *data[:3], data[4], *data[12:15], *data[17:]]
     schema = "eid string, oid string, otype string, activity string, ts timestamp_ntz"
-    for k in range(2):
-        spark.createDataFrame(data[k * 10 : k * 10 + 10], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    q = streamed_successions(stream).writeStream.format("memory").queryName("flows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    end = [("end", "last", "orders", "z", t + dt.timedelta(days=2))]
+    for k, part in enumerate((swapped[:11], swapped[11:], end)):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in" / "*"))
+    q = streamed_successions(stream, "1 hour").writeStream.format("memory").queryName("flows").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    batch = ocdfg.successions(spark.read.parquet(str(tmp_path / "in"))).select("otype", "src_act", "dst_act", "src_eid", "dst_eid")
-    assert rows(spark.table("flows")) == rows(batch)
+    batch = ocdfg.successions(spark.read.schema(schema).parquet(str(tmp_path / "in" / "*"))).select("otype", "src_act", "dst_act", "src_eid", "dst_eid")
+    assert rows(spark.table("flows")) == rows(batch) and batch.count() == 17
     q = windowed_activity_counts(stream.withColumn("ts", stream["ts"].cast("timestamp"))).writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert sum(r.events for r in spark.table("counts").collect()) == 20
+    assert sum(r.events for r in spark.table("counts").collect()) == 22
+
+
+def test_parquet_log_and_dot_files(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    log = object_log(spark, [("a", t, "one"), ("b", t, "two")], [("a", "x", "t"), ("b", "x", "t")])
+    convert_to_parquet(log, str(tmp_path / "log"))
+    again = read_parquet_log(spark, str(tmp_path / "log"))
+    assert [rows(getattr(again, n)) for n in ("events", "objects", "relations")] == [rows(getattr(log, n)) for n in ("events", "objects", "relations")]
+    with pytest.raises(ValueError, match="events lacks columns: ts"):
+        type(log)(log.events.drop("ts"), log.objects, log.relations).checked()
+    write_dot(spark.createDataFrame([("e1", "digraph {}"), ("e2", "digraph {\n}")], "exec_id string, dot string"), str(tmp_path / "dot"))
+    assert sorted(p.name for p in (tmp_path / "dot").iterdir() if p.is_dir()) == ["exec_id=e1", "exec_id=e2"]
+    assert "".join(p.read_text() for p in (tmp_path / "dot" / "exec_id=e1").glob("*.txt")).strip() == "digraph {}"
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from weftlog.plans import scratch
+
+    class Conf:
+        def __init__(self, **known):
+            self.known = known
+
+        def get(self, key, default=None):
+            return self.known.get(key, default)
+
+        def set(self, key, value):
+            self.known[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(**{"spark.master": master})
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch.shared_dir(Session(master))
+    assert scratch.shared_dir(Session("local[2]")).startswith("file://")
