@@ -5,8 +5,8 @@ import pytest
 from weftlog.operators import causal, ocdfg
 
 FLOWS = [
-    ("items", "place order", "pick item", 1000), ("items", "pick item", "create package", 1000), ("items", "create package", "pick item", 10), ("items", "pick item", "send package", 20),
-    ("packages", "send package", "failed delivery", 200), ("packages", "failed delivery", "failed delivery", 96), ("packages", "failed delivery", "package delivered", 200),
+    ("items", "book", "saw", 800), ("items", "saw", "crate", 800), ("items", "crate", "saw", 8), ("items", "saw", "haul", 24),
+    ("packages", "haul", "knock", 150), ("packages", "knock", "knock", 60), ("packages", "knock", "hand over", 150),
 ]
 
 
@@ -21,20 +21,28 @@ def _scores(flows):
 
 def test_scores(flows):
     s = _scores(flows)
-    a = s["items", "pick item", "create package"]
-    assert (a.forward, a.backward, a.dependency, a.relative_support, a.self_loop_score) == (1000, 10, 990 / 1011, 1.0, None)
-    b = s["items", "pick item", "send package"]
-    assert (b.dependency, b.relative_support) == (20 / 21, 0.02)
-    c = s["packages", "failed delivery", "failed delivery"]
-    assert (c.forward, c.backward, c.dependency, c.self_loop_score, c.relative_support) == (96, 0, 0.0, 96 / 97, 96 / 200)
+    a = s["items", "saw", "crate"]
+    assert (a.forward, a.backward, a.dependency, a.relative_support, a.self_loop_score) == (800, 8, 792 / 809, 1.0, None)
+    assert s["items", "crate", "saw"].dependency == -792 / 809
+    b = s["items", "saw", "haul"]
+    assert (b.dependency, b.relative_support) == (24 / 25, 0.03)
+    c = s["packages", "knock", "knock"]
+    assert (c.forward, c.backward, c.dependency, c.self_loop_score, c.relative_support) == (60, 0, 0.0, 60 / 61, 60 / 150)
 
 
 def test_accepted(flows):
     accepted = {tuple(r) for r in causal.derive(causal.score(flows)).collect()}
-    assert {r for r in accepted if r[0] == "items"} == {("items", "place order", "pick item"), ("items", "pick item", "create package")}
-    assert ("packages", "failed delivery", "failed delivery") in accepted
-    strict = {tuple(r) for r in causal.derive(causal.score(flows), self_loop=0.995).collect()}
-    assert ("packages", "failed delivery", "failed delivery") not in strict
+    assert {r for r in accepted if r[0] == "items"} == {("items", "book", "saw"), ("items", "saw", "crate")}
+    assert ("packages", "knock", "knock") in accepted
+    strict = {tuple(r) for r in causal.derive(causal.score(flows), self_loop=0.99).collect()}
+    assert ("packages", "knock", "knock") not in strict
+
+
+def test_topology_sensitivity(spark, flows):
+    want = spark.createDataFrame([("book", "saw"), ("saw", "crate")], "src_act string, dst_act string")
+    acts = spark.createDataFrame([(a,) for a in ("book", "saw", "crate", "haul")], "activity string")
+    got = {(r.dependency_threshold, r.support_threshold): (r.edges, r.missing, r.additional, r.exact) for r in causal.topology_sensitivity(causal.score(flows), acts, want, ((0.9, 0.97, 0.99), (0.01, 0.05))).collect()}
+    assert got == {(0.9, 0.01): (3, 0, 1, False), (0.9, 0.05): (2, 0, 0, True), (0.97, 0.01): (2, 0, 0, True), (0.97, 0.05): (2, 0, 0, True), (0.99, 0.01): (1, 1, 0, False), (0.99, 0.05): (1, 1, 0, False)}
 
 
 @pytest.mark.parametrize("bad", [-0.01, 1.01])

@@ -10,77 +10,124 @@ from weftlog.functions.dot import dot_text
 from weftlog.operators import extract, igraph
 from weftlog.sources.ocel import object_log, read_executions, read_relations
 
-_ACTS = {"e1": ("09:00", "place order"), "e2": ("09:10", "confirm order"), "e3": ("09:15", "pay order"), "e4": ("09:20", "pick item"), "e8": ("09:22", "unrelated event"), "e5": ("09:30", "create package"), "e6": ("09:40", "send package"), "e7": ("09:50", "package delivered")}
-_RELATIONS = {"e1": "o-1 i-1 product-1 employee-1", "e2": "o-1 employee-1", "e3": "o-1", "e4": "i-1 product-1 employee-1", "e5": "i-1 p-1", "e6": "p-1 employee-1", "e7": "p-1", "e8": "product-1 employee-1"}
-_TYPES = {"o": "orders", "i": "items", "p": "packages", "product": "products", "employee": "employees"}
-
-
-def _log(spark, more=()):
-    events = [(e, dt.datetime.fromisoformat(f"2024-01-01T{t}"), a) for e, (t, a) in reversed(_ACTS.items())]
-    relations = [(e, o, _TYPES[o.split("-")[0]]) for e, os in _RELATIONS.items() for o in os.split()]
-    return object_log(spark, events, [*relations, *more])
-
-
-def test_closure(spark):
-    found = extract.extract(_log(spark))
-    assert rows(found.events().select("exec_id", "eid")) == [("order-centred:o-1", f"e{k}") for k in range(1, 8)]
-    assert found.exclusions.count() == 0
+DAY = dt.datetime(2031, 5, 6)
+#: A joiner's workshop: hour, event, activity, objects as type and id.
+EVENTS = [
+    (1, "book-A", "book", [("orders", "A"), ("items", "A-leg"), ("items", "A-top"), ("people", "kim")]),
+    (2, "quote-A", "quote", [("orders", "A"), ("people", "kim")]),
+    (3, "saw-leg", "saw", [("items", "A-leg")]),
+    (4, "saw-top", "saw", [("items", "A-top"), ("people", "sam")]),
+    (5, "crate-X", "crate", [("items", "A-leg"), ("items", "A-top"), ("packages", "X")]),
+    (9, "haul-X", "haul", [("packages", "X"), ("people", "sam")]),
+    (2, "sweep", "sweep", [("people", "sam")]),
+    (3, "book-B", "book", [("orders", "B"), ("items", "B-lid")]),
+    (6, "crate-Y", "crate", [("items", "B-lid"), ("packages", "Y")]),
+    (4, "book-C", "book", [("orders", "C"), ("items", "C-door")]),
+    (4, "book-D", "book", [("orders", "D"), ("items", "D-sill")]),
+    (7, "crate-Z", "crate", [("items", "C-door"), ("items", "D-sill"), ("packages", "Z")]),
+]
+FLOWS = [("orders", "book", "quote"), ("items", "book", "saw"), ("items", "saw", "crate"), ("items", "book", "crate"), ("packages", "crate", "haul")]
+A = ["book-A", "crate-X", "haul-X", "quote-A", "saw-leg", "saw-top"]
+
+
+def workshop(spark, more=()):
+    events = [(e, DAY + dt.timedelta(hours=h), a) for h, e, a, _ in reversed(EVENTS)]
+    return object_log(spark, events, [*((e, o, t) for _, e, _, objects in EVENTS for t, o in objects), *more])
+
+
+def test_executions_and_exclusions(spark):
+    found = extract.extract(workshop(spark, [("crate-Y", "spare", "items")]))
+    assert rows(found.events().select("exec_id", "eid")) == [("order-centred:A", e) for e in A]
+    x = {r.exec_oid: (r.reason_code, r.foreign_items, r.foreign_orders) for r in found.exclusions.collect()}
+    assert x == {"B": ("foreign_items", ["spare"], []), "C": ("foreign_items_and_orders", ["D-sill"], ["D"]), "D": ("foreign_items_and_orders", ["C-door"], ["C"])}
+    assert [r.exec_oid for r in extract.exclusion_report(found, 2).collect()] == ["B", "C"]
+    table = {r.exec_oid: r for r in extract.candidates(found).collect()}
+    assert (table["A"].events, table["A"].items, table["A"].packages, table["A"].complete, table["A"].simple) == (6, 2, 1, False, True)
+    assert (table["C"].items, table["C"].foreign_items, table["C"].foreign_orders, table["C"].activities) == (2, 1, 1, "book, crate")
+    assert rows(extract.objects_by_type(found.events(), found.log.relations)) == [("order-centred:A", t, n) for t, n in (("items", 2), ("orders", 1), ("packages", 1), ("people", 2))]
+
+
+def test_some_orders_only(spark):
+    log = workshop(spark)
+    named = spark.createDataFrame([("B",), ("B",)], "oid string")
+    assert rows(extract.extract(log, only=named).events().select("eid")) == [("book-B",), ("crate-Y",)]
+    with pytest.raises(ValueError, match="Q"):
+        extract.extract(log, only=spark.createDataFrame([("Q",)], "oid string"))
+    twice = type(log)(log.events.unionByName(log.events.where("eid = 'sweep'")), log.objects, log.relations)
+    with pytest.raises(ValueError, match="sweep"):
+        extract.extract(twice)
 
 
-def test_foreign_item(spark):
-    x = extract.extract(_log(spark, [("e6", "i-foreign", "items")])).exclusions.collect()
-    assert [(r.exec_oid, r.reason_code, r.foreign_items, r.foreign_orders) for r in x] == [("o-1", "foreign_items", ["i-foreign"], [])]
+def test_objects_of_executions(spark):
+    log = workshop(spark)
+    nodes = extract.extract(log).events()
+    assert [r.eid for r in extract.events_for_object(nodes, log.relations, "items", "A-leg").collect()] == ["book-A", "saw-leg", "crate-X"]
+    assert rows(extract.involves_object(nodes, log.relations, "people", "sam")) == [("order-centred:A", True), ("order-centred:B", False)]
+    assert extract.events_for_object(nodes, log.relations, "orders", "A-leg").count() == 0
 
 
-def test_unknown_order_and_repeated_event(spark):
-    log = _log(spark)
-    with pytest.raises(ValueError, match="o-9"):
-        extract.extract(log, only=spark.createDataFrame([("o-9",)], "oid string"))
-    twice = type(log)(log.events.unionByName(log.events.where("eid = 'e1'")), log.objects, log.relations)
-    with pytest.raises(ValueError, match="e1"):
-        extract.extract(twice)
+def documents(spark, tmp_path, shift=()):
+    """The execution of A as JSON, events at other hours where shift says so."""
+    at = dict(shift)
+    events = [{"event_id": e, "activity": a, "timestamp": (DAY + dt.timedelta(hours=at.get(e, h))).isoformat(), "objects": [{"object_type": t, "object_id": o} for t, o in objects]} for h, e, a, objects in EVENTS if e in A]
+    (tmp_path / "x.json").write_text(json.dumps({"execution_id": "A", "events": events}))
+    (tmp_path / "r.json").write_text(json.dumps([{"source_activity": s, "target_activity": d, "object_type": t} for t, s, d in [*FLOWS, FLOWS[0]]]))
+    return *read_executions(spark, str(tmp_path / "x.json")), read_relations(spark, str(tmp_path / "r.json"))
 
 
-_TOY = [
-    ("e1", "place order", "2026-01-01T09:00:00", "customers:C1 orders:O1 items:I1"), ("e2", "confirm order", "2026-01-01T09:15:00", "orders:O1 employees:ES1"), ("e3", "pay order", "2026-01-01T10:30:00", "orders:O1 employees:ES1"),
-    ("e4", "pick item", "2026-01-01T09:20:00", "items:I1 employees:EW1"), ("e5", "create package", "2026-01-01T10:00:00", "items:I1 packages:P1 employees:EW1"), ("e6", "send package", "2026-01-01T11:00:00", "packages:P1 employees:EP1"), ("e7", "package delivered", "2026-01-02T14:00:00", "packages:P1"),
-]
-_TOY_RELATIONS = [("place order", "confirm order", "orders"), ("confirm order", "pay order", "orders"), ("place order", "pick item", "items"), ("pick item", "create package", "items"), ("create package", "send package", "packages"), ("send package", "package delivered", "packages")]
-_TOY_EDGES = [("e1", "e2"), ("e1", "e4"), ("e2", "e3"), ("e4", "e5"), ("e5", "e6"), ("e6", "e7")]
+@pytest.mark.parametrize("shift", [(), (("quote-A", 8), ("saw-leg", 4.5))])
+def test_graph_whatever_the_order_of_independent_events(spark, tmp_path, shift):
+    nodes, relations, accepted = documents(spark, tmp_path, shift)
+    assert accepted.count() == len(FLOWS)
+    edges, reach = igraph.instance_graph(nodes, relations, accepted)
+    assert rows(edges.select("src", "dst")) == [("book-A", "quote-A"), ("book-A", "saw-leg"), ("book-A", "saw-top"), ("crate-X", "haul-X"), ("saw-leg", "crate-X"), ("saw-top", "crate-X")]
+    assert rows(igraph.incomparable_pairs(nodes, reach).select("eid1", "eid2")) == [("crate-X", "quote-A"), ("haul-X", "quote-A"), ("quote-A", "saw-leg"), ("quote-A", "saw-top"), ("saw-leg", "saw-top")]
+    s = igraph.screening(nodes, edges, reach, relations).first()
+    assert (s.nodes, s.edges, s.sources, s.sinks, s.isolated, s.incomparable, s.valid) == (6, 6, 1, 2, 0, 5, True)
+    assert "saw-leg\\nsaw" in dot_text(nodes, edges).first().dot
+    assert rows(igraph.relevant_relations(nodes, accepted)) == sorted(("A", *r) for r in FLOWS)
+    igraph.require_valid(nodes, relations, edges)
 
 
-def _toy(spark, tmp_path, times=()):
-    at = dict(times)
-    events = [{"event_id": e, "activity": a, "timestamp": at.get(e, t), "objects": [dict(zip(("object_type", "object_id"), o.split(":"), strict=True)) for o in os.split()]} for e, a, t, os in _TOY]
-    (tmp_path / "x.json").write_text(json.dumps({"execution_id": "toy", "events": events}))
-    (tmp_path / "r.json").write_text(json.dumps([dict(zip(("source_activity", "target_activity", "object_type"), r, strict=True)) for r in [*_TOY_RELATIONS, _TOY_RELATIONS[0]]]))
-    return *read_executions(spark, str(tmp_path / "x.json")), read_relations(spark, str(tmp_path / "r.json"))
+def test_edge_differences(spark):
+    one, other = (spark.createDataFrame([("x", a, b) for a, b in pairs], "exec_id string, src string, dst string") for pairs in (("ab", "bc"), ("ab", "cd", "ce")))
+    assert rows(igraph.edge_differences(one, other)) == [("x", 2, 1, False)]
+    assert rows(igraph.edge_differences(one, one)) == [("x", 0, 0, True)]
 
 
-@pytest.mark.parametrize("times", [(), (("e2", "2026-01-01T09:25:00"), ("e4", "2026-01-01T09:10:00"))])
-def test_toy_graph_whatever_the_order_of_independent_events(spark, tmp_path, times):
-    nodes, relations, accepted = _toy(spark, tmp_path, times)
-    assert accepted.count() == 6
+def test_invalid_executions(spark, tmp_path):
+    nodes, relations, accepted = documents(spark, tmp_path)
     edges, reach = igraph.instance_graph(nodes, relations, accepted)
-    assert rows(edges.select("src", "dst")) == _TOY_EDGES
-    pairs = rows(igraph.incomparable_pairs(nodes, reach).select("eid1", "eid2"))
-    assert ("e2", "e4") in pairs and len(pairs) == 8
-    s = igraph.screening(nodes, edges, reach, relations).first()
-    assert (s.nodes, s.edges, s.sources, s.sinks, s.incomparable, s.valid) == (7, 6, 1, 2, 8, True)
-    assert "e1\\nplace order" in dot_text(nodes, edges).first().dot
-    assert igraph.execution_violations(nodes, relations).count() == 0
+    blank = nodes.withColumn("activity", nodes["activity"].substr(9, 2))
+    again = nodes.unionByName(nodes.where("eid = 'saw-top'"))
+    bare = relations.where("eid <> 'quote-A'")
+    assert rows(igraph.execution_violations(again, bare)) == [("A", "no objects", "quote-A"), ("A", "repeated event", "saw-top")]
+    for bad, rel, what in ((blank, relations, "blank activity"), (again, relations, "repeated event, saw-top"), (nodes, bare, "no objects, quote-A"), (nodes.limit(0), relations, "without events")):
+        with pytest.raises(ValueError, match=what):
+            igraph.require_valid(bad, rel)
+    loop = edges.unionByName(edges.where("src = 'crate-X'").selectExpr("exec_id", "dst as src", "src as dst", "object_types", "object_ids"))
+    with pytest.raises(ValueError, match="haul-X to crate-X"):
+        igraph.require_valid(nodes, relations, loop)
+    s = igraph.screening(nodes, loop, reach, relations).first()
+    assert (s.is_dag, s.valid) == (False, False)
+    # an edge that a path makes needless
+    more = edges.unionByName(edges.where("src = 'crate-X'").selectExpr("exec_id", "'saw-leg' as src", "dst", "object_types", "object_ids"))
+    s = igraph.screening(nodes, more, reach, relations).first()
+    assert (s.is_dag, s.reduced, s.valid) == (True, False, False)
 
 
 def test_self_relation_leaves_a_chain(spark):
-    n = 7
-    t = dt.datetime(2024, 1, 1)
-    nodes = spark.createDataFrame([("x", f"e{k}", t + dt.timedelta(hours=k), "failed delivery") for k in range(n)], "exec_id string, eid string, ts timestamp_ntz, activity string")
-    relations = spark.createDataFrame([(f"e{k}", "p", "packages") for k in range(n)], "eid string, oid string, otype string")
-    accepted = spark.createDataFrame([("packages", "failed delivery", "failed delivery")], "otype string, src_act string, dst_act string")
+    n = 6
+    nodes = spark.createDataFrame([("x", f"try{k}", DAY + dt.timedelta(hours=k), "knock") for k in range(n)], "exec_id string, eid string, ts timestamp_ntz, activity string")
+    relations = spark.createDataFrame([(f"try{k}", "p", "packages") for k in range(n)], "eid string, oid string, otype string")
+    accepted = spark.createDataFrame([("packages", "knock", "knock")], "otype string, src_act string, dst_act string")
     edges, reach = igraph.instance_graph(nodes, relations, accepted)
-    assert rows(edges.select("src", "dst")) == [(f"e{k}", f"e{k + 1}") for k in range(n - 1)]
+    assert rows(edges.select("src", "dst")) == [(f"try{k}", f"try{k + 1}") for k in range(n - 1)]
     assert reach.count() == n * (n - 1) // 2
-    c = igraph.chain_is_consecutive(nodes, edges, "failed delivery").first()
+    assert rows(igraph.activity_chain(nodes, "knock").select("place", "eid")) == [(k + 1, f"try{k}") for k in range(n)]
+    c = igraph.chain_is_consecutive(nodes, edges, "knock").first()
     assert (c.chain_edges, c.missing, c.additional) == (n - 1, 0, 0)
+    c = igraph.chain_is_consecutive(nodes, edges.where("src <> 'try2'"), "knock").first()
+    assert (c.chain_edges, c.missing, c.additional) == (n - 1, 1, 0)
     again = igraph.closure(edges)
     assert again.exceptAll(reach).count() == 0 and igraph.reduced(edges, again).count() == n - 1
