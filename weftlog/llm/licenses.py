@@ -191,8 +191,9 @@ SIGNATURES = [
     ("unknown-license", 4, "licen[sc]ed under"),
     ("unknown-license", 4, "no licen[sc]e (?:is )?granted"),
 ]
-#: Words that say little: a rule has one as its keyword only if it requires no other (the first ones least).
-COMMON = ["the", "a", "of", "to", "and", "in", "is", "for", "any", "all", "by", "this", "use", "you", "want", "do", "what", "version", "as", "without", "free", "open", "side", "system", "source", "software", "general", "common", "public", "license", "licence", "permitted", "provided", "under", "content", "hereby"]
+#: Words that say little: a rule has one as its keyword only if it requires no other (the first ones least). Initials of
+#: two letters stand in texts of all kinds, and one name is a preposition in another language.
+COMMON = ["nd", "sa", "nc", "by", "mit", "the", "a", "of", "to", "and", "in", "is", "for", "any", "all", "this", "use", "you", "want", "do", "what", "version", "as", "without", "free", "open", "side", "system", "source", "software", "general", "common", "public", "license", "licence", "permitted", "provided", "under", "content", "hereby"]
 #: Confidence of a detection by rank, and of a base phrase alone.
 CONFIDENCE, BASE_CONFIDENCE = (1.0, 0.95, 0.8, 0.6, 0.4), 0.5
 #: Characters of text in a task that runs the rules.
