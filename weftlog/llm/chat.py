@@ -61,6 +61,7 @@ def preference_rows(pairs: DataFrame) -> DataFrame:
 
     Gives n_prompt_turns, prompt, chosen, rejected, chosen_spans and rejected_spans beside the other
     columns of pairs. A side that is null or has no turns beyond the prompt has an empty completion.
+    Repeated rows give repeated results, and an empty table none.
     """
     empty = F.array().cast(_TURNS)
     keep = [c for c in pairs.columns if c not in ("chosen", "rejected", "n_prompt_turns", "prompt", "chosen_spans", "rejected_spans")]
@@ -74,7 +75,8 @@ def next_answer_pairs(turns: DataFrame) -> DataFrame:
     """conv_id with chosen, the conversation, and rejected: its last answer is that of the next conv_id.
 
     Where there is no next conversation, or it has no answer, the rejected one ends before its
-    last answer; a conversation without answers is its own rejected one.
+    last answer; a conversation without answers is its own rejected one. Nulls and repeated rows are
+    taken as in conversations(); an empty table gives an empty result.
     """
     c = conversations(turns)
     last = F.array_max(F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda k: F.get("turns", k)["role"] == "assistant"))
