@@ -52,15 +52,20 @@ def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"paths did not end in {max_rounds} rounds")
 
 
+def _bypassed(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """KEY of pairs that an edge and a path behind it lead over."""
+    return edges.select("exec_id", "src", F.col("dst").alias("mid")).join(reach.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"]).select(KEY).distinct()
+
+
 def reduced(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Edges without those that a longer path makes needless; the others keep their columns."""
-    via = edges.select("exec_id", "src", F.col("dst").alias("mid")).join(reach.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"]).select(KEY).distinct()
-    return edges.join(via, KEY, "left_anti").select(edges.columns)
+    return edges.join(_bypassed(edges, reach), KEY, "left_anti").select(edges.columns)
 
 
 def instance_graph(nodes: DataFrame, relations: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, reach): the reduced edges of every execution, and its paths."""
-    cand = materialize(candidate_edges(execution_objects(nodes, relations), accepted), "edges-raw")
+    objects = materialize(execution_objects(nodes, relations), "execution-objects")
+    cand = materialize(candidate_edges(objects, accepted), "edges-raw")
     reach = closure(cand)
     return reduced(cand, reach), reach
 
@@ -128,7 +133,7 @@ def screening(nodes: DataFrame, edges: DataFrame, reach: DataFrame, relations: D
         F.count_if((F.col("in") == 0) & (F.col("out") == 0)).alias("isolated"),
     )
     back = backward_edges(nodes, edges).groupBy("exec_id").agg(F.count("*").alias("backward"))
-    needless = edges.select(KEY).exceptAll(reduced(edges.select(KEY), reach)).groupBy("exec_id").agg(F.count("*").alias("needless"))
+    needless = edges.select(KEY).join(_bypassed(edges, reach), KEY, "left_semi").groupBy("exec_id").agg(F.count("*").alias("needless"))
     repeats = suspicious_repetitions(nodes, relations, reach, types).groupBy("exec_id").agg(F.count("*").alias("suspicious"))
     pairs = reach.groupBy("exec_id").agg(F.count("*").alias("ordered"))
     out = per_node.join(weakly_connected(nodes, edges), "exec_id")
