@@ -140,6 +140,12 @@ def test_blocks_that_fit_come_after_one_that_does_not(spark):
         assert sorted(x.block for x in r) == sorted({x.block for x in r}) and len(r) == 6 and 0 not in {x.block for x in r}
 
 
+def test_full_sources_take_no_empty_block_again(spark):
+    sized = spark.createDataFrame([("s", 0, 0), ("s", 1, 10)], "key string, block int, words long")
+    got = mixing.choose_blocks(sized, spark.createDataFrame([("s", 10, 20.0)], "key string, source_size long, target double")).collect()
+    assert {(r.block, r.passes, r.extra) for r in got} == {(0, 2, False), (1, 2, False)}
+
+
 def test_shards_and_blocks_follow_the_sizes(spark):
     assert [mixing._within(x, 2048, 65536) for x in (0, 2048, 2049, 5e4, 1e9)] == [2048, 2048, 4096, 65536, 65536]
     d = docs(spark, [(k, "w " * 500) for k in range(300)], source=dict.fromkeys(range(300), "s"))

@@ -90,7 +90,8 @@ def choose_blocks(sized: DataFrame, wanted: DataFrame, seed: int = SEED) -> Data
     permuted = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1), "key", "block"), "block").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("key")
     for _ in range(FILLS):
-        fits = ~F.col("in") & (F.col("words") <= F.col("gap"))
+        # without a gap nothing is taken once more, not even a block without words
+        fits = ~F.col("in") & (F.col("words") <= F.col("gap")) & (F.col("gap") > 0)
         b = b.withColumn("upto", F.when(fits, F.sum(F.when(fits, F.col("words")).otherwise(0)).over(permuted)))
         b = b.withColumn("new", F.coalesce(F.col("upto") <= F.col("gap"), F.lit(False)))
         b = b.withColumn("gap", F.col("gap") - F.coalesce(F.max(F.when(F.col("new"), F.col("upto"))).over(whole), F.lit(0))).withColumn("in", F.col("in") | F.col("new"))
