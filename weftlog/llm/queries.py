@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftlog.llm import chat, decontaminate, embeddings, html, langid, licenses, minhash, mixing, tokens, toxicity
+from weftlog.llm import chat, collocations, decontaminate, embeddings, html, langid, licenses, merkle, minhash, mixing, simhash, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,19 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digests(_table(spark, sf_dir, "documents"), tokens.tokenizer_path(), 2)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.tampered_manifest(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -64,10 +77,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_tokens": op9_tokens,
     "op10_minhash": op10_minhash,
+    "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op6_embeddings": embeddings.ORACLE_SQL,
     "op7_chat": chat.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }
