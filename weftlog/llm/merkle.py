@@ -18,6 +18,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from weftlog.llm.common import ascii_lower
 from weftlog.plans.ordered import running
@@ -122,7 +123,7 @@ def _manifest(leaves: DataFrame, proofs: bool) -> DataFrame:
         schema = schema.add(c, "string")
     schema = schema.add("verified", "boolean")
     if proofs:
-        schema = schema.add("proof", "array<struct<before:string,after:string>>")
+        schema = schema.add("proof", ArrayType(StructType().add("before", "string").add("after", "string")))
 
     def proven(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("place")
