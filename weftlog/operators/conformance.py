@@ -2,12 +2,16 @@
 
 The inductive miner runs over a table of variants: for each node of the process tree Spark counts
 activities and pairs of activities, the driver, which holds no more than those, finds the cut, and
-Spark projects the table onto each part. Each distinct variant is replayed once, in tasks, and joined
-back to its cases.
+Spark projects the table onto each part and writes it.
+
+A net is compiled to an automaton, whose tables are literals of the plan: traces are run through it in the JVM,
+and those that fit have their counts from there. Only variants that do not fit are replayed token by token, in
+Python tasks, each once; so are all variants of a net whose automaton would be too large.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
@@ -15,16 +19,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.operators.petri import Net, Replayer, Summary, mine_tree, net_of
+from weftlog.operators.petri import Around, Automaton, Net, Replayer, Summary, compiled, mine_tree, net_of
 from weftlog.operators.split import FlatSplit, split_flat, split_summary, variant_counts, variants
+from weftlog.plans.scan import scan
 from weftlog.plans.scratch import materialize
+from weftlog.plans.sizing import sized
 from weftlog.schema import STRUCTURAL_TYPES, ObjectLog, normal_types, require_name, require_threshold
 
-#: Activities that a log may have: the miner holds their pairs.
-MAX_ACTIVITIES = 2_000
+#: Activities that a log may have, and rows of what stands around them: the miner holds these and the pairs of activities.
+MAX_ACTIVITIES, MAX_AROUND = 2_000, 4_000_000
 
-_COUNTS = "variant array<string>, missing long, consumed long, remaining long, produced long, is_fit boolean, fitness double"
-_STEPS = "fired array<int>, choices array<array<string>>"
+_COUNTED = {"missing": "long", "consumed": "long", "remaining": "long", "produced": "long", "is_fit": "boolean", "fitness": "double"}
+_COUNTS = ", ".join(f"{c} {kind}" for c, kind in _COUNTED.items())
+_STEPS = "steps array<struct<enabled:int,ok:boolean>>, fired array<int>"
 
 
 @dataclass(frozen=True)
@@ -33,29 +40,63 @@ class VariantTable:
 
     table: DataFrame
 
+    def _facts(self, facts: Column, most: int) -> list:
+        """The sum of cases for each fact; more than ``most`` of them are an error."""
+        counted = self.table.select("cases", F.explode(facts).alias("f")).groupBy("f").agg(F.sum("cases").alias("n"))
+        rows = counted.select("f.*", "n").limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"the log has more than {MAX_ACTIVITIES} activities, or more than {most} combinations of them")
+        return rows
+
     def summary(self) -> Summary:
         v = F.col("variant")
         size = F.size(v)
-        one = lambda kind, a, b=None: F.struct(F.lit(kind).alias("kind"), a.alias("a"), (F.lit(None).cast("string") if b is None else b).alias("b"))
         none = F.lit(None).cast("string")
+        one = lambda kind, a, b=none: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
         pairs = F.transform(F.sequence(F.lit(0), size - 2), lambda k: one("pair", F.get(v, k), F.get(v, k + 1)))
+        once = F.filter(F.array_distinct(v), lambda a: F.size(F.filter(v, lambda b: a == b)) == 1)
         facts = F.concat(
             F.transform(v, lambda a: one("activity", a)),
             F.when(size > 1, pairs).otherwise(F.array().cast("array<struct<kind:string,a:string,b:string>>")),
+            F.transform(once, lambda a: one("once", a)),
             F.array(one("start", F.get(v, F.lit(0))), one("end", F.get(v, size - 1)), one("size", F.least(size, F.lit(2)).cast("string")), one("all", none)),
         )
-        counted = self.table.select("cases", F.explode(facts).alias("f")).groupBy("f").agg(F.sum("cases").alias("n"))
-        rows = counted.select("f.*", "n").limit(MAX_ACTIVITIES * MAX_ACTIVITIES + 4 * MAX_ACTIVITIES).collect()
-        of = lambda kind: [r for r in rows if r["kind"] == kind]
-        activities = {r["a"]: r["n"] for r in of("activity")}
-        if len(activities) > MAX_ACTIVITIES:
+        # as many facts as MAX_ACTIVITIES activities can have: with more, there are more activities
+        rows = self._facts(facts, MAX_ACTIVITIES * MAX_ACTIVITIES + 4 * MAX_ACTIVITIES + 6)
+        of = lambda kind: {r["a"]: r["n"] for r in rows if r["kind"] == kind and r["a"] is not None}
+        if len(of("activity")) > MAX_ACTIVITIES:
             raise ValueError(f"the log has more than {MAX_ACTIVITIES} activities")
-        sizes = {r["a"]: r["n"] for r in of("size")}
-        starts, ends = ({r["a"] for r in of(kind) if r["a"] is not None} for kind in ("start", "end"))
-        return Summary(activities, {(r["a"], r["b"]): r["n"] for r in of("pair")}, starts, ends, sizes.get("0", 0), sizes.get("1", 0), sum(r["n"] for r in of("all")))
+        sizes = of("size")
+        pairs = {(r["a"], r["b"]): r["n"] for r in rows if r["kind"] == "pair"}
+        return Summary(of("activity"), pairs, of("start"), of("end"), sizes.get("0", 0), sizes.get("1", 0), sum(r["n"] for r in rows if r["kind"] == "all"), of("once"))
+
+    def around(self) -> Around:
+        v = F.col("variant")
+        begins = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda k: (k == 0) | (F.get(v, k) != F.get(v, k - 1)))
+        runs = VariantTable(self.table.where(F.size(v) > 0).select("cases", F.transform(begins, lambda k: F.get(v, k)).alias("runs")))
+        at = lambda k: F.when(k >= 0, F.get("runs", k))
+        facts = F.transform("runs", lambda a, k: F.struct(a.alias("a"), at(k - 1).alias("x"), at(k + 1).alias("y")))
+        between, first, last = {}, {}, {}
+        for r in runs._facts(facts, MAX_AROUND):
+            if r["x"] is not None and r["y"] is not None:
+                between[r["a"], r["x"], r["y"]] = r["n"]
+            elif r["y"] is not None:
+                first[r["a"], r["y"]] = r["n"]
+            elif r["x"] is not None:
+                last[r["a"], r["x"]] = r["n"]
+        return Around(between, first, last)
+
+    def split(self, before: set[str], after: set[str] | None) -> VariantTable:
+        v = F.col("variant")
+        known = lambda names, a: F.array_contains(F.array(*map(F.lit, sorted(names))), a)
+        cut = lambda k: known(before, F.get(v, k)) & (F.lit(True) if after is None else known(after, F.get(v, k - 1)))
+        begins = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda k: F.when(k == 0, True).otherwise(cut(k)))
+        parts = self.table.where(F.size(v) > 0).withColumn("begins", begins).select("cases", v, "begins", F.posexplode("begins").alias("k", "lo"))
+        hi = F.coalesce(F.get("begins", F.col("k") + 1), F.size(v))
+        return self._of(parts.select(F.slice(v, F.col("lo") + 1, hi - F.col("lo")).alias("variant"), "cases"))
 
     def _of(self, df: DataFrame) -> VariantTable:
-        return VariantTable(df.groupBy("variant").agg(F.sum("cases").alias("cases")))
+        return VariantTable(materialize(df.groupBy("variant").agg(F.sum("cases").alias("cases")), "part"))
 
     def without_empty(self) -> VariantTable:
         return VariantTable(self.table.where(F.size("variant") > 0))
@@ -95,30 +136,124 @@ def discover_net(flat: DataFrame, noise: float = 0.0) -> Net:
     return net_of(mine_tree(VariantTable(materialize(variant_counts(flat), "variants")), noise))
 
 
+def nets_of_cases(cases: DataFrame, types: Iterable[str], noise: float = 0.0) -> dict[str, Net]:
+    """A net for each object type of cases (otype, case_id, variant)."""
+    noise = require_threshold(noise, "noise threshold")
+    counts = materialize(cases.groupBy("otype", "variant").agg(F.count("*").alias("cases")), "variants")
+    return {t: net_of(mine_tree(VariantTable(counts.where(F.col("otype") == t).select("variant", "cases")), noise)) for t in normal_types(types)}
+
+
 def discover_nets(log: ObjectLog, types: Iterable[str] = STRUCTURAL_TYPES) -> dict[str, Net]:
     """A net for each object type."""
-    return {t: discover_net(log.flat(t)) for t in normal_types(types)}
+    types = normal_types(types)
+    return nets_of_cases(typed_variants(log, types), types)
+
+
+def _literal(values: list, kind: str) -> Column:
+    """A list as a constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+@dataclass(frozen=True)
+class _Walker:
+    """Columns that run a variant through an automaton."""
+
+    automaton: Automaton
+
+    def _cell(self, state: Column, activity: Column) -> Column:
+        """Where a step stands in the automaton's tables; null where there is none."""
+        place = F.array_position(F.array(*map(F.lit, self.automaton.names)).cast("array<string>"), activity)
+        return F.when((state >= 0) & (place > 0), state * len(self.automaton.names) + place.cast("int") - 1)
+
+    def _of(self, values: list[int], cell: Column, kind: str = "int") -> Column:
+        return F.coalesce(F.get(_literal(values, f"array<{kind}>"), cell), F.lit(-1).cast(kind))
+
+    def counts(self, variant: Column) -> Column:
+        """(state, consumed, produced) at the end; state -1 where an activity could not fire."""
+        a = self.automaton
+        start = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("consumed"), F.lit(1).cast("long").alias("produced"))
+
+        def step(acc: Column, activity: Column) -> Column:
+            cell = self._cell(acc["state"], activity)
+            return F.struct(self._of(a.after, cell).alias("state"), (acc["consumed"] + self._of(a.consumed, cell, "long")).alias("consumed"), (acc["produced"] + self._of(a.produced, cell, "long")).alias("produced"))
+
+        return F.aggregate(variant, start, step)
+
+    def _end(self, k: int, state: Column, kind: str) -> Column:
+        return F.when(state >= 0, F.get(_literal([e[k] for e in self.automaton.ends], f"array<{kind}>"), state))
+
+    def token_counts(self, variant: Column) -> Column:
+        """The columns of _COUNTED of a variant that fits, null for others."""
+        end = self.counts(variant)
+        consumed, produced = end["consumed"] + self._end(1, end["state"], "long") + 1, end["produced"] + self._end(2, end["state"], "long")
+        zero = F.lit(0).cast("long")
+        fits = F.struct(zero.alias("missing"), consumed.alias("consumed"), zero.alias("remaining"), produced.alias("produced"), F.lit(True).alias("is_fit"), F.lit(1.0).alias("fitness"))
+        return F.when(F.coalesce(self._end(0, end["state"], "boolean"), F.lit(False)), fits)
 
+    def steps(self, variant: Column) -> tuple[Column, Column]:
+        """steps, as in _STEPS, and fired of a variant that fits (null for others)."""
+        a = self.automaton
+        states = scan(variant, F.lit(0), lambda s, activity: self._of(a.after, self._cell(s, activity)))
+        state = F.element_at(states, -1)
+        enabled = lambda s: F.coalesce(F.when(s >= 0, F.get(_literal(a.enabled, "array<int>"), s)), F.lit(-1))
+        steps = F.transform(variant, lambda _, k: F.struct(enabled(F.get(states, k)).alias("enabled"), (F.get(states, k + 1) >= 0).alias("ok")))
+        fired = F.flatten(F.transform(variant, lambda x, k: F.get(_literal(a.fired, "array<array<int>>"), self._cell(F.get(states, k), x))))
+        return steps, F.when(F.coalesce(self._end(0, state, "boolean"), F.lit(False)), F.concat(fired, self._end(3, state, "array<int>")))
 
-def replay_variants(distinct: DataFrame, net: Net, steps: bool = False) -> DataFrame:
-    """One row of token counts for each row of distinct (variant); with steps also what fired and what else could have."""
-    columns = ["missing", "consumed", "remaining", "produced", "is_fit", "fitness", *(["fired", "choices"] if steps else [])]
+
+def _walkers(nets: Mapping[str, Net]) -> dict[str, _Walker]:
+    return {t: _Walker(a) for t, net in nets.items() if (a := compiled(net)) is not None}
+
+
+def _by_type(columns: Mapping[str, Column], otherwise: Column) -> Column:
+    out = otherwise
+    for t, c in columns.items():
+        out = F.when(F.col("otype") == t, c).otherwise(out)
+    return out
+
+
+def replay_tokens(distinct: DataFrame, nets: Mapping[str, Net], steps: bool = False) -> DataFrame:
+    """Token counts of each row of distinct (otype, variant), token by token; with steps also _STEPS."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        replayer = Replayer(net)
+        replayers = {t: Replayer(net) for t, net in nets.items()}
         for frame in frames:
-            done = [(v, replayer.replay(v, steps)) for v in frame["variant"]]
-            yield pd.DataFrame({"variant": [v for v, _ in done]} | {c: [getattr(r, c) for _, r in done] for c in columns})
+            out = []
+            for t, v in zip(frame["otype"], frame["variant"], strict=True):
+                v = list(v)
+                r = replayers[t].replay(v, steps)
+                row = {"otype": t, "variant": v} | {c: getattr(r, c) for c in _COUNTED}
+                if steps:
+                    known = replayers[t].choices_until_misfit(v)
+                    row["steps"] = [{"enabled": len(known[k]), "ok": a in known[k]} if k < len(known) else {"enabled": -1, "ok": False} for k, a in enumerate(v)]
+                    row["fired"] = r.fired
+                out.append(row)
+            yield pd.DataFrame(out, columns=["otype", "variant", *_COUNTED, *(["steps", "fired"] if steps else [])])
 
-    return distinct.select("variant").distinct().mapInPandas(run, f"{_COUNTS}, {_STEPS}" if steps else _COUNTS)
+    return distinct.select("otype", "variant").distinct().mapInPandas(run, f"otype string, variant array<string>, {_COUNTS}" + (f", {_STEPS}" if steps else ""))
 
 
-def replay(flat: DataFrame, net: Net, otype: str) -> DataFrame:
-    """(object_type, object_id, event_count, activities, trace_is_fit, trace_fitness, and the four token counts) of every case."""
-    v = variants(flat)
-    out = v.join(replay_variants(v, net), "variant")
+def typed_variants(log: ObjectLog, types: Iterable[str], ids: DataFrame | None = None) -> DataFrame:
+    """(otype, case_id, variant): the activities of every object of some types, or of those in ids (otype, case_id)."""
+    r = log.relations.where(F.col("otype").isin(*types)).select("otype", F.col("oid").alias("case_id"), "eid", "ts", "activity").distinct()
+    if ids is not None:
+        r = r.join(sized(ids), ["otype", "case_id"], "left_semi")
+    return r.groupBy("otype", "case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "eid", "activity"))), lambda s: s["activity"]).alias("variant"))
+
+
+def replay_typed(cases: DataFrame, nets: Mapping[str, Net]) -> DataFrame:
+    """(object_type, object_id, event_count, activities, trace_is_fit, trace_fitness, and the four token counts) of cases (otype, case_id, variant).
+
+    All types in one plan. Types without a net are left out.
+    """
+    cases = cases.where(F.col("otype").isin(*nets))
+    counts = _by_type({t: w.token_counts(F.col("variant")) for t, w in _walkers(nets).items()}, F.lit(None).cast(f"struct<{','.join(f'{c}:{kind}' for c, kind in _COUNTED.items())}>"))
+    walked = materialize(cases.withColumn("counts", counts), "walked")
+    rest = walked.where("counts is null").drop("counts")
+    fits = walked.where("counts is not null").select("otype", "case_id", "variant", "counts.*")
+    out = fits.unionByName(rest.join(replay_tokens(rest, nets), ["otype", "variant"]))
     return out.select(
-        F.lit(require_name(otype, "object type")).alias("object_type"),
+        F.col("otype").alias("object_type"),
         F.col("case_id").alias("object_id"),
         F.size("variant").cast("long").alias("event_count"),
         F.col("variant").alias("activities"),
@@ -131,22 +266,31 @@ def replay(flat: DataFrame, net: Net, otype: str) -> DataFrame:
     )
 
 
-def check_projections(log: ObjectLog, nets: Mapping[str, Net], ids: Mapping[str, str | Iterable[str]]) -> DataFrame:
-    """Replays of some objects, by type. An unknown type or id, and no ids at all, are errors."""
-    wanted = {require_name(t, "object type"): [x] if isinstance(x, str) else list(x) for t, x in ids.items()}
-    if not any(wanted.values()):
+def replay(flat: DataFrame, net: Net, otype: str) -> DataFrame:
+    """replay_typed() of every case of a flat log."""
+    otype = require_name(otype, "object type")
+    return replay_typed(variants(flat).withColumn("otype", F.lit(otype)), {otype: net})
+
+
+def check_projections(log: ObjectLog, nets: Mapping[str, Net], ids: Mapping[str, str | Iterable[str]] | DataFrame) -> DataFrame:
+    """Replays of some objects: ids by type, or a table of them (otype, case_id). All types are one plan, and ids one table.
+
+    An unknown type or id, and no ids at all, are errors.
+    """
+    spark = log.relations.sparkSession
+    if not isinstance(ids, DataFrame):
+        pairs = [(require_name(t, "object type"), x) for t, xs in ids.items() for x in ([xs] if isinstance(xs, str) else xs)]
+        ids = spark.createDataFrame(pairs, "otype string, case_id string")
+    ids = materialize(ids.select("otype", "case_id").distinct(), "asked")
+    types = sorted(r["otype"] for r in ids.select("otype").distinct().collect())
+    if not types:
         raise ValueError("no objects to check")
-    out = None
-    for t in sorted(wanted):
-        if t not in nets:
-            raise ValueError(f"no net for type {t}")
-        flat = log.flat(t).where(F.col("case_id").isin(*wanted[t]))
-        known = {r["case_id"] for r in flat.select("case_id").distinct().collect()}
-        if lost := sorted(set(wanted[t]) - known):
-            raise ValueError(f"no {t}: {', '.join(lost)}")
-        one = replay(flat, nets[t], t)
-        out = one if out is None else out.unionByName(one)
-    return out
+    if lost := [t for t in types if t not in nets]:
+        raise ValueError(f"no net for type {lost[0]}")
+    cases = materialize(typed_variants(log, types, ids), "asked-cases")
+    if lost := ids.join(cases, ["otype", "case_id"], "left_anti").orderBy("otype", "case_id").limit(20).collect():
+        raise ValueError(f"not in the log: {', '.join(r['otype'] + ' ' + r['case_id'] for r in lost)}")
+    return replay_typed(cases, {t: nets[t] for t in types})
 
 
 def summary(traces: DataFrame) -> DataFrame:
@@ -169,21 +313,48 @@ def projection_totals(traces: DataFrame) -> DataFrame:
     return traces.agg(n.alias("traces"), F.coalesce(F.min("trace_is_fit"), F.lit(False)).alias("all_fit"), F.coalesce(F.min("trace_fitness"), F.lit(0.0)).alias("least_fitness"), F.coalesce(F.round(F.avg("trace_fitness"), 9), F.lit(0.0)).alias("average_fitness"))
 
 
+def prefix_tree(steps: DataFrame) -> DataFrame:
+    """(up1, up2, key1, key2, enabled, ok, cases): the prefix tree of steps (variant, cases, steps), a row for each edge.
+
+    A prefix is known by two 64-bit hashes that go on with each activity, the empty one by zeros; rows before
+    grouping are as many as the variants' activities.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"))
+    keys = scan(F.col("variant"), start, lambda h, a: F.struct(F.xxhash64(h["h1"], a).alias("h1"), F.xxhash64(h["h2"], a, F.lit(1)).alias("h2")))
+    edges = F.transform("steps", lambda s, k: F.struct(F.get("keys", k).alias("up"), F.get("keys", k + 1).alias("key"), s["enabled"].alias("enabled"), s["ok"].alias("ok")))
+    rows = steps.withColumn("keys", keys).select("cases", F.explode(edges).alias("e"))
+    rows = rows.select(F.col("e.up.h1").alias("up1"), F.col("e.up.h2").alias("up2"), F.col("e.key.h1").alias("key1"), F.col("e.key.h2").alias("key2"), "e.enabled", "e.ok", "cases")
+    return rows.groupBy("up1", "up2", "key1", "key2", "enabled", "ok").agg(F.sum("cases").alias("cases"))
+
+
+def variant_steps(counts: DataFrame, net: Net) -> DataFrame:
+    """(variant, cases, steps, fired) of counts (variant, cases): before each activity how many the net enables (-1 after a misfit) and whether it is one of them, and all that fires."""
+    typed = counts.withColumn("otype", F.lit("x"))
+    automaton = compiled(net)
+    if automaton is None:
+        return typed.join(replay_tokens(typed, {"x": net}, steps=True), ["otype", "variant"]).select("variant", "cases", "steps", "fired")
+    steps, fired = _Walker(automaton).steps(F.col("variant"))
+    walked = materialize(typed.withColumns({"steps": steps, "fired": fired}), "walked-steps")
+    odd = walked.where("fired is null").drop("fired")
+    again = odd.join(replay_tokens(odd, {"x": net}, steps=True).select("otype", "variant", "fired"), ["otype", "variant"])
+    return walked.where("fired is not null").unionByName(again).select("variant", "cases", "steps", "fired")
+
+
 def quality(flat: DataFrame, net: Net) -> DataFrame:
     """One row: precision (escaping edges) and generalization (visits of transitions) of a net on a log.
 
-    precision weighs each prefix of fitting variants with its cases: 1 - sum of activities that the net
-    enables and the log never takes there / sum of those it enables. generalization is 1 - the
-    mean over transitions of 1 / sqrt(visits), 1 for one that is never visited.
+    precision goes over the prefix tree of the log: a prefix that replays without a missing token, of a trace that
+    fits or not, counts the activities that the net enables after it and those of them that no trace takes there, each
+    for every case that goes on from there (for the empty prefix: for every case). It is 1 - untaken / enabled.
+    generalization is 1 - the mean over transitions of 1 / sqrt(visits), 1 for one that is never visited, with the
+    visits of all traces.
     """
     v = materialize(variant_counts(flat), "variants")
-    r = materialize(v.join(replay_variants(v, net, steps=True), "variant"), "replayed")
-    steps = r.where("is_fit").select("variant", "cases", F.posexplode("choices").alias("k", "enabled"))
-    at = steps.select(F.slice("variant", F.lit(1), F.col("k")).alias("prefix"), "cases", "enabled", F.get("variant", F.col("k")).alias("next"))
-    taken = at.groupBy("prefix").agg(F.sum("cases").alias("w"), F.first("enabled").alias("enabled"), F.collect_set("next").alias("next"))
-    n, gone = F.size("enabled"), F.size(F.array_except("enabled", "next"))
-    precision = taken.agg(F.coalesce(1 - F.sum(F.col("w") * gone) / F.nullif(F.sum(F.col("w") * n), F.lit(0)), F.lit(1.0)).alias("precision"))
-    visits = r.select("cases", F.explode("fired").alias("t")).groupBy("t").agg(F.sum("cases").alias("visits"))
+    steps = materialize(variant_steps(v, net), "steps")
+    tree = prefix_tree(steps).where("enabled >= 0")
+    at = tree.groupBy("up1", "up2").agg(F.sum("cases").alias("w"), F.max("enabled").alias("n"), F.count_if("ok").alias("taken"))
+    precision = at.agg(F.coalesce(1 - F.sum(F.col("w") * (F.col("n") - F.col("taken"))) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0)), F.lit(1.0)).alias("precision"))
+    visits = steps.select("cases", F.explode("fired").alias("t")).groupBy("t").agg(F.sum("cases").alias("visits"))
     general = visits.agg((1 - (F.coalesce(F.sum(1 / F.sqrt("visits")), F.lit(0.0)) + (len(net.transitions) - F.count("*"))) / len(net.transitions)).alias("generalization"))
     return precision.crossJoin(general).select(F.round("precision", 9).alias("precision"), F.round("generalization", 9).alias("generalization"))
 

@@ -1,7 +1,7 @@
-"""Petri nets by the inductive miner, and token replay of variants.
+"""Petri nets by the inductive miner, token replay of variants, and nets compiled to automata.
 
-Mining follows the published inductive miner with exclusive, sequence, parallel and loop cuts and a
-flower where none fits. A cut is decided on a Summary, counts of activities and pairs of activities;
+Mining follows the published inductive miner: exclusive, sequence, parallel and loop cuts, its fall-throughs
+where none fits, and a flower at last. A cut is decided on a Summary, counts of activities and pairs of activities;
 what the log of a part looks like after a cut is left to the log's own class, so that the same miner
 runs over a table of variants in Spark (operators.conformance). Replay is a function of one variant.
 """
@@ -67,15 +67,35 @@ def _reach(acts: set[str], edges: set[tuple[str, str]]) -> set[tuple[str, str]]:
 @dataclass(frozen=True)
 class Summary:
     """What a cut is decided on: counts of activities, of pairs side by side, of first and last activities; traces
-    without activities, with one, and all."""
+    without activities, with one, and all; in how many traces an activity is exactly once."""
 
     activities: dict[str, int]
     follows: dict[tuple[str, str], int]
-    starts: set[str]
-    ends: set[str]
+    starts: dict[str, int]
+    ends: dict[str, int]
     empty: int
     single: int
     traces: int
+    once: dict[str, int] = field(default_factory=dict)
+
+    def without(self, a: str, around: Around) -> Summary:
+        """What the log without one activity counts, as far as a cut asks for it."""
+        follows = Counter({(x, y): n for (x, y), n in self.follows.items() if a not in (x, y)})
+        follows.update({(x, y): n for (b, x, y), n in around.between.items() if b == a})
+        starts, ends = (Counter({x: n for x, n in kept.items() if x != a}) for kept in (self.starts, self.ends))
+        starts.update({x: n for (b, x), n in around.first.items() if b == a})
+        ends.update({x: n for (b, x), n in around.last.items() if b == a})
+        return Summary({x: n for x, n in self.activities.items() if x != a}, dict(follows), dict(starts), dict(ends), 0, 0, self.traces)
+
+
+@dataclass(frozen=True)
+class Around:
+    """What stands around runs of one activity within a trace: between (activity, before, after), first (activity, after) and
+    last (activity, before) for the runs at a trace's start and end."""
+
+    between: dict[tuple[str, str, str], int]
+    first: dict[tuple[str, str], int]
+    last: dict[tuple[str, str], int]
 
 
 class Part(Protocol):
@@ -91,6 +111,11 @@ class Part(Protocol):
     def onto(self, group: set[str]) -> Part:
         """All traces, with the activities of a group alone."""
 
+    def around(self) -> Around: ...
+
+    def split(self, before: set[str], after: set[str] | None) -> Part:
+        """Traces cut before each activity of a set, where an activity of another (None: any) stands before it."""
+
     def loop(self, groups: list[set[str]]) -> list[Part]:
         """Stretches of traces within groups, the first the body, one empty body between two others."""
 
@@ -102,16 +127,40 @@ class Variants:
     log: Log
 
     def summary(self) -> Summary:
-        activities, follows, starts, ends = Counter(), Counter(), set(), set()
+        activities, follows, starts, ends, once = Counter(), Counter(), Counter(), Counter(), Counter()
         for t, n in self.log.items():
-            for a in t:
-                activities[a] += n
+            for a, k in Counter(t).items():
+                activities[a] += n * k
+                once[a] += n * (k == 1)
             for pair in zip(t, t[1:], strict=False):
                 follows[pair] += n
-            starts |= set(t[:1])
-            ends |= set(t[-1:])
+            for counts, end in ((starts, t[:1]), (ends, t[-1:])):
+                for a in end:
+                    counts[a] += n
         size = lambda k: sum(n for t, n in self.log.items() if len(t) == k)
-        return Summary(dict(activities), dict(follows), starts, ends, size(0), size(1), sum(self.log.values()))
+        return Summary(dict(activities), dict(follows), dict(starts), dict(ends), size(0), size(1), sum(self.log.values()), dict(once))
+
+    def around(self) -> Around:
+        between, first, last = Counter(), Counter(), Counter()
+        for t, n in self.log.items():
+            runs = [a for a, _ in groupby(t)]
+            for k, a in enumerate(runs):
+                x, y = runs[k - 1] if k else None, runs[k + 1] if k + 1 < len(runs) else None
+                if x is not None and y is not None:
+                    between[a, x, y] += n
+                elif y is not None:
+                    first[a, y] += n
+                elif x is not None:
+                    last[a, x] += n
+        return Around(dict(between), dict(first), dict(last))
+
+    def split(self, before: set[str], after: set[str] | None) -> Variants:
+        out: Counter = Counter()
+        for t, n in self.log.items():
+            cuts = [0, *(k for k in range(1, len(t)) if t[k] in before and (after is None or t[k - 1] in after)), len(t)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                out[t[lo:hi]] += n
+        return Variants(dict(out))
 
     def without_empty(self) -> Variants:
         return Variants({t: n for t, n in self.log.items() if t})
@@ -161,40 +210,68 @@ def _loop_groups(acts: set[str], edges: set[tuple[str, str]], starts: set[str],
     return [body, *redo]
 
 
-def mine_tree(part: Part, noise: float = 0.0) -> tuple:
-    """A process tree: ("act", a), ("tau",) or (operator, children), operator one of xor, seq, par, loop."""
-    seen = part.summary()
-    acts = set(seen.activities)
-    if not acts:
-        return ("tau",)
-    if seen.empty:
-        return ("xor", [("tau",), mine_tree(part.without_empty(), noise)])
-    if len(acts) == 1:
-        act = ("act", next(iter(acts)))
-        return act if seen.single == seen.traces else ("loop", [act, ("tau",)])
-    follows = seen.follows
+def find_cut(seen: Summary, noise: float = 0.0) -> tuple[str, list[set[str]]] | None:
+    """The operator and the groups of activities of the first cut that the counts allow.
+
+    With noise, pairs, first and last activities go that are rarer than that share of the most frequent one: of the
+    pairs with the same first activity, of the first, and of the last activities.
+    """
+    acts, follows, starts, ends = set(seen.activities), seen.follows, set(seen.starts), set(seen.ends)
     if noise:
         most = {a: max(n for (x, _), n in follows.items() if x == a) for a, _ in follows}
         follows = {(a, b): n for (a, b), n in follows.items() if n >= noise * most[a]}
-    edges, starts, ends = set(follows), seen.starts, seen.ends
+        starts, ends = ({a for a, n in kept.items() if n >= noise * max(kept.values())} for kept in (seen.starts, seen.ends))
+    edges = set(follows)
     parts = _groups(acts, lambda a, b: (a, b) in edges or (b, a) in edges)
     if len(parts) > 1:
-        return ("xor", [mine_tree(part.having(g, bool(noise)), noise) for g in parts])
+        return "xor", parts
     reach = _reach(acts, edges)
     parts = _groups(acts, lambda a, b: ((a, b) in reach) == ((b, a) in reach))
     if len(parts) > 1:
-        parts.sort(key=lambda g: -len({b for a, b in reach if a in g and b not in g}))
-        return ("seq", [mine_tree(part.onto(g), noise) for g in parts])
+        return "seq", sorted(parts, key=lambda g: -len({b for a, b in reach if a in g and b not in g}))
     parts = _groups(acts, lambda a, b: (a, b) not in edges or (b, a) not in edges)
     whole = [g for g in parts if g & starts and g & ends]
     if len(whole) > 1:
         for g in parts:
             if g not in whole:
                 whole[0] = whole[0] | g
-        return ("par", [mine_tree(part.onto(g), noise) for g in whole])
+        return "par", whole
     parts = _loop_groups(acts, edges, starts, ends)
-    if len(parts) > 1:
-        return ("loop", [mine_tree(x, noise) for x in part.loop(parts)])
+    return ("loop", parts) if len(parts) > 1 else None
+
+
+def mine_tree(part: Part, noise: float = 0.0) -> tuple:
+    """A process tree: ("act", a), ("tau",) or (operator, children), operator one of xor, seq, par, loop.
+
+    Where no cut fits: an activity that is once in every trace goes beside the rest; so does one without which the
+    rest has a cut; traces are cut where an end meets a start, or before each start, and the pieces loop; at
+    last any activities in any order.
+    """
+    seen = part.summary()
+    acts = set(seen.activities)
+    if not acts:
+        return ("tau",)
+    if seen.empty:
+        return ("xor", [("tau",), mine_tree(part.without_empty(), noise)])
+    if len(acts) == 1:
+        act = ("act", next(iter(acts)))
+        return act if seen.single == seen.traces else ("loop", [act, ("tau",)])
+    if cut := find_cut(seen, noise):
+        kind, groups = cut
+        if kind == "xor":
+            return (kind, [mine_tree(part.having(g, bool(noise)), noise) for g in groups])
+        parts = part.loop(groups) if kind == "loop" else [part.onto(g) for g in groups]
+        return (kind, [mine_tree(x, noise) for x in parts])
+    beside = next((a for a in sorted(acts) if seen.once.get(a, 0) == seen.traces), None)
+    if beside is None:
+        around = part.around()
+        beside = next((a for a in sorted(acts) if find_cut(seen.without(a, around), noise)), None)
+    if beside is not None:
+        return ("par", [mine_tree(part.onto({beside}), noise), mine_tree(part.onto(acts - {beside}), noise)])
+    starts, ends = set(seen.starts), set(seen.ends)
+    for after in (ends, None):
+        if any(b in starts and (after is None or a in after) for a, b in seen.follows):
+            return ("loop", [mine_tree(part.split(starts, after), noise), ("tau",)])
     return ("loop", [("xor", [("act", a) for a in sorted(acts)]), ("tau",)])
 
 
@@ -305,6 +382,35 @@ class Replayer:
         self._path(marking, look)
         return sorted(out)
 
+    def choices_until_misfit(self, trace: Iterable[str]) -> list[list[str]]:
+        """The visible activities that are enabled before each activity, up to the first that is not one of them."""
+        out, marking = [], Counter({0: 1})
+        for a in trace:
+            out.append(self.choices(marking))
+            if not (step := self.step(marking, a)):
+                break
+            marking = step[1]
+        return out
+
+    def step(self, marking: Counter, a: str) -> tuple[list[int], Counter] | None:
+        """What fires so that an activity happens, no token missing, and the marking after it."""
+        ts = self.visible.get(a, [])
+        path = self._path(marking, lambda m: any(self._enabled(m, t) for t in ts)) if ts else None
+        if path is None:
+            return None
+        for k in path:
+            marking = self._fire(marking, k)
+        t = next(t for t in ts if self._enabled(marking, t))
+        return [*path, t], self._fire(marking, t)
+
+    def finish(self, marking: Counter) -> tuple[list[int], Counter]:
+        """Silent transitions to the final marking, or else to a token in the sink, and the marking then."""
+        final = frozenset({(1, 1)})
+        path = self._path(marking, lambda m: frozenset(m.items()) == final) or self._path(marking, lambda m: m[1] > 0) or []
+        for k in path:
+            marking = self._fire(marking, k)
+        return path, marking
+
     def replay(self, trace: Iterable[str], with_choices: bool = True) -> Replay:
         """Replay a trace. Activities that the net lacks are passed over, but the trace is not fit."""
         out, marking = Replay(), Counter({0: 1})
@@ -333,9 +439,7 @@ class Replayer:
             fire(next((t for t in ts if self._enabled(marking, t)), ts[0]))
         if with_choices:
             out.choices.append(self.choices(marking))
-        final = frozenset({(1, 1)})
-        path = self._path(marking, lambda m: frozenset(m.items()) == final) or self._path(marking, lambda m: m[1] > 0)
-        for k in path or []:
+        for k in self.finish(marking)[0]:
             fire(k)
         out.consumed += 1
         if marking[1] < 1:
@@ -347,6 +451,58 @@ class Replayer:
         return out
 
 
+@dataclass(frozen=True)
+class Automaton:
+    """The markings that replays without a missing token come to, as states from 0, and the steps between them.
+
+    ``after``, ``consumed``, ``produced`` and ``fired`` are at state * len(names) + activity; after is -1 where the
+    activity cannot fire. ``ends``: at a state whether a trace fits that ends there, what is consumed and produced then,
+    and what fires. ``enabled``: how many activities a state enables.
+    """
+
+    names: list[str]
+    after: list[int]
+    consumed: list[int]
+    produced: list[int]
+    fired: list[list[int]]
+    ends: list[tuple[bool, int, int, list[int]]]
+    enabled: list[int]
+
+
+def compiled(net: Net, most: int = 20_000) -> Automaton | None:
+    """The automaton of a net, silent steps folded in as Replayer takes them; None if it has more than ``most`` steps."""
+    r = Replayer(net)
+    names = sorted(r.visible)
+    states: dict[frozenset, int] = {frozenset({(0, 1)}): 0}
+    todo = [Counter({0: 1})]
+    out = Automaton(names, [], [], [], [], [], [])
+
+    def cost(path: list[int]) -> tuple[int, int]:
+        return tuple(sum(len(net.transitions[k][side]) for k in path) for side in (1, 2))
+
+    for marking in todo:
+        for a in names:
+            step = r.step(marking, a)
+            at = -1
+            if step:
+                key = frozenset(step[1].items())
+                if key not in states:
+                    states[key] = len(states)
+                    todo.append(step[1])
+                at = states[key]
+            out.after.append(at)
+            consumed, produced = cost(step[0]) if step else (0, 0)
+            out.consumed.append(consumed)
+            out.produced.append(produced)
+            out.fired.append(step[0] if step else [])
+        if len(states) * max(len(names), 1) > most:
+            return None
+        path, last = r.finish(marking)
+        out.ends.append((last == Counter({1: 1}), *cost(path), path))
+        out.enabled.append(sum(x >= 0 for x in out.after[len(out.after) - len(names) :]))
+    return out
+
+
 def visible_successions(net: Net) -> set[tuple[str, str]]:
     """(a, b): some output place of a leads to b through silent transitions alone; more than causality."""
     out = set()
