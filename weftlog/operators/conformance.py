@@ -4,9 +4,10 @@ The inductive miner runs over a table of variants: for each node of the process
 activities and pairs of activities, the driver, which holds no more than those, finds the cut, and
 Spark projects the table onto each part and writes it.
 
-A net is compiled to an automaton, whose tables are literals of the plan: traces are run through it in the JVM,
-and those that fit have their counts from there. Only variants that do not fit are replayed token by token, in
-Python tasks, each once; so are all variants of a net whose automaton would be too large.
+A net is compiled to automata, whose tables are literals of the plan: traces are run through them in the JVM,
+and those that fit by the shortest silent paths have their counts from there. Only other variants are replayed token by
+token, and looked for among all runs, in Python tasks, each once; so are all variants of a net whose automata would
+be too large.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlog.operators.petri import Around, Automaton, Net, Replayer, Summary, compiled, mine_tree, net_of
+from weftlog.operators.petri import Around, Automaton, Net, Replayer, Summary, compiled, language, mine_tree, net_of
 from weftlog.operators.split import FlatSplit, split_flat, split_summary, variant_counts, variants
 from weftlog.plans.scan import scan
 from weftlog.plans.scratch import materialize
@@ -190,15 +191,21 @@ class _Walker:
         fits = F.struct(zero.alias("missing"), consumed.alias("consumed"), zero.alias("remaining"), produced.alias("produced"), F.lit(True).alias("is_fit"), F.lit(1.0).alias("fitness"))
         return F.when(F.coalesce(self._end(0, end["state"], "boolean"), F.lit(False)), fits)
 
-    def steps(self, variant: Column) -> tuple[Column, Column]:
-        """steps, as in _STEPS, and fired of a variant that fits (null for others)."""
-        a = self.automaton
-        states = scan(variant, F.lit(0), lambda s, activity: self._of(a.after, self._cell(s, activity)))
+    def _states(self, variant: Column) -> Column:
+        return scan(variant, F.lit(0), lambda s, activity: self._of(self.automaton.after, self._cell(s, activity)))
+
+    def steps(self, variant: Column) -> Column:
+        """steps, as in _STEPS, by an automaton of all runs."""
+        states = self._states(variant)
+        enabled = lambda s: F.coalesce(F.when(s >= 0, F.get(_literal(self.automaton.enabled, "array<int>"), s)), F.lit(-1))
+        return F.transform(variant, lambda _, k: F.struct(enabled(F.get(states, k)).alias("enabled"), (F.get(states, k + 1) >= 0).alias("ok")))
+
+    def fired(self, variant: Column) -> Column:
+        """What fires in a variant that fits by the shortest silent paths; null for others."""
+        states = self._states(variant)
         state = F.element_at(states, -1)
-        enabled = lambda s: F.coalesce(F.when(s >= 0, F.get(_literal(a.enabled, "array<int>"), s)), F.lit(-1))
-        steps = F.transform(variant, lambda _, k: F.struct(enabled(F.get(states, k)).alias("enabled"), (F.get(states, k + 1) >= 0).alias("ok")))
-        fired = F.flatten(F.transform(variant, lambda x, k: F.get(_literal(a.fired, "array<array<int>>"), self._cell(F.get(states, k), x))))
-        return steps, F.when(F.coalesce(self._end(0, state, "boolean"), F.lit(False)), F.concat(fired, self._end(3, state, "array<int>")))
+        fired = F.flatten(F.transform(variant, lambda x, k: F.get(_literal(self.automaton.fired, "array<array<int>>"), self._cell(F.get(states, k), x))))
+        return F.when(F.coalesce(self._end(0, state, "boolean"), F.lit(False)), F.concat(fired, self._end(3, state, "array<int>")))
 
 
 def _walkers(nets: Mapping[str, Net]) -> dict[str, _Walker]:
@@ -330,11 +337,11 @@ def prefix_tree(steps: DataFrame) -> DataFrame:
 def variant_steps(counts: DataFrame, net: Net) -> DataFrame:
     """(variant, cases, steps, fired) of counts (variant, cases): before each activity how many the net enables (-1 after a misfit) and whether it is one of them, and all that fires."""
     typed = counts.withColumn("otype", F.lit("x"))
-    automaton = compiled(net)
-    if automaton is None:
+    runs, shortest = language(net), compiled(net)
+    if runs is None or shortest is None:
         return typed.join(replay_tokens(typed, {"x": net}, steps=True), ["otype", "variant"]).select("variant", "cases", "steps", "fired")
-    steps, fired = _Walker(automaton).steps(F.col("variant"))
-    walked = materialize(typed.withColumns({"steps": steps, "fired": fired}), "walked-steps")
+    v = F.col("variant")
+    walked = materialize(typed.withColumns({"steps": _Walker(runs).steps(v), "fired": _Walker(shortest).fired(v)}), "walked-steps")
     odd = walked.where("fired is null").drop("fired")
     again = odd.join(replay_tokens(odd, {"x": net}, steps=True).select("otype", "variant", "fired"), ["otype", "variant"])
     return walked.where("fired is not null").unionByName(again).select("variant", "cases", "steps", "fired")

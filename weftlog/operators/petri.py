@@ -382,14 +382,54 @@ class Replayer:
         self._path(marking, look)
         return sorted(out)
 
+    def _closed(self, markings: Iterable[Counter]) -> dict[frozenset, tuple[Counter, int, list[int]]]:
+        """All markings that silent steps lead to: the marking, which of markings it comes from, and what fires."""
+        out = {}
+        todo = [(m, k, []) for k, m in enumerate(markings)]
+        for m, k, path in todo:
+            if (key := frozenset(m.items())) in out:
+                continue
+            if len(out) >= self.most:
+                raise ValueError(f"silent transitions reach more than {self.most} markings")
+            out[key] = (m, k, path)
+            todo += [(self._fire(m, t), k, [*path, t]) for t in self.silent if self._enabled(m, t)]
+        return out
+
+    def possible(self, markings: list[Counter]) -> dict[str, list[tuple[Counter, int, list[int]]]]:
+        """For each activity that can come next from some of markings: the markings after it, from which they come, and what fires."""
+        out: dict[str, dict] = {}
+        for m, k, path in self._closed(markings).values():
+            for a, ts in self.visible.items():
+                for t in ts:
+                    if self._enabled(m, t):
+                        after = self._fire(m, t)
+                        out.setdefault(a, {}).setdefault(frozenset(after.items()), (after, k, [*path, t]))
+        return {a: list(found.values()) for a, found in out.items()}
+
+    def run_of(self, trace: Iterable[str]) -> list[int] | None:
+        """What fires in some run of the whole trace from the first to the final marking, or None."""
+        layers, markings = [], [Counter({0: 1})]
+        for a in trace:
+            layers.append(self.possible(markings).get(a, []))
+            markings = [m for m, _, _ in layers[-1]]
+        last = self._closed(markings).get(frozenset({(1, 1)}))
+        if last is None:
+            return None
+        _, k, path = last
+        for layer in reversed(layers):
+            _, k, before = layer[k]
+            path = [*before, *path]
+        return path
+
     def choices_until_misfit(self, trace: Iterable[str]) -> list[list[str]]:
-        """The visible activities that are enabled before each activity, up to the first that is not one of them."""
-        out, marking = [], Counter({0: 1})
+        """The activities that can come before each of the trace in some run, up to the first that is not one of them."""
+        out, markings = [], [Counter({0: 1})]
         for a in trace:
-            out.append(self.choices(marking))
-            if not (step := self.step(marking, a)):
+            known = self.possible(markings)
+            out.append(sorted(known))
+            if a not in known:
                 break
-            marking = step[1]
+            markings = [m for m, _, _ in known[a]]
         return out
 
     def step(self, marking: Counter, a: str) -> tuple[list[int], Counter] | None:
@@ -412,7 +452,18 @@ class Replayer:
         return path, marking
 
     def replay(self, trace: Iterable[str], with_choices: bool = True) -> Replay:
-        """Replay a trace. Activities that the net lacks are passed over, but the trace is not fit."""
+        """Replay a trace. Activities that the net lacks are passed over, but the trace is not fit.
+
+        Where the shortest silent paths leave tokens missing or remaining, but some run has the trace, that run counts.
+        """
+        trace = list(trace)
+        out = self._greedy(trace, with_choices)
+        if not out.is_fit and all(a in self.visible for a in trace) and (run := self.run_of(trace)) is not None:
+            consumed, produced = (sum(len(self.net.transitions[k][side]) for k in run) for side in (1, 2))
+            out = Replay(0, consumed + 1, 0, produced + 1, True, run, out.choices)
+        return out
+
+    def _greedy(self, trace: list[str], with_choices: bool) -> Replay:
         out, marking = Replay(), Counter({0: 1})
 
         def fire(k: int) -> None:
@@ -453,7 +504,7 @@ class Replayer:
 
 @dataclass(frozen=True)
 class Automaton:
-    """The markings that replays without a missing token come to, as states from 0, and the steps between them.
+    """A net as a table of states from 0 and steps.
 
     ``after``, ``consumed``, ``produced`` and ``fired`` are at state * len(names) + activity; after is -1 where the
     activity cannot fire. ``ends``: at a state whether a trace fits that ends there, what is consumed and produced then,
@@ -470,35 +521,51 @@ class Automaton:
 
 
 def compiled(net: Net, most: int = 20_000) -> Automaton | None:
-    """The automaton of a net, silent steps folded in as Replayer takes them; None if it has more than ``most`` steps."""
+    """The markings that token replay comes to while no token is missing, silent steps folded in as Replayer takes them
+    first; None if there are more than ``most`` steps."""
     r = Replayer(net)
-    names = sorted(r.visible)
-    states: dict[frozenset, int] = {frozenset({(0, 1)}): 0}
-    todo = [Counter({0: 1})]
-    out = Automaton(names, [], [], [], [], [], [])
 
     def cost(path: list[int]) -> tuple[int, int]:
         return tuple(sum(len(net.transitions[k][side]) for k in path) for side in (1, 2))
 
-    for marking in todo:
+    def step(marking: Counter, a: str) -> tuple[Counter, int, int, list[int]] | None:
+        found = r.step(marking, a)
+        return found and (found[1], *cost(found[0]), found[0])
+
+    def end(marking: Counter) -> tuple[bool, int, int, list[int]]:
+        path, last = r.finish(marking)
+        return last == Counter({1: 1}), *cost(path), path
+
+    return _automaton(r, most, Counter({0: 1}), lambda m: frozenset(m.items()), step, end)
+
+
+def language(net: Net, most: int = 20_000) -> Automaton | None:
+    """The sets of markings that any runs of a prefix come to: exact for prefixes and whole traces, without what is
+    consumed, produced and fired; None if there are more than ``most`` steps."""
+    r = Replayer(net)
+
+    def step(markings: list[Counter], a: str) -> tuple[list[Counter], int, int, list[int]] | None:
+        found = r.possible(markings).get(a)
+        return found and ([m for m, _, _ in found], 0, 0, [])
+
+    return _automaton(r, most, [Counter({0: 1})], lambda ms: frozenset(frozenset(m.items()) for m in ms), step, lambda ms: (frozenset({(1, 1)}) in r._closed(ms), 0, 0, []))
+
+
+def _automaton(r: Replayer, most: int, start: object, key: Callable, step: Callable, end: Callable) -> Automaton | None:
+    names = sorted(r.visible)
+    states, todo = {key(start): 0}, [start]
+    out = Automaton(names, [], [], [], [], [], [])
+    for state in todo:
         for a in names:
-            step = r.step(marking, a)
-            at = -1
-            if step:
-                key = frozenset(step[1].items())
-                if key not in states:
-                    states[key] = len(states)
-                    todo.append(step[1])
-                at = states[key]
-            out.after.append(at)
-            consumed, produced = cost(step[0]) if step else (0, 0)
-            out.consumed.append(consumed)
-            out.produced.append(produced)
-            out.fired.append(step[0] if step else [])
+            after, consumed, produced, fired = step(state, a) or (None, 0, 0, [])
+            if after is not None and key(after) not in states:
+                states[key(after)] = len(states)
+                todo.append(after)
+            for values, value in zip((out.after, out.consumed, out.produced, out.fired), (-1 if after is None else states[key(after)], consumed, produced, fired), strict=True):
+                values.append(value)
         if len(states) * max(len(names), 1) > most:
             return None
-        path, last = r.finish(marking)
-        out.ends.append((last == Counter({1: 1}), *cost(path), path))
+        out.ends.append(end(state))
         out.enabled.append(sum(x >= 0 for x in out.after[len(out.after) - len(names) :]))
     return out
 
