@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from conftest import rows
@@ -79,10 +80,10 @@ def documents(spark, tmp_path, shift=()):
 def test_graph_whatever_the_order_of_independent_events(spark, tmp_path, shift):
     nodes, relations, accepted = documents(spark, tmp_path, shift)
     assert accepted.count() == len(FLOWS)
-    edges, reach = igraph.instance_graph(nodes, relations, accepted)
+    edges, reach, objects = igraph.instance_graph(nodes, relations, accepted)
     assert rows(edges.select("src", "dst")) == [("book-A", "quote-A"), ("book-A", "saw-leg"), ("book-A", "saw-top"), ("crate-X", "haul-X"), ("saw-leg", "crate-X"), ("saw-top", "crate-X")]
     assert rows(igraph.incomparable_pairs(nodes, reach).select("eid1", "eid2")) == [("crate-X", "quote-A"), ("haul-X", "quote-A"), ("quote-A", "saw-leg"), ("quote-A", "saw-top"), ("saw-leg", "saw-top")]
-    s = igraph.screening(nodes, edges, reach, relations).first()
+    s = igraph.screening(nodes, edges, reach, objects).first()
     assert (s.nodes, s.edges, s.sources, s.sinks, s.isolated, s.incomparable, s.valid) == (6, 6, 1, 2, 0, 5, True)
     assert "saw-leg\\nsaw" in dot_text(nodes, edges).first().dot
     assert rows(igraph.relevant_relations(nodes, accepted)) == sorted(("A", *r) for r in FLOWS)
@@ -97,7 +98,7 @@ def test_edge_differences(spark):
 
 def test_invalid_executions(spark, tmp_path):
     nodes, relations, accepted = documents(spark, tmp_path)
-    edges, reach = igraph.instance_graph(nodes, relations, accepted)
+    edges, reach, objects = igraph.instance_graph(nodes, relations, accepted)
     blank = nodes.withColumn("activity", nodes["activity"].substr(9, 2))
     again = nodes.unionByName(nodes.where("eid = 'saw-top'"))
     bare = relations.where("eid <> 'quote-A'")
@@ -108,11 +109,11 @@ def test_invalid_executions(spark, tmp_path):
     loop = edges.unionByName(edges.where("src = 'crate-X'").selectExpr("exec_id", "dst as src", "src as dst", "object_types", "object_ids"))
     with pytest.raises(ValueError, match="haul-X to crate-X"):
         igraph.require_valid(nodes, relations, loop)
-    s = igraph.screening(nodes, loop, reach, relations).first()
+    s = igraph.screening(nodes, loop, reach, objects).first()
     assert (s.is_dag, s.valid) == (False, False)
     # an edge that a path makes needless
     more = edges.unionByName(edges.where("src = 'crate-X'").selectExpr("exec_id", "'saw-leg' as src", "dst", "object_types", "object_ids"))
-    s = igraph.screening(nodes, more, reach, relations).first()
+    s = igraph.screening(nodes, more, reach, objects).first()
     assert (s.is_dag, s.reduced, s.valid) == (True, False, False)
 
 
@@ -121,13 +122,48 @@ def test_self_relation_leaves_a_chain(spark):
     nodes = spark.createDataFrame([("x", f"try{k}", DAY + dt.timedelta(hours=k), "knock") for k in range(n)], "exec_id string, eid string, ts timestamp_ntz, activity string")
     relations = spark.createDataFrame([(f"try{k}", "p", "packages") for k in range(n)], "eid string, oid string, otype string")
     accepted = spark.createDataFrame([("packages", "knock", "knock")], "otype string, src_act string, dst_act string")
-    edges, reach = igraph.instance_graph(nodes, relations, accepted)
+    edges, reach, objects = igraph.instance_graph(nodes, relations, accepted)
     assert rows(edges.select("src", "dst")) == [(f"try{k}", f"try{k + 1}") for k in range(n - 1)]
-    assert reach.count() == n * (n - 1) // 2
+    assert igraph.path_pairs(reach).count() == n * (n - 1) // 2
     assert rows(igraph.activity_chain(nodes, "knock").select("place", "eid")) == [(k + 1, f"try{k}") for k in range(n)]
     c = igraph.chain_is_consecutive(nodes, edges, "knock").first()
     assert (c.chain_edges, c.missing, c.additional) == (n - 1, 0, 0)
     c = igraph.chain_is_consecutive(nodes, edges.where("src <> 'try2'"), "knock").first()
     assert (c.chain_edges, c.missing, c.additional) == (n - 1, 1, 0)
-    again = igraph.closure(edges)
-    assert again.exceptAll(reach).count() == 0 and igraph.reduced(edges, again).count() == n - 1
+    again = igraph.paths(edges)
+    assert igraph.path_pairs(again).exceptAll(igraph.path_pairs(reach)).count() == 0 and igraph.reduced(edges, again).count() == n - 1
+
+
+def plain_paths(edges):
+    """Pairs with a path, and those with one of two or more edges, by going on until nothing is new."""
+    some = set(edges)
+    while new := {(x, a, d) for x, a, b in some for y, c, d in edges if x == y and b == c} - some:
+        some |= new
+    return some, {(x, a, d) for x, a, b in edges for y, c, d in some if x == y and b == c}
+
+
+@pytest.mark.parametrize("small", [0, 12, 20_000])
+def test_paths_as_bits(spark, monkeypatch, small):
+    """Random graphs of up to 150 events and a cycle, in one task each, over the cluster, and some of both."""
+    monkeypatch.setattr(igraph, "SMALL", small)
+    rng = random.Random(8)
+    edges = {("loop", "a", "b"), ("loop", "b", "a"), ("loop", "b", "c")}
+    for x, (n, m) in {"tiny": (2, 1), "chain": (150, 0), "wide": (40, 90), "some": (70, 60)}.items():
+        names = [f"e{k:03d}" for k in rng.sample(range(n), n)]
+        edges |= {(x, a, b) for a, b in zip(names, names[1:], strict=False)} if x == "chain" else {(x, names[i], names[j]) for i, j in (sorted(rng.sample(range(n), 2)) for _ in range(m))}
+    df = spark.createDataFrame([*edges, *list(edges)[:5]], "exec_id string, src string, dst string")
+    reach = igraph.paths(df)
+    want, beyond = plain_paths(edges)
+    assert rows(igraph.path_pairs(reach)) == sorted(want)
+    assert rows(igraph.reduced(df.distinct(), reach)) == sorted(edges - beyond)
+    nodes = spark.createDataFrame([(x, e) for x, e in {(x, e) for x, a, b in edges for e in (a, b)} | {("tiny", "alone"), ("bare", "one"), ("bare", "two")}], "exec_id string, eid string")
+    names = [(r.exec_id, r.eid) for r in nodes.collect()]
+    pairs = {(x, a, b) for x, a in names for y, b in names if x == y and a < b and (x, a, b) not in want and (x, b, a) not in want}
+    assert rows(igraph.incomparable_pairs(nodes, reach)) == sorted(pairs)
+    groups = {}
+    for x, e in names:
+        groups.setdefault(x, []).append({e})
+    for x, a, b in edges:
+        mine = [g for g in groups[x] if a in g or b in g]
+        groups[x] = [g for g in groups[x] if g not in mine] + [set().union(*mine)]
+    assert rows(igraph.weakly_connected(nodes, df)) == sorted((x, len(g)) for x, g in groups.items())

@@ -183,9 +183,8 @@ class _Walker:
     def _end(self, k: int, state: Column, kind: str) -> Column:
         return F.when(state >= 0, F.get(_literal([e[k] for e in self.automaton.ends], f"array<{kind}>"), state))
 
-    def token_counts(self, variant: Column) -> Column:
-        """The columns of _COUNTED of a variant that fits, null for others."""
-        end = self.counts(variant)
+    def token_counts(self, end: Column) -> Column:
+        """The columns of _COUNTED of a variant that fits, null for others, from its counts()."""
         consumed, produced = end["consumed"] + self._end(1, end["state"], "long") + 1, end["produced"] + self._end(2, end["state"], "long")
         zero = F.lit(0).cast("long")
         fits = F.struct(zero.alias("missing"), consumed.alias("consumed"), zero.alias("remaining"), produced.alias("produced"), F.lit(True).alias("is_fit"), F.lit(1.0).alias("fitness"))
@@ -254,8 +253,10 @@ def replay_typed(cases: DataFrame, nets: Mapping[str, Net]) -> DataFrame:
     All types in one plan. Types without a net are left out.
     """
     cases = cases.where(F.col("otype").isin(*nets))
-    counts = _by_type({t: w.token_counts(F.col("variant")) for t, w in _walkers(nets).items()}, F.lit(None).cast(f"struct<{','.join(f'{c}:{kind}' for c, kind in _COUNTED.items())}>"))
-    walked = materialize(cases.withColumn("counts", counts), "walked")
+    walkers = _walkers(nets)
+    cases = cases.withColumn("end", _by_type({t: w.counts(F.col("variant")) for t, w in walkers.items()}, F.lit(None).cast("struct<state:int,consumed:long,produced:long>")))
+    counts = _by_type({t: w.token_counts(F.col("end")) for t, w in walkers.items()}, F.lit(None).cast(f"struct<{','.join(f'{c}:{kind}' for c, kind in _COUNTED.items())}>"))
+    walked = materialize(cases.withColumn("counts", counts).drop("end"), "walked")
     rest = walked.where("counts is null").drop("counts")
     fits = walked.where("counts is not null").select("otype", "case_id", "variant", "counts.*")
     out = fits.unionByName(rest.join(replay_tokens(rest, nets), ["otype", "variant"]))

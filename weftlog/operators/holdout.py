@@ -125,9 +125,9 @@ def instance_graph_holdout(
     found = extract.extract(split.test, hops)
     nodes = materialize(found.events(), "holdout-nodes")
     graphs = [igraph.instance_graph(nodes, split.test.relations, rel) for rel in accepted]
-    trained = materialize(graphs[0][0], "holdout-edges")
-    screen = igraph.screening(nodes, trained, graphs[0][1], split.test.relations)
-    diff = igraph.edge_differences(trained, graphs[1][0])
+    trained = materialize(graphs[0].edges, "holdout-edges")
+    screen = igraph.screening(nodes, trained, graphs[0].reach, graphs[0].objects)
+    diff = igraph.edge_differences(trained, graphs[1].edges)
     results = screen.drop("valid").join(diff, "exec_id", "left").na.fill(0, ["missing", "additional"])
     # an execution is judged by these four; that an event may stand on no edge shows in ``connected``
     results = results.withColumn("exact", F.coalesce("exact", F.lit(True))).withColumn("valid", F.col("is_dag") & F.col("connected") & F.col("reduced"))

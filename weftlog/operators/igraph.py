@@ -2,11 +2,19 @@
 
 Graphs of all executions are one table of nodes and one of edges, keyed by exec_id. An edge always
 goes forward in the order of (ts, eid), so the graphs have no cycles.
+
+Paths are bit sets: a row for each event, whose array of longs has a bit for each event of the execution. An
+execution of up to SMALL edges is worked out in one task, all of them in one shuffle; larger ones by
+doubling over the whole cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlog.operators.components import connected_components
@@ -14,6 +22,9 @@ from weftlog.plans.scratch import materialize, measured
 from weftlog.plans.sizing import sized
 from weftlog.schema import STRUCTURAL_TYPES
 
+#: Edges of an execution that one task holds: at most as many events, with 50 MB of bits.
+SMALL = 20_000
+
 KEY = ["exec_id", "src", "dst"]
 
 
@@ -35,6 +46,103 @@ def candidate_edges(objects: DataFrame, accepted: DataFrame) -> DataFrame:
     return pairs.groupBy(KEY).agg(F.sort_array(F.collect_set("otype")).alias("object_types"), F.sort_array(F.collect_set("oid")).alias("object_ids"))
 
 
+def _by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """edges of the executions with up to SMALL of them, and of the others, if any."""
+    counts, seen = measured(edges.groupBy("exec_id").agg(F.count("*").alias("n")).where(F.col("n") > SMALL), "large-executions", F.count("*").alias("n"))
+    if not seen["n"]:
+        return edges, None
+    return edges.join(counts, "exec_id", "left_anti"), edges.join(counts, "exec_id", "left_semi")
+
+
+def _closed(ahead: list[list[int]]) -> list[int]:
+    """For each node of a graph given by its edges ahead, the nodes that paths lead to, as bits."""
+    waiting = [0] * len(ahead)
+    for targets in ahead:
+        for j in targets:
+            waiting[j] += 1
+    order = [k for k, n in enumerate(waiting) if not n]
+    for k in order:
+        for j in ahead[k]:
+            waiting[j] -= 1
+            if not waiting[j]:
+                order.append(j)
+    order += [k for k, n in enumerate(waiting) if n]  # on cycles, or behind them
+    bits, again = [0] * len(ahead), True
+    while again:
+        again = False
+        for k in reversed(order):
+            new = bits[k]
+            for j in ahead[k]:
+                new |= 1 << j | bits[j]
+            again |= new != bits[k] and len(order) > 1 and any(waiting)
+            bits[k] = new
+    return bits
+
+
+def _paths_of_one(rows: pa.Table) -> pa.Table:
+    """The rows of paths() for the edges of one execution."""
+    src, dst = rows.column("src").to_pylist(), rows.column("dst").to_pylist()
+    names = sorted({*src, *dst})
+    place = {x: k for k, x in enumerate(names)}
+    ahead: list[list[int]] = [[] for _ in names]
+    for x, y in set(zip(src, dst, strict=True)):
+        ahead[place[x]].append(place[y])
+    bits = _closed(ahead)
+    beyond = [0] * len(names)
+    for k, targets in enumerate(ahead):
+        for j in targets:
+            beyond[k] |= bits[j]
+    width = -(-len(names) // 64)
+
+    def words(sets: list[int]) -> pa.Array:
+        flat = np.frombuffer(b"".join(x.to_bytes(8 * width, "little") for x in sets), "<i8")
+        return pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), pa.array(flat, pa.int64()))
+
+    return pa.table({"exec_id": [rows.column("exec_id")[0].as_py()] * len(names), "eid": names, "rank": pa.array(range(len(names)), pa.int32()), "ahead": words(bits), "beyond": words(beyond)})
+
+
+_PATHS = "exec_id string, eid string, rank int, ahead array<long>, beyond array<long>"
+
+
+def paths(edges: DataFrame) -> DataFrame:
+    """(exec_id, eid, rank, ahead, beyond) of all events on edges: the ranks to which paths lead, and those to which
+    paths of two or more edges do, as bits of arrays of longs. Ranks go from 0, in the order of eid."""
+    edges = materialize(edges.select(KEY).distinct(), "path-edges")
+    small, large = _by_size(edges)
+    out = small.groupBy("exec_id").applyInArrow(_paths_of_one, _PATHS)
+    return materialize(out if large is None else out.unionByName(_paths_by_doubling(large)), "paths")
+
+
+def _paths_by_doubling(edges: DataFrame) -> DataFrame:
+    ends = edges.select("exec_id", F.explode(F.array("src", "dst")).alias("eid")).distinct()
+    ranked = ends.withColumn("rank", F.row_number().over(Window.partitionBy("exec_id").orderBy("eid")) - 1)
+    width = ranked.groupBy("exec_id").agg(F.floor(F.max("rank") / 64).cast("int").alias("last"))
+    ranked = materialize(ranked.join(width, "exec_id"), "path-ranks")
+    reach = closure(edges)
+    grid = ranked.select("exec_id", F.col("eid").alias("src"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("word"))
+
+    def words(pairs: DataFrame, name: str) -> DataFrame:
+        to = pairs.join(ranked.select("exec_id", F.col("eid").alias("dst"), "rank"), ["exec_id", "dst"])
+        masks = to.groupBy("exec_id", "src", F.floor(F.col("rank") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("rank") % 64)).alias("mask"))
+        full = grid.join(masks, ["exec_id", "src", "word"], "left").groupBy("exec_id", F.col("src").alias("eid"))
+        return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("mask", F.lit(0)).alias("mask")))), lambda w: w["mask"]).alias(name))
+
+    return ranked.drop("last").join(words(reach, "ahead"), ["exec_id", "eid"]).join(words(_bypassed(edges, reach), "beyond"), ["exec_id", "eid"])
+
+
+def has(bits: Column, rank: Column) -> Column:
+    """Whether a rank is among bits; false for nulls."""
+    word = F.get(bits, F.floor(rank / 64).cast("int"))
+    return F.coalesce(F.call_function("shiftright", word, (rank % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def path_pairs(reach: DataFrame) -> DataFrame:
+    """KEY of all pairs of events with a path between them, from paths()."""
+    ranks = F.filter(F.sequence(F.lit(0), 64 * F.size("ahead") - 1), lambda k: has(F.col("ahead"), k))
+    pairs = reach.select("exec_id", F.col("eid").alias("src"), F.explode(ranks).alias("rank"))
+    return pairs.join(reach.select("exec_id", "rank", F.col("eid").alias("dst")), ["exec_id", "rank"]).select(KEY)
+
+
 def closure(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """KEY of all pairs with a path, by doubling: paths of any length up to 2**k after k rounds.
 
@@ -57,33 +165,54 @@ def _bypassed(edges: DataFrame, reach: DataFrame) -> DataFrame:
     return edges.select("exec_id", "src", F.col("dst").alias("mid")).join(reach.select("exec_id", F.col("src").alias("mid"), "dst"), ["exec_id", "mid"]).select(KEY).distinct()
 
 
+def _with_needless(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """edges with needless: whether a path of two or more edges leads over it."""
+    out = edges.join(reach.select("exec_id", F.col("eid").alias("src"), F.col("beyond").alias("_beyond")), ["exec_id", "src"], "left")
+    out = out.join(reach.select("exec_id", F.col("eid").alias("dst"), F.col("rank").alias("_rank")), ["exec_id", "dst"], "left")
+    return out.withColumn("needless", has(F.col("_beyond"), F.col("_rank")))
+
+
 def reduced(edges: DataFrame, reach: DataFrame) -> DataFrame:
     """Edges without those that a longer path makes needless; the others keep their columns."""
-    return edges.join(_bypassed(edges, reach), KEY, "left_anti").select(edges.columns)
+    return _with_needless(edges, reach).where("not needless").select(edges.columns)
+
+
+class Graphs(NamedTuple):
+    """edges: the reduced edges of every execution; reach: its paths(); objects: its events with their objects."""
+
+    edges: DataFrame
+    reach: DataFrame
+    objects: DataFrame
 
 
-def instance_graph(nodes: DataFrame, relations: DataFrame, accepted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, reach): the reduced edges of every execution, and its paths."""
+def instance_graph(nodes: DataFrame, relations: DataFrame, accepted: DataFrame) -> Graphs:
+    """The graphs of all executions."""
     objects = materialize(execution_objects(nodes, relations), "execution-objects")
     cand = materialize(candidate_edges(objects, accepted), "edges-raw")
-    reach = closure(cand)
-    return reduced(cand, reach), reach
+    reach = paths(cand)
+    return Graphs(reduced(cand, reach), reach, objects)
+
+
+def _ordered(a: str, b: str) -> Column:
+    """Whether a path leads from one of two events to the other, whose paths are in columns with a and b."""
+    return has(F.col(f"ahead{a}"), F.col(f"rank{b}")) | has(F.col(f"ahead{b}"), F.col(f"rank{a}"))
+
+
+def _two(events: DataFrame, reach: DataFrame, same: list[str]) -> DataFrame:
+    """Pairs of events with the same exec_id and columns in ``same``, eid1 < eid2, with no path either way."""
+    at = events.select(*same, "eid").join(reach.select("exec_id", "eid", "rank", "ahead"), ["exec_id", "eid"], "left")
+    a, b = (at.select(*same, *[F.col(c).alias(f"{c}{k}") for c in ("eid", "rank", "ahead")]) for k in (1, 2))
+    return a.join(b, same).where("eid1 < eid2").where(~_ordered("1", "2"))
 
 
 def incomparable_pairs(nodes: DataFrame, reach: DataFrame) -> DataFrame:
     """(exec_id, eid1, eid2), eid1 < eid2: events of an execution with no path either way."""
-    a, b = (nodes.select("exec_id", F.col("eid").alias(c)) for c in ("eid1", "eid2"))
-    either = reach.select("exec_id", F.least("src", "dst").alias("eid1"), F.greatest("src", "dst").alias("eid2"))
-    return a.join(b, "exec_id").where("eid1 < eid2").join(either, ["exec_id", "eid1", "eid2"], "left_anti")
+    return _two(nodes, reach, ["exec_id"]).select("exec_id", "eid1", "eid2")
 
 
-def suspicious_repetitions(nodes: DataFrame, relations: DataFrame, reach: DataFrame, types: tuple[str, ...] = STRUCTURAL_TYPES) -> DataFrame:
-    """(exec_id, activity, eid1, eid2): incomparable events of one activity on a structural object."""
-    o = execution_objects(nodes, relations).where(F.col("otype").isin(*types))
-    a, b = (o.select("exec_id", "otype", "oid", "activity", F.col("eid").alias(c)) for c in ("eid1", "eid2"))
-    same = a.join(b, ["exec_id", "otype", "oid", "activity"]).where("eid1 < eid2").select("exec_id", "activity", "eid1", "eid2").distinct()
-    either = reach.select("exec_id", F.least("src", "dst").alias("eid1"), F.greatest("src", "dst").alias("eid2"))
-    return same.join(either, ["exec_id", "eid1", "eid2"], "left_anti").select("exec_id", "activity", "eid1", "eid2")
+def suspicious_repetitions(objects: DataFrame, reach: DataFrame, types: tuple[str, ...] = STRUCTURAL_TYPES) -> DataFrame:
+    """(exec_id, activity, eid1, eid2): incomparable events of one activity on a structural object; objects as execution_objects() gives them."""
+    return _two(objects.where(F.col("otype").isin(*types)), reach, ["exec_id", "otype", "oid", "activity"]).select("exec_id", "activity", "eid1", "eid2").distinct()
 
 
 def activity_chain(nodes: DataFrame, activity: str) -> DataFrame:
@@ -102,12 +231,36 @@ def chain_is_consecutive(nodes: DataFrame, edges: DataFrame, activity: str) -> D
     return both.groupBy("exec_id").agg(F.count("c").alias("chain_edges"), F.count_if(F.col("g").isNull()).alias("missing"), F.count_if(F.col("c").isNull()).alias("additional"))
 
 
+def _joined(rows: pa.Table) -> pa.Table:
+    """(exec_id, linked, groups): events on the edges of one execution, and how many components they make."""
+    up: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    groups = 0
+    for x, y in zip(rows.column("src").to_pylist(), rows.column("dst").to_pylist(), strict=True):
+        groups += (x not in up) + (y not in up and y != x)
+        a, b = root(x), root(y)
+        groups -= a != b
+        up[a] = b
+    return pa.table({"exec_id": [rows.column("exec_id")[0].as_py()], "linked": pa.array([len(up)], pa.int64()), "groups": pa.array([groups], pa.int64())})
+
+
 def weakly_connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(exec_id, components): 1 where all its events hang together."""
-    name = lambda c: F.concat_ws("\u0001", "exec_id", c)
-    labels = connected_components(edges.select(name("src").alias("a"), name("dst").alias("b")))
-    at = nodes.select("exec_id", name("eid").alias("node")).join(labels, "node", "left")
-    return at.groupBy("exec_id").agg(F.count_distinct(F.coalesce("component", "node")).alias("components"))
+    """(exec_id, components): 1 where all its events hang together. Executions of up to SMALL edges are one task's work each."""
+    small, large = _by_size(edges.select(KEY))
+    joined = small.groupBy("exec_id").applyInArrow(_joined, "exec_id string, linked long, groups long")
+    if large is not None:
+        name = lambda c: F.struct("exec_id", F.col(c).alias("eid"))
+        labels = connected_components(large.select(name("src").alias("a"), name("dst").alias("b")))
+        joined = joined.unionByName(labels.groupBy(F.col("node.exec_id").alias("exec_id")).agg(F.count("*").alias("linked"), F.count_distinct("component").alias("groups")))
+    counts = nodes.groupBy("exec_id").agg(F.count_distinct("eid").alias("events"))
+    out = counts.join(joined, "exec_id", "left").na.fill(0, ["linked", "groups"])
+    return out.select("exec_id", (F.col("events") - F.col("linked") + F.col("groups")).alias("components"))
 
 
 def backward_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -116,9 +269,11 @@ def backward_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.select(KEY).join(at.select("exec_id", F.col("eid").alias("src"), F.col("ts").alias("t1")), ["exec_id", "src"]).join(at.select("exec_id", F.col("eid").alias("dst"), F.col("ts").alias("t2")), ["exec_id", "dst"]).where("struct(t1, src) >= struct(t2, dst)").select(KEY)
 
 
-def screening(nodes: DataFrame, edges: DataFrame, reach: DataFrame, relations: DataFrame, types: tuple[str, ...] = STRUCTURAL_TYPES) -> DataFrame:
+def screening(nodes: DataFrame, edges: DataFrame, reach: DataFrame, objects: DataFrame, types: tuple[str, ...] = STRUCTURAL_TYPES) -> DataFrame:
     """One row an execution: sizes, degrees, connectivity, reducedness, repetitions, incomparable pairs, valid.
 
+    reach and objects are those of instance_graph().
+
     valid: acyclic, weakly connected, every event on an edge, reduced, no suspicious repetition. An
     execution of one event is connected, but has an event on no edge.
     """
@@ -133,9 +288,10 @@ def screening(nodes: DataFrame, edges: DataFrame, reach: DataFrame, relations: D
         F.count_if((F.col("in") == 0) & (F.col("out") == 0)).alias("isolated"),
     )
     back = backward_edges(nodes, edges).groupBy("exec_id").agg(F.count("*").alias("backward"))
-    needless = edges.select(KEY).join(_bypassed(edges, reach), KEY, "left_semi").groupBy("exec_id").agg(F.count("*").alias("needless"))
-    repeats = suspicious_repetitions(nodes, relations, reach, types).groupBy("exec_id").agg(F.count("*").alias("suspicious"))
-    pairs = reach.groupBy("exec_id").agg(F.count("*").alias("ordered"))
+    needless = _with_needless(edges.select(KEY), reach).where("needless").groupBy("exec_id").agg(F.count("*").alias("needless"))
+    repeats = suspicious_repetitions(objects, reach, types).groupBy("exec_id").agg(F.count("*").alias("suspicious"))
+    bits = F.aggregate("ahead", F.lit(0).cast("long"), lambda n, word: n + F.bit_count(word))
+    pairs = reach.groupBy("exec_id").agg(F.sum(bits).alias("ordered"))
     out = per_node.join(weakly_connected(nodes, edges), "exec_id")
     for part in (back, needless, repeats, pairs):
         out = out.join(part, "exec_id", "left")

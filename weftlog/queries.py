@@ -27,12 +27,12 @@ def _query(sql: str | None = None):
     return register
 
 
-def _graph(log: ObjectLog) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """nodes, reduced edges and paths of the admissible executions with the mined relations."""
+def _graph(log: ObjectLog) -> tuple[DataFrame, igraph.Graphs]:
+    """nodes and graphs of the admissible executions with the mined relations."""
     accepted = materialize(causal.derive(causal.score(ocdfg.discover(log.relations))), "accepted")
     nodes = materialize(extract.extract(log).events(), "nodes")
-    edges, reach = igraph.instance_graph(nodes, log.relations, accepted)
-    return nodes, materialize(edges, "edges"), reach
+    graphs = igraph.instance_graph(nodes, log.relations, accepted)
+    return nodes, graphs._replace(edges=materialize(graphs.edges, "edges"))
 
 
 def _flat_users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,40 +269,38 @@ def instance_edges_raw(spark, sf_dir):
 
 @_query(f"WITH RECURSIVE {_EDGES} SELECT exec_id, src, dst, object_types, object_ids FROM edges")
 def instance_edges(spark, sf_dir):
-    return _graph(order_log(spark, sf_dir))[1].select("exec_id", "src", "dst", _text("object_types"), _text("object_ids"))
+    return _graph(order_log(spark, sf_dir))[1].edges.select("exec_id", "src", "dst", _text("object_types"), _text("object_ids"))
 
 
 @_query(f"WITH RECURSIVE {_EDGES} SELECT exec_id, src, dst FROM reach")
 def instance_closure(spark, sf_dir):
-    return _graph(order_log(spark, sf_dir))[2]
+    return igraph.path_pairs(_graph(order_log(spark, sf_dir))[1].reach)
 
 
 @_query(f"""WITH RECURSIVE {_EDGES} SELECT a.exec_id, a.eid AS eid1, b.eid AS eid2 FROM nodes a JOIN nodes b ON a.exec_id = b.exec_id AND a.eid < b.eid
 WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = a.eid AND r.dst = b.eid) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = b.eid AND r.dst = a.eid)""")
 def incomparable_pairs(spark, sf_dir):
-    nodes, _, reach = _graph(order_log(spark, sf_dir))
-    return igraph.incomparable_pairs(nodes, reach)
+    nodes, graphs = _graph(order_log(spark, sf_dir))
+    return igraph.incomparable_pairs(nodes, graphs.reach)
 
 
 @_query(f"""WITH RECURSIVE {_EDGES} SELECT DISTINCT a.exec_id, a.activity, a.eid AS eid1, b.eid AS eid2 FROM life a JOIN life b ON a.exec_id = b.exec_id AND a.otype = b.otype AND a.oid = b.oid AND a.activity = b.activity AND a.eid < b.eid
 WHERE a.otype IN ('orders', 'items', 'packages') AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = a.eid AND r.dst = b.eid) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.exec_id = a.exec_id AND r.src = b.eid AND r.dst = a.eid)""")
 def suspicious_repetitions(spark, sf_dir):
-    log = order_log(spark, sf_dir)
-    nodes, _, reach = _graph(log)
-    return igraph.suspicious_repetitions(nodes, log.relations, reach)
+    _, graphs = _graph(order_log(spark, sf_dir))
+    return igraph.suspicious_repetitions(graphs.objects, graphs.reach)
 
 
 @_query(f"WITH RECURSIVE {_EDGES}, {_screening_sql()} SELECT *, is_dag AND connected AND covered AND reduced AND suspicious = 0 AS valid FROM screened")
 def graph_screening(spark, sf_dir):
-    log = order_log(spark, sf_dir)
-    nodes, edges, reach = _graph(log)
-    return igraph.screening(nodes, edges, reach, log.relations)
+    nodes, graphs = _graph(order_log(spark, sf_dir))
+    return igraph.screening(nodes, *graphs)
 
 
 @_query()
 def dot_export(spark, sf_dir):
-    nodes, edges, _ = _graph(order_log(spark, sf_dir))
-    return dot_text(nodes, edges)
+    nodes, graphs = _graph(order_log(spark, sf_dir))
+    return dot_text(nodes, graphs.edges)
 
 
 # --- splits --------------------------------------------------------------------------------------
