@@ -1,22 +1,21 @@
 """Main text of web pages by the line-block distribution (operator 3).
 
 The markup is stripped to lines: each block element (heading, paragraph, list item, cell ...) is a
-line with its text and two facts that the markup gives away, whether it stands in a part that is
-no main text (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and
-whether it stands in an article or main element. These facts weigh a line's length: nothing in such
-a part, ARTICLE times in an article. A part is told by its element, role or class, but it counts as
-one only if the page's text is elsewhere: not if all articles of the page lie within it, nor, where a class
-but hints at it and no article tells, if most of the text does. Outside, links count against the text, so that unmarked menus
-weigh little, and the rest weighs less the more of the page's text stands in articles.
-
-Lengths are summed over a sliding window of lines, which stops at the edges of articles. The text
-surges where a window's sum rises over the threshold, and dives where it has fallen to nothing for a
-whole window or where an article starts or ends; the lines of weight between are main text. So a page
-whose article is but a teaser gives the long text beside it.
-
-Short and link-rich lines next to main text stay: those in the same container (all articles of a page
-are one; otherwise the nearest div, section, list, table cell and the like), and those between two
-kept lines of one container.
+line with its text. A line weighs as much as it is long, up to CAP characters, less twice what is links;
+headings weigh HEADING times that. Markup only weighs: a line in an article or main element weighs ARTICLE times
+its length and OWN more, and the lines inside and outside of articles weigh by the share of the page's text that stands
+there. Lines in a part that is no main text (menus, headers, footers, sidebars, notices, adverts, forms,
+reader comments) weigh PART of what they would. A part is told by its element, role or class; a class or id counts only if all its words are such
+words or say no more than what kind of box it is, and where the page would have no text without it, or all its articles
+lie within it, it counts for nothing.
+
+Weights are summed over a sliding window, of a line and those after it. The text surges at a line where the window's
+sum reaches the threshold and the line carries its share of it, RISE of the window's mean: so a short line
+before the text, such as an advert before a headline, is no start. It dives where the window's sum
+falls below DIVE of the threshold, and where an article starts or ends. The threshold is SURGE, or half of the largest
+sum on a page that has less. What lies between surge and dive is main text; of lines in a part only those that carry RISE of
+the mean of the page's heaviest window. So are short and link-rich lines in the same container (all articles of a page are
+one; otherwise the nearest div, section, list, table cell and the like), and those between two kept lines of one container.
 """
 
 from __future__ import annotations
@@ -28,8 +27,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines that a window sums, characters at which text surges, and the weight of a line in an article.
-WINDOW, SURGE, ARTICLE = 3, 86, 8
+#: Lines that a window sums, characters at which text surges, and the share of a window's mean that a first line carries.
+WINDOW, SURGE, RISE = 3, 86, 0.5
+#: The share of the threshold at which text dives, and of its weight that a line in a part has.
+DIVE, PART = 0.1, 0.02
+#: Characters of a line that weigh, the weight of headings, and of lines in articles: by their length, and besides. With
+#: OWN = RISE / (1 - RISE) * ARTICLE * CAP every line of an article can be a first one.
+CAP, HEADING, ARTICLE = 300, 6, 8
+OWN = RISE / (1 - RISE) * ARTICLE * CAP
 
 #: Elements whose content is no text, whole (fixed values).
 _SILENT = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "button", "title", "head")
@@ -41,6 +46,10 @@ _ROLE = frozenset("navigation banner contentinfo complementary search form dialo
 _NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login comments comment disqus respond replies reply related share sharing social widget toolbar pagination pager skip legal copyright".split()
 )
+#: Words that say only what kind of box, or where, an element is (fixed values).
+_BOX = frozenset(
+    "area article bar block body bottom box btn button center col column container content desktop element entry fixed footer form global group head header icon id inline inner item js layout left link links list lists main mobile module outer overlay page panel post primary region right row secondary section site slot spot static sticky story tablet text title top unit widget wrap wrapper zone".split()
+)
 #: Those of the words that also stand in names of what encloses main text, as in page-sidebar-left, and words that make a name no part's (fixed values).
 _LAYOUT = frozenset("nav navbar navigation menu sidebar aside footer header masthead notice popup modal related share sharing social widget toolbar".split())
 _ABOUT = frozenset("has with without no not is".split())
@@ -48,6 +57,7 @@ _ABOUT = frozenset("has with without no not is".split())
 _HEADLINE = frozenset("header masthead".split())
 #: Class or id words that name the main text, and elements without an end tag (fixed values).
 _MAIN = frozenset("article main".split())
+_HEADS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that hold lines together (fixed values).
 _HOLDS = frozenset("aside dd details dialog dir div dl fieldset footer form header menu nav ol section table td th ul".split())
@@ -62,7 +72,7 @@ _SPACE = re.compile(r"\s+")
 
 
 def _part(tag: str, attributes: str, in_article: bool) -> str | None:
-    """What part an element is that is no main text: hidden, certain, likely (its name is as much one of layout) or None.
+    """What part an element is that is no main text: hidden, certain, named (by class or id), likely (its name is as much one of layout) or None.
 
     A header in an article is its headline.
     """
@@ -80,18 +90,18 @@ def _part(tag: str, attributes: str, in_article: bool) -> str | None:
                 for one in value.split():
                     words = _WORD.findall(one)
                     named = _NAMED.intersection(words) - (_HEADLINE if in_article else set())
-                    if named and words[0] not in _ABOUT:
+                    if named and words[0] not in _ABOUT and all(w in _NAMED or w in _BOX for w in words):
                         sure = not named <= _LAYOUT or named.issuperset(words) and value.strip() == one
-                        kind = "certain" if sure else kind or "likely"
+                        kind = kind if kind == "certain" else "named" if sure else kind or "likely"
     return kind
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
-    """(text, in an article, never main text, characters in links, container) of the lines of a page, in order.
+def lines_of(page: str) -> list[tuple[str, bool, bool, int, int, bool]]:
+    """(text, in an article, never main text, characters in links, container, heading) of the lines of a page, in order.
 
     Containers are numbered from 1; 0 is the page itself.
     """
-    out: list[tuple[str, int, tuple[int, ...], int, int]] = []
+    out: list[tuple[str, int, tuple[int, ...], int, int, bool]] = []
     stack: list[tuple[str, int, tuple[int, ...], int]] = []  # tag, article, parts, container
     kinds: list[tuple[str, int]] = []  # of parts: kind, and the article they lie in
     around: list[tuple[int, ...]] = [()]  # of articles: the parts they lie in
@@ -104,7 +114,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
         if line:
             text = _SPACE.sub(" ", html.unescape("".join(line))).strip()
             if text:
-                out.append((text, article, parts, links, container))
+                out.append((text, article, parts, links, container, any(x[0] in _HEADS for x in stack[-2:])))
             line.clear()
         links = 0
 
@@ -167,15 +177,17 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, int, int]]:
             depth_a += 1
     end_line()
     off = _off(out, kinds, around)
-    return [(text, a > 0, not off.isdisjoint(ps), n, c) for text, a, ps, n, c in out]
+    hidden = {p for p, (kind, _) in enumerate(kinds) if kind == "hidden"}
+    out = [x for x in out if hidden.isdisjoint(x[2])]
+    return [(text, a > 0, not off.isdisjoint(ps), n, c, head) for text, a, ps, n, c, head in out]
 
 
-def _off(lines: list[tuple[str, int, tuple[int, ...], int, int]], kinds: list[tuple[str, int]], around: list[tuple[int, ...]]) -> set[int]:
+def _off(lines: list[tuple[str, int, tuple[int, ...], int, int, bool]], kinds: list[tuple[str, int]], around: list[tuple[int, ...]]) -> set[int]:
     """The parts that are no main text, by where the page's text is."""
     articles = {a for _, a, *_ in lines if a}
     surely = {p for p, (kind, _) in enumerate(kinds) if kind != "likely"}
     mass: dict[tuple[int, int], int] = {}  # of characters outside links, by part or -1, and article
-    for text, a, ps, n, _ in lines:
+    for text, a, ps, n, *_ in lines:
         if surely.isdisjoint(ps):
             for p in (-1, *ps):
                 mass[p, a] = mass.get((p, a), 0) + max(0, len(text) - n)
@@ -185,43 +197,62 @@ def _off(lines: list[tuple[str, int, tuple[int, ...], int, int]], kinds: list[tu
         most = kind == "likely" and (inside or not articles) and 2 * mass.get((p, inside), 0) > mass.get((-1, inside), 0)
         if kind == "hidden" or not (whole or most):
             off.add(p)
+    # where classes and ids leave the page no text, the one with the most text in it counts for nothing
+    if lines and all(not off.isdisjoint(ps) for _, _, ps, *_ in lines):
+        inside: dict[int, int] = {}
+        for text, _, ps, *_ in lines:
+            gone = [p for p in ps if p in off]
+            if all(kinds[p][0] in ("named", "likely") for p in gone):
+                inside[gone[0]] = inside.get(gone[0], 0) + len(text)
+        if inside:
+            off.discard(max(inside, key=lambda p: (inside[p], -p)))
     return off
 
 
-def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
+def weights(lines: list[tuple[str, bool, bool, int, int, bool]]) -> list[float]:
+    """What each line weighs."""
+    plain = [len(text) if i else max(0, len(text) - 2 * links) for text, i, _, links, *_ in lines]
+    marked, total = sum(n for n, (_, i, *_) in zip(plain, lines, strict=True) if i), max(1, sum(plain))
+    out = []
+    for n, (_, i, off, _, _, head) in zip(plain, lines, strict=True):
+        w = min(n, CAP) * (1 if i or not head else HEADING)
+        w = 0.0 if not n else (ARTICLE * w + OWN) * marked / total if i else w * (total - marked) / total
+        out.append(w * PART if off else w)
+    return out
+
+
+def between(sums: list[float], heavy: list[float], inside: list[bool], window: int, surge: float, rise: float) -> list[bool]:
+    """The lines from each surge up to the next dive."""
+    least = min(surge, max(sums, default=0) / 2)
+    out, within = [], False
+    for k, (w, total) in enumerate(zip(heavy, sums, strict=True)):
+        goes_on = within and inside[k] == inside[k - 1] and total >= DIVE * least
+        starts = w > 0 and total >= least and w >= rise * total / min(window, len(heavy) - k)
+        within = total > 0 and (goes_on or starts)
+        out.append(within)
+    return out
+
+
+def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, rise: float = RISE) -> str:
     """The kept blocks of a page, joined by two line feeds."""
     lines = lines_of(page) if page else []
-    inside = [i for _, i, *_ in lines]
-    own = [-1 if i else c for _, i, _, _, c in lines]  # container
-    plain = [0 if off else len(text) if i else max(0, len(text) - 2 * links) for text, i, off, links, _ in lines]
-    marked, total = sum(n for n, i in zip(plain, inside, strict=True) if i), sum(plain)
-    lengths = [n * ARTICLE if i else n * (total - marked) / max(1, total) for n, i in zip(plain, inside, strict=True)]
-    sums = [sum(n for n, i in zip(lengths[k : k + window], inside[k : k + window], strict=True) if i == inside[k]) for k in range(len(lines))]
-    main = [False] * len(lines)
-    k = 0
-    while k < len(lines):
-        if lengths[k] and sums[k] >= surge:  # surge
-            end = k
-            while end < len(lines) and sums[end] > 0 and inside[end] == inside[k]:  # dive: nothing in a whole window
-                main[end] = lengths[end] > 0
-                end += 1
-            k = end
-        else:
-            k += 1
-    if not any(main):  # a short page has no surge: all the lines that count where the more weight is
-        heavier = sum(n if i else -n for n, i in zip(lengths, inside, strict=True)) > 0
-        main = [n > 0 and i == heavier for n, i in zip(lengths, inside, strict=True)]
-    near = {c for c, m in zip(own, main, strict=True) if m}
-    keep = [m or c in near and not off for m, c, (_, _, off, *_) in zip(main, own, lines, strict=True)]
+    off, inside = [x[2] for x in lines], [x[1] for x in lines]
+    own = [-1 if i else c for _, i, _, _, c, _ in lines]  # container
+    heavy = weights(lines)
+    sums = [sum(heavy[k : k + window]) for k in range(len(heavy))]
+    peak = max(sums, default=0) / window
+    main = [m and w > 0 and (not o or w >= rise * peak) for m, w, o in zip(between(sums, heavy, inside, window, surge, rise), heavy, off, strict=True)]
+    near = {c for c, m, o in zip(own, main, off, strict=True) if m and not o}
+    keep = [m or c in near and not o for m, c, o in zip(main, own, off, strict=True)]
     last = -1
     for k in [k for k, kept in enumerate(keep) if kept]:
         if last >= 0 and own[k] == own[last] > 0:
-            keep[last + 1 : k] = [not off for _, _, off, *_ in lines[last + 1 : k]]
+            keep[last + 1 : k] = [kept or not o for kept, o in zip(keep[last + 1 : k], off[last + 1 : k], strict=True)]
         last = k
     return "\n\n".join(text for (text, *_), kept in zip(lines, keep, strict=True) if kept)
 
 
-def extract(pages: DataFrame, column: str = "html", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
+def extract(pages: DataFrame, column: str = "html", window: int = WINDOW, surge: float = SURGE, rise: float = RISE) -> DataFrame:
     """Every row of pages with text (empty where there is none) and n_chars, its code points.
 
     A null or empty page gives an empty text. Broken markup is read as far as it goes: what is not
@@ -233,7 +264,7 @@ def extract(pages: DataFrame, column: str = "html", window: int = WINDOW, surge:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(p, window, surge) for p in batch.column(column).to_pylist()]
+            texts = [main_text(p, window, surge, rise) for p in batch.column(column).to_pylist()]
             yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return pages.select(*keep, column).mapInArrow(run, schema)
