@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from html import unescape
 
 import pytest
 
@@ -24,14 +25,16 @@ def bare(page):
 def test_parameters_change_given_pages(spark):
     pages = given(spark)
     texts = [html.main_text(p) for p in pages]
-    adverts = [re.search(r'<div class="ad">(.*?)</div>', p, re.S)[1].strip() for p in pages]
+    adverts = [" ".join(unescape(re.sub("<[^>]*>", " ", re.search(r'<div class="ad">(.*?)</div>', p, re.S)[1])).split()) for p in pages]
+    assert all(adverts)
     # without a share of the window that a first line has to carry, text starts at the advert before it
-    assert all(a in html.main_text(p, rise=0) and a not in t for p, t, a in zip(pages, texts, adverts, strict=True))
+    blocks = lambda t: t.split("\n\n")
+    assert all(blocks(html.main_text(p, rise=0)).count(a) == blocks(t).count(a) + 1 for p, t, a in zip(pages, texts, adverts, strict=True))
     # with nothing to go by but lengths: headlines stay, most adverts go, and window and surge count
     plain = [html.main_text(bare(p)) for p in pages]
     heads = [t.split("\n\n")[0] for t in texts]
     assert all(h in t for h, t in zip(heads, plain, strict=True))
-    assert sum(a in t for a, t in zip(adverts, plain, strict=True)) < len(pages) / 4 < len(pages) / 2 < sum(a in html.main_text(bare(p), rise=0) for p, a in zip(pages, adverts, strict=True))
+    assert sum(a in t for a, t in zip(adverts, plain, strict=True)) < len(pages) / 4
     for other in ({"window": 1}, {"window": 9}, {"surge": 1000}):
         assert sum(html.main_text(bare(p), **other) != t for p, t in zip(pages, plain, strict=True)) > 10
 
@@ -47,7 +50,7 @@ def test_a_name_that_holds_all_the_text():
     assert html.main_text('<article><div class="legal">text</div></article>') == "text"
     assert html.main_text('<article><div class="legal"><p>one</p><p>two</p></div><div class="ad">x</div></article>') == "one\n\ntwo"
     assert html.main_text('<article><p>text</p><div class="legal">small print</div></article>') == "text"
-    assert html.main_text('<article><nav>only a menu</nav></article><div class="notice">n</div>') in ("", "n")
+    assert html.main_text('<article><nav>only a menu</nav></article><footer>f</footer>') == ""
 
 
 def plain_text(page, window, surge, rise):
@@ -55,13 +58,15 @@ def plain_text(page, window, surge, rise):
     lines = html.lines_of(page)
     size = [len(t) if i else max(0, len(t) - 2 * n) for t, i, _, n, _, _ in lines]
     marked, total = sum(s for s, x in zip(size, lines, strict=True) if x[1]), max(1, sum(size))
-    w = []
+    w, full = [], []
     for s, (_, inside, off, _, _, head) in zip(size, lines, strict=True):
         if not s:
             w.append(0.0)
+            full.append(0.0)
             continue
         v = (html.ARTICLE * min(s, html.CAP) + html.OWN) * marked / total if inside else min(s, html.CAP) * (html.HEADING if head else 1) * (total - marked) / total
         w.append(v * html.PART if off else v)
+        full.append(v)
     of = [sum(w[k : k + window]) for k in range(len(w))]
     least = min(surge, max(of, default=0) / 2)
     kept, k = set(), 0
@@ -71,7 +76,7 @@ def plain_text(page, window, surge, rise):
             continue
         k0 = k
         while k < len(w) and of[k] > 0 and (k == k0 or lines[k][1] == lines[k - 1][1] and of[k] >= html.DIVE * least):
-            if w[k] > 0 and (not lines[k][2] or w[k] >= rise * max(of) / window):
+            if w[k] > 0 and (not lines[k][2] or w[k] >= rise * max(sum(full[j : j + window]) for j in range(len(full))) / window):
                 kept.add(k)
             k += 1
     at = [-1 if x[1] else x[4] for x in lines]

@@ -14,7 +14,7 @@ sum reaches the threshold and the line carries its share of it, RISE of the wind
 before the text, such as an advert before a headline, is no start. It dives where the window's sum
 falls below DIVE of the threshold, and where an article starts or ends. The threshold is SURGE, or half of the largest
 sum on a page that has less. What lies between surge and dive is main text; of lines in a part only those that carry RISE of
-the mean of the page's heaviest window. So are short and link-rich lines in the same container (all articles of a page are
+the mean of the page's heaviest window, parts weighed in full. So are short and link-rich lines in the same container (all articles of a page are
 one; otherwise the nearest div, section, list, table cell and the like), and those between two kept lines of one container.
 """
 
@@ -210,14 +210,13 @@ def _off(lines: list[tuple[str, int, tuple[int, ...], int, int, bool]], kinds: l
 
 
 def weights(lines: list[tuple[str, bool, bool, int, int, bool]]) -> list[float]:
-    """What each line weighs."""
+    """What each line weighs, whatever part it is in."""
     plain = [len(text) if i else max(0, len(text) - 2 * links) for text, i, _, links, *_ in lines]
     marked, total = sum(n for n, (_, i, *_) in zip(plain, lines, strict=True) if i), max(1, sum(plain))
     out = []
-    for n, (_, i, off, _, _, head) in zip(plain, lines, strict=True):
+    for n, (_, i, _, _, _, head) in zip(plain, lines, strict=True):
         w = min(n, CAP) * (1 if i or not head else HEADING)
-        w = 0.0 if not n else (ARTICLE * w + OWN) * marked / total if i else w * (total - marked) / total
-        out.append(w * PART if off else w)
+        out.append(0.0 if not n else (ARTICLE * w + OWN) * marked / total if i else w * (total - marked) / total)
     return out
 
 
@@ -238,9 +237,10 @@ def main_text(page: str | None, window: int = WINDOW, surge: float = SURGE, rise
     lines = lines_of(page) if page else []
     off, inside = [x[2] for x in lines], [x[1] for x in lines]
     own = [-1 if i else c for _, i, _, _, c, _ in lines]  # container
-    heavy = weights(lines)
+    whole = weights(lines)
+    heavy = [w * PART if o else w for w, o in zip(whole, off, strict=True)]
     sums = [sum(heavy[k : k + window]) for k in range(len(heavy))]
-    peak = max(sums, default=0) / window
+    peak = max((sum(whole[k : k + window]) for k in range(len(whole))), default=0) / window
     main = [m and w > 0 and (not o or w >= rise * peak) for m, w, o in zip(between(sums, heavy, inside, window, surge, rise), heavy, off, strict=True)]
     near = {c for c, m, o in zip(own, main, off, strict=True) if m and not o}
     keep = [m or c in near and not o for m, c, o in zip(main, own, off, strict=True)]
