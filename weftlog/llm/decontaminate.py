@@ -73,10 +73,13 @@ def alignments(found: DataFrame, wanted: DataFrame, key: list[str], slop: int =
         aligned = aligned.withColumn("place", near)
     have = aligned.groupBy(*key, "item_key", "place").agg(F.collect_set("at").alias("have"))
     windows = wanted.groupBy("item_key", "start").agg(F.collect_set("at").alias("ats"))
-    need = windows.groupBy("item_key").agg(F.collect_list("ats").alias("need"), F.min(F.size("ats")).alias("least"))
+    # a row for each item has the probes of all its windows: its numbers count, not its rows
+    numbers = F.coalesce(F.sum(F.size(F.flatten("need")) + F.size("need") + 10), F.lit(0)).alias("numbers")
+    need, seen = measured(windows.groupBy("item_key").agg(F.collect_list("ats").alias("need"), F.min(F.size("ats")).alias("least")), "decon-windows", numbers)
+    need = F.broadcast(need) if seen["numbers"] <= BROADCAST_NUMBERS else need
     whole = F.exists("need", lambda ats: F.size(F.array_except(ats, "have")) == 0)
     # most alignments have one probe by chance: they are told by their number before any window is looked at
-    return have.join(sized(need), "item_key").where(F.size("have") >= F.col("least")).where(whole).select(*key, "item_key", "place")
+    return have.join(need, "item_key").where(F.size("have") >= F.col("least")).where(whole).select(*key, "item_key", "place")
 
 
 def _starts(words: Column, item: Column, place: Column, window: int) -> Column:
@@ -104,6 +107,16 @@ def _same_row(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(other, on, how).drop(*[f"_{c}" for c in _ROW])
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with equal rows once. Rows are told by their hashes first, so texts are dealt out only where some are equal."""
+    repeated = docs.groupBy(*_ROW).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated, seen = measured(repeated, "decon-repeated", F.count("*").alias("rows"))
+    if not seen["rows"]:
+        return docs
+    repeated = sized(repeated)
+    return _same_row(docs, repeated, "left_anti").unionByName(_same_row(docs, repeated, "left_semi").dropDuplicates(_ROW))
+
+
 def _wanted(docs: DataFrame, items: DataFrame, window: int, n_probes: int) -> DataFrame:
     terms = materialize(items.select(F.explode("item").alias("term")).distinct(), "decon-terms")
     return materialize(probes(items, term_counts(docs, terms), window, n_probes), "decon-probes")
@@ -126,6 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, n
 def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, n_probes: int) -> DataFrame:
     items, size = measured(item_words(benchmark).withColumn("item_key", _item_key()), "decon-items", F.coalesce(F.sum(F.size("item") + 10), F.lit(0)).alias("words"))
     wanted = _wanted(docs, items, window, n_probes)
+    every, docs = docs, _once(docs)
     found = postings(docs, materialize(wanted.select("term").distinct(), "decon-probe-terms"), _ROW)
     pairs = alignments(found, wanted, _ROW).groupBy(*_ROW, "item_key").agg(F.sort_array(F.collect_list("place")).alias("places"))
     pairs, seen = measured(pairs, "decon-alignments", F.coalesce(F.sum(F.size("places") + 10), F.lit(0)).alias("numbers"))
@@ -138,7 +152,7 @@ def _contamination(docs: DataFrame, benchmark: DataFrame, window: int, n_probes:
     inside = F.flatten(F.flatten(F.transform("found", lambda p: F.transform(p["starts"], lambda s: F.sequence(s, s + p["size"] - 1)))))
     ids = F.sort_array(F.array_distinct(F.transform("found", lambda p: p["item_id"])))
     hits = hits.select(*_ROW, F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), ids.alias("items"))
-    out = _same_row(docs.select(*_ROW, F.size(pieces(F.col("text"), NO_WORD_ANY_CASE)).cast("long").alias("n_words")), hits, "left")
+    out = _same_row(every.select(*_ROW, F.size(pieces(F.col("text"), NO_WORD_ANY_CASE)).cast("long").alias("n_words")), hits, "left")
     out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.select(
         "doc_id",
@@ -158,7 +172,7 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 3, window: int
     """
     items = materialize(item_words(benchmark).withColumn("item_key", _item_key()), "decon-items")
     wanted = _wanted(docs, items, window, n_probes)
-    found = alignments(postings(_rows(docs), wanted.select("term").distinct(), _ROW), wanted, _ROW, slop)
+    found = alignments(postings(_once(_rows(docs)), wanted.select("term").distinct(), _ROW), wanted, _ROW, slop)
     return found.join(items, "item_key").select("doc_id", "item_id").distinct()
 
 
