@@ -12,7 +12,8 @@ A data set is a folder of shards, each a range of ascending doc_id:
 
 A key is hashed to 64 bits. At a level of the hash, keys that fall on a place alone set its bit and
 the others go on to the next level; the slot of a key is the number of bits before its own. The
-fingerprint in the slot tells keys that are not in the shard. So an access reads the head, one block
+fingerprint in the slot tells keys that are not in the shard. Where two keys of a shard share a hash, its keys are
+hashed with another salt. So an access reads the head, one block
 of each level it passes (fewer than three on average), one slot, two offsets and one slice of the
 payload, however large the shard is. The manifest has the first and last key of each shard, by
 which lookup() sends keys to shards.
@@ -29,7 +30,7 @@ import os
 import re
 import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -152,11 +153,13 @@ def encoder_of(path: str) -> Encoder:
 # --- minimal perfect hash ------------------------------------------------------------------------
 
 
-def key_hashes(keys: list) -> np.ndarray:
-    """64 bits for each key, an integer, a string or null."""
+def key_hashes(keys: list, salt: int = 0) -> np.ndarray:
+    """64 bits for each key, an integer, a string or null. Integers never share them; others may, and do not with another salt."""
+    number = lambda ks: mix(np.array(ks, np.int64).view(np.uint64))
     if all(type(k) is int for k in keys):
-        return mix(np.array(keys, np.int64).view(np.uint64))
-    return np.array([int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8).digest(), "little") if type(k) is not int else int(mix(np.array([k], np.int64).view(np.uint64))[0]) for k in keys], np.uint64)
+        return number(keys)
+    text = lambda k: int.from_bytes(hashlib.blake2b(repr(k).encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+    return np.array([text(k) if type(k) is not int else int(number([k])[0]) for k in keys], np.uint64)
 
 
 def _place(h: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -164,7 +167,13 @@ def _place(h: np.ndarray, level: int, size: int) -> np.ndarray:
 
 
 #: 64-bit numbers of the head: mark, width of an id, rows, keys, levels, and up to MOST_LEVELS sizes of levels in blocks.
-HEAD, MOST_LEVELS, MARK = 64, 59, 0x7368617264303032
+#: The last number of the head is what the keys' hashes are salted with.
+HEAD, MOST_LEVELS, MARK = 64, 58, 0x7368617264303033
+#: Bytes of texts of a shard. Ranges of doc_id are cut for that many, whatever the number of shuffle partitions; a single
+#: doc_id, which stays together, may have more.
+SHARD_BYTES = 64_000_000
+#: Rows of a shard that a reader holds at a time.
+READ_ROWS = 2_000
 _ONE = np.uint64(1)
 
 
@@ -177,7 +186,7 @@ def build_index(h: np.ndarray) -> dict[str, np.ndarray]:
     words, levels, rest = [], [], h
     while len(rest):
         if len(levels) == MOST_LEVELS:
-            raise ValueError("two keys have one hash")
+            raise ValueError("the hashes are not distinct")
         blocks = -(-2 * len(rest) // 64)
         place = _place(rest, len(levels), 64 * blocks)
         alone = np.bincount(place, minlength=64 * blocks) == 1
@@ -205,9 +214,15 @@ def find_slots(index: dict[str, np.ndarray], h: np.ndarray) -> np.ndarray:
 # --- shards --------------------------------------------------------------------------------------
 
 
-def _index_bytes(h: np.ndarray, sizes: list[int], width: int) -> bytes:
-    """An index file of rows whose keys have the hashes h, rows of one key side by side."""
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+def filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path as Spark writes it, and the path there."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
+def _index_bytes(h: np.ndarray, sizes: list[int], width: int, first: np.ndarray | None = None, salt: int = 0) -> bytes:
+    """An index file of rows whose keys have the hashes h, rows of one key side by side; keys begin at the rows ``first``, or where the hash changes."""
+    if first is None:
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     index = build_index(h[first])
     slot = find_slots(index, h[first])
     slots = np.zeros((len(first), 3), "<u8")
@@ -215,11 +230,21 @@ def _index_bytes(h: np.ndarray, sizes: list[int], width: int) -> bytes:
     head = np.zeros(HEAD, "<u8")
     head[:5] = MARK, width, len(h), len(first), len(index["levels"])
     head[5 : 5 + len(index["levels"])] = index["levels"]
+    head[-1] = salt
     blocks = np.stack([index["bits"], index["before"].astype("<u8")], 1)
     offsets = np.concatenate(([0], np.cumsum(sizes))).astype("<u8")
     return b"".join(x.tobytes() for x in (head, blocks, slots, offsets))
 
 
+def _salted(h: np.ndarray, first: np.ndarray, read_keys: Callable[[], list]) -> tuple[np.ndarray, int]:
+    """Hashes of the keys that differ where keys do, and their salt: h, unless two keys share one there."""
+    salt = 0
+    while len(np.unique(h[first])) < len(first):
+        salt += 1
+        h = key_hashes(read_keys(), salt)
+    return h, salt
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
     """Encode every text of docs (doc_id and text) and write the shards; returns the manifest.
 
@@ -234,9 +259,10 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        fs, base = pyarrow.fs.FileSystem.from_uri(path)
+        fs, base = filesystem(path)
         encoder = end = out = keys_out = None
         hashes: list[np.ndarray] = []
+        begins: list[np.ndarray] = []
         sizes: list[int] = []
         first = last = None
         for batch in batches:
@@ -253,7 +279,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
                     sizes.append(len(ids) // encoder.dtype.itemsize + 1)
             keys = batch.column("doc_id").to_pylist()
             if keys:
-                first, last = (keys[0] if not hashes else first), keys[-1]
+                first, new = (first, keys[0] != last) if hashes else (keys[0], True)
+                last = keys[-1]
+                begins.append(np.array([new, *(a != b for a, b in zip(keys, keys[1:], strict=False))]))
                 hashes.append(key_hashes(keys))
                 keys_out.write_batch(batch.select(["doc_id"]))
         if out is None:
@@ -261,13 +289,17 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
         out.close()
         keys_out.close()
         key_file.close()
+        starts = np.flatnonzero(np.concatenate(begins))
+        h, salt = _salted(np.concatenate(hashes), starts, lambda: pa.ipc.open_stream(fs.open_input_stream(f"{base}/{name}.key")).read_all().column("doc_id").to_pylist())
         with fs.open_output_stream(f"{base}/{name}.idx") as f:
-            f.write(_index_bytes(np.concatenate(hashes), sizes, encoder.dtype.itemsize))
+            f.write(_index_bytes(h, sizes, encoder.dtype.itemsize, starts, salt))
         key_type = batch.schema.field("doc_id").type
         row = [pa.array([task.partitionId()], pa.int64()), [f"{path}/{name}"], pa.array([first], key_type), pa.array([last], key_type), pa.array([len(sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())]
         yield pa.record_batch(row, ["shard", "file", "first_key", "last_key", "n_docs", "n_tokens"])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(-(-size // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     manifest = materialize(ranged.mapInArrow(write, f"shard long, file string, first_key {kind}, last_key {kind}, n_docs long, n_tokens long"), "token-manifest", keep=True)
     # one row a shard: a running sum over a few rows
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -278,13 +310,14 @@ class Shard:
     """An open shard. Only the head of the index is held; an access reads what it needs by place."""
 
     def __init__(self, file: str) -> None:
-        self.fs, base = pyarrow.fs.FileSystem.from_uri(file)
+        self.fs, base = filesystem(file)
         self.base, self.idx, self.ids = base, self.fs.open_input_file(f"{base}.idx"), self.fs.open_input_file(f"{base}.ids")
         head = self._numbers(0, HEAD)
         if head[0] != MARK:
             raise ValueError(f"{file}: not a shard's index")
         self.width, self.rows, self.keys = (int(x) for x in head[1:4])
         self.levels = head[5 : 5 + int(head[4])].astype(np.int64).tolist()
+        self.salt = int(head[-1])
         self.slots_at = HEAD + 2 * sum(self.levels)
         self.offsets_at = self.slots_at + 3 * self.keys
 
@@ -300,7 +333,7 @@ class Shard:
 
     def find(self, key) -> tuple[int, int] | None:
         """The first row of a key and how many it has, or None."""
-        h = key_hashes([key])
+        h = key_hashes([key], self.salt)
         start = 0
         for level, blocks in enumerate(self.levels):
             word, bit = divmod(int(_place(h, level, 64 * blocks)[0]), 64)
@@ -318,11 +351,21 @@ class Shard:
         data = np.frombuffer(self.ids.read_at(int(at[-1] - at[0]) * self.width, int(at[0]) * self.width), f"<u{self.width}")
         return np.split(data, at[1:-1] - at[0])
 
-    def whole(self) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """The hash, the slots and the offsets, for reading all of a shard."""
+    def rows_at(self, rows: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of some rows and where they start; rows side by side are read at once."""
+        ids: list[np.ndarray] = []
+        at: list[np.ndarray] = []
+        for run in np.split(rows, np.flatnonzero(np.diff(rows) != 1) + 1):
+            if len(run):
+                ids += self.ids_of(int(run[0]), len(run))
+                at.append(self._numbers(self.offsets_at + int(run[0]), len(run)).astype(np.int64))
+        return ids, np.concatenate(at) if at else np.zeros(0, np.int64)
+
+    def whole(self) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """The hash and the slots, for reading all of a shard."""
         blocks = self._numbers(HEAD, 2 * sum(self.levels)).reshape(-1, 2)
         index = {"levels": np.array(self.levels, np.int64), "bits": blocks[:, 0], "before": blocks[:, 1].astype(np.int64)}
-        return index, self._numbers(self.slots_at, 3 * self.keys).reshape(-1, 3), self._numbers(self.offsets_at, self.rows + 1).astype(np.int64)
+        return index, self._numbers(self.slots_at, 3 * self.keys).reshape(-1, 3)
 
 
 def get(file: str, key) -> np.ndarray | None:
@@ -379,11 +422,10 @@ def read_digests(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
         for batch in batches:
             for file, base in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with Shard(file) as shard:
-                    index, slots, offsets = shard.whole()
-                    payload, before = shard.ids.read_buffer(), None
-                    dtype, done, rows_left = f"<u{shard.width}", 0, 0
-                    for part in (p.slice(k, 20_000) for p in pa.ipc.open_stream(shard.fs.open_input_stream(f"{shard.base}.key")) for k in range(0, p.num_rows, 20_000)):
-                        h = key_hashes(part.column("doc_id").to_pylist())
+                    index, slots = shard.whole()
+                    before, done, rows_left = None, 0, 0
+                    for part in (p.slice(k, READ_ROWS) for p in pa.ipc.open_stream(shard.fs.open_input_stream(f"{shard.base}.key")) for k in range(0, p.num_rows, READ_ROWS)):
+                        h = key_hashes(part.column("doc_id").to_pylist(), shard.salt)
                         slot = find_slots(index, h)
                         if (slot < 0).any() or (slots[slot, 0] != h).any():
                             raise ValueError(f"{file}: a key is not in the index")
@@ -394,18 +436,20 @@ def read_digests(manifest: DataFrame, kind: str = "bigint") -> DataFrame:
                         lead = np.cumprod(same).astype(bool) if len(h) else same  # still the key of the part before
                         run = np.where(lead, at + rows_left, run)
                         rows = slots[slot, 1].astype(np.int64) + run
-                        lo, hi = offsets[rows], offsets[rows + 1]
-                        crc = [zlib.crc32(np.frombuffer(payload, dtype, int(b - a), int(a) * shard.width).astype("<u4").tobytes()) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        ids, lo = shard.rows_at(rows)
+                        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
                         if len(h):
                             before, rows_left = h[-1], int(run[-1]) + 1
                         done += len(h)
-                        yield pa.record_batch([part.column("doc_id"), pa.array(lo + base, pa.int64()), pa.array(hi - lo, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        sizes = pa.array([len(x) for x in ids], pa.int64())
+                        yield pa.record_batch([part.column("doc_id"), pa.array(lo + base, pa.int64()), sizes, pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
                     if done != shard.rows:
                         raise ValueError(f"{file}: {done} keys for {shard.rows} rows")
 
     shards = manifest.select("shard", "file", "start")
-    n = manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return shards.repartition(int(n), "shard").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    # a few shards a task: there may be many, or fewer than cores
+    n = max(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), manifest.count() // 8)
+    return shards.repartition(n, "shard").mapInArrow(read, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digests(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
