@@ -1,11 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
+import numpy as np
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
-from weftlog.operators import graphs, split
+from weftlog.operators import components, graphs, split
 from weftlog.plans.ordered import running
 from weftlog.sources.ocel import object_log
 
@@ -67,6 +70,46 @@ def test_component_split(spark):
         split.split_log(_weeks(spark, 1), ["orders", "items"])
 
 
+def brute_components(edges):
+    groups = []
+    for a, b in edges:
+        mine = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in mine] + [{a, b}.union(*mine)]
+    return sorted((x, min(g)) for g in groups for x in g)
+
+
+@pytest.mark.parametrize("bound", [4, 500_000])
+def test_components_shrink_inside_partitions(spark, monkeypatch, bound):
+    """A hub, a chain, pairs and repeated edges over many partitions: fewer edges are dealt out, and small forests need no round."""
+    monkeypatch.setattr(components, "FOREST", bound)
+    chain = [(f"c{k:04d}", f"c{k + 1:04d}") for k in range(300)]
+    edges = chain + [("hub", f"s{k:03d}") for k in range(300)] + [(f"p{k}", f"q{k}") for k in range(20)] + [("é", "z"), ("Ω", "z"), ("x", "x"), (None, "y")]
+    random.Random(5).shuffle(edges)
+    df = spark.createDataFrame(edges * 3, "a string, b string").repartition(7)
+    report, plain = [], []
+    want = brute_components([(a, b) for a, b in edges if a and a != b])
+    assert rows(components.connected_components(df, local=True, report=report)) == want
+    assert rows(components.connected_components(df, report=plain)) == want
+    assert report[-1] == plain[-1] == len(want) - len({c for _, c in want})
+    if bound > 4:
+        assert len(report) == 2 and len(plain) > 4
+    numbers = df.select(*[F.abs(F.xxhash64(c)).alias(c) for c in "ab"]).where("a is not null")
+    assert rows(components.connected_components(numbers, local=True)) == rows(components.connected_components(numbers))
+    # in order of their ends, as logs come, partitions have little in common
+    near = spark.createDataFrame(sorted(chain), "a string, b string").repartitionByRange(4, "a")
+    few = []
+    components.connected_components(near.union(near).union(near), local=True, report=few)
+    assert few[0] <= 3 * len(chain)
+
+
+def test_joined_arrays():
+    rng = np.random.default_rng(6)
+    for n, m in ((1, 0), (2, 1), (50, 30), (400, 500)):
+        u, v = rng.integers(0, n, m), rng.integers(0, n, m)
+        want = {k: k for k in range(n)} | dict(brute_components([*zip(u.tolist(), v.tolist(), strict=True)]))
+        assert components.joined(u, v, n).tolist() == [want[k] for k in range(n)]
+
+
 def test_running_over_many_ranges(spark):
     n = 2000
     df = spark.createDataFrame([((k * 7919) % n, (k * 7919) % n % 5) for k in range(n)], "k long, x long").repartition(6)

@@ -22,7 +22,7 @@ def components(rows: DataFrame, thing: str, event: str = "eid") -> DataFrame:
     """
     r = materialize(rows.select(F.col(event).alias("e"), F.col(thing).alias("a")).distinct(), "cc-things")
     hub = r.groupBy("e").agg(F.min("a").alias("b"), F.count("*").alias("n")).where("n > 1")
-    labels = connected_components(r.join(hub, "e").select("a", "b").distinct())
+    labels = connected_components(r.join(hub, "e").select("a", "b"), local=True)
     return r.select("a").distinct().join(labels, F.col("a") == F.col("node"), "left").select(F.col("a").alias(thing), F.coalesce("component", "a").alias("component"))
 
 
