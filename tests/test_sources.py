@@ -5,8 +5,10 @@ import sqlite3
 
 import pytest
 from conftest import rows
+from pyspark.sql.datasource import EqualTo, In
 
 from weftlog.operators import ocdfg
+from weftlog.sources import ocel
 from weftlog.sources.ocel import convert_to_parquet, object_log, read_ocel2_sqlite, read_parquet_log, write_csv, write_dot
 from weftlog.streaming.flows import streamed_successions, windowed_activity_counts
 
@@ -31,6 +33,42 @@ def test_sqlite(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
 
 
+def big_file(path, n=50):
+    with sqlite3.connect(path) as db:
+        db.executescript("""CREATE TABLE event_map_type (ocel_type, ocel_type_map); CREATE TABLE object (ocel_id, ocel_type); CREATE TABLE event_object (ocel_event_id, ocel_object_id, ocel_qualifier, PRIMARY KEY (ocel_event_id, ocel_object_id)) WITHOUT ROWID;
+        CREATE TABLE event_A (ocel_id, ocel_time); CREATE TABLE event_B (ocel_id, ocel_time); CREATE TABLE event_C (ocel_id, ocel_time); INSERT INTO event_map_type VALUES ('a', 'A'), ('b', 'B'), ('c', 'C');""")
+        for k in range(n):
+            db.execute(f"INSERT INTO event_{'AB'[k % 2]} VALUES (?, '2024-01-01T00:00:00')", (f"e{k:02d}",))
+            db.execute("INSERT INTO object VALUES (?, ?)", (f"o{k:02d}", ("x", "y", "z")[k % 3]))
+            db.execute("INSERT INTO event_object VALUES (?, ?, 'q')", (f"e{k:02d}", f"o{k:02d}"))
+        db.execute("DELETE FROM object WHERE ocel_id IN ('o00', 'o20')")
+    return str(path)
+
+
+def test_sqlite_in_ranges(spark, tmp_path, monkeypatch):
+    path = big_file(tmp_path / "big.sqlite")
+    monkeypatch.setattr(ocel, "RANGE", 10)
+    split = ocel.Reader(path, "events", ["eid", "ts", "activity"]).partitions()
+    assert [p.value[1] for p in split] == [[1, 10], [11, 20], [21, 25]] * 2 + [[]] and {p.value[2] for p in split} == {"a", "b", "c"}
+    r = ocel.Reader(path, "events", ["eid"])
+    other = EqualTo(("eid",), "e01")
+    assert list(r.pushFilters([EqualTo(("activity",), "b"), In(("activity",), ("a", "b")), other])) == [other]
+    assert [p.value[0] for p in r.partitions()] == ['SELECT ocel_id FROM "event_B" WHERE rowid BETWEEN ? AND ?'] * 3
+    r = ocel.Reader(path, "objects", ["oid"])
+    assert list(r.pushFilters([In(("otype",), ("x", "y"))])) == []
+    assert r.partitions()[0].value == ('SELECT ocel_id FROM "object" WHERE ocel_type IN (?, ?) AND rowid BETWEEN ? AND ?', ["x", "y", 2, 11], None)
+    assert sum(len(list(r.read(p))) for p in r.partitions()) == 33
+    assert [p.value for p in ocel.Reader(path, "relations", ["oid"]).partitions()] == [('SELECT ocel_object_id FROM "event_object"', [], None)]
+    log = read_ocel2_sqlite(spark, path)
+    assert (log.events.count(), log.objects.count(), log.relations.count()) == (50, 48, 48)
+    assert log.events.where("activity = 'a'").count() == 25 and log.objects.where("otype in ('x', 'y')").count() == 33 and log.events.where("activity = 'none'").count() == 0
+    assert log.relations.where("otype = 'z' and activity = 'b'").count() == len([k for k in range(50) if k % 3 == 2 and k % 2 and k != 20])
+    read = spark.read.format("ocel2").option("path", path).option("table", "objects")
+    assert read.option("columns", "otype").load().distinct().count() == 3
+    with pytest.raises(Exception, match="no columns"):
+        read.option("columns", "nothing").load().count()
+
+
 def test_streamed_flows_equal_the_batch(spark, tmp_path):
     """Events come out of order, within and over batches, and some twice."""
     t = dt.datetime(2024, 1, 1)

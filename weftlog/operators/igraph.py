@@ -33,16 +33,24 @@ def execution_objects(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     return nodes.select("exec_id", "eid", "ts", "activity").join(relations.select("eid", "oid", "otype").distinct(), "eid")
 
 
-def candidate_edges(objects: DataFrame, accepted: DataFrame) -> DataFrame:
+def candidate_edges(objects: DataFrame, accepted: DataFrame, next_only: bool = False) -> DataFrame:
     """(exec_id, src, dst, object_types, object_ids): pairs of events on one object, the earlier first, whose
     activities are an accepted relation of that object's type.
 
     The accepted relations, one row for each pair of activities of a type, meet the earlier event
-    first, so that only pairs with a possible target are joined.
+    first, so that only pairs with a possible target are joined. With ``next_only`` a relation of an activity with
+    itself joins an event to the next of its activity on the object alone: the reduced graph and the paths are the same,
+    as the later ones are reached through it, and a chain of events has as many rows as events.
     """
     a = objects.select("exec_id", "otype", "oid", F.col("eid").alias("src"), F.col("ts").alias("ts1"), F.col("activity").alias("src_act"))
     b = objects.select("exec_id", "otype", "oid", F.col("eid").alias("dst"), F.col("ts").alias("ts2"), F.col("activity").alias("dst_act"))
-    pairs = a.join(sized(accepted), ["otype", "src_act"]).join(b, ["exec_id", "otype", "oid", "dst_act"]).where("struct(ts1, src) < struct(ts2, dst)")
+    joined = accepted.where("src_act <> dst_act") if next_only else accepted
+    pairs = a.join(sized(joined), ["otype", "src_act"]).join(b, ["exec_id", "otype", "oid", "dst_act"]).where("struct(ts1, src) < struct(ts2, dst)")
+    pairs = pairs.select(*KEY, "otype", "oid")
+    if next_only:
+        w = Window.partitionBy("exec_id", "otype", "oid", "src_act").orderBy("ts1", "src")
+        repeats = a.join(sized(accepted.where("src_act = dst_act").select("otype", "src_act")), ["otype", "src_act"]).withColumn("dst", F.lead("src").over(w))
+        pairs = pairs.unionByName(repeats.where("dst is not null").select(*KEY, "otype", "oid"))
     return pairs.groupBy(KEY).agg(F.sort_array(F.collect_set("otype")).alias("object_types"), F.sort_array(F.collect_set("oid")).alias("object_ids"))
 
 
@@ -188,7 +196,7 @@ class Graphs(NamedTuple):
 def instance_graph(nodes: DataFrame, relations: DataFrame, accepted: DataFrame) -> Graphs:
     """The graphs of all executions."""
     objects = materialize(execution_objects(nodes, relations), "execution-objects")
-    cand = materialize(candidate_edges(objects, accepted), "edges-raw")
+    cand = materialize(candidate_edges(objects, accepted, next_only=True), "edges-raw")
     reach = paths(cand)
     return Graphs(reduced(cand, reach), reach, objects)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlog.functions.dot import dot_text
-from weftlog.operators import causal, conformance, explore, extract, graphs, holdout, igraph, ocdfg, petri, split
+from weftlog.operators import causal, conformance, explore, extract, graphs, holdout, igraph, isomorphism, ocdfg, petri, split
 from weftlog.plans.derive import LOG1, LOG2, activity_log, order_log
 from weftlog.plans.scratch import materialize
 from weftlog.schema import ObjectLog
@@ -297,6 +297,12 @@ def graph_screening(spark, sf_dir):
     return igraph.screening(nodes, *graphs)
 
 
+@_query()
+def execution_classes(spark, sf_dir):
+    nodes, graphs = _graph(order_log(spark, sf_dir))
+    return isomorphism.isomorphism_classes(nodes, graphs.edges)
+
+
 @_query()
 def dot_export(spark, sf_dir):
     nodes, graphs = _graph(order_log(spark, sf_dir))

@@ -1,7 +1,8 @@
 """OCEL 2.0 logs in SQLite files, as a Spark data source of three tables.
 
-``spark.read.format("ocel2")`` takes ``path`` and ``table`` (events, objects or relations). Types of events are
-read in partitions of their own; each is one table of the file.
+``spark.read.format("ocel2")`` takes ``path`` and ``table`` (events, objects or relations), and ``columns`` if not all
+are wanted. Every table of the file, and each type of events is one, is read in partitions of ranges of its row ids.
+Filters on activity and otype by equality go into the statements that SQLite runs.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from weftlog.schema import ObjectLog
 
+#: Row ids of a partition.
+RANGE = 200_000
+
 _SCHEMAS = {"events": "eid string, ts timestamp_ntz, activity string", "objects": "oid string, otype string", "relations": "eid string, oid string, qualifier string"}
 
 
@@ -40,34 +44,76 @@ class Ocel2(DataSource):
         table = self.options.get("table", "")
         if table not in _SCHEMAS:
             raise ValueError(f"table must be one of {', '.join(_SCHEMAS)}")
-        return _SCHEMAS[table]
+        kinds = dict(c.split(" ") for c in _SCHEMAS[table].split(", "))
+        return ", ".join(f"{c} {kinds[c]}" for c in _columns(self.options, table))
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options["table"])
+        table = self.options["table"]
+        return Reader(self.options["path"], table, _columns(self.options, table))
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str) -> None:
-        self.path, self.table = path, table
+def _columns(options: dict, table: str) -> list[str]:
+    every = [c.split(" ")[0] for c in _SCHEMAS[table].split(", ")]
+    wanted = [c.strip() for c in options.get("columns", "").split(",") if c.strip()] or every
+    if unknown := sorted(set(wanted) - set(every)):
+        raise ValueError(f"{table} has no columns {', '.join(unknown)}")
+    return wanted
 
-    def partitions(self) -> list[InputPartition]:
-        if self.table != "events":
-            return [InputPartition(None)]
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-            return [InputPartition(r) for r in db.execute("SELECT ocel_type, ocel_type_map FROM event_map_type ORDER BY 1")]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+class Reader(DataSourceReader):
+    """One table. ``only``: the activities of events, or types of objects, that filters leave (None: all)."""
+
+    def __init__(self, path: str, table: str, columns: list[str]) -> None:
+        self.path, self.table, self.columns = path, table, columns
+        self.only: frozenset | None = None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        column = {"events": ("activity",), "objects": ("otype",)}.get(self.table)
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute == column:
+                values = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+                self.only = values if self.only is None else self.only & values
+            else:
+                yield f
+
+    def _open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{self.path}?mode=ro", uri=True)
+
+    def partitions(self) -> list[InputPartition]:
+        """(SQL, parameters, activity) for each range of row ids; a table without row ids is one partition."""
+        with self._open() as db:
             if self.table == "events":
-                activity, name = partition.value
-                for eid, ts in db.execute(f"SELECT ocel_id, ocel_time FROM {_quoted('event_' + name)}"):
-                    yield str(eid), _time(ts), activity
+                types = [(a, n) for a, n in db.execute("SELECT ocel_type, ocel_type_map FROM event_map_type ORDER BY 1") if self.only is None or a in self.only]
+                sources = [(f"event_{n}", {"eid": "ocel_id", "ts": "ocel_time", "activity": "NULL"}, a) for a, n in types]
             elif self.table == "objects":
-                for oid, otype in db.execute("SELECT ocel_id, ocel_type FROM object"):
-                    yield str(oid), otype
+                sources = [("object", {"oid": "ocel_id", "otype": "ocel_type"}, None)]
             else:
-                for eid, oid, q in db.execute("SELECT ocel_event_id, ocel_object_id, ocel_qualifier FROM event_object"):
-                    yield str(eid), str(oid), q or ""
+                sources = [("event_object", {"eid": "ocel_event_id", "oid": "ocel_object_id", "qualifier": "ocel_qualifier"}, None)]
+            out = []
+            for name, columns, activity in sources:
+                sql = f"SELECT {', '.join(columns[c] for c in self.columns)} FROM {_quoted(name)}"
+                where, values = [], []
+                if self.table == "objects" and self.only is not None:
+                    where, values = [f"ocel_type IN ({', '.join('?' * len(self.only))})"], sorted(self.only)
+                try:
+                    low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(name)}").fetchone()
+                except sqlite3.OperationalError:
+                    low = high = None
+                ranges = [(k, min(k + RANGE - 1, high)) for k in range(low, high + 1, RANGE)] if low is not None else [None]
+                for r in ranges:
+                    parts = [*where, "rowid BETWEEN ? AND ?"] if r else where
+                    out.append(InputPartition((sql + (f" WHERE {' AND '.join(parts)}" if parts else ""), [*values, *(r or ())], activity)))
+        return out or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.value is None:
+            return
+        sql, values, activity = partition.value
+        clean = {"ts": _time, "activity": lambda _: activity, "otype": lambda x: x, "qualifier": lambda x: x or ""}
+        how = [clean.get(c, str) for c in self.columns]
+        with self._open() as db:
+            for row in db.execute(sql, values):
+                yield tuple(f(x) for f, x in zip(how, row, strict=True))
 
 
 def read_ocel2_sqlite(spark: SparkSession, path: str) -> ObjectLog:
@@ -77,6 +123,7 @@ def read_ocel2_sqlite(spark: SparkSession, path: str) -> ObjectLog:
     if not path.lower().endswith(".sqlite"):
         raise ValueError(f"not a .sqlite file: {path}")
     spark.dataSource.register(Ocel2)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     read = lambda t: spark.read.format("ocel2").option("path", path).option("table", t).load()
     events, objects, links = read("events"), read("objects"), read("relations")
     relations = links.join(events, "eid").join(objects, "oid").select("eid", "oid", "otype", "qualifier", "activity", "ts")
