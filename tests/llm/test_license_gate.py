@@ -83,3 +83,35 @@ def test_short_forms(spark):
     got = {r.doc_id: r for r in licenses.scan(docs(spark, list(enumerate(forms)))).collect()}
     assert {t: got[k].labels for k, t in enumerate(forms)} == forms
     assert next(r for k, r in got.items() if list(forms)[k].startswith("SPDX")).score == 1.0
+
+
+def test_notices_choices_and_addresses(spark):
+    forms = {
+        "Affero GPL v3": "agpl-3.0",
+        "Lesser GPL 2.1": "lgpl-2.1",
+        "Apache-2.0 OR MIT": "apache-2.0,mit",
+        "MIT or Apache 2.0": "apache-2.0,mit",
+        "this code is MIT licensed": "mit",
+        "License: MIT": "mit",
+        "License: ISC": "isc",
+        "released under the ISC terms": "isc",
+        "BSD licensed": "bsd",
+        "dual-licensed under the GPL": "gpl",
+        "The New BSD License": "bsd-3-clause",
+        "an apache helicopter in a mozilla": "",
+        "licensed under Apache": "apache",
+        "https://creativecommons.org/licenses/by-sa/4.0/": "cc-by-sa-4.0",
+        "see http://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0",
+        "https://opensource.org/licenses/MIT": "mit",
+        "https://opensource.org/licenses/BSD-3-Clause": "bsd-3-clause",
+        "https://www.gnu.org/licenses/gpl-3.0.html": "gpl-3.0",
+        "https://www.gnu.org/licenses/old-licenses/lgpl-2.1.txt": "lgpl-2.1",
+        "https://mozilla.org/MPL/2.0/": "mpl-2.0",
+        "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(enumerate(forms)))).collect()}
+    assert {t: got[k] for k, t in enumerate(forms)} == forms
+
+
+def test_as_many_signatures_are_written_by_hand():
+    assert len(licenses.SIGNATURES) + len(licenses.NOTICES) > 200

@@ -32,8 +32,8 @@ FAMILIES = [
     ("apache", ["apache software license", "apache license", "apache"], ["asl"], ["1.0", "1.1", "2.0"]),
     ("mit", ["mit license", "mit x11 license", "expat license"], [], [""]),
     ("gpl", ["gnu general public license", "general public license", "gnu gpl", "gpl"], [], ["1.0", "2.0", "3.0"]),
-    ("lgpl", ["gnu lesser general public license", "lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"], [], ["2.0", "2.1", "3.0"]),
-    ("agpl", ["gnu affero general public license", "affero general public license", "gnu agpl", "agpl"], [], ["1.0", "3.0"]),
+    ("lgpl", ["gnu lesser general public license", "lesser general public license", "gnu library general public license", "gnu lesser gpl", "lesser gpl", "library gpl", "gnu lgpl", "lgpl"], [], ["2.0", "2.1", "3.0"]),
+    ("agpl", ["gnu affero general public license", "affero general public license", "gnu affero gpl", "affero gpl", "gnu agpl", "agpl"], [], ["1.0", "3.0"]),
     ("gfdl", ["gnu free documentation license", "free documentation license"], ["gfdl", "gnu fdl"], ["1.1", "1.2", "1.3"]),
     ("mpl", ["mozilla public license", "mozilla"], ["mpl"], ["1.0", "1.1", "2.0"]),
     ("epl", ["eclipse public license"], ["epl"], ["1.0", "2.0"]),
@@ -191,6 +191,122 @@ SIGNATURES = [
     ("unknown-license", 4, "licen[sc]ed under"),
     ("unknown-license", 4, "no licen[sc]e (?:is )?granted"),
 ]
+#: A choice has a weaker rank than the other name in it, so that it covers none.
+#: Notices with a short name, as people write them, and addresses of licenses, as words: label, rank, regex (fixed values).
+NOTICES = [
+    ("mit", 1, "mit licensed"),
+    ("mit", 1, "license mit(?! licen)"),
+    ("mit", 1, "licence mit(?! licen)"),
+    ("mit", 1, "licenses mit(?! licen)"),
+    ("mit", 1, "licensed under (?:the )?mit"),
+    ("mit", 1, "released under (?:the )?mit"),
+    ("mit", 1, "distributed under (?:the )?mit"),
+    ("mit", 2, "mit style license"),
+    ("mit", 3, "apache 2 0 or mit"),
+    ("mit", 3, "apache 2 0 and mit"),
+    ("mit", 3, "gpl or mit"),
+    ("mit", 3, "bsd or mit"),
+    ("mit", 3, "mit or apache"),
+    ("mit", 3, "mit and apache"),
+    ("mit", 3, "mit or gpl"),
+    ("mit", 3, "mit or bsd"),
+    ("mit", 1, "dual licensed under (?:the )?mit"),
+    ("apache", 1, "apache licensed"),
+    ("apache", 1, "license apache(?! licen)"),
+    ("apache", 1, "licence apache(?! licen)"),
+    ("apache", 1, "licensed under (?:the )?apache"),
+    ("apache", 1, "dual licensed under (?:the )?apache"),
+    ("apache", 2, "apache style license"),
+    ("mpl", 1, "mozilla licensed"),
+    ("mpl", 1, "license mozilla(?! licen)"),
+    ("mpl", 1, "licensed under (?:the )?mozilla"),
+    ("mpl", 1, "license mpl(?! licen)"),
+    ("mpl", 1, "mpl licensed"),
+    ("bsd", 1, "bsd licensed"),
+    ("bsd", 1, "license bsd(?! licen)"),
+    ("bsd", 1, "licence bsd(?! licen)"),
+    ("bsd", 1, "licensed under (?:the )?bsd"),
+    ("bsd", 1, "released under (?:the )?bsd"),
+    ("bsd", 1, "dual licensed under (?:the )?bsd"),
+    ("bsd", 2, "bsd style license"),
+    ("bsd", 2, "bsd like license"),
+    ("bsd-2-clause", 1, "simplified bsd license"),
+    ("bsd-2-clause", 1, "freebsd license"),
+    ("bsd-3-clause", 1, "new bsd license"),
+    ("bsd-3-clause", 1, "modified bsd license"),
+    ("bsd-3-clause", 1, "revised bsd license"),
+    ("bsd-4-clause", 1, "original bsd license"),
+    ("bsd-4-clause", 1, "old bsd license"),
+    ("isc", 1, "isc licensed"),
+    ("isc", 1, "license isc(?! licen)"),
+    ("isc", 1, "licence isc(?! licen)"),
+    ("isc", 1, "licensed under (?:the )?isc"),
+    ("isc", 1, "released under (?:the )?isc"),
+    ("zlib", 1, "license zlib(?! licen)"),
+    ("zlib", 1, "licensed under (?:the )?zlib"),
+    ("gpl", 1, "gpl licensed"),
+    ("gpl", 1, "license gpl(?! licen)"),
+    ("gpl", 1, "dual licensed under (?:the )?gpl"),
+    ("lgpl", 1, "license lgpl(?! licen)"),
+    ("agpl", 1, "license agpl(?! licen)"),
+    ("epl", 1, "license epl(?! licen)"),
+    ("unlicense", 1, "license unlicense(?! licen)"),
+    ("unlicense", 1, "licensed under (?:the )?unlicense"),
+    ("public-domain", 4, "license public domain"),
+    ("dual-license", 4, "dual licensed"),
+    ("dual-license", 4, "dual license"),
+    ("dual-license", 4, "licensed under either of"),
+    ("dual-license", 4, "at your option under the terms of either"),
+    ("mit", 1, "opensource org licenses? mit(?: license php)?"),
+    ("apache-2.0", 1, "opensource org licenses? apache 2 0"),
+    ("apache-2.0", 1, "apache org licenses license 2 0"),
+    ("apache-1.1", 1, "apache org licenses license 1 1"),
+    ("apache", 2, "apache org licenses"),
+    ("bsd-2-clause", 1, "opensource org licenses? bsd 2 clause"),
+    ("bsd-3-clause", 1, "opensource org licenses? bsd 3 clause"),
+    ("bsd", 2, "opensource org licenses? bsd license(?: php)?"),
+    ("gpl-2.0", 1, "opensource org licenses? gpl 2 0"),
+    ("gpl-3.0", 1, "opensource org licenses? gpl 3 0"),
+    ("lgpl-2.1", 1, "opensource org licenses? lgpl 2 1"),
+    ("lgpl-3.0", 1, "opensource org licenses? lgpl 3 0"),
+    ("agpl-3.0", 1, "opensource org licenses? agpl 3 0"),
+    ("mpl-2.0", 1, "opensource org licenses? mpl 2 0"),
+    ("epl-1.0", 1, "opensource org licenses? epl 1 0"),
+    ("epl-2.0", 1, "opensource org licenses? epl 2 0"),
+    ("isc", 1, "opensource org licenses? isc(?: license(?: txt)?)?"),
+    ("zlib", 1, "opensource org licenses? zlib"),
+    ("artistic-2.0", 1, "opensource org licenses? artistic(?: license)? 2 0"),
+    ("gpl-2.0", 1, "gnu org licenses old licenses gpl 2 0"),
+    ("gpl-2.0", 1, "gnu org licenses gpl 2 0"),
+    ("gpl-3.0", 1, "gnu org licenses gpl 3 0"),
+    ("gpl", 2, "gnu org licenses gpl"),
+    ("gpl", 2, "gnu org copyleft gpl"),
+    ("lgpl-2.1", 1, "gnu org licenses old licenses lgpl 2 1"),
+    ("lgpl-3.0", 1, "gnu org licenses lgpl 3 0"),
+    ("lgpl", 2, "gnu org licenses lgpl"),
+    ("lgpl", 2, "gnu org copyleft lesser"),
+    ("agpl-3.0", 1, "gnu org licenses agpl 3 0"),
+    ("agpl", 2, "gnu org licenses agpl"),
+    ("gfdl-1.3", 1, "gnu org licenses fdl 1 3"),
+    ("gfdl", 2, "gnu org licenses fdl"),
+    ("mpl-1.1", 1, "mozilla org mpl mpl 1 1"),
+    ("mpl-2.0", 1, "mozilla org mpl 2 0"),
+    ("mpl", 2, "mozilla org mpl"),
+    ("epl-1.0", 1, "eclipse org legal epl v10"),
+    ("epl-2.0", 1, "eclipse org legal epl 2 0"),
+    ("boost-1.0", 1, "boost org license 1 0"),
+    ("unlicense", 1, "unlicense org"),
+    ("wtfpl", 1, "wtfpl net"),
+    ("ofl", 1, "scripts sil org ofl"),
+    ("odbl-1.0", 1, "opendatacommons org licenses odbl"),
+    ("odc-by-1.0", 1, "opendatacommons org licenses by"),
+    ("pddl-1.0", 1, "opendatacommons org licenses pddl"),
+    ("cc0-1.0", 1, "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", 2, "creativecommons org publicdomain mark"),
+    ("creative-commons", 3, "creativecommons org licenses"),
+]
+#: Names that are also names of other things: without a version they count only in the notices above (fixed values).
+BARE = ["apache", "mozilla"]
 #: Words that say little: a rule has one as its keyword only if it requires no other (the first ones least). Initials of
 #: two letters stand in texts of all kinds, and one name is a preposition in another language.
 COMMON = ["nd", "sa", "nc", "by", "mit", "the", "a", "of", "to", "and", "in", "is", "for", "any", "all", "this", "use", "you", "want", "do", "what", "version", "as", "without", "free", "open", "side", "system", "source", "software", "general", "common", "public", "license", "licence", "permitted", "provided", "under", "content", "hereby"]
@@ -222,7 +338,7 @@ def keyword_of(regex: str) -> str:
                 parts.append(sorted({t * n for t in texts(inner) for n in (low, min(int(high), low + 1))}))
             elif op in ("IN", "NOT_LITERAL", "ANY"):
                 parts.append(["?"])
-            else:
+            elif op not in ("ASSERT", "ASSERT_NOT"):  # these match no character
                 raise ValueError(f"{op} in {regex}")
         return ["".join(x) for x in product(*parts)]
 
@@ -257,7 +373,7 @@ def rules() -> list[tuple[str, int, str, str, float]]:
         forms.append((label, version, f"{name}(?: licen[sc]e)?(?: version| v)? v?{number}" if version else name))
         if version and (name in GLUED or name in initials):
             forms.append((label, version, f"{name}v{number}(?: licen[sc]e)?"))
-        if version and name not in initials:
+        if version and name not in initials and name not in BARE:
             out.append((stem, 3, name, keyword_of(name)))
         out.append((label, 0, f"spdx license identifier {stem.replace('-', ' ')}" + (f" {number}" if version else ""), "spdx"))
     for n in "01234":
@@ -267,7 +383,9 @@ def rules() -> list[tuple[str, int, str, str, float]]:
         keyword = keyword_of(one)
         out.append((label, 1, f"(?:licensed|released|distributed|available|published)(?: and made available)? under (?:the )?(?:terms of (?:the )?)?{one}", keyword))
         out.append((label, 2 if version else 3, one, keyword))
-    out += [(label, rank, regex, keyword_of(regex)) for label, rank, regex in SIGNATURES]
+    for end, _, short in CC_TERMS:
+        out += [(f"cc-by{end}" + (f"-{v}" if v else ""), 1, f"creativecommons org licenses {short}" + (f" {_version(v)}" if v else ""), "creativecommons") for v in CC_VERSIONS]
+    out += [(label, rank, regex, keyword_of(regex)) for label, rank, regex in [*SIGNATURES, *NOTICES]]
     return [(label, rank, f" {regex}(?= )", keyword, CONFIDENCE[rank]) for label, rank, regex, keyword in dict.fromkeys(out)]
 
 
