@@ -2,13 +2,18 @@ from __future__ import annotations
 
 import datetime as dt
 import sqlite3
+from pathlib import Path
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
 from weftlog.operators import ocdfg
+from weftlog.plans import derive
+from weftlog.plans.derive import order_log
 from weftlog.sources import ocel
+from weftlog.sources.dot import DotWriter, Written, write_dot_files
 from weftlog.sources.ocel import convert_to_parquet, object_log, read_ocel2_sqlite, read_parquet_log, write_csv, write_dot
 from weftlog.streaming.flows import streamed_successions, windowed_activity_counts
 
@@ -69,6 +74,53 @@ def test_sqlite_in_ranges(spark, tmp_path, monkeypatch):
         read.option("columns", "nothing").load().count()
 
 
+def test_graphs_are_written_all_or_none(spark, tmp_path):
+    path = tmp_path / "graphs"
+    dots = spark.createDataFrame([(f"order/{k}", f"digraph {{{k}}}") for k in range(20)], "exec_id string, dot string").repartition(3)
+    files = lambda: {f.name: f.read_text() for f in path.glob("part-*/*.dot")}
+    want = {f"order%2F{k}.dot": f"digraph {{{k}}}" for k in range(20)}
+    write_dot_files(dots, str(path))
+    assert files() == want and (path / "_SUCCESS").exists() and not list(path.glob("_staging*"))
+    # a task that fails late, and an execution that comes twice: what was there stays, and no half of it is left
+    bad = dots.repartition(2).withColumn("dot", F.when(F.col("exec_id") == "order/7", F.raise_error(F.lit("broken"))).otherwise(F.lit("new")))
+    for wrong in (bad, dots.unionByName(dots.limit(1))):
+        with pytest.raises(Exception):  # noqa: B017
+            write_dot_files(wrong, str(path))
+        assert files() == want and not list(path.glob("_staging*"))
+    # a task that is tried again leaves one file of it
+    writer = DotWriter(str(path), True)
+    first, second = (writer._at()[2] + f"/part-00000-{k}" for k in (1, 2))
+    for folder in (first, second):
+        writer._at()[0].create_dir(folder, recursive=True)
+        (Path(folder) / "a.dot").write_text(folder)
+    writer.commit([Written("part-00000-2", ["a.dot"]), None])
+    assert files() == {"a.dot": second} and not list(path.glob("_staging*"))
+    write_dot_files(dots.where("exec_id = 'order/1'"), str(path), "append")
+    assert set(files()) == {"a.dot", "order%2F1.dot"}
+
+
+def test_derived_log_follows_its_files(spark, tmp_path):
+    import shutil
+
+    where = tmp_path / "tables"
+    where.mkdir()
+    for t in ("orders", "lineitem"):
+        shutil.copy(f"/root/testdata/sf0.001/{t}.parquet", where / f"{t}.parquet")
+    log = order_log(spark, str(where))
+    assert log.unique and order_log(spark, str(where)) is log
+    few = spark.read.parquet(str(where / "orders.parquet")).orderBy("o_orderkey").limit(5)
+    few.coalesce(1).write.parquet(str(tmp_path / "few"))
+    shutil.copy(next((tmp_path / "few").glob("*.parquet")), where / "orders.parquet")
+    again = order_log(spark, str(where))
+    assert again is not log and again.objects.where("otype = 'orders'").count() == 5
+    for folder in derive._DERIVED[next(k for k, v in derive._DERIVED.items() if v[0] is again)][1]:
+        shutil.rmtree(folder.removeprefix("file:"))
+    assert order_log(spark, str(where)).objects.where("otype = 'orders'").count() == 5
+    with pytest.raises(ValueError, match="e1 more than once"):
+        twice = object_log(spark, [("e1", dt.datetime(2024, 1, 1), "a")], [("e1", "o", "orders")])
+        type(twice)(twice.events.unionByName(twice.events), twice.objects, twice.relations).with_unique_events()
+
+
 def test_streamed_flows_equal_the_batch(spark, tmp_path):
     """Events come out of order, within and over batches, and some twice."""
     t = dt.datetime(2024, 1, 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,19 +129,42 @@ def _order_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(of_packages).unionByName(_related(inside, (F.col("item"), "items", no, None)))
 
 
-#: Logs that are derived already, by application and folder.
-_DERIVED: dict[tuple[str, str], ObjectLog] = {}
+#: Logs that are derived already, by application, folder and what its files are, with the folders that hold them.
+_DERIVED: dict[tuple[str, str, str], tuple[ObjectLog, list[str]]] = {}
+
+
+#: Files of a table whose names, lengths and times are looked at one by one.
+LISTED = 200
+
+
+def _files(spark: SparkSession, *paths: str) -> str:
+    """What the files of some tables are: their folder's time, their number and size, and of up to LISTED each one's name, length and time."""
+    seen = []
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.listStatus(where)
+        seen += [str(fs.getFileStatus(where).getModificationTime()), str(fs.getContentSummary(where)), *(f"{x.getPath().toString()} {x.getLen()} {x.getModificationTime()}" for x in (found if len(found) <= LISTED else []))]
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> ObjectLog:
-    """Log 2, from orders and lineitem: derived once in a session for each folder, and read from files from then on.
+    """Log 2, from orders and lineitem: derived once in a session for each folder as it is, and read from files from then on.
 
-    Every event is of one order, item or package, so the events are the relations to those.
+    Other files in the folder, or derived files that are gone, make it be derived again. Every event is of one order, item or
+    package, so the events are the relations to those.
     """
-    name = (spark.sparkContext.applicationId, sf_dir)
-    if name not in _DERIVED:
+    name = (spark.sparkContext.applicationId, sf_dir, _files(spark, f"{sf_dir}/orders.parquet", f"{sf_dir}/lineitem.parquet"))
+    if name not in _DERIVED or not all(_there(spark, p) for p in _DERIVED[name][1]):
         written = materialize(_order_relations(spark, sf_dir), "order-log", keep=True)
         relations = written.drop("own")
         objects = materialize(relations.select("oid", "otype").distinct(), "order-objects", keep=True)
-        _DERIVED[name] = ObjectLog(written.where("own").select("eid", "ts", "activity"), objects, relations).checked()
-    return _DERIVED[name]
+        folders = [df.inputFiles()[0].rsplit("/", 1)[0] for df in (written, objects) if df.inputFiles()]
+        log = ObjectLog(written.where("own").select("eid", "ts", "activity"), objects, relations).checked().with_unique_events()
+        _DERIVED[name] = log, folders
+    return _DERIVED[name][0]

@@ -491,6 +491,7 @@ def training_sensitivity(spark, sf_dir):
 
 
 #: Pairs of activities that the exploratory sensitivity expects of a simple execution.
+#: The relations of a simple execution of an order (fixed values).
 _EXPECTED = [("place order", "confirm order"), ("confirm order", "pay order"), ("place order", "pick item"), ("pick item", "create package"), ("create package", "send package"), ("send package", "package delivered")]
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,11 +55,15 @@ def normal_types(types: Iterable[object]) -> tuple[str, ...]:
 
 @dataclass(frozen=True)
 class ObjectLog:
-    """events (eid, ts, activity), objects (oid, otype), relations (eid, oid, otype, qualifier, activity, ts)."""
+    """events (eid, ts, activity), objects (oid, otype), relations (eid, oid, otype, qualifier, activity, ts).
+
+    unique: whether events are known to have each id once; sub-logs keep that.
+    """
 
     events: DataFrame
     objects: DataFrame
     relations: DataFrame
+    unique: bool = False
 
     def checked(self) -> ObjectLog:
         require_columns(self.events, EVENTS, "events")
@@ -67,6 +71,12 @@ class ObjectLog:
         require_columns(self.relations, RELATIONS, "relations")
         return self
 
+    def with_unique_events(self) -> ObjectLog:
+        """The log with its event ids checked, once; a repeated one is an error."""
+        if not self.unique and (repeated := self.events.groupBy("eid").count().where("count > 1").orderBy("eid").limit(1).collect()):
+            raise ValueError(f"events has {repeated[0]['eid']} more than once")
+        return replace(self, unique=True)
+
     def flat(self, otype: str) -> DataFrame:
         """The classic log of one object type: (eid, case_id, activity, ts), a case for each object."""
         r = self.relations.where(F.col("otype") == require_name(otype, "object type"))
@@ -75,7 +85,7 @@ class ObjectLog:
     def restricted(self, oids: DataFrame) -> ObjectLog:
         """The sub-log of the relations of some objects (oid); objects without relations vanish."""
         r = self.relations.join(oids.select("oid").distinct(), "oid", "left_semi")
-        return ObjectLog(self.events.join(r, "eid", "left_semi"), self.objects.join(r, "oid", "left_semi"), r.select(self.relations.columns))
+        return ObjectLog(self.events.join(r, "eid", "left_semi"), self.objects.join(r, "oid", "left_semi"), r.select(self.relations.columns), self.unique)
 
     def structural(self, types: Iterable[str] = STRUCTURAL_TYPES) -> ObjectLog:
         """The sub-log of some object types. A type without objects or without relations is an error."""
