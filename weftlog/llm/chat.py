@@ -72,7 +72,7 @@ def preference_rows(pairs: DataFrame) -> DataFrame:
 
 
 def next_answer_pairs(turns: DataFrame) -> DataFrame:
-    """conv_id with chosen, the conversation, and rejected: its last answer is that of the next conv_id.
+    """conv_id, a number, with chosen, the conversation, and rejected: its last answer is that of conv_id + 1.
 
     Where there is no next conversation, or it has no answer, the rejected one ends before its
     last answer; a conversation without answers is its own rejected one. Nulls and repeated rows are
