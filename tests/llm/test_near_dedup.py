@@ -18,6 +18,28 @@ def altered(text, *at):
     return " ".join(w)
 
 
+def components(data, percent=85):
+    """The smallest id of each one's component, from all pairs of full sets."""
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    s, root = {k: sets(t) for k, t in data}, {k: k for k, _ in data}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in s:
+        for j in s:
+            if i < j and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]) and top(i) != top(j):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {k: top(k) for k in s}
+
+
 def test_stage_links_from_four_fifths(spark):
     rng = random.Random(11)
     base = [words(rng, 100, 9000) for _ in range(20)]
@@ -60,26 +82,23 @@ def test_long_lists_of_several_components(spark):
     data = list(enumerate(texts))
     rng.shuffle(data)
 
-    def sets(t):
-        w = t.split()
-        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-
-    s, root = {k: sets(t) for k, t in data}, {k: k for k, _ in data}
-
-    def top(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in s:
-        for j in s:
-            if i < j and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]) and top(i) != top(j):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
+    want = components(data)
     for block in (8, 512):
         was, minhash.BLOCK = minhash.BLOCK, block
         try:
             got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, data)).collect()}
         finally:
             minhash.BLOCK = was
-        assert got == {k: top(k) for k in s}
+        assert got == want
+
+
+@pytest.mark.parametrize(("meetings", "short_list"), [(3, 2), (3, 24), (100, 2)])
+def test_counted_collisions_lose_no_link(spark, monkeypatch, meetings, short_list):
+    """Groups of three to five near copies: with lists of two at most, most collisions stand in lists that are skipped."""
+    rng = random.Random(15)
+    base = [words(rng, 120, 90_000) for _ in range(12)]
+    data = list(enumerate(altered(base[k % 12], *rng.sample(range(120), k // 24)) for k in range(60)))
+    want = components(data)
+    assert len({*want.values()}) < 40
+    monkeypatch.setattr(minhash, "MEETINGS", meetings)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, data), short_list=short_list).collect()} == want

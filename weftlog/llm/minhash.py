@@ -2,16 +2,19 @@
 
 Every distinct set of word shingles gets a signature of K minima. A (coordinate, value) pair is a
 token, and a signature is a set of exactly K tokens, so two signatures that agree in at least T
-coordinates share a token among the first K - T + 1 of each in any common order of tokens. The
-order here is rarest first, which keeps the posting lists short. The steps:
+coordinates share a token among the first K - T + 1 of each in any common order of tokens, and M
+tokens among the first K - T + M. The order here is rarest first, which keeps the posting lists
+short. The steps:
 
 1.  One pass over the texts: shingle hashes, a 128-bit key of the whole set, the signature. Equal
     sets form a class, and only its smallest document goes on: copies are never paired.
 2.  Token counts; the prefix of each signature is posted under its tokens. A token that only one
     signature has links nothing, so only shared ones are posted.
-3.  Lists of up to ``short_list`` signatures are joined with themselves, skipping pairs whose set
-    sizes already rule the threshold out. Longer lists link every member with the member whose
-    tokens are the most frequent (the hub) first: a number of pairs linear in the list.
+3.  Lists of up to ``short_list`` signatures are merged: the collisions of each pair are counted,
+    skipping pairs whose set sizes already rule the threshold out. Longer lists are skipped, so a
+    pair stays if its collisions and the skipped lists in its prefixes can make M. Pairs that meet
+    in a longer list of the first K - T + 1 come from there: every member is linked with the member
+    whose tokens are the most frequent (the hub) first, a number of pairs linear in the list.
 4.  Candidates that agree in at least T coordinates are confirmed on the full shingle sets, which
     are read again for the documents concerned only.
 5.  Longer lists whose members are by then not all in one component are compared block by block,
@@ -45,6 +48,8 @@ from weftlog.plans.sizing import sized
 #: Coordinates of a signature, and the chance at most that a pair at the threshold agrees in too few of them.
 K, MISS = 64, 1e-6
 SHORT_LIST, BLOCK = 24, 512
+#: Collisions that a pair needs within the prefixes, which are longer by one less than that.
+MEETINGS = 3
 _FACTORS = np.random.default_rng(98317).integers(0, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -164,20 +169,25 @@ def _near_duplicates(docs: DataFrame, n_words: int, percent: int, short_list: in
     # 2. postings of the prefixes, rarest tokens first
     tokens = reps.select("doc_id", "n", F.posexplode("signature").alias("i", "v")).select("doc_id", "n", F.xxhash64("i", "v").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("freq")).where("freq > 1")
+    need = min(MEETINGS, least)
     prefix = (
         tokens.join(shared, "token")
         .groupBy("doc_id", "n")
         .agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ts"), F.sum("freq").alias("weight"))
-        .withColumn("ts", F.slice("ts", 1, F.greatest(F.lit(0), F.lit(K - least + 1) - (F.lit(K) - F.size("ts")))))
-        .select("doc_id", "n", "weight", F.explode("ts").alias("t"))
-        .select("doc_id", "n", "weight", "t.freq", "t.token")
+        .withColumn("size", F.size("ts"))
+        .withColumn("ts", F.slice("ts", 1, F.greatest(F.lit(0), F.col("size") - least + need)))
+        .withColumn("skipped", F.size(F.filter("ts", lambda t: t["freq"] > short_list)))
+        .select("doc_id", "n", "weight", "size", "skipped", F.posexplode("ts").alias("k", "t"))
+        .select("doc_id", "n", "weight", "skipped", (F.col("k") <= F.col("size") - least).alias("first"), "t.freq", "t.token")
     )
     posts = materialize(prefix, "minhash-postings")
-    # 3. pairs of short lists; hub and member of long ones
+    # 3. short lists are merged by counting; pairs of hub and member of long ones
     lists = posts.where(F.col("freq") <= short_list)
-    p, q = (lists.select("token", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = p.join(q, "token").where(f"a < b and {_size_ok('na', 'nb', percent)}").select("a", "b").distinct()
-    long = posts.where(F.col("freq") > short_list)
+    p, q = (lists.select("token", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("skipped").alias(f"skipped{x}")) for x in "ab")
+    met = p.join(q, "token").where(f"a < b and {_size_ok('na', 'nb', percent)}").groupBy("a", "b")
+    met = met.agg(F.count("*").alias("collisions"), F.max("skippeda").alias("skippeda"), F.max("skippedb").alias("skippedb"))
+    pairs = met.where(F.col("collisions") + F.least("skippeda", "skippedb") >= need).select("a", "b")
+    long = posts.where((F.col("freq") > short_list) & F.col("first"))
     hubs = long.groupBy("token").agg(F.max(F.struct("weight", -F.xxhash64("doc_id"), "doc_id", "n")).alias("h")).select("token", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("nh"))
     spokes = (
         long.join(hubs, "token")
