@@ -396,7 +396,7 @@ def test_toxicity(spark):
             text[5:5] = rng.sample(bad, 2)
         data.append((k, " ".join(t for t in text if not t.isdigit()) + " plain clean words here"))
         labels.append((k, int(toxic), "clash"))
-    extra = [(900, None), (901, ""), (902, "you 1D10T and $cum"), (903, "an i d i o t and a moooron"), (904, "clean words"), (0, "other text"), (None, "idiot moron")]
+    extra = [(900, None), (901, ""), (902, "you 1D10T and $cum"), (903, "an i d i o t and a moooron"), (905, "you mo ron. and an id iot"), (906, "plain words, a sccum and an idiiot"), (907, "mo words ron and id words iot"), (904, "clean words"), (0, "other text"), (None, "idiot moron")]
     d = docs(spark, [*data, *extra])
     table = spark.createDataFrame([*labels, (None, 1, ""), (5000, 1, ""), (1, None, "")], "doc_id long, toxic int, text string")
     got = toxicity.score(d, table).collect()
@@ -404,7 +404,7 @@ def test_toxicity(spark):
     held = [r for r in got if r.held_out and r.doc_id is not None and 0 < r.doc_id < 400]
     assert len(held) > 50 and all(r.predicted == int(r.doc_id % 4 == 0) for r in held)
     one = {r.doc_id: r for r in got if r.doc_id is not None and r.doc_id >= 900}
-    assert [one[k].predicted for k in range(900, 905)] == [0, 0, 1, 1, 0]
+    assert [one[k].predicted for k in range(900, 908)] == [0, 0, 1, 1, 0, 1, 1, 0]
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     none = toxicity.score(d, table.limit(0)).collect()
     assert len(none) == len(got) and len({r.score for r in none}) == 1

@@ -5,11 +5,14 @@
 2.  Tokens that look disguised (symbols or digits among letters, letters three times in a row,
     single letters set apart) become a character lattice: a symbol may stand for letters or for
     nothing, a repeated letter for itself or nothing, a separator for nothing or a word's end. The
-    Viterbi path under the character model is the restored text.
+    Viterbi path under the character model is the restored text. So do tokens with a doubled letter
+    that the model finds much likelier single.
 3.  A classifier scores restored texts. Its features are words and their beginnings. They are
     counted over a bounded sample of labelled rows, those that the G test finds most telling are
     kept, and a logistic regression with an L2 penalty is fitted on the sample.
 4.  Every whole text is scored in one pass. A task remembers the words it has seen, up to a bound.
+    Two neighbouring tokens that together make a word which speaks for toxicity become a lattice
+    too: they count as that word where its Viterbi path is the word in one piece.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Channel costs (nats): reading a symbol as a letter, dropping one, dropping a repeated letter, dropping a separator, ending a word at one.
 COST = {"letter": 0.5, "drop": 6.0, "repeat": 0.5, "separator": 0.7, "end": 1.5}
 
+#: Gain (nats) from which a letter that stands twice is put on a lattice; letters of the shortest word that is sought in two pieces.
+MUCH, LEAST_SPLIT = 4.0, 4
+
 #: Places of letters in the model: 0 a word's end, 1-26 a-z, 27-59 the Latin-1 letters, 60 others.
 _CODES = 64
 _TABLE = np.zeros(0x250, np.uint8)
@@ -50,8 +56,9 @@ _MAYBE_SPACED = re.compile(r" \S \S(?:\s|\Z)|\A\S \S \S(?:\s|\Z)")
 #: Around a token: marks that stand for no letter, or any mark three times and more; marks of exclamation at its end.
 _MARK = r"(?:[^\w@$!|+(<€£¡]|([@$!|+(<€£¡])\1\1+)"
 _EDGE = re.compile(rf"\A{_MARK}+|(?:{_MARK.replace('1', '2')}|!)+\Z")
+_AROUND = ".,;:!?\"'()[]«»„“”¿¡…-"
 _LETTERS = re.compile(r"[^\W\d_]+")
-_THRICE = re.compile(r"([^\W\d_])\1\1")
+_TWICE, _THRICE = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
 
 
 def _codes(text: str) -> np.ndarray:
@@ -137,15 +144,26 @@ class Restorer:
             out.append(ch)
         return "".join(reversed(out))
 
+    def _doubled(self, word: str) -> bool:
+        """Whether letters stand three times in a row, or twice where once is much likelier."""
+        if _THRICE.search(word):
+            return True
+        codes = [0, *_codes(word).tolist(), 0]
+        for m in _TWICE.finditer(word):
+            a, x, c = codes[m.start()], codes[m.start() + 1], codes[m.end() + 1]
+            if self.cost[a][x][x] + self.cost[x][x][c] - self.cost[a][x][c] - COST["repeat"] > MUCH:
+                return True
+        return False
+
     def token(self, token: str) -> str:
         """A token (lower case, no white space) without what surrounds it, restored where it looks disguised."""
-        if token.isalpha() and not _THRICE.search(token):
+        if token.isalpha() and not _TWICE.search(token):
             return token
         if (found := self.known.get(token)) is not None:
             return found
         core = _EDGE.sub("", token)
         out = core
-        if not (core.isalpha() and not _THRICE.search(core)):
+        if not core.isalpha() or self._doubled(core):
             out = self.decode(core) if _LETTERS.search(core) else ""
         if len(self.known) > MEMORY:
             self.known.clear()
@@ -161,7 +179,22 @@ class Restorer:
         lowered = text.lower()
         out = set(lowered.split())
         if _MAYBE_SPACED.search(lowered):
-            out.update("".join(m[0].split()) if len(m[0]) < 1 else m[0].replace(" ", " ").replace("\t", " ") for m in _SPACED.finditer(lowered))
+            out.update(m[0].replace("\t", " ") for m in _SPACED.finditer(lowered))
+        return out
+
+    def _one(self, head: str, word: str) -> bool:
+        """Whether word is likelier than head and the rest apart."""
+        apart = f"{head} {word[len(head) :]}"
+        if apart not in self.known:
+            self.known[apart] = self.decode(apart)
+        return self.known[apart] == word
+
+    def joined(self, text: str, heads: dict[str, set[str]]) -> set[str]:
+        """Words that stand in text in two pieces. heads: the words by what they may begin with."""
+        order, out = text.lower().split(), set()
+        for a, b in zip(order, order[1:], strict=False):
+            if a in heads and (word := a + b.strip(_AROUND)) in heads[a] and self._one(a, word):
+                out.add(word)
         return out
 
     def text(self, text: str) -> str:
@@ -268,6 +301,10 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFram
     toxic labels. Repeated rows get repeated results; other columns are ignored.
     """
     model, weights, bias = fit(docs, labels, most)
+    heads: dict[str, set[str]] = {}
+    for w in (f for f, weight in weights.items() if weight > 0 and f.isalpha() and len(f) >= LEAST_SPLIT):
+        for k in range(1, len(w)):
+            heads.setdefault(w[:k], set()).add(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
@@ -276,13 +313,14 @@ def score(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFram
         for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             out = []
             for text in batch.column("text").to_pylist():
-                tokens = restorer.tokens(text) if text else set()
+                tokens = restorer.tokens(text) | restorer.joined(text, heads) if text else set()
+                if len(known) > MEMORY:
+                    known.clear()
+                    telling.clear()
                 for t in tokens - known:
                     restored = restorer.token(t) if " " not in t else restorer.decode(t)
                     if found := [f for f in _features(restored) if f in weights]:
                         telling[t] = found
-                if len(known) > MEMORY:
-                    known.clear()
                 known |= tokens
                 here = {f for t in tokens & telling.keys() for f in telling[t]}
                 out.append(1 / (1 + np.exp(-(bias + sum(weights[f] for f in sorted(here))))))
