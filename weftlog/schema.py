@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EVENTS = ("eid", "ts", "activity")
@@ -57,13 +57,19 @@ def normal_types(types: Iterable[object]) -> tuple[str, ...]:
 class ObjectLog:
     """events (eid, ts, activity), objects (oid, otype), relations (eid, oid, otype, qualifier, activity, ts).
 
-    unique: whether events are known to have each id once; sub-logs keep that.
+    unique: whether events are known to have each id once; sub-logs keep that. distinct: whether relations are known
+    to have each (eid, oid, otype) once. lives, if any: (otype, oid, steps) of the objects of the types in ``traced``,
+    whose steps (ts, eid, activity, alone) are all their events in order of ts and eid; alone tells that an event is known
+    to have no other object of the type.
     """
 
     events: DataFrame
     objects: DataFrame
     relations: DataFrame
     unique: bool = False
+    lives: DataFrame | None = None
+    traced: tuple[str, ...] = ()
+    distinct: bool = False
 
     def checked(self) -> ObjectLog:
         require_columns(self.events, EVENTS, "events")
@@ -79,13 +85,31 @@ class ObjectLog:
 
     def flat(self, otype: str) -> DataFrame:
         """The classic log of one object type: (eid, case_id, activity, ts), a case for each object."""
-        r = self.relations.where(F.col("otype") == require_name(otype, "object type"))
-        return r.select("eid", F.col("oid").alias("case_id"), "activity", "ts").distinct()
+        r = self.relations.where(F.col("otype") == require_name(otype, "object type")).select("eid", F.col("oid").alias("case_id"), "activity", "ts")
+        return r if self.distinct else r.distinct()
+
+    def once(self, *types: str) -> DataFrame:
+        """(eid, oid, otype) of the relations of some types, or of all, without repetition."""
+        r = self.relations.where(F.col("otype").isin(*types)) if types else self.relations
+        r = r.select("eid", "oid", "otype")
+        return r if self.distinct else r.distinct()
+
+    def cases(self, otype: str) -> DataFrame | None:
+        """(case_id, variant) of one object type from lives, or None without them."""
+        if self.lives is None or require_name(otype, "object type") not in self.traced:
+            return None
+        return self.lives.where(F.col("otype") == otype.strip()).select(F.col("oid").alias("case_id"), F.transform("steps", lambda e: e["activity"]).alias("variant"))
+
+    def of_objects(self, condition: Column) -> ObjectLog:
+        """The sub-log of the relations of the objects whose oid and otype meet a condition; its events and objects stay."""
+        return replace(self, relations=self.relations.where(condition), lives=None if self.lives is None else self.lives.where(condition))
 
     def restricted(self, oids: DataFrame) -> ObjectLog:
         """The sub-log of the relations of some objects (oid); objects without relations vanish."""
-        r = self.relations.join(oids.select("oid").distinct(), "oid", "left_semi")
-        return ObjectLog(self.events.join(r, "eid", "left_semi"), self.objects.join(r, "oid", "left_semi"), r.select(self.relations.columns), self.unique)
+        oids = oids.select("oid").distinct()
+        r = self.relations.join(oids, "oid", "left_semi")
+        lives = None if self.lives is None else self.lives.join(oids, "oid", "left_semi")
+        return replace(self, events=self.events.join(r, "eid", "left_semi"), objects=self.objects.join(r, "oid", "left_semi"), relations=r.select(self.relations.columns), lives=lives)
 
     def structural(self, types: Iterable[str] = STRUCTURAL_TYPES) -> ObjectLog:
         """The sub-log of some object types. A type without objects or without relations is an error."""
