@@ -25,7 +25,8 @@ def object_type_counts(log: ObjectLog) -> DataFrame:
 
 
 def _per_event(log: ObjectLog) -> DataFrame:
-    return log.relations.groupBy("eid").agg(F.count_distinct("oid").alias("n_objects"), F.count_distinct("otype").alias("n_types"))
+    objects = F.count("oid") if log.distinct else F.count_distinct("oid")
+    return log.relations.groupBy("eid").agg(objects.alias("n_objects"), F.count_distinct("otype").alias("n_types"))
 
 
 def _described(df: DataFrame, c: str) -> DataFrame:

@@ -58,7 +58,7 @@ class ObjectLog:
     """events (eid, ts, activity), objects (oid, otype), relations (eid, oid, otype, qualifier, activity, ts).
 
     unique: whether events are known to have each id once; sub-logs keep that. distinct: whether relations are known
-    to have each (eid, oid, otype) once. lives, if any: (otype, oid, steps) of the objects of the types in ``traced``,
+    to have each (eid, oid) once, with the activity of the event. lives, if any: (otype, oid, steps) of the objects of the types in ``traced``,
     whose steps (ts, eid, activity, alone) are all their events in order of ts and eid; alone tells that an event is known
     to have no other object of the type.
     """
@@ -84,8 +84,10 @@ class ObjectLog:
         return replace(self, unique=True)
 
     def flat(self, otype: str) -> DataFrame:
-        """The classic log of one object type: (eid, case_id, activity, ts), a case for each object."""
-        r = self.relations.where(F.col("otype") == require_name(otype, "object type")).select("eid", F.col("oid").alias("case_id"), "activity", "ts")
+        """The classic log of one object type: (eid, case_id, activity, ts), a case for each object.
+
+        With lives it also has ``alone``: whether the event is known to have no other case."""
+        r = self.relations.where(F.col("otype") == require_name(otype, "object type")).select("eid", F.col("oid").alias("case_id"), "activity", "ts", *(["alone"] if self.distinct and "alone" in self.relations.columns else []))
         return r if self.distinct else r.distinct()
 
     def once(self, *types: str) -> DataFrame:
