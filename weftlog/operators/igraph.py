@@ -4,16 +4,18 @@ Graphs of all executions are one table of nodes and one of edges, keyed by exec_
 goes forward in the order of (ts, eid), so the graphs have no cycles.
 
 Paths are bit sets: a row for each event, whose array of longs has a bit for each event of the execution. An
-execution of up to SMALL edges is worked out in one task, all of them in one shuffle; larger ones by
-doubling over the whole cluster.
+execution of up to SMALL edges is worked out in one task, all of them in one shuffle, and those of a batch over whole
+arrays; larger ones by doubling over the whole cluster.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from weftlog.schema import STRUCTURAL_TYPES
 
 #: Edges of an execution that one task holds: at most as many events, with 50 MB of bits.
 SMALL = 20_000
+#: Longs of bits of executions that are worked out at a time.
+HELD = 4_000_000
 
 KEY = ["exec_id", "src", "dst"]
 
@@ -87,26 +91,79 @@ def _closed(ahead: list[list[int]]) -> list[int]:
     return bits
 
 
-def _paths_of_one(rows: pa.Table) -> pa.Table:
-    """The rows of paths() for the edges of one execution."""
-    src, dst = rows.column("src").to_pylist(), rows.column("dst").to_pylist()
-    names = sorted({*src, *dst})
-    place = {x: k for k, x in enumerate(names)}
-    ahead: list[list[int]] = [[] for _ in names]
-    for x, y in set(zip(src, dst, strict=True)):
-        ahead[place[x]].append(place[y])
-    bits = _closed(ahead)
-    beyond = [0] * len(names)
-    for k, targets in enumerate(ahead):
-        for j in targets:
-            beyond[k] |= bits[j]
-    width = -(-len(names) // 64)
-
-    def words(sets: list[int]) -> pa.Array:
-        flat = np.frombuffer(b"".join(x.to_bytes(8 * width, "little") for x in sets), "<i8")
-        return pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), pa.array(flat, pa.int64()))
-
-    return pa.table({"exec_id": [rows.column("exec_id")[0].as_py()] * len(names), "eid": names, "rank": pa.array(range(len(names)), pa.int32()), "ahead": words(bits), "beyond": words(beyond)})
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that begin at starts and have counts numbers, one range after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
+def _bits(src: np.ndarray, dst: np.ndarray, rank: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ahead and beyond of the nodes of some graphs, each with its rank in its own, over whole arrays, from the nodes
+    that lead nowhere on; and which nodes lie on cycles or lead there, whose bits are not worked out."""
+    n = len(rank)
+    direct = np.zeros(n * width, "<i8")
+    np.bitwise_or.at(direct, src * width + rank[dst] // 64, np.left_shift(np.int64(1), rank[dst] % 64))
+    ahead, beyond = direct.reshape(n, width), np.zeros((n, width), "<i8")
+    out, back = np.argsort(src, kind="stable"), np.argsort(dst, kind="stable")
+    leaving, entering = np.bincount(src, minlength=n), np.bincount(dst, minlength=n)
+    first_out, first_in = np.cumsum(leaving) - leaving, np.cumsum(entering) - entering
+    waiting = leaving.copy()
+    ready = np.flatnonzero(waiting == 0)
+    while len(ready):
+        some = ready[leaving[ready] > 0]
+        if len(some):
+            reached = ahead[dst[out[_spread(first_out[some], leaving[some])]]]
+            beyond[some] = np.bitwise_or.reduceat(reached, np.cumsum(leaving[some]) - leaving[some], axis=0)
+            ahead[some] |= beyond[some]
+        from_, times = np.unique(src[back[_spread(first_in[ready], entering[ready])]], return_counts=True)
+        waiting[from_] -= times
+        ready = from_[waiting[from_] == 0]
+    return ahead, beyond, waiting > 0
+
+
+def _bits_on_cycles(src: np.ndarray, dst: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """ahead and beyond of one graph of n nodes that may have cycles."""
+    targets: list[list[int]] = [[] for _ in range(n)]
+    for x, y in set(zip(src.tolist(), dst.tolist(), strict=True)):
+        targets[x].append(y)
+    bits = _closed(targets)
+    over = [0] * n
+    for k, ys in enumerate(targets):
+        for y in ys:
+            over[k] |= bits[y]
+    return tuple(np.frombuffer(b"".join(x.to_bytes(8 * width, "little") for x in sets), "<i8").reshape(n, width) for sets in (bits, over))
+
+
+def _paths_of_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of paths() for executions (exec_id, e), e an array of edges (src, dst), HELD longs at a time."""
+    for batch in batches:
+        lists = batch.column("e")
+        owner = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+        ends = [pc.struct_field(lists.flatten(), c) for c in ("src", "dst")]
+        names = pc.unique(pa.chunked_array(ends))
+        names = names.take(pc.sort_indices(names))
+        keys = [owner * len(names) + np.asarray(pc.index_in(x, names)) for x in ends]
+        nodes = np.unique(np.concatenate(keys))
+        of, (src, dst) = nodes // len(names), (np.searchsorted(nodes, k) for k in keys)
+        sizes = np.bincount(of, minlength=len(lists))
+        starts = np.cumsum(sizes) - sizes
+        rank = np.arange(len(nodes)) - starts[of]
+        widths = -(-sizes // 64)
+        edges = np.bincount(owner, minlength=len(lists))
+        first = np.cumsum(edges) - edges
+        for width in np.unique(widths[widths > 0]).tolist():
+            alike = np.flatnonzero(widths == width)
+            part = np.cumsum(sizes[alike]) * width // HELD
+            for k in np.unique(part):
+                some = alike[part == k]
+                here, arcs = _spread(starts[some], sizes[some]), _spread(first[some], edges[some])
+                s, d = np.searchsorted(here, src[arcs]), np.searchsorted(here, dst[arcs])
+                ahead, beyond, cyclic = _bits(s, d, rank[here], width)
+                for x in np.unique(of[here[cyclic]]).tolist():
+                    a, z = np.searchsorted(here, [starts[x], starts[x] + sizes[x]])
+                    inside = (s >= a) & (s < z)
+                    ahead[a:z], beyond[a:z] = _bits_on_cycles(s[inside] - a, d[inside] - a, z - a, width)
+                lists_of = lambda bits: pa.ListArray.from_arrays(pa.array(np.arange(0, bits.size + 1, width), pa.int32()), pa.array(bits.reshape(-1), pa.int64()))  # noqa: E731, B023
+                yield pa.record_batch([batch.column("exec_id").take(pa.array(of[here])), names.take(pa.array(nodes[here] % len(names))), pa.array(rank[here], pa.int32()), lists_of(ahead), lists_of(beyond)], ["exec_id", "eid", "rank", "ahead", "beyond"])
 
 
 _PATHS = "exec_id string, eid string, rank int, ahead array<long>, beyond array<long>"
@@ -115,10 +172,10 @@ _PATHS = "exec_id string, eid string, rank int, ahead array<long>, beyond array<
 def paths(edges: DataFrame) -> DataFrame:
     """(exec_id, eid, rank, ahead, beyond) of all events on edges: the ranks to which paths lead, and those to which
     paths of two or more edges do, as bits of arrays of longs. Ranks go from 0, in the order of eid."""
-    edges = materialize(edges.select(KEY).distinct(), "path-edges")
-    small, large = _by_size(edges)
-    out = small.groupBy("exec_id").applyInArrow(_paths_of_one, _PATHS)
-    return materialize(out if large is None else out.unionByName(_paths_by_doubling(large)), "paths")
+    small, large = _by_size(edges.select(KEY))
+    gathered = small.groupBy("exec_id").agg(F.collect_list(F.struct("src", "dst")).alias("e"))
+    out = gathered.mapInArrow(_paths_of_some, _PATHS)
+    return materialize(out if large is None else out.unionByName(_paths_by_doubling(large.distinct())), "paths")
 
 
 def _paths_by_doubling(edges: DataFrame) -> DataFrame:
@@ -195,7 +252,12 @@ class Graphs(NamedTuple):
 
 def instance_graph(nodes: DataFrame, relations: DataFrame, accepted: DataFrame) -> Graphs:
     """The graphs of all executions."""
-    objects = materialize(execution_objects(nodes, relations), "execution-objects")
+    return graphs_of(execution_objects(nodes, relations), accepted)
+
+
+def graphs_of(objects: DataFrame, accepted: DataFrame) -> Graphs:
+    """The graphs of all executions, from execution_objects()."""
+    objects = materialize(objects, "execution-objects")
     cand = materialize(candidate_edges(objects, accepted, next_only=True), "edges-raw")
     reach = paths(cand)
     return Graphs(reduced(cand, reach), reach, objects)
