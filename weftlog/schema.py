@@ -60,7 +60,10 @@ class ObjectLog:
     unique: whether events are known to have each id once; sub-logs keep that. distinct: whether relations are known
     to have each (eid, oid) once, with the activity of the event. lives, if any: (otype, oid, steps) of the objects of the types in ``traced``,
     whose steps (ts, eid, activity, alone) are all their events in order of ts and eid; alone tells that an event is known
-    to have no other object of the type.
+    to have no other object of the type. around, if any: (exec_oid, items, packages, shared, events, objects), a row for each object of
+    the first of STRUCTURAL_TYPES: the items that share an event with it and with no other one, the packages that share an event with
+    those, ``shared`` the (package, item) of packages that share events with items of others too, and the events of all of them
+    (ts, eid, activity), with the ``objects`` of each, (otype, oid), which are all if nothing is shared; sub-logs have none.
     """
 
     events: DataFrame
@@ -70,6 +73,7 @@ class ObjectLog:
     lives: DataFrame | None = None
     traced: tuple[str, ...] = ()
     distinct: bool = False
+    around: DataFrame | None = None
 
     def checked(self) -> ObjectLog:
         require_columns(self.events, EVENTS, "events")
@@ -104,14 +108,14 @@ class ObjectLog:
 
     def of_objects(self, condition: Column) -> ObjectLog:
         """The sub-log of the relations of the objects whose oid and otype meet a condition; its events and objects stay."""
-        return replace(self, relations=self.relations.where(condition), lives=None if self.lives is None else self.lives.where(condition))
+        return replace(self, around=None, relations=self.relations.where(condition), lives=None if self.lives is None else self.lives.where(condition))
 
     def restricted(self, oids: DataFrame) -> ObjectLog:
         """The sub-log of the relations of some objects (oid); objects without relations vanish."""
         oids = oids.select("oid").distinct()
         r = self.relations.join(oids, "oid", "left_semi")
         lives = None if self.lives is None else self.lives.join(oids, "oid", "left_semi")
-        return replace(self, events=self.events.join(r, "eid", "left_semi"), objects=self.objects.join(r, "oid", "left_semi"), relations=r.select(self.relations.columns), lives=lives)
+        return replace(self, around=None, events=self.events.join(r, "eid", "left_semi"), objects=self.objects.join(r, "oid", "left_semi"), relations=r.select(self.relations.columns), lives=lives)
 
     def structural(self, types: Iterable[str] = STRUCTURAL_TYPES) -> ObjectLog:
         """The sub-log of some object types. A type without objects or without relations is an error."""
