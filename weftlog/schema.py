@@ -62,7 +62,7 @@ class ObjectLog:
     whose steps (ts, eid, activity, alone) are all their events in order of ts and eid; alone tells that an event is known
     to have no other object of the type. around, if any: (exec_oid, items, packages, shared, events, objects), a row for each object of
     the first of STRUCTURAL_TYPES: the items that share an event with it and with no other one, the packages that share an event with
-    those, ``shared`` the (package, item) of packages that share events with items of others too, and the events of all of them
+    those, ``shared`` the (package, item, events) of packages that share events with items of others too, with their number of events, and the events of all of them
     (ts, eid, activity), with the ``objects`` of each, (otype, oid), which are all if nothing is shared; sub-logs have none.
     """
 
@@ -123,6 +123,10 @@ class ObjectLog:
         there = {r["otype"] for r in self.objects.where(F.col("otype").isin(*names)).select("otype").distinct().collect()}
         if missing := sorted(set(names) - there):
             raise ValueError(f"no objects of type: {', '.join(missing)}")
+        if self.around is not None and names == normal_types(STRUCTURAL_TYPES):
+            # every event has an object of these types, and every object an event
+            of = F.col("otype").isin(*names)
+            return replace(self, objects=self.objects.where(of), relations=self.relations.where(of), lives=None if self.lives is None else self.lives.where(of))
         sub = self.restricted(self.objects.where(F.col("otype").isin(*names)))
         left = {r["otype"] for r in sub.objects.select("otype").distinct().collect()}
         if lost := sorted(set(names) - left):
