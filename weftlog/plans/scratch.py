@@ -58,8 +58,8 @@ def materialize(df: DataFrame, name: str, keep: bool = False, by: Sequence[str]
     return spark.read.schema(df.schema).parquet(path)
 
 
-def measured(df: DataFrame, name: str, *measures: Column) -> tuple[DataFrame, dict]:
+def measured(df: DataFrame, name: str, *measures: Column, keep: bool = False) -> tuple[DataFrame, dict]:
     """materialize() with aggregates over its rows that the write counts on its way."""
     seen = Observation()
-    out = materialize(df.observe(seen, *measures), name)
+    out = materialize(df.observe(seen, *measures), name, keep)
     return out, seen.get

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from weftlog.plans.tallies import OrderTally
+
 EVENTS = ("eid", "ts", "activity")
 OBJECTS = ("oid", "otype")
 RELATIONS = ("eid", "oid", "otype", "activity", "ts")
@@ -64,6 +68,7 @@ class ObjectLog:
     the first of STRUCTURAL_TYPES: the items that share an event with it and with no other one, the packages that share an event with
     those, ``shared`` the (package, item, events) of packages that share events with items of others too, with their number of events, and the events of all of them
     (ts, eid, activity), with the ``objects`` of each, (otype, oid), which are all if nothing is shared; sub-logs have none.
+    tally, if any: counts of flows and variants without events and lives, of the same objects.
     """
 
     events: DataFrame
@@ -74,6 +79,7 @@ class ObjectLog:
     traced: tuple[str, ...] = ()
     distinct: bool = False
     around: DataFrame | None = None
+    tally: OrderTally | None = None
 
     def checked(self) -> ObjectLog:
         require_columns(self.events, EVENTS, "events")
@@ -108,14 +114,14 @@ class ObjectLog:
 
     def of_objects(self, condition: Column) -> ObjectLog:
         """The sub-log of the relations of the objects whose oid and otype meet a condition; its events and objects stay."""
-        return replace(self, around=None, relations=self.relations.where(condition), lives=None if self.lives is None else self.lives.where(condition))
+        return replace(self, around=None, relations=self.relations.where(condition), lives=None if self.lives is None else self.lives.where(condition), tally=None if self.tally is None else self.tally.of(condition))
 
     def restricted(self, oids: DataFrame) -> ObjectLog:
         """The sub-log of the relations of some objects (oid); objects without relations vanish."""
         oids = oids.select("oid").distinct()
         r = self.relations.join(oids, "oid", "left_semi")
         lives = None if self.lives is None else self.lives.join(oids, "oid", "left_semi")
-        return replace(self, around=None, events=self.events.join(r, "eid", "left_semi"), objects=self.objects.join(r, "oid", "left_semi"), relations=r.select(self.relations.columns), lives=lives)
+        return replace(self, around=None, tally=None, events=self.events.join(r, "eid", "left_semi"), objects=self.objects.join(r, "oid", "left_semi"), relations=r.select(self.relations.columns), lives=lives)
 
     def structural(self, types: Iterable[str] = STRUCTURAL_TYPES) -> ObjectLog:
         """The sub-log of some object types. A type without objects or without relations is an error."""
@@ -126,7 +132,7 @@ class ObjectLog:
         if self.around is not None and names == normal_types(STRUCTURAL_TYPES):
             # every event has an object of these types, and every object an event
             of = F.col("otype").isin(*names)
-            return replace(self, objects=self.objects.where(of), relations=self.relations.where(of), lives=None if self.lives is None else self.lives.where(of))
+            return replace(self, objects=self.objects.where(of), relations=self.relations.where(of), lives=None if self.lives is None else self.lives.where(of), tally=None if self.tally is None else self.tally.of(of))
         sub = self.restricted(self.objects.where(F.col("otype").isin(*names)))
         left = {r["otype"] for r in sub.objects.select("otype").distinct().collect()}
         if lost := sorted(set(names) - left):
