@@ -8,6 +8,7 @@ import random
 import pytest
 import xxhash
 from conftest import rows
+from pyspark.sql import functions as F
 from test_operators import EDGES, WORD, docs, lower, words
 
 from weftlog.llm import simhash
@@ -95,3 +96,13 @@ def test_string_ids_long_texts(spark):
     got = {r.doc_id: r for r in simhash.digests(d).collect()}
     assert got["c"].fingerprint == "0" * 32 and got["b"].near_next > 0.9 and got["a"].n_near is None
     assert got["b"].fingerprint == f"{plain(long):032x}"
+
+
+def test_search_broadcasts_no_dealt_rows(spark, tmp_path):
+    """Tables that are small before they are dealt to 28 others are joined by shuffle."""
+    spark.range(2000).select(F.xxhash64("id").alias("hi"), F.xxhash64("id", F.lit(1)).alias("lo")).write.parquet(str(tmp_path / "prints"))
+    prints = spark.read.parquet(str(tmp_path / "prints"))
+    found = simhash.search(prints, prints.where("hi % 20 = 0")).agg(F.count("*"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

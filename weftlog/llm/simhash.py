@@ -73,6 +73,12 @@ def _block(hi: Column, lo: Column, k: int) -> Column:
     return F.shiftrightunsigned(word, at * _WIDTH).bitwiseAND(F.lit((1 << _WIDTH) - 1))
 
 
+def _met(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the documents, by shuffle: files that compress well, and rows that are dealt out,
+    are sized too low, and would be broadcast by way of the driver."""
+    return a.hint("merge").join(b.hint("merge"), on, how)
+
+
 def search(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(hi, lo, hi2, lo2, distance): for each distinct fingerprint (hi, lo) of queries the other distinct ones of prints within radius.
 
@@ -99,7 +105,7 @@ def search(prints: DataFrame, queries: DataFrame, radius: int = RADIUS) -> DataF
         for o in others:
             alone = alone & o
         first = first | ((F.col("table") == n) & alone)
-    found = left.join(right, ["table", "key"]).where((distance(*ends) <= radius) & ((ends[0] != ends[2]) | (ends[1] != ends[3])) & first)
+    found = _met(left, right, ["table", "key"]).where((distance(*ends) <= radius) & ((ends[0] != ends[2]) | (ends[1] != ends[3])) & first)
     return found.select(*ends, distance(*ends).alias("distance"))
 
 
@@ -146,21 +152,21 @@ def _digests(docs: DataFrame, radius: int, every: int) -> DataFrame:
     # the head of a document goes to the one whose next it is; texts are dealt by their key once for both joins
     of = ranked.select("k", "h", F.when(F.col("rank") < F.col("n"), F.col("rank") + 1).otherwise(F.lit(1)).alias("to"))
     to = ranked.select(F.col("rank").alias("to"), F.col("k").alias("k2"), F.col("h").alias("h2"), "n_chars", "doc_id")
-    links = materialize(of.join(to, "to").withColumn("half", F.floor(F.col("n_chars") / 2)), "simhash-links")
-    heads = texts.join(links, ["k", "h"]).select(F.col("k2").alias("k"), F.col("h2").alias("h"), "doc_id", F.col("to").alias("rank"), "n_chars", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"))
-    edited = texts.join(heads, ["k", "h"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("half")), "head"))
+    links = materialize(_met(of, to, "to").withColumn("half", F.floor(F.col("n_chars") / 2)), "simhash-links")
+    heads = _met(texts, links, ["k", "h"]).select(F.col("k2").alias("k"), F.col("h2").alias("h"), "doc_id", F.col("to").alias("rank"), "n_chars", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"))
+    edited = _met(texts, heads, ["k", "h"]).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - F.col("half")), "head"))
     both = edited.select("k", "h", "doc_id", "rank", "n_chars", F.sha2("edited", 256).alias("sha"), F.posexplode(F.array("text", "edited")).alias("which", "text"))
     prints = materialize(votes(both, ["k", "h", "doc_id", "rank", "n_chars", "sha", "which"]), "simhash-prints")
     own = prints.where("which = 0").drop("which")
     other = prints.where("which = 1").select("rank", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
-    following = own.join(ranked.select("rank", "n"), "rank").select(F.when(F.col("rank") < F.col("n"), F.col("rank") + 1).otherwise(F.lit(1)).alias("rank"), F.col("hi").alias("hi3"), F.col("lo").alias("lo3"))
+    following = _met(own, ranked.select("rank", "n"), "rank").select(F.when(F.col("rank") < F.col("n"), F.col("rank") + 1).otherwise(F.lit(1)).alias("rank"), F.col("hi").alias("hi3"), F.col("lo").alias("lo3"))
     asked = own.where((F.col("doc_id").try_cast("long") % every) == 0)
     classes = own.groupBy("hi", "lo").agg(F.count("*").alias("docs"))
-    found = search(own, asked, radius).join(classes.withColumnsRenamed({"hi": "hi2", "lo": "lo2"}), ["hi2", "lo2"])
+    found = _met(search(own, asked, radius), classes.withColumnsRenamed({"hi": "hi2", "lo": "lo2"}), ["hi2", "lo2"])
     near = found.groupBy("hi", "lo").agg(F.sum("docs").alias("others"))
-    near = classes.join(near, ["hi", "lo"], "left").select("hi", "lo", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("near"))
-    out = own.join(other, "rank").join(following, "rank").join(near, ["hi", "lo"], "left")
+    near = _met(classes, near, ["hi", "lo"], "left").select("hi", "lo", (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("near"))
+    out = _met(_met(_met(own, other, "rank"), following, "rank"), near, ["hi", "lo"], "left")
     alike = lambda k: (1 - distance(F.col("hi"), F.col("lo"), F.col(f"hi{k}"), F.col(f"lo{k}")) / BITS).alias("near_edited" if k == 2 else "near_next")
     is_asked = (F.col("doc_id").try_cast("long") % every) == 0
     out = out.select("k", "h", "n_chars", F.col("sha").alias("edited_sha256"), hexadecimal(F.col("hi"), F.col("lo")).alias("fingerprint"), hexadecimal(F.col("hi2"), F.col("lo2")).alias("edited_fingerprint"), alike(2), alike(3), F.when(is_asked, F.col("near")).alias("n_near"))
-    return ids.join(out, keys).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
+    return _met(ids, out, keys).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
