@@ -12,7 +12,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftlog.plans.scratch import materialize, measured
@@ -118,3 +118,24 @@ def isomorphism_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if not seen["left"]:
             return out
         rest = materialize(rest.join(done.where("not same").select("exec_id"), "exec_id", "left_semi"), "iso-graphs")
+
+
+def classes_of_forms(forms: DataFrame, nodes: Column, arcs: Column) -> DataFrame:
+    """isomorphism_classes() of executions whose graphs have a form: forms (exec_id, kinds, arcs), equal ones of the same graphs,
+    nodes and arcs an array of the events (eid, activity) and of the edges (src, dst, object_types) of a form.
+
+    One execution of each form is compared with the others. Forms are told apart by 128 bits of hashes, and the equality
+    of those that share them is checked.
+    """
+    key = [F.xxhash64(F.lit(k), "kinds", "arcs").alias(f"h{k}") for k in (1, 2)]
+    forms = materialize(forms.select("exec_id", *key, "kinds", "arcs"), "iso-forms")
+    form = F.struct("kinds", "arcs")
+    seen = forms.groupBy("h1", "h2").agg(F.min("exec_id").alias("exec_id"), F.min(form).alias("form"), (F.min(form) != F.max(form)).alias("differ"))
+    some, found = measured(seen.select("h1", "h2", "exec_id", "form.*", "differ"), "iso-form", F.count_if("differ").alias("differ"))
+    if found["differ"]:
+        raise RuntimeError("two forms have the same hashes")
+    events = some.select("exec_id", F.explode(nodes).alias("x")).select("exec_id", "x.*")
+    edges = some.select("exec_id", F.explode(arcs).alias("x")).select("exec_id", "x.*")
+    classes = isomorphism_classes(events, edges).withColumnRenamed("exec_id", "first")
+    named = materialize(some.select("h1", "h2", F.col("exec_id").alias("first")).join(classes, "first").select("h1", "h2", "class"), "iso-named")
+    return forms.select("exec_id", "h1", "h2").join(sized(named), ["h1", "h2"]).select("exec_id", "class")
