@@ -132,7 +132,7 @@ class ObjectLog:
         if self.around is not None and names == normal_types(STRUCTURAL_TYPES):
             # every event has an object of these types, and every object an event
             of = F.col("otype").isin(*names)
-            return replace(self, objects=self.objects.where(of), relations=self.relations.where(of), lives=None if self.lives is None else self.lives.where(of), tally=None if self.tally is None else self.tally.of(of))
+            return replace(self, objects=self.objects.where(of), relations=self.relations.where(of), lives=None if self.lives is None else self.lives.where(of), tally=None if self.tally is None else self.tally.of_types(names))
         sub = self.restricted(self.objects.where(F.col("otype").isin(*names)))
         left = {r["otype"] for r in sub.objects.select("otype").distinct().collect()}
         if lost := sorted(set(names) - left):
