@@ -60,6 +60,16 @@ def relation_elements(relations: DataFrame, etot: DataFrame) -> DataFrame:
     return out.unionByName(_named(etot, "relation", ["activity", "otype"], "weight"))
 
 
+def counted_elements(counts: DataFrame, ocdfg: DataFrame, otg: DataFrame) -> list[DataFrame]:
+    """flow_elements(), type_elements() and relation_elements() from OrderTally.counts() for the relations."""
+    activities = _named(counts.where("otype is null"), "activity", ["activity"], "n")
+    types = _named(counts.where("activity is null"), "type", ["otype"], "n")
+    flows = _named(ocdfg.groupBy("src_act", "dst_act").agg(F.sum("event_couples").alias("n")), "flow", ["src_act", "dst_act"], "n")
+    between = _named(otg, F.col("relationship"), ["otype1", "otype2"], "weight")
+    both = _named(counts.where("activity is not null and otype is not null"), "relation", ["activity", "otype"], "n")
+    return [activities.unionByName(flows), types.unionByName(between), activities.unionByName(types).unionByName(both)]
+
+
 def _shares(graph: DataFrame, name: str) -> DataFrame:
     every = Window.partitionBy("kind")
     return graph.select(*ELEMENT, (F.col("measure") / F.sum("measure").over(every)).alias(name))
